@@ -62,12 +62,21 @@ def bitmask(flags: Sequence[str | Column]) -> Column:
     return acc.cast("int")
 
 
+def bit(i: Column) -> Column:
+    """2^i as an int (i is a column)."""
+    return F.pow(F.lit(2), i).cast("int")
+
+
+def has_bit(mask: Column, i: Column) -> Column:
+    return mask.bitwiseAND(bit(i)) != 0
+
+
 def mask_items(mask: Column, labels: Sequence[str]) -> Column:
     """Array of the labels whose bit is set, in the configured order."""
     arr = F.array(*[F.lit(x) for x in labels])
     idx = F.sequence(F.lit(0), F.lit(len(labels) - 1))
     return F.transform(
-        F.filter(idx, lambda i: F.shiftright(mask, i).bitwiseAND(1) == 1),
+        F.filter(idx, lambda i: has_bit(mask, i)),
         lambda i: F.element_at(arr, i + 1),
     )
 
@@ -78,19 +87,19 @@ def subsets_upto(mask: Column, n_items: int, max_size: int) -> Column:
     Built from the set bits with nested higher-order functions, so a basket of
     b items yields sum_{s<=max_size} C(b, s) entries — no scan of 2^n masks.
     """
-    bits = F.filter(F.sequence(F.lit(0), F.lit(n_items - 1)), lambda i: F.shiftright(mask, i).bitwiseAND(1) == 1)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(n_items - 1)), lambda i: has_bit(mask, i))
 
     def grow(prev_last: Column | None, acc: Column, depth: int) -> Column:
         # all subsets that extend `acc` by bits greater than prev_last, up to max_size bits
         cand = bits if prev_last is None else F.filter(bits, lambda j: j > prev_last)
         if depth == max_size:
-            return F.transform(cand, lambda j: acc.bitwiseOR(F.shiftleft(F.lit(1), j)))
+            return F.transform(cand, lambda j: acc.bitwiseOR(bit(j)))
         return F.flatten(
             F.transform(
                 cand,
                 lambda j: F.concat(
-                    F.array(acc.bitwiseOR(F.shiftleft(F.lit(1), j))),
-                    grow(j, acc.bitwiseOR(F.shiftleft(F.lit(1), j)), depth + 1),
+                    F.array(acc.bitwiseOR(bit(j))),
+                    grow(j, acc.bitwiseOR(bit(j)), depth + 1),
                 ),
             )
         )
@@ -98,9 +107,9 @@ def subsets_upto(mask: Column, n_items: int, max_size: int) -> Column:
     return grow(None, F.lit(0), 1)
 
 
-def proper_subsets(mask: Column, n_items: int) -> Column:
-    """Non-empty proper subsets of ``mask`` (as masks)."""
-    return F.filter(subsets_upto(mask, n_items, n_items), lambda s: s != mask)
+def proper_subsets(mask: Column, n_items: int, max_size: int) -> Column:
+    """Non-empty proper subsets of ``mask`` (as masks); ``max_size`` bounds the size of ``mask``."""
+    return F.filter(subsets_upto(mask, n_items, max(max_size - 1, 1)), lambda s: s != mask)
 
 
 def require_columns(df: DataFrame, cols: Sequence[str]) -> None:
