@@ -8,7 +8,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(master: str | None = None, app: str = "cohortlab", shuffle_partitions: int | None = None) -> SparkSession:
+def get_session(
+    master: str | None = None, app: str = "cohortlab", shuffle_partitions: int | None = None, driver_memory: str | None = "8g"
+) -> SparkSession:
     """Build (or reuse) a session with AQE and skew-join handling switched on.
 
     On a cluster pass ``master=None``; the launcher decides.  The web UI stays off.
@@ -27,6 +29,9 @@ def get_session(master: str | None = None, app: str = "cohortlab", shuffle_parti
     )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory and master and master.startswith("local"):
+        # local mode: the driver JVM is also the executor (only takes effect before the JVM starts)
+        b = b.config("spark.driver.memory", driver_memory)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
