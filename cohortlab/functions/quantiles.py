@@ -4,16 +4,25 @@ Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer, so a whole-table quantile ends in a single task holding the
 column.  Here the work stays distributed:
 
-1. ``groupBy(column, value).count()`` – map-side combine collapses hot values,
-   so a value held by a third of the rows is one row afterwards.
-2. Approximate cut points of the *distinct* values (a bounded sketch, one small
-   job) split the value range into ``buckets`` ordered slices.  The cut points
-   are literals, so the bucket of a value is a pure function: a recomputed task
-   after an executor loss puts every value into the same bucket again.
+1. Approximate cut points of the values (``percentile_approx``, a bounded sketch,
+   one small job) split each column's range into ``buckets`` ordered slices.  The
+   cut points are literals, so the bucket of a value is a pure function: a
+   recomputed task after an executor loss puts every value into the same bucket.
+2. ``groupBy(column, bucket, value).count()`` – map-side combine collapses hot
+   values, so a value held by a third of the rows is one row afterwards.
 3. Per bucket totals (``buckets`` rows per column) give each bucket's offset; a
    window partitioned by ``(column, bucket)`` gives the running count inside a
    bucket.  ``offset + running`` is the exact rank of every distinct value.
 4. Only the (at most two per probability) rows holding the needed ranks survive.
+
+Columns whose (HyperLogLog) distinct count is at most ``small_distinct`` take a
+short path instead: Spark's exact ``percentile`` keeps one count per distinct
+value, so its buffer has a proven bound there.
+
+Like ``DataFrame.approxQuantile`` the result is computed eagerly (two jobs: the
+cut-point sketch, then the exact pass) and returned as a small literal frame of
+at most #columns x #probabilities rows, so later plans that use the quantiles
+(fences, medians, whiskers) do not re-run the ranking.
 """
 
 from __future__ import annotations
@@ -50,6 +59,7 @@ def exact_quantiles(
     columns: Mapping[str, Column] | Sequence[str],
     probs: Sequence[float],
     buckets: int | None = None,
+    small_distinct: int = 50_000,
 ) -> DataFrame:
     """Exact ``quantile_cont`` of each column for each probability.
 
@@ -58,25 +68,48 @@ def exact_quantiles(
     """
     spark = df.sparkSession
     nb = buckets or max(shuffle_partitions(spark), 1)
-    counts = _long_values(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-
-    # cut points per column from a bounded sketch over the distinct values;
-    # the result is at most (#columns x nb) doubles.
-    fractions = [i / nb for i in range(1, nb)]
-    if fractions:
-        cut_rows = (
-            counts.groupBy("column")
-            .agg(F.percentile_approx("value", fractions, 10000).alias("cuts"))
+    long = _long_values(df, columns)
+    names = list(columns) if not isinstance(columns, Mapping) else list(columns.keys())
+
+    # one sketch job: distinct-count estimate and cut points per column (partial +
+    # final aggregation, no shuffle of rows); at most (#columns x nb) doubles.  A
+    # bucket then holds about n / nb rows, hence at most that many distinct values.
+    fractions = [i / nb for i in range(1, nb)] or [0.5]
+    sketch = {
+        r["column"]: r
+        for r in long.groupBy("column")
+        .agg(F.approx_count_distinct("value", 0.02).alias("nd"), F.percentile_approx("value", fractions, 10000).alias("cuts"))
+        .collect()
+    }
+    found: dict = {}
+    small = [c for c in names if c in sketch and sketch[c]["nd"] <= small_distinct]
+    large = [c for c in names if c in sketch and c not in small]
+    if small:
+        rows = (
+            long.where(F.col("column").isin(small))
+            .groupBy("column")
+            .agg(F.percentile("value", [float(q) for q in probs]).alias("ps"), F.count(F.lit(1)).alias("n"))
             .collect()
         )
-        cuts = {r["column"]: sorted(set(float(x) for x in (r["cuts"] or []))) for r in cut_rows}
-    else:
-        cuts = {}
+        for r in rows:
+            for q, v in zip(probs, r["ps"]):
+                found[(r["column"], float(q))] = (v, r["n"])
+    if large:
+        found.update(_ranked_quantiles(long.where(F.col("column").isin(large)), {c: sketch[c]["cuts"] for c in large}, probs))
+    # columns without any value still get a row (value NULL, n 0)
+    rows = [(c, float(q), *found.get((c, float(q)), (None, 0))) for c in names for q in probs]
+    return spark.createDataFrame(rows, "column string, q double, value double, n long")
+
+
+def _ranked_quantiles(long: DataFrame, cut_lists: Mapping[str, list], probs: Sequence[float]) -> dict:
+    """The bucket path: exact ranks from bucket offsets + in-bucket running counts."""
+    cuts = {c: sorted(set(float(x) for x in (cs or []))) for c, cs in cut_lists.items()}
     bucket = F.lit(0)
     for name, cs in cuts.items():
         if cs:
             bucket = F.when(F.col("column") == F.lit(name), _bucket_expr(F.col("value"), cs)).otherwise(bucket)
-    b = counts.withColumn("bucket", bucket)
+    # distinct values with their counts (map-side combine collapses a hot value)
+    b = long.withColumn("bucket", bucket).groupBy("column", "bucket", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
     # offsets of buckets: small table (#columns x nb rows)
     per_bucket = b.groupBy("column", "bucket").agg(F.sum("cnt").alias("bcnt"))
@@ -127,16 +160,10 @@ def exact_quantiles(
     hq = (F.col("n") - 1).cast("double") * F.col("q")
     frac = hq - F.floor(hq)
     value = F.when(frac == 0, F.col("v_lo")).otherwise(F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac)
-    found = picked.select("column", "q", value.alias("value"), F.col("n").cast("long").alias("n"))
-
-    # columns without any value still get a row (value NULL, n 0)
-    names = list(columns) if not isinstance(columns, Mapping) else list(columns.keys())
-    grid = spark.createDataFrame(
-        [(c, float(q)) for c in names for q in probs], "column string, q double"
-    )
-    return grid.join(found, ["column", "q"], "left").select(
-        "column", "q", "value", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")
-    )
+    return {
+        (r["column"], r["q"]): (r["value"], r["n"])
+        for r in picked.select("column", "q", value.alias("value"), F.col("n").cast("long").alias("n")).collect()
+    }
 
 
 def quantile_wide(
@@ -144,8 +171,9 @@ def quantile_wide(
     columns: Mapping[str, Column] | Sequence[str],
     probs: Mapping[str, float],
     buckets: int | None = None,
+    small_distinct: int = 50_000,
 ) -> DataFrame:
     """``exact_quantiles`` pivoted to one row per column with one field per named probability."""
-    long = exact_quantiles(df, columns, list(probs.values()), buckets)
+    long = exact_quantiles(df, columns, list(probs.values()), buckets, small_distinct)
     aggs = [F.max(F.when(F.col("q") == F.lit(float(q)), F.col("value"))).alias(name) for name, q in probs.items()]
     return long.groupBy("column").agg(*aggs, F.max("n").alias("n"))

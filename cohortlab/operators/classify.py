@@ -95,7 +95,8 @@ def fit_random_forest(train: DataFrame, features: Sequence[str], label: str, n_t
     return rf.fit(assemble(train, features).select("features", F.col(label).cast("double").alias(label)))
 
 
-def fit_logistic(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, max_iter: int = 1000) -> tuple[LogisticRegressionModel, DataFrame]:
+def fit_logistic(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, max_iter: int = 1000,
+                 tol: float = 1e-6) -> tuple[LogisticRegressionModel, DataFrame]:
     """L2 logistic regression on features standardized with training statistics (population sd).
 
     The objective 0.5|w|^2 + C sum(logloss) equals Spark's mean(logloss) + regParam/2 |w|^2 with
@@ -105,7 +106,7 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str, c: float
     z = standardize(train, features, stats, keep=[label])
     n = train.count()
     lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter, regParam=1.0 / (c * n), elasticNetParam=0.0,
-                            standardization=False, tol=1e-8)
+                            standardization=False, tol=tol)
     model = lr.fit(assemble(z, features).select("features", F.col(label).cast("double").alias(label)))
     return model, stats
 

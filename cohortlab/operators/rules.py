@@ -118,12 +118,13 @@ def mine_flag_rules(
     return rules_from_itemsets(frequent_itemsets(items, min_support), len(flags), names, min_confidence, sep, max_size)
 
 
-RULE_ORDER = [F.desc("lift"), F.desc("confidence"), F.desc("support"), F.asc("antecedent"), F.asc("consequent")]
+def rule_order() -> list[Column]:
+    return [F.desc("lift"), F.desc("confidence"), F.desc("support"), F.asc("antecedent"), F.asc("consequent")]
 
 
 def top_rules(rules: DataFrame, k: int) -> DataFrame:
     """k strongest rules by lift; ties broken by confidence, support, antecedent, consequent."""
-    return rules.orderBy(*RULE_ORDER).limit(k)
+    return rules.orderBy(*rule_order()).limit(k)
 
 
 def rule_kpis(rules: DataFrame, capped: DataFrame) -> DataFrame:

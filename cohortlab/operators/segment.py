@@ -38,16 +38,22 @@ def cluster_input(df: DataFrame, c: SurveyColumns = SURVEY, features: Sequence[s
 
 
 def fit_kmeans(vectors: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
-               features_col: str = "features") -> KMeansModel:
-    """Best of ``n_init`` K-Means runs (seeds seed..seed+n_init-1) by within-cluster sum of squares."""
-    best, best_cost = None, None
-    for i in range(n_init):
+               features_col: str = "features", parallel: int = 4) -> KMeansModel:
+    """Best of ``n_init`` K-Means runs (seeds seed..seed+n_init-1) by within-cluster sum of squares.
+
+    The starts are independent Spark jobs submitted from ``parallel`` driver threads, so their
+    (small, latency-bound) iterations overlap on the cluster; ties keep the lowest seed.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(i: int):
         km = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, initMode="k-means||", featuresCol=features_col)
         m = km.fit(vectors)
-        cost = m.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = m, cost
-    return best
+        return m.summary.trainingCost, i, m
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, n_init))) as pool:
+        fits = list(pool.map(one, range(n_init)))
+    return min(fits, key=lambda t: (t[0], t[1]))[2]
 
 
 def kmeans_segments(df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, c: SurveyColumns = SURVEY) -> tuple[DataFrame, KMeansModel]:

@@ -22,8 +22,16 @@ from cohortlab.plans.survey_sql import with_survey
 C = SURVEY
 FEATS = list(C.model_features)
 KEEP = [C.id, C.subscribe, C.mrr, C.tier]
-RULE_PRED = F.when(F.coalesce(F.col(C.wtp), F.lit(0.0)) > 90, 1).otherwise(0)
-RULE_MRR = F.coalesce(F.col(C.wtp), F.lit(0.0)) * F.lit(0.7)
+
+
+def rule_pred():
+    return F.when(F.coalesce(F.col(C.wtp), F.lit(0.0)) > 90, 1).otherwise(0)
+
+
+def rule_mrr():
+    return F.coalesce(F.col(C.wtp), F.lit(0.0)) * F.lit(0.7)
+
+
 RULE_PRED_SQL = "CASE WHEN coalesce(wtp_monthly_usd, 0.0) > 90 THEN 1 ELSE 0 END"
 RULE_MRR_SQL = "coalesce(wtp_monthly_usd, 0.0) * 0.7"
 TEST_CTE = f"t AS (SELECT *, {RULE_PRED_SQL} AS pred, {RULE_MRR_SQL} AS pred_mrr FROM survey WHERE {split_sql()} = 'test')"
@@ -36,7 +44,7 @@ def model_frame(spark, sf_dir):
 
 def _test_rule(spark, sf_dir):
     s = enc.train_test_split(survey(spark, sf_dir), C.id)
-    return s.where(F.col("split") == "test").select("*", RULE_PRED.alias("pred"), RULE_MRR.alias("pred_mrr"))
+    return s.where(F.col("split") == "test").select("*", rule_pred().alias("pred"), rule_mrr().alias("pred_mrr"))
 
 
 # ----------------------------------------------------------------------------- oracled metric tables
@@ -180,7 +188,7 @@ def _tier_sql() -> str:
 @register("forecast_by_tier", _tier_sql())
 def forecast_by_tier(spark, sf_dir):
     s = survey(spark, sf_dir)
-    return agg.ordered_group_stats(s, C.tier, RULE_MRR, TIER_ORDER)
+    return agg.ordered_group_stats(s, C.tier, rule_mrr(), TIER_ORDER)
 
 
 # ----------------------------------------------------------------------------- fitted models (rows-only)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortlab.session import materialize
 from cohortlab.sources.survey import survey_dirty, survey_view
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
+_MATERIALIZED: dict[tuple, DataFrame] = {}
 
 
 def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
@@ -26,9 +29,25 @@ def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     return deco
 
 
+def _key(spark: SparkSession, sf_dir: str, what: str) -> tuple:
+    return (id(spark.sparkContext._jsc), sf_dir, what)
+
+
+def table_name(sf_dir: str, what: str) -> str:
+    return f"{what}_{hashlib.md5(sf_dir.encode()).hexdigest()[:10]}"
+
+
+def use_materialized_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the survey view once under the shared checkpoint folder; later queries of this
+    session read the written table (lineage cut, survives executor loss)."""
+    df = materialize(survey_view(spark, sf_dir), table_name(sf_dir, "survey"))
+    _MATERIALIZED[_key(spark, sf_dir, "survey")] = df
+    return df
+
+
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survey_view(spark, sf_dir)
+    return _MATERIALIZED.get(_key(spark, sf_dir, "survey")) or survey_view(spark, sf_dir)
 
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survey_dirty(spark, sf_dir)
+    return survey_dirty(spark, sf_dir, survey(spark, sf_dir))
