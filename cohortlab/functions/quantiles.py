@@ -15,9 +15,8 @@ column.  Here the work stays distributed:
    bucket.  ``offset + running`` is the exact rank of every distinct value.
 4. Only the (at most two per probability) rows holding the needed ranks survive.
 
-Columns whose (HyperLogLog) distinct count is at most ``small_distinct`` take a
-short path instead: Spark's exact ``percentile`` keeps one count per distinct
-value, so its buffer has a proven bound there.
+Columns whose (HyperLogLog) distinct count is at most ``small_distinct`` use a
+single bucket: their window partition then has a proven size bound.
 
 Like ``DataFrame.approxQuantile`` the result is computed eagerly (two jobs: the
 cut-point sketch, then the exact pass) and returned as a small literal frame of
@@ -81,21 +80,10 @@ def exact_quantiles(
         .agg(F.approx_count_distinct("value", 0.02).alias("nd"), F.percentile_approx("value", fractions, 10000).alias("cuts"))
         .collect()
     }
-    found: dict = {}
-    small = [c for c in names if c in sketch and sketch[c]["nd"] <= small_distinct]
-    large = [c for c in names if c in sketch and c not in small]
-    if small:
-        rows = (
-            long.where(F.col("column").isin(small))
-            .groupBy("column")
-            .agg(F.percentile("value", [float(q) for q in probs]).alias("ps"), F.count(F.lit(1)).alias("n"))
-            .collect()
-        )
-        for r in rows:
-            for q, v in zip(probs, r["ps"]):
-                found[(r["column"], float(q))] = (v, r["n"])
-    if large:
-        found.update(_ranked_quantiles(long.where(F.col("column").isin(large)), {c: sketch[c]["cuts"] for c in large}, probs))
+    # low-cardinality columns need no cut points: one bucket, whose window partition is
+    # bounded by the distinct-count check
+    cut_lists = {c: (sketch[c]["cuts"] if sketch[c]["nd"] > small_distinct else []) for c in names if c in sketch}
+    found = _ranked_quantiles(long, cut_lists, probs) if cut_lists else {}
     # columns without any value still get a row (value NULL, n 0)
     rows = [(c, float(q), *found.get((c, float(q)), (None, 0))) for c in names for q in probs]
     return spark.createDataFrame(rows, "column string, q double, value double, n long")
