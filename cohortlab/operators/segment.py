@@ -29,12 +29,18 @@ from cohortlab.functions.broadcast import broadcast_if_bounded
 from cohortlab.operators.encode import assemble, ordinal_encode, standardize
 
 
-def cluster_input(df: DataFrame, c: SurveyColumns = SURVEY, features: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Cluster features with missing -> 0, then z-scored (population sd): ``(id, f1..fk)``."""
+def cluster_input(
+    df: DataFrame, c: SurveyColumns = SURVEY, features: Sequence[str] | None = None, keep: Sequence[str] = ()
+) -> tuple[DataFrame, list[str]]:
+    """Cluster features with missing -> 0, then z-scored (population sd): ``(id, *keep, f1..fk)``.
+
+    ``keep`` carries other columns through (no join back to the source later).
+    """
     feats = list(features or c.cluster_features)
     enc = ordinal_encode(df)
-    filled = enc.select(c.id, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in feats])
-    return standardize(filled, feats, keep=[c.id]), feats
+    carried = [c.id, *[k for k in keep if k != c.id and k not in feats]]
+    filled = enc.select(*carried, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in feats])
+    return standardize(filled, feats, keep=carried), feats
 
 
 def fit_kmeans(vectors: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
@@ -71,19 +77,59 @@ def silhouette_spark(assigned: DataFrame, label: str = "cluster", features_col:
     return ev.evaluate(assigned)
 
 
-def silhouette_points(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+def _cluster_sums(pts: DataFrame, dims: int) -> DataFrame:
+    return pts.groupBy("lab").agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.array(*[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(dims)]).alias("s"),
+        F.sum(F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v)).alias("q"),
+    )
+
+
+def _silhouette_value(a: Column, b: Column, n_own: Column) -> Column:
+    return (
+        F.when(n_own <= 1, F.lit(0.0))
+        .when(b.isNull(), F.lit(0.0))
+        .when(a < b, F.lit(1.0) - a / b)
+        .when(a > b, b / a - F.lit(1.0))
+        .otherwise(F.lit(0.0))
+    )
+
+
+def silhouette_points(df: DataFrame, features: Sequence[str], label: str, max_inline: int = 256) -> DataFrame:
     """Per point squared-Euclidean silhouette ``s`` (0 for a point alone in its cluster).
 
     a = mean squared distance to the other points of its cluster = D(x, own) n/(n-1),
     b = min over other clusters of D(x, c), with D(x, c) = |x|^2 + Q_c/n_c - 2 x.S_c/n_c.
+
+    The per-cluster sums (k rows) are collected once when k <= ``max_inline`` and the
+    distances become plain column arithmetic (whole-stage code generation); above that
+    they stay a scalar subquery read by higher-order functions.
     """
-    pts = df.where(F.col(label).isNotNull()).select(F.col(label).alias("lab"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
-    stats = pts.groupBy("lab").agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        F.array(*[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(len(features))]).alias("s"),
-        F.sum(F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v)).alias("q"),
-    )
-    # k entries; projected as a column first (subqueries may not sit inside lambdas)
+    xs = [F.col(f).cast("double") for f in features]
+    pts = df.where(F.col(label).isNotNull()).select(F.col(label).alias("lab"), F.array(*xs).alias("x"), *[x.alias(f"x{i}") for i, x in enumerate(xs)])
+    stats = _cluster_sums(pts, len(features))
+    rows = stats.limit(max_inline + 1).collect()
+    if len(rows) <= max_inline:
+        norm = None
+        for i in range(len(features)):
+            t = F.col(f"x{i}") * F.col(f"x{i}")
+            norm = t if norm is None else norm + t
+        dists = []
+        for r in rows:
+            dot = None
+            for i in range(len(features)):
+                t = F.col(f"x{i}") * F.lit(float(r["s"][i]))
+                dot = t if dot is None else dot + t
+            d = norm + F.lit(float(r["q"])) / F.lit(float(r["n"])) - F.lit(2.0) * dot / F.lit(float(r["n"]))
+            dists.append((r["lab"], float(r["n"]), d))
+        is_own = lambda lab: F.col("lab") == F.lit(lab)
+        a = F.coalesce(*[F.when(is_own(lab), d * F.lit(n) / (F.lit(n) - F.lit(1.0))) for lab, n, d in dists])
+        n_own = F.coalesce(*[F.when(is_own(lab), F.lit(n)) for lab, n, _ in dists])
+        others = [F.when(~is_own(lab), d) for lab, _, d in dists]
+        b = F.least(*others) if len(others) > 1 else others[0]
+        return pts.select("lab", _silhouette_value(a, b, n_own).alias("s"))
+
+    # many clusters: sums as a scalar subquery (projected first; subqueries may not sit inside lambdas)
     pts = pts.withColumn("cl", stats.agg(F.collect_list(F.struct("lab", "n", "s", "q")).alias("cl")).scalar())
     cl = F.col("cl")
     norm = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v)
@@ -95,15 +141,7 @@ def silhouette_points(df: DataFrame, features: Sequence[str], label: str) -> Dat
     own = F.filter(cl, lambda c: c["lab"] == F.col("lab"))[0]
     others = F.transform(F.filter(cl, lambda c: c["lab"] != F.col("lab")), dist)
     a = dist(own) * own["n"] / (own["n"] - F.lit(1.0))
-    b = F.array_min(others)
-    s = (
-        F.when(own["n"] <= 1, F.lit(0.0))
-        .when(b.isNull(), F.lit(0.0))
-        .when(a < b, F.lit(1.0) - a / b)
-        .when(a > b, b / a - F.lit(1.0))
-        .otherwise(F.lit(0.0))
-    )
-    return pts.select("lab", s.alias("s"))
+    return pts.select("lab", _silhouette_value(a, F.array_min(others), own["n"]).alias("s"))
 
 
 def silhouette(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:

@@ -60,8 +60,7 @@ SELECT round(avg(s), 6) AS silhouette, CAST(count(*) AS BIGINT) AS n FROM (
 
 @register("silhouette_by_user_type", _silhouette_sql())
 def silhouette_by_user_type(spark, sf_dir):
-    z, feats = seg.cluster_input(survey(spark, sf_dir))
-    z = z.join(survey(spark, sf_dir).select(C.id, C.user_type), C.id)
+    z, feats = seg.cluster_input(survey(spark, sf_dir), keep=[C.user_type])
     s = seg.silhouette(z, feats, C.user_type)
     return s.select(F.round("silhouette", 6).alias("silhouette"), "n")
 
@@ -117,16 +116,25 @@ _MODELS: dict = {}
 
 
 def _kmeans(spark, sf_dir, k=K):
-    """Survey, K-Means assignments and model; the fit is shared by the queries of one session."""
+    """Labelled survey (all columns + cluster + features), assignments and model.
+
+    The fit reads only the cached feature vectors and is shared by the queries of one
+    session; the labels are attached by ``transform`` on a frame that carries every
+    survey column, so no query joins the assignments back to the survey.
+    """
     s = survey(spark, sf_dir)
-    z, feats = seg.cluster_input(s)
-    vec = assemble(z, feats).select(C.id, "features").cache()
+    # raw copies of the survey columns that are also cluster features (those get z-scored in place)
+    collide = [c for c in s.columns if c in FEATS]
+    s2 = s.select(*s.columns, *[F.col(c).alias(f"raw__{c}") for c in collide])
+    z, feats = seg.cluster_input(s2, keep=s2.columns)
+    vec = assemble(z, feats)
     key = (id(spark.sparkContext._jsc), sf_dir, k)
     if key not in _MODELS:
-        _MODELS[key] = seg.fit_kmeans(vec, k)
+        _MODELS[key] = seg.fit_kmeans(vec.select(C.id, "features").cache(), k)
     model = _MODELS[key]
-    assigned = model.transform(vec).select(C.id, F.col("prediction").cast("int").alias("cluster"), "features")
-    return s, assigned, model
+    orig = [F.col(f"raw__{c}").alias(c) if c in collide else F.col(c) for c in s.columns]
+    labelled = model.transform(vec).select(*orig, F.col("prediction").cast("int").alias("cluster"), "features")
+    return labelled, labelled.select(C.id, "cluster", "features"), model
 
 
 @register("kmeans_assignments")
@@ -137,14 +145,14 @@ def kmeans_assignments(spark, sf_dir):
 
 @register("kmeans_profile")
 def kmeans_profile(spark, sf_dir):
-    s, a, _ = _kmeans(spark, sf_dir)
-    return agg.segment_profile(s.join(a.select(C.id, "cluster"), C.id), "cluster")
+    s, _, _ = _kmeans(spark, sf_dir)
+    return agg.segment_profile(s, "cluster")
 
 
 @register("kmeans_personas")
 def kmeans_personas(spark, sf_dir):
-    s, a, _ = _kmeans(spark, sf_dir)
-    return seg.name_personas(s.join(a.select(C.id, "cluster"), C.id), "cluster", C.spend)
+    s, _, _ = _kmeans(spark, sf_dir)
+    return seg.name_personas(s, "cluster", C.spend)
 
 
 @register("kmeans_silhouette")
@@ -156,8 +164,8 @@ def kmeans_silhouette(spark, sf_dir):
 
 @register("kmeans_industry_crosstab")
 def kmeans_industry_crosstab(spark, sf_dir):
-    s, a, _ = _kmeans(spark, sf_dir)
-    return agg.crosstab_long(s.join(a.select(C.id, "cluster"), C.id), "cluster", C.industry)
+    s, _, _ = _kmeans(spark, sf_dir)
+    return agg.crosstab_long(s, "cluster", C.industry)
 
 
 def _vectors(spark, sf_dir):
