@@ -41,3 +41,28 @@ def _fail_sql(c: str) -> str:
 def csv_cast_failures(spark, sf_dir):
     """Values in the written CSV that fail their schema cast (0 for a clean export)."""
     return cast_failures(spark, _roundtrip_path(spark, sf_dir))
+
+
+@register(
+    "stream_kpis_by_user_type",
+    with_survey(
+        "SELECT user_type, CAST(count(*) AS BIGINT) AS n, round(avg(will_subscribe) * 100, 6) AS rate_pct, round(avg(wtp_monthly_usd), 6) AS avg_wtp, "
+        "round(avg(num_ai_tools_currently_used), 6) AS avg_tools_used, round(avg(estimated_mrr_usd), 6) AS avg_mrr FROM survey "
+        "WHERE user_type IS NOT NULL GROUP BY user_type"
+    ),
+)
+def stream_kpis_by_user_type(spark, sf_dir):
+    """The survey exported as several CSV uploads, aggregated by the streaming KPI query (one availableNow run)."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from cohortlab.streaming.uploads import run_once
+
+    run = uuid.uuid4().hex[:12]
+    folder = os.path.join(ensure_checkpoint_dir(spark), "uploads", f"{table_name(sf_dir, 'survey')}_{run}")
+    write_csv(survey(spark, sf_dir).repartition(4), folder)
+    out = run_once(spark, folder, f"kpis_{run}")
+    return out.select(
+        "user_type", "n", *[F.round(c, 6).alias(c) for c in ("rate_pct", "avg_wtp", "avg_tools_used", "avg_mrr")]
+    )
