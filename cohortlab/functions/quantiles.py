@@ -1,37 +1,57 @@
-"""Exact quantiles (linear interpolation, the ``quantile_cont`` definition) without one big group.
+"""Exact quantiles (linear interpolation, the ``quantile_cont`` definition) by distributed selection.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
-aggregation buffer, so a whole-table quantile ends in a single task holding the
-column.  Here the work stays distributed:
-
-1. Approximate cut points of the values (``percentile_approx``, a bounded sketch,
-   one small job) split each column's range into ``buckets`` ordered slices.  The
-   cut points are literals, so the bucket of a value is a pure function: a
-   recomputed task after an executor loss puts every value into the same bucket.
-2. ``groupBy(column, bucket, value).count()`` – map-side combine collapses hot
-   values, so a value held by a third of the rows is one row afterwards.
-3. Per bucket totals (``buckets`` rows per column) give each bucket's offset; a
-   window partitioned by ``(column, bucket)`` gives the running count inside a
-   bucket.  ``offset + running`` is the exact rank of every distinct value.
-4. Only the (at most two per probability) rows holding the needed ranks survive.
-
-Columns whose (HyperLogLog) distinct count is at most ``small_distinct`` use a
-single bucket: their window partition then has a proven size bound.
-
-Like ``DataFrame.approxQuantile`` the result is computed eagerly (two jobs: the
-cut-point sketch, then the exact pass) and returned as a small literal frame of
-at most #columns x #probabilities rows, so later plans that use the quantiles
-(fences, medians, whiskers) do not re-run the ranking.
+aggregation buffer, so a whole-table quantile ends in one task holding the
+column.  Here only ranks are needed — for probability q over n values, the
+values at ranks floor((n-1)q) and ceil((n-1)q) — and they are found by range
+refinement, with every task's memory bounded:
+
+1. A sketch job per open *window* (a value range of one column, with the number
+   of values below it): count and HyperLogLog distinct count (bounded sketches,
+   partial + final aggregation); approximate cut points (``percentile_approx``)
+   only for windows too large to rank directly.
+2. A window with at most ``max_exact`` distinct values is finished exactly:
+   ``groupBy(window, value).count()`` (map-side combine: a value held by a third
+   of the rows is one row), a running count over a window partitioned by the
+   range gives every value's rank, and only the rows holding a needed rank reach
+   the driver.
+3. A larger window is split at its cut points (literals — a recomputed task
+   buckets identically); ``groupBy(window, bucket).count()`` (at most #windows x
+   ``buckets`` rows) tells which bucket holds each needed rank, and that bucket
+   becomes the next window.  Each round shrinks a window about ``buckets``-fold,
+   so even 10^12 distinct values need only two or three rounds of scans.
+
+The result is small (#columns x #probabilities rows) and returned as a literal
+frame, like ``DataFrame.approxQuantile``; later plans never re-run the ranking.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.session import shuffle_partitions
+MAX_ROUNDS = 8
+
+
+@dataclass
+class _Win:
+    column: str
+    lo: float | None  # inclusive lower bound (None: unbounded)
+    hi: float | None  # exclusive upper bound (None: unbounded)
+    offset: int  # number of values of the column below ``lo``
+    ranks: set[int] = field(default_factory=set)
+
+    def cond(self) -> Column:
+        c = F.col("column") == F.lit(self.column)
+        if self.lo is not None:
+            c = c & (F.col("value") >= F.lit(self.lo))
+        if self.hi is not None:
+            c = c & (F.col("value") < F.lit(self.hi))
+        return c
 
 
 def _bucket_expr(value: Column, cuts: list[float]) -> Column:
@@ -53,115 +73,140 @@ def _long_values(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -
     return long.where(F.col("value").isNotNull())
 
 
+def _tag(long: DataFrame, wins: list[_Win]) -> DataFrame:
+    """Rows inside one of the windows, with the window's index."""
+    wid = F.lit(None).cast("int")
+    for i in range(len(wins) - 1, -1, -1):
+        wid = F.when(wins[i].cond(), F.lit(i)).otherwise(wid)
+    return long.select(wid.alias("wid"), "value").where(F.col("wid").isNotNull())
+
+
+def _sketch(long: DataFrame, wins: list[_Win]) -> dict:
+    """Count and HyperLogLog distinct count per window (cheap, bounded)."""
+    rows = _tag(long, wins).groupBy("wid").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("value", 0.02).alias("nd")).collect()
+    return {r["wid"]: r for r in rows}
+
+
+def _cut_points(long: DataFrame, wins: list[_Win], fractions: list[float], accuracy: int) -> list[list[float]]:
+    """Approximate cut points strictly inside each window (only for windows too large to rank)."""
+    rows = {r["wid"]: r["cuts"] for r in _tag(long, wins).groupBy("wid").agg(F.percentile_approx("value", fractions, accuracy).alias("cuts")).collect()}
+    out = []
+    for i, w in enumerate(wins):
+        cs = rows.get(i) or []
+        out.append(sorted({float(x) for x in cs if (w.lo is None or x > w.lo) and (w.hi is None or x < w.hi)}))
+    return out
+
+
+def _exact(long: DataFrame, wins: list[_Win]) -> dict[tuple[str, int], float]:
+    """Values at the needed ranks of small windows (window partitions bounded by ``max_exact``)."""
+    counts = _tag(long, wins).groupBy("wid", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    w = Window.partitionBy("wid").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    offs = F.create_map(*[x for i, win in enumerate(wins) for x in (F.lit(i), F.lit(win.offset))])
+    ranked = counts.withColumn("run", F.sum("cnt").over(w)).select(
+        "wid",
+        "value",
+        (offs[F.col("wid")] + F.col("run") - F.col("cnt")).alias("r_lo"),  # ranks [r_lo, r_hi) hold this value
+        (offs[F.col("wid")] + F.col("run")).alias("r_hi"),
+    )
+    need = F.create_map(*[x for i, win in enumerate(wins) for x in (F.lit(i), F.array(*[F.lit(r) for r in sorted(win.ranks)]))])
+    hits = ranked.select(
+        "wid", "value", F.explode(F.filter(need[F.col("wid")], lambda r: (r >= F.col("r_lo")) & (r < F.col("r_hi")))).alias("rank")
+    )
+    return {(wins[r["wid"]].column, int(r["rank"])): r["value"] for r in hits.collect()}
+
+
+def _refine(long: DataFrame, wins: list[_Win], cuts: list[list[float]]) -> list[_Win]:
+    """Split windows at their cut points; the bucket holding each needed rank becomes a window."""
+    bucket = F.lit(0)
+    for i, cs in enumerate(cuts):
+        bucket = F.when(F.col("wid") == F.lit(i), _bucket_expr(F.col("value"), cs)).otherwise(bucket)
+    rows = _tag(long, wins).groupBy("wid", bucket.alias("b")).agg(F.count(F.lit(1)).alias("cnt")).collect()
+    per: dict[int, dict[int, int]] = {}
+    for r in rows:
+        per.setdefault(r["wid"], {})[r["b"]] = r["cnt"]
+    nxt: dict[tuple, _Win] = {}
+    for i, win in enumerate(wins):
+        bounds = [win.lo, *cuts[i], win.hi]
+        below = win.offset
+        for b in range(len(cuts[i]) + 1):
+            cnt = per.get(i, {}).get(b, 0)
+            inside = {r for r in win.ranks if below <= r < below + cnt}
+            if inside:
+                nw = nxt.setdefault((win.column, bounds[b], bounds[b + 1]), _Win(win.column, bounds[b], bounds[b + 1], below))
+                nw.ranks |= inside
+            below += cnt
+    return list(nxt.values())
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Mapping[str, Column] | Sequence[str],
     probs: Sequence[float],
-    buckets: int | None = None,
-    small_distinct: int = 50_000,
+    buckets: int = 256,
+    max_exact: int = 2_000_000,
 ) -> DataFrame:
     """Exact ``quantile_cont`` of each column for each probability.
 
     Returns one row per (column, q): ``column string, q double, value double, n long``.
-    NULLs are ignored; a column without values gives ``value = NULL``.
+    NULLs are ignored; a column without values gives ``value = NULL``.  ``max_exact`` bounds
+    the distinct values one task ranks; ``buckets`` is the split factor of a refinement round.
     """
     spark = df.sparkSession
-    nb = buckets or max(shuffle_partitions(spark), 1)
     long = _long_values(df, columns)
     names = list(columns) if not isinstance(columns, Mapping) else list(columns.keys())
-
-    # one sketch job: distinct-count estimate and cut points per column (partial +
-    # final aggregation, no shuffle of rows); at most (#columns x nb) doubles.  A
-    # bucket then holds about n / nb rows, hence at most that many distinct values.
-    fractions = [i / nb for i in range(1, nb)] or [0.5]
-    sketch = {
-        r["column"]: r
-        for r in long.groupBy("column")
-        .agg(F.approx_count_distinct("value", 0.02).alias("nd"), F.percentile_approx("value", fractions, 10000).alias("cuts"))
-        .collect()
-    }
-    # low-cardinality columns need no cut points: one bucket, whose window partition is
-    # bounded by the distinct-count check
-    cut_lists = {c: (sketch[c]["cuts"] if sketch[c]["nd"] > small_distinct else []) for c in names if c in sketch}
-    found = _ranked_quantiles(long, cut_lists, probs) if cut_lists else {}
-    # columns without any value still get a row (value NULL, n 0)
-    rows = [(c, float(q), *found.get((c, float(q)), (None, 0))) for c in names for q in probs]
+    fractions = [i / buckets for i in range(1, buckets)]
+    accuracy = max(10_000, 8 * buckets)
+
+    wins = [_Win(c, None, None, 0) for c in names]
+    sk = _sketch(long, wins)
+    totals = {w.column: (sk[i]["n"] if i in sk else 0) for i, w in enumerate(wins)}
+    for w in wins:
+        n = totals[w.column]
+        for q in probs if n else ():
+            h = (n - 1) * float(q)
+            w.ranks |= {math.floor(h), math.ceil(h)}
+    open_ = [(w, sk[i]) for i, w in enumerate(wins) if w.ranks]
+
+    found: dict[tuple[str, int], float] = {}
+    for rnd in range(MAX_ROUNDS + 1):
+        if not open_:
+            break
+        small = [w for w, s in open_ if s["nd"] <= max_exact or rnd == MAX_ROUNDS]
+        large = [w for w, s in open_ if not (s["nd"] <= max_exact or rnd == MAX_ROUNDS)]
+        if large:
+            cuts = _cut_points(long, large, fractions, accuracy)
+            small += [w for w, cs in zip(large, cuts) if not cs]  # nothing to split at: rank it
+            large, cuts = [w for w, cs in zip(large, cuts) if cs], [cs for cs in cuts if cs]
+        if small:
+            found.update(_exact(long, small))
+        if not large:
+            break
+        nxt = _refine(long, large, cuts)
+        sk = _sketch(long, nxt)
+        open_ = [(w, sk[i]) for i, w in enumerate(nxt)]
+
+    rows = []
+    for c in names:
+        n = totals.get(c, 0)
+        for q in probs:
+            if not n:
+                rows.append((c, float(q), None, 0))
+                continue
+            h = (n - 1) * float(q)
+            lo_v, hi_v = found[(c, math.floor(h))], found[(c, math.ceil(h))]
+            frac = h - math.floor(h)
+            rows.append((c, float(q), lo_v if frac == 0 else lo_v + (hi_v - lo_v) * frac, n))
     return spark.createDataFrame(rows, "column string, q double, value double, n long")
 
 
-def _ranked_quantiles(long: DataFrame, cut_lists: Mapping[str, list], probs: Sequence[float]) -> dict:
-    """The bucket path: exact ranks from bucket offsets + in-bucket running counts."""
-    cuts = {c: sorted(set(float(x) for x in (cs or []))) for c, cs in cut_lists.items()}
-    bucket = F.lit(0)
-    for name, cs in cuts.items():
-        if cs:
-            bucket = F.when(F.col("column") == F.lit(name), _bucket_expr(F.col("value"), cs)).otherwise(bucket)
-    # distinct values with their counts (map-side combine collapses a hot value)
-    b = long.withColumn("bucket", bucket).groupBy("column", "bucket", "value").agg(F.count(F.lit(1)).alias("cnt"))
-
-    # offsets of buckets: small table (#columns x nb rows)
-    per_bucket = b.groupBy("column", "bucket").agg(F.sum("cnt").alias("bcnt"))
-    w_prev = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy("column")
-    offsets = per_bucket.select(
-        "column",
-        "bucket",
-        F.coalesce(F.sum("bcnt").over(w_prev), F.lit(0)).alias("offset"),
-        F.sum("bcnt").over(w_all).alias("n"),
-    )
-
-    w_in = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = b.withColumn("run", F.sum("cnt").over(w_in)).join(F.broadcast(offsets), ["column", "bucket"])
-    ranked = ranked.select(
-        "column",
-        "value",
-        "n",
-        (F.col("offset") + F.col("run") - F.col("cnt")).alias("r_lo"),  # ranks [r_lo, r_hi) hold this value
-        (F.col("offset") + F.col("run")).alias("r_hi"),
-    )
-
-    qs = F.array(*[F.lit(float(q)) for q in probs])
-    h = lambda q: (F.col("n") - 1).cast("double") * q
-    hits = ranked.select(
-        "column",
-        "value",
-        "n",
-        F.explode(
-            F.filter(
-                F.transform(
-                    qs,
-                    lambda q: F.struct(
-                        q.alias("q"),
-                        ((F.floor(h(q)) >= F.col("r_lo")) & (F.floor(h(q)) < F.col("r_hi"))).alias("is_lo"),
-                        ((F.ceil(h(q)) >= F.col("r_lo")) & (F.ceil(h(q)) < F.col("r_hi"))).alias("is_hi"),
-                    ),
-                ),
-                lambda s: s["is_lo"] | s["is_hi"],
-            )
-        ).alias("hit"),
-    )
-    picked = hits.groupBy("column", F.col("hit.q").alias("q")).agg(
-        F.max("n").alias("n"),
-        F.max(F.when(F.col("hit.is_lo"), F.col("value"))).alias("v_lo"),
-        F.max(F.when(F.col("hit.is_hi"), F.col("value"))).alias("v_hi"),
-    )
-    hq = (F.col("n") - 1).cast("double") * F.col("q")
-    frac = hq - F.floor(hq)
-    value = F.when(frac == 0, F.col("v_lo")).otherwise(F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac)
-    return {
-        (r["column"], r["q"]): (r["value"], r["n"])
-        for r in picked.select("column", "q", value.alias("value"), F.col("n").cast("long").alias("n")).collect()
-    }
-
-
 def quantile_wide(
     df: DataFrame,
     columns: Mapping[str, Column] | Sequence[str],
     probs: Mapping[str, float],
-    buckets: int | None = None,
-    small_distinct: int = 50_000,
+    buckets: int = 256,
+    max_exact: int = 2_000_000,
 ) -> DataFrame:
     """``exact_quantiles`` pivoted to one row per column with one field per named probability."""
-    long = exact_quantiles(df, columns, list(probs.values()), buckets, small_distinct)
+    long = exact_quantiles(df, columns, list(probs.values()), buckets, max_exact)
     aggs = [F.max(F.when(F.col("q") == F.lit(float(q)), F.col("value"))).alias(name) for name, q in probs.items()]
     return long.groupBy("column").agg(*aggs, F.max("n").alias("n"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.exprs import col_of
-from cohortlab.operators.encode import assemble, moment_stats, standardize
+from cohortlab.operators.encode import assemble, moment_stats, spread, standardize
 
 CLASS_NAMES = ("Not Subscribe", "Subscribe")
 
@@ -92,11 +92,11 @@ def fit_random_forest(train: DataFrame, features: Sequence[str], label: str, n_t
         featuresCol="features", labelCol=label, numTrees=n_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt",
         impurity="gini", seed=seed, maxBins=max_bins, maxMemoryInMB=max_memory_mb,
     )
-    return rf.fit(assemble(train, features).select("features", F.col(label).cast("double").alias(label)))
+    return rf.fit(spread(assemble(train, features).select("features", F.col(label).cast("double").alias(label))).cache())
 
 
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, max_iter: int = 1000,
-                 tol: float = 1e-6) -> tuple[LogisticRegressionModel, DataFrame]:
+                 tol: float = 1e-4) -> tuple[LogisticRegressionModel, DataFrame]:
     """L2 logistic regression on features standardized with training statistics (population sd).
 
     The objective 0.5|w|^2 + C sum(logloss) equals Spark's mean(logloss) + regParam/2 |w|^2 with
@@ -107,7 +107,7 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str, c: float
     n = train.count()
     lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter, regParam=1.0 / (c * n), elasticNetParam=0.0,
                             standardization=False, tol=tol)
-    model = lr.fit(assemble(z, features).select("features", F.col(label).cast("double").alias(label)))
+    model = lr.fit(spread(assemble(z, features).select("features", F.col(label).cast("double").alias(label))).cache())
     return model, stats
 
 

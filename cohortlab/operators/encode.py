@@ -146,6 +146,13 @@ def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -
     return VectorAssembler(inputCols=list(features), outputCol=output).transform(df)
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Input of an iterative fit: at least ``defaultParallelism`` partitions (one cheap shuffle when a
+    small input arrives in fewer), so every iteration uses all executor cores."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def train_test_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``split`` ('train' / 'test') from a hash of ``seed:key`` — stable under repartitioning and retries."""
     return df.withColumn("split", F.when(is_test_row(key, test_fraction, seed), F.lit("test")).otherwise(F.lit("train")))

@@ -295,6 +295,25 @@ def box_stats(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFram
     )
 
 
+def box_stats_plain(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
+    """Quartiles, whiskers and flier count of each column as it is (no before/after)."""
+    qs = quantile_wide(df, list(columns), {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "v").where(F.col("v").isNotNull())
+    iqr = F.col("q3") - F.col("q1")
+    lo, hi = F.col("q1") - F.lit(k) * iqr, F.col("q3") + F.lit(k) * iqr
+    v = F.col("v")
+    out = (
+        long.join(F.broadcast(qs), "column")
+        .groupBy("column", "q1", "median", "q3")
+        .agg(
+            F.min(F.when(v >= lo, v)).alias("whisker_low"),
+            F.max(F.when(v <= hi, v)).alias("whisker_high"),
+            F.count_if((v < lo) | (v > hi)).cast("long").alias("fliers"),
+        )
+    )
+    return out.select(F.col("column").alias("feature"), "q1", "median", "q3", "whisker_low", "whisker_high", "fliers")
+
+
 # --------------------------------------------------------------------------- repairs
 def impute_median_mode(df: DataFrame) -> DataFrame:
     """NULL numeric -> exact median (column becomes double); NULL string -> most frequent value

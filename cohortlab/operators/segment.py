@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.config import PERSONA_NAMES, SURVEY, SurveyColumns
 from cohortlab.functions.broadcast import broadcast_if_bounded
-from cohortlab.operators.encode import assemble, ordinal_encode, standardize
+from cohortlab.operators.encode import assemble, ordinal_encode, spread, standardize
 
 
 def cluster_input(
@@ -44,16 +44,23 @@ def cluster_input(
 
 
 def fit_kmeans(vectors: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
-               features_col: str = "features", parallel: int = 4) -> KMeansModel:
+               features_col: str = "features", parallel: int = 8, feature_variance: float = 1.0) -> KMeansModel:
     """Best of ``n_init`` K-Means runs (seeds seed..seed+n_init-1) by within-cluster sum of squares.
 
+    ``tol`` is the usual relative criterion: stop when the summed squared centre shift is at
+    most ``tol`` x mean feature variance (1 for z-scores).  Spark stops when every centre moves
+    less than its ``tol`` (a distance), so each centre may move sqrt(tol x variance / k).
+
     The starts are independent Spark jobs submitted from ``parallel`` driver threads, so their
     (small, latency-bound) iterations overlap on the cluster; ties keep the lowest seed.
     """
+    import math
     from concurrent.futures import ThreadPoolExecutor
 
+    spark_tol = math.sqrt(tol * feature_variance / k)
+
     def one(i: int):
-        km = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, initMode="k-means||", featuresCol=features_col)
+        km = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=spark_tol, initMode="k-means||", featuresCol=features_col)
         m = km.fit(vectors)
         return m.summary.trainingCost, i, m
 
@@ -65,7 +72,7 @@ def fit_kmeans(vectors: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42,
 def kmeans_segments(df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, c: SurveyColumns = SURVEY) -> tuple[DataFrame, KMeansModel]:
     """``(id, cluster, features)`` for every row, plus the fitted model."""
     z, feats = cluster_input(df, c)
-    vec = assemble(z, feats).select(c.id, "features").cache()
+    vec = spread(assemble(z, feats).select(c.id, "features")).cache()
     model = fit_kmeans(vec, k, n_init, seed)
     out = model.transform(vec).select(c.id, F.col("prediction").cast("int").alias("cluster"), "features")
     return out, model
@@ -150,6 +157,13 @@ def silhouette(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     return p.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).cast("long").alias("n"))
 
 
+def raw_profile(df: DataFrame, segment: str, c: SurveyColumns = SURVEY) -> DataFrame:
+    """Unrounded mean spend, WTP and subscribe rate per segment."""
+    return df.where(F.col(segment).isNotNull()).groupBy(segment).agg(
+        F.avg(c.spend).alias("spend"), F.avg(c.wtp).alias("wtp"), F.avg(c.subscribe).alias("sub")
+    )
+
+
 def name_personas(df: DataFrame, segment: str, spend: str, names: Sequence[str] = PERSONA_NAMES) -> DataFrame:
     """Rank segments by mean spend (desc, ties by segment) and give the i-th name; the last name repeats.
 
@@ -215,7 +229,7 @@ def _ward_merge(centers: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
 
 def ward_segments(vectors: DataFrame, key: str, k: int = 4, micro: int = 200, seed: int = 42) -> DataFrame:
     """Ward clustering of the K-Means micro-cluster centroids, mapped back: ``(key, cluster, features)``."""
-    km = KMeans(k=micro, seed=seed, maxIter=50, initMode="k-means||").fit(vectors)
+    km = KMeans(k=micro, seed=seed, maxIter=50, initMode="k-means||").fit(spread(vectors))
     assigned = km.transform(vectors).withColumnRenamed("prediction", "micro")
     sizes = {r["micro"]: r["n"] for r in assigned.groupBy("micro").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= micro rows
     centers = np.array(km.clusterCenters())
@@ -226,7 +240,7 @@ def ward_segments(vectors: DataFrame, key: str, k: int = 4, micro: int = 200, se
 
 
 def bisecting_segments(vectors: DataFrame, key: str, k: int = 4, seed: int = 42) -> DataFrame:
-    m = BisectingKMeans(k=k, seed=seed).fit(vectors)
+    m = BisectingKMeans(k=k, seed=seed).fit(spread(vectors))
     return m.transform(vectors).select(key, F.col("prediction").cast("int").alias("cluster"), "features")
 
 

@@ -196,10 +196,12 @@ def _clip_sql(c: str) -> str:
 
 @register(
     "winsorize",
-    with_survey("SELECT " + ", ".join(f"{_clip_sql(c)} AS {c}" if c in OUT else c for c in SURVEY_COLUMNS) + " FROM survey", _fences_cte()),
+    with_survey("SELECT " + ", ".join(f"round({_clip_sql(c)}, 6) AS {c}" if c in OUT else c for c in SURVEY_COLUMNS) + " FROM survey", _fences_cte()),
 )
 def winsorize(spark, sf_dir):
-    return prof.winsorize(survey(spark, sf_dir), OUT)
+    # clipped values equal interpolated fences: 6 places keep the engines' last-bit differences out
+    w = prof.winsorize(survey(spark, sf_dir), OUT)
+    return w.select(*[F.round(c, 6).alias(c) if c in OUT else F.col(c) for c in w.columns])
 
 
 def _box_sql() -> str:
@@ -207,8 +209,8 @@ def _box_sql() -> str:
     for c in OUT:
         for stage, e in (("before", f"CAST({c} AS DOUBLE)"), ("after", _clip_sql(c))):
             parts.append(
-                f"SELECT '{c}' AS feature, '{stage}' AS stage, q1, median, q3, "
-                f"min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1)) AS whisker_low, max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)) AS whisker_high, "
+                f"SELECT '{c}' AS feature, '{stage}' AS stage, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, "
+                f"round(min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low, round(max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high, "
                 f"CAST(count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS BIGINT) AS fliers "
                 f"FROM (SELECT v, quantile_cont(v, 0.25) OVER () AS q1, quantile_cont(v, 0.5) OVER () AS median, quantile_cont(v, 0.75) OVER () AS q3 "
                 f"FROM (SELECT {e} AS v FROM survey) WHERE v IS NOT NULL) GROUP BY q1, median, q3"
@@ -218,7 +220,8 @@ def _box_sql() -> str:
 
 @register("box_stats", with_survey(_box_sql(), _fences_cte()))
 def box_stats(spark, sf_dir):
-    return prof.box_stats(survey(spark, sf_dir), OUT)
+    b = prof.box_stats(survey(spark, sf_dir), OUT)
+    return b.select("feature", "stage", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")], "fliers")
 
 
 # ----------------------------------------------------------------------------- repairs
@@ -230,7 +233,7 @@ def _impute_sql() -> str:
     cols = []
     for c in SURVEY_COLUMNS:
         if c in _NUM:
-            cols.append(f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM survey)) AS {c}")
+            cols.append(f"round(coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM survey)), 6) AS {c}")
         else:
             mode = f"(SELECT {c} FROM survey WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} ASC LIMIT 1)"
             cols.append(f"coalesce({c}, {mode}) AS {c}")
@@ -239,7 +242,8 @@ def _impute_sql() -> str:
 
 @register("impute_median_mode", with_survey(_impute_sql()))
 def impute_median_mode(spark, sf_dir):
-    return prof.impute_median_mode(survey(spark, sf_dir))
+    i = prof.impute_median_mode(survey(spark, sf_dir))
+    return i.select(*[F.round(c, 6).alias(c) if c in _NUM else F.col(c) for c in i.columns])
 
 
 _null_sum = " + ".join(f"CAST({c} IS NULL AS INT)" for c in SURVEY_COLUMNS)
@@ -300,3 +304,28 @@ def _audit_sql() -> str:
 @register("pipeline_audit", _audit_sql())
 def pipeline_audit(spark, sf_dir):
     return prof.pipeline_audit(dirty(spark, sf_dir), C.id)
+
+
+def _zq_sql() -> str:
+    parts = []
+    for c in C.scale_cols:
+        z = (f"CASE WHEN {c} IS NULL THEN NULL WHEN (SELECT stddev_pop({c}) FROM survey) = 0 THEN 0.0 "
+             f"ELSE ({c} - (SELECT avg({c}) FROM survey)) / (SELECT stddev_pop({c}) FROM survey) END")
+        parts.append(
+            f"SELECT '{c}' AS feature, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, "
+            f"round(min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low, round(max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high, "
+            f"CAST(count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS BIGINT) AS fliers "
+            f"FROM (SELECT v, quantile_cont(v, 0.25) OVER () AS q1, quantile_cont(v, 0.5) OVER () AS median, quantile_cont(v, 0.75) OVER () AS q3 "
+            f"FROM (SELECT {z} AS v FROM survey) WHERE v IS NOT NULL) GROUP BY q1, median, q3"
+        )
+    return with_survey(" UNION ALL ".join(parts))
+
+
+@register("box_stats_scaled", _zq_sql())
+def box_stats_scaled(spark, sf_dir):
+    """Box statistics of the z-scored columns (the after-scaling box plot)."""
+    from cohortlab.operators.encode import standardize
+
+    cols = list(C.scale_cols)
+    b = prof.box_stats_plain(standardize(survey(spark, sf_dir), cols), cols)
+    return b.select("feature", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")], "fliers")

@@ -293,6 +293,11 @@ def gbt_forecast_by_tier(spark, sf_dir):
     return agg.ordered_group_stats(_gbt(spark, sf_dir)[2], C.tier, "prediction", TIER_ORDER)
 
 
+@register("gbt_fit_limits")
+def gbt_fit_limits(spark, sf_dir):
+    return fc.fit_limits(_gbt(spark, sf_dir)[1], C.mrr, "prediction")
+
+
 @register("gbt_histogram")
 def gbt_histogram(spark, sf_dir):
     return fc.histogram(_gbt(spark, sf_dir)[1], "prediction", 30)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortlab.config import PERSONA_NAMES, SURVEY
 from cohortlab.operators import aggregate as agg
 from cohortlab.operators import segment as seg
-from cohortlab.operators.encode import assemble
+from cohortlab.operators.encode import assemble, spread
 from cohortlab.plans.encoding import ord_sql
 from cohortlab.plans.registry import register, survey
 from cohortlab.plans.survey_sql import with_survey
@@ -130,7 +130,7 @@ def _kmeans(spark, sf_dir, k=K):
     vec = assemble(z, feats)
     key = (id(spark.sparkContext._jsc), sf_dir, k)
     if key not in _MODELS:
-        _MODELS[key] = seg.fit_kmeans(vec.select(C.id, "features").cache(), k)
+        _MODELS[key] = seg.fit_kmeans(spread(vec.select(C.id, "features")).cache(), k)
     model = _MODELS[key]
     orig = [F.col(f"raw__{c}").alias(c) if c in collide else F.col(c) for c in s.columns]
     labelled = model.transform(vec).select(*orig, F.col("prediction").cast("int").alias("cluster"), "features")
@@ -195,3 +195,37 @@ def clustering_comparison(spark, sf_dir):
     both = parts[0].unionByName(parts[1])
     best = both.agg(F.max_by("method", F.struct("silhouette", F.when(F.col("method") == "K-Means", 1).otherwise(0))).alias("winner"))
     return both.select("method", F.round("silhouette", 4).alias("silhouette"), "n", best.scalar().alias("winner"))
+
+
+@register(
+    "raw_profile",
+    with_survey(
+        "SELECT user_type, round(avg(monthly_spend_on_ai_usd), 6) AS spend, round(avg(wtp_monthly_usd), 6) AS wtp, "
+        "round(avg(will_subscribe), 6) AS sub FROM survey WHERE user_type IS NOT NULL GROUP BY user_type"
+    ),
+)
+def raw_profile(spark, sf_dir):
+    """Unrounded means behind persona naming (spend, WTP, subscribe) per segment."""
+    p = seg.raw_profile(survey(spark, sf_dir), C.user_type)
+    return p.select(C.user_type, *[F.round(c, 6).alias(c) for c in ("spend", "wtp", "sub")])
+
+
+@register("kmeans_raw_profile")
+def kmeans_raw_profile(spark, sf_dir):
+    s, _, _ = _kmeans(spark, sf_dir)
+    return seg.raw_profile(s, "cluster")
+
+
+@register("kmeans_silhouette_evaluator")
+def kmeans_silhouette_evaluator(spark, sf_dir):
+    """Spark's ClusteringEvaluator (squared Euclidean) on the K-Means labels, next to our per-point version."""
+    _, a, _ = _kmeans(spark, sf_dir)
+    ours = seg.silhouette(seg.features_to_columns(a, FEATS), FEATS, "cluster")
+    return ours.select(F.lit(seg.silhouette_spark(a, "cluster")).alias("evaluator"), F.col("silhouette").alias("per_point_mean"), "n")
+
+
+@register("kmeans_cluster_values")
+def kmeans_cluster_values(spark, sf_dir):
+    """Distinct cluster ids (the facet values of the segment charts)."""
+    _, a, _ = _kmeans(spark, sf_dir)
+    return a.select("cluster").distinct()
