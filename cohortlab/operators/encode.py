@@ -44,10 +44,27 @@ def fit_label_encoder(df: DataFrame, columns: Sequence[str]) -> PipelineModel:
     return label_indexer(columns).fit(_with_label_inputs(df, columns))
 
 
-def label_encode(df: DataFrame, columns: Sequence[str], model: PipelineModel | None = None) -> DataFrame:
-    """Add ``<c>_enc`` (int) for each column; a missing value is the category ``'nan'``."""
+def check_cardinality(df: DataFrame, columns: Sequence[str], max_categories: int) -> None:
+    """Refuse label encoding of a column with too many categories (the fitted label list is a
+    driver-side model and is broadcast to every task)."""
+    if not columns:
+        return
+    row = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in columns]).first()
+    big = {c: row[c] for c in columns if row[c] > max_categories}
+    if big:
+        raise ValueError(f"too many categories for label encoding (limit {max_categories}): {big}")
+
+
+def label_encode(df: DataFrame, columns: Sequence[str], model: PipelineModel | None = None, max_categories: int = 100_000) -> DataFrame:
+    """Add ``<c>_enc`` (int) for each column; a missing value is the category ``'nan'``.
+
+    Meant for nominal columns: the label list of each column is checked against
+    ``max_categories`` (HyperLogLog estimate) before it is fitted.
+    """
     cols = present(df, columns)
     prepared = _with_label_inputs(df, cols)
+    if model is None:
+        check_cardinality(df, cols, max_categories)
     m = model or label_indexer(cols).fit(prepared)
     out = m.transform(prepared)
     return out.withColumns({f"{c}_enc": F.col(f"{c}_enc").cast("int") for c in cols}).drop(*[f"{c}__s" for c in cols])
