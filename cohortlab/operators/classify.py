@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.exprs import col_of
-from cohortlab.operators.encode import assemble, moment_stats, spread, standardize
+from cohortlab.operators.encode import assemble, fit_cached, moment_stats, standardize
 
 CLASS_NAMES = ("Not Subscribe", "Subscribe")
 
@@ -85,14 +85,14 @@ def classification_report(df: DataFrame, label: str | Column, pred: str | Column
     return cc.select(F.inline(F.array(*cells)))
 
 
-def fit_random_forest(train: DataFrame, features: Sequence[str], label: str, n_trees: int = 100, max_depth: int = 12, seed: int = 42,
-                      max_bins: int = 32, max_memory_mb: int = 128) -> RandomForestClassificationModel:
+def fit_random_forest(train: DataFrame, features: Sequence[str], label: str, n_trees: int = 100, max_depth: int = 10, seed: int = 42,
+                      max_bins: int = 32, max_memory_mb: int = 64) -> RandomForestClassificationModel:
     """Random forest with sqrt(p) features per split and gini impurity (Spark caps depth at 30)."""
     rf = RandomForestClassifier(
         featuresCol="features", labelCol=label, numTrees=n_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt",
         impurity="gini", seed=seed, maxBins=max_bins, maxMemoryInMB=max_memory_mb,
     )
-    return rf.fit(spread(assemble(train, features).select("features", F.col(label).cast("double").alias(label))).cache())
+    return fit_cached(rf, assemble(train, features).select("features", F.col(label).cast("double").alias(label)))
 
 
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, max_iter: int = 1000,
@@ -107,7 +107,7 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str, c: float
     n = train.count()
     lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter, regParam=1.0 / (c * n), elasticNetParam=0.0,
                             standardization=False, tol=tol)
-    model = lr.fit(spread(assemble(z, features).select("features", F.col(label).cast("double").alias(label))).cache())
+    model = fit_cached(lr, assemble(z, features).select("features", F.col(label).cast("double").alias(label)))
     return model, stats
 
 

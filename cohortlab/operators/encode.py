@@ -170,6 +170,15 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
+def fit_cached(estimator, data: DataFrame):
+    """Fit an iterative estimator on ``spread(data)`` cached for the fit only (released afterwards)."""
+    d = spread(data).cache()
+    try:
+        return estimator.fit(d)
+    finally:
+        d.unpersist()
+
+
 def train_test_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``split`` ('train' / 'test') from a hash of ``seed:key`` — stable under repartitioning and retries."""
     return df.withColumn("split", F.when(is_test_row(key, test_fraction, seed), F.lit("test")).otherwise(F.lit("train")))

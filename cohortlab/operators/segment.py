@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.config import PERSONA_NAMES, SURVEY, SurveyColumns
 from cohortlab.functions.broadcast import broadcast_if_bounded
-from cohortlab.operators.encode import assemble, ordinal_encode, spread, standardize
+from cohortlab.operators.encode import assemble, fit_cached, ordinal_encode, spread, standardize
 
 
 def cluster_input(
@@ -73,7 +73,10 @@ def kmeans_segments(df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42,
     """``(id, cluster, features)`` for every row, plus the fitted model."""
     z, feats = cluster_input(df, c)
     vec = spread(assemble(z, feats).select(c.id, "features")).cache()
-    model = fit_kmeans(vec, k, n_init, seed)
+    try:
+        model = fit_kmeans(vec, k, n_init, seed)
+    finally:
+        vec.unpersist()
     out = model.transform(vec).select(c.id, F.col("prediction").cast("int").alias("cluster"), "features")
     return out, model
 
@@ -229,7 +232,7 @@ def _ward_merge(centers: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
 
 def ward_segments(vectors: DataFrame, key: str, k: int = 4, micro: int = 200, seed: int = 42) -> DataFrame:
     """Ward clustering of the K-Means micro-cluster centroids, mapped back: ``(key, cluster, features)``."""
-    km = KMeans(k=micro, seed=seed, maxIter=50, initMode="k-means||").fit(spread(vectors))
+    km = fit_cached(KMeans(k=micro, seed=seed, maxIter=50, initMode="k-means||"), vectors)
     assigned = km.transform(vectors).withColumnRenamed("prediction", "micro")
     sizes = {r["micro"]: r["n"] for r in assigned.groupBy("micro").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= micro rows
     centers = np.array(km.clusterCenters())
@@ -240,7 +243,7 @@ def ward_segments(vectors: DataFrame, key: str, k: int = 4, micro: int = 200, se
 
 
 def bisecting_segments(vectors: DataFrame, key: str, k: int = 4, seed: int = 42) -> DataFrame:
-    m = BisectingKMeans(k=k, seed=seed).fit(spread(vectors))
+    m = fit_cached(BisectingKMeans(k=k, seed=seed), vectors)
     return m.transform(vectors).select(key, F.col("prediction").cast("int").alias("cluster"), "features")
 
 

@@ -203,7 +203,7 @@ def _fit(spark, sf_dir, name, fn):
 
 
 def _split(spark, sf_dir):
-    m = model_frame(spark, sf_dir).cache()
+    m = model_frame(spark, sf_dir)
     return m.where(F.col("split") == "train"), m.where(F.col("split") == "test"), m
 
 
@@ -321,26 +321,30 @@ def regression_comparison(spark, sf_dir):
 
 @register("algorithm_summary")
 def algorithm_summary(spark, sf_dir):
-    """One row per method family: the two algorithms, the key metric of each and the winner."""
+    """One row per method family: the two algorithms, the key metric of each and the winner.
+
+    Each comparison is two rows; they are evaluated one after another (so the model
+    predictions behind them never run concurrently) and the 4-row summary is built
+    from their values.
+    """
     from cohortlab.plans.bundles import _flag_rules, _fp_rules
     from cohortlab.plans.segments import clustering_comparison
 
-    c = _cls_comparison(spark, sf_dir).groupBy("winner").agg(
-        F.max_by("f1", F.col("model") == "Random Forest").alias("a"), F.max_by("f1", F.col("model") == "Logistic Regression").alias("b")
-    ).select(F.lit("Classification").alias("analysis"), F.lit("Random Forest").alias("algorithm_a"), F.lit("Logistic Regression").alias("algorithm_b"),
-             F.lit("F1").alias("metric"), "a", "b", "winner")
-    k = clustering_comparison(spark, sf_dir).groupBy("winner").agg(
-        F.max_by("silhouette", F.col("method") == "K-Means").alias("a"), F.max_by("silhouette", F.col("method") != "K-Means").alias("b")
-    ).select(F.lit("Clustering").alias("analysis"), F.lit("K-Means").alias("algorithm_a"), F.lit("Agglomerative (Ward)").alias("algorithm_b"),
-             F.lit("Silhouette (squared Euclidean)").alias("metric"), "a", "b", "winner")
-    ra = _flag_rules(spark, sf_dir, "+").agg(F.count(F.lit(1)).cast("double").alias("a"))
-    rb = _fp_rules(spark, sf_dir, "+").agg(F.count(F.lit(1)).cast("double").alias("b"))
-    r = ra.select(F.lit("Association Rules").alias("analysis"), F.lit("Apriori").alias("algorithm_a"), F.lit("FP-Growth").alias("algorithm_b"),
-                  F.lit("Rules").alias("metric"), "a", rb.scalar().alias("b"), F.lit("Apriori (transparency)").alias("winner"))
-    g = _reg_comparison(spark, sf_dir).groupBy("winner").agg(
-        F.max_by("r2", F.col("model") == "Gradient Boosting").alias("a"), F.max_by("r2", F.col("model") == "Linear Regression").alias("b")
-    ).select(F.lit("Regression").alias("analysis"), F.lit("Gradient Boosting").alias("algorithm_a"), F.lit("Linear Regression").alias("algorithm_b"),
-             F.lit("R2").alias("metric"), "a", "b", "winner")
-    cols = ["analysis", "algorithm_a", "algorithm_b", "metric", "a", "b", "winner"]
-    out = c.select(*cols).unionByName(k.select(*[F.col(x).cast("double") if x in ("a", "b") else F.col(x) for x in cols]))
-    return out.unionByName(r.select(*cols)).unionByName(g.select(*cols)).withColumnsRenamed({"a": "value_a", "b": "value_b"})
+    def pick(df, key, score, a, b):
+        rows = {r[key]: r for r in df.collect()}
+        return float(rows[a][score]), float(rows[b][score]), rows[a]["winner"]
+
+    rf_f1, lr_f1, w_cls = pick(_cls_comparison(spark, sf_dir), "model", "f1", "Random Forest", "Logistic Regression")
+    km_s, ward_s, w_clu = pick(clustering_comparison(spark, sf_dir), "method", "silhouette", "K-Means", "Agglomerative (Ward)")
+    n_ap = float(_flag_rules(spark, sf_dir, "+").count())
+    n_fp = float(_fp_rules(spark, sf_dir, "+").count())
+    gb_r2, ols_r2, w_reg = pick(_reg_comparison(spark, sf_dir), "model", "r2", "Gradient Boosting", "Linear Regression")
+    rows = [
+        ("Classification", "Random Forest", "Logistic Regression", "F1", rf_f1, lr_f1, w_cls),
+        ("Clustering", "K-Means", "Agglomerative (Ward)", "Silhouette (squared Euclidean)", km_s, ward_s, w_clu),
+        ("Association Rules", "Apriori", "FP-Growth", "Rules", n_ap, n_fp, "Apriori (transparency)"),
+        ("Regression", "Gradient Boosting", "Linear Regression", "R2", gb_r2, ols_r2, w_reg),
+    ]
+    return spark.createDataFrame(
+        rows, "analysis string, algorithm_a string, algorithm_b string, metric string, value_a double, value_b double, winner string"
+    )

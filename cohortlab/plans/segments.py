@@ -130,7 +130,11 @@ def _kmeans(spark, sf_dir, k=K):
     vec = assemble(z, feats)
     key = (id(spark.sparkContext._jsc), sf_dir, k)
     if key not in _MODELS:
-        _MODELS[key] = seg.fit_kmeans(spread(vec.select(C.id, "features")).cache(), k)
+        fit_input = spread(vec.select(C.id, "features")).cache()
+        try:
+            _MODELS[key] = seg.fit_kmeans(fit_input, k)
+        finally:
+            fit_input.unpersist()
     model = _MODELS[key]
     orig = [F.col(f"raw__{c}").alias(c) if c in collide else F.col(c) for c in s.columns]
     labelled = model.transform(vec).select(*orig, F.col("prediction").cast("int").alias("cluster"), "features")
@@ -170,7 +174,7 @@ def kmeans_industry_crosstab(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     z, feats = seg.cluster_input(survey(spark, sf_dir))
-    return assemble(z, feats).select(C.id, "features").cache()
+    return assemble(z, feats).select(C.id, "features")
 
 
 @register("ward_assignments")
