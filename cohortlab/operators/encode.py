@@ -115,12 +115,14 @@ def standardize(df: DataFrame, columns: Sequence[str], stats: DataFrame | None =
     ``stats`` (from ``moment_stats``) lets a test set be scaled with training statistics.
     """
     st = (stats if stats is not None else moment_stats(df, columns)).select(F.struct(*columns).alias("s")).scalar()
+    # statistics projected once as a column: one subquery in the plan, read by every z-score
+    base = df.select(*[F.col(k) for k in keep], *[F.col(c) for c in columns if c not in keep], st.alias("__st"))
     out = [F.col(k) for k in keep]
     for c in columns:
-        mean, sd = st[c]["mean"], st[c]["sd"]
+        mean, sd = F.col("__st")[c]["mean"], F.col("__st")[c]["sd"]
         z = F.when(sd == 0, F.lit(0.0)).otherwise((F.col(c) - mean) / sd)
         out.append(F.when(F.col(c).isNull(), F.lit(None).cast("double")).otherwise(z).alias(c))
-    return df.select(*out)
+    return base.select(*out)
 
 
 def scale_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -128,7 +130,9 @@ def scale_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     z = standardize(df, columns)
     before = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in columns])
     after = z.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in columns])
-    b, a = before.select(F.struct(*columns).alias("x")).scalar(), after.select(F.struct(*columns).alias("x")).scalar()
+    b_row = before.select(F.struct(*columns).alias("b"))
+    both = b_row.select("b", after.select(F.struct(*columns).alias("x")).scalar().alias("a"))
+    b, a = F.col("b"), F.col("a")
     cells = [
         F.struct(
             F.lit(i + 1).alias("position"),
@@ -140,7 +144,7 @@ def scale_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
         for i, c in enumerate(columns)
     ]
-    return before.select(F.inline(F.array(*cells)))
+    return both.select(F.inline(F.array(*cells)))
 
 
 def encoded_frame(df: DataFrame, c: SurveyColumns = SURVEY) -> DataFrame:

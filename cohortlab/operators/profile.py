@@ -89,8 +89,8 @@ def column_profile(df: DataFrame, key: str, exact: bool = True, rsd: float = 0.0
         ).select("kv.i", "kv.v").where(F.col("v").isNotNull())
         nd = long.distinct().groupBy("i").agg(F.count(F.lit(1)).alias("nd"))
         counts = nd.agg(F.map_from_entries(F.collect_list(F.struct("i", "nd"))).alias("m")).scalar()
-        distinct = lambda i, f: F.coalesce(counts[F.lit(i)], F.lit(0)).cast("long")
-        row = samples
+        distinct = lambda i, f: F.coalesce(F.col("__nd")[F.lit(i)], F.lit(0)).cast("long")
+        row = samples.select("*", counts.alias("__nd"))  # one subquery in the plan
     else:
         row = samples.crossJoin(df.agg(*[F.approx_count_distinct(f.name, rsd).alias(f"d{i}") for i, f in enumerate(fields)]))
         distinct = lambda i, f: F.col(f"d{i}").cast("long")
@@ -222,8 +222,8 @@ def clip_to_fences(c: str, fmap: Column) -> Column:
 def outlier_summary(df: DataFrame, columns: Sequence[str], k: float = 1.5, digits: int = 2) -> DataFrame:
     """Fences (rounded), count strictly outside, percent of *all* rows, cap-or-retain policy."""
     fences = iqr_fences(df, columns, k)
-    fm = fence_map(fences)
-    row = df.agg(
+    fm = F.col("__fm")
+    row = df.select(*columns, fence_map(fences).alias("__fm")).agg(
         F.count(F.lit(1)).alias("__n"),
         *[
             F.count_if((F.col(c) < fm[F.lit(c)]["lower_fence"]) | (F.col(c) > fm[F.lit(c)]["upper_fence"])).alias(f"o{i}")
@@ -250,8 +250,8 @@ def outlier_summary(df: DataFrame, columns: Sequence[str], k: float = 1.5, digit
 
 def winsorize(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
     """Clip each column to its IQR fences; NULL stays NULL, no row is removed (clipped columns become double)."""
-    fm = fence_map(iqr_fences(df, columns, k))
-    return df.select(*[clip_to_fences(c, fm).alias(c) if c in columns else F.col(c) for c in df.columns])
+    base = df.select("*", fence_map(iqr_fences(df, columns, k)).alias("__fm"))  # fences projected once
+    return base.select(*[clip_to_fences(c, F.col("__fm")).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def box_stats(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
@@ -261,13 +261,13 @@ def box_stats(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFram
     and joined to the per-column quartiles (one row per column, broadcast), then
     one grouped aggregation yields the whiskers.
     """
-    fm = fence_map(iqr_fences(df, columns, k))
+    base = df.select(*columns, fence_map(iqr_fences(df, columns, k)).alias("__fm"))  # fences projected once
     names = []
     exprs = []
     for c in columns:
         names += [f"{c}|before", f"{c}|after"]
-        exprs += [F.col(c).cast("double"), clip_to_fences(c, fm)]
-    wide = df.select(*[e.alias(n) for n, e in zip(names, exprs)])
+        exprs += [F.col(c).cast("double"), clip_to_fences(c, F.col("__fm"))]
+    wide = base.select(*[e.alias(n) for n, e in zip(names, exprs)])
     qs = quantile_wide(wide, names, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     long = wide.unpivot([], names, "column", "v").where(F.col("v").isNotNull())
     iqr = F.col("q3") - F.col("q1")
@@ -332,15 +332,17 @@ def impute_median_mode(df: DataFrame) -> DataFrame:
         counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
         best = counts.groupBy("feature").agg(F.min_by("value", F.struct((-F.col("cnt")).alias("neg"), F.col("value"))).alias("mode"))
         mode = best.agg(F.map_from_entries(F.collect_list(F.struct("feature", "mode"))).alias("m")).scalar()
+    # fill values projected once as columns (one subquery each in the plan)
+    base = df.select("*", *([med.alias("__med")] if med is not None else []), *([mode.alias("__mode")] if mode is not None else []))
     out = []
     for c in df.columns:
         if c in num:
-            out.append(F.coalesce(F.col(c).cast("double"), med[F.lit(c)]).alias(c))
+            out.append(F.coalesce(F.col(c).cast("double"), F.col("__med")[F.lit(c)]).alias(c))
         elif c in txt:
-            out.append(F.coalesce(F.col(c), mode[F.lit(c)]).alias(c))
+            out.append(F.coalesce(F.col(c), F.col("__mode")[F.lit(c)]).alias(c))
         else:
             out.append(F.col(c))
-    return df.select(*out)
+    return base.select(*out)
 
 
 def drop_sparse_rows(df: DataFrame, max_missing_share: float = 0.30) -> DataFrame:
@@ -374,7 +376,14 @@ def pipeline_audit(df: DataFrame, key: str, c: SurveyColumns = SURVEY) -> DataFr
     miss_cols = missing_profile(df).agg(F.count_if(F.col("missing_count") > 0).cast("long").alias("v"))
     rules = run_checks(dedup, survey_rules(c)).agg(F.count_if(F.col("flagged") > 0).cast("long").alias("v"))
     sparse = drop_sparse_rows(dedup).agg(F.count(F.lit(1)).cast("long").alias("n"))
-    s_n, s_d, s_m, s_r, s_s = n.scalar(), n_dedup.scalar(), miss_cols.scalar(), rules.scalar(), sparse.scalar()
+    base = n.select(
+        F.col("n").alias("__n"),
+        n_dedup.scalar().alias("__d"),
+        miss_cols.scalar().alias("__m"),
+        rules.scalar().alias("__r"),
+        sparse.scalar().alias("__s"),
+    )
+    s_n, s_d, s_m, s_r, s_s = (F.col(x) for x in ("__n", "__d", "__m", "__r", "__s"))
     steps = [
         (1, "Raw data ingestion", s_n, s_n, F.lit(len(df.columns)).cast("long")),
         (2, "Missing value check", s_n, s_n, s_m),
@@ -390,4 +399,4 @@ def pipeline_audit(df: DataFrame, key: str, c: SurveyColumns = SURVEY) -> DataFr
         F.struct(F.lit(i).alias("step"), F.lit(p).alias("process"), a.alias("rows_in"), b.alias("rows_out"), k.alias("cols_affected"))
         for i, p, a, b, k in steps
     ]
-    return n.select(_cells(cells))
+    return base.select(_cells(cells))

@@ -139,8 +139,12 @@ def rule_kpis(rules: DataFrame, capped: DataFrame) -> DataFrame:
         F.max("lift").alias("max_lift_total"),
         F.avg("confidence").alias("avg_confidence_total"),
     )
-    bs = b.select(F.struct("*").alias("s")).scalar()
-    return a.select("*", bs["rules_total"].alias("rules_total"), bs["max_lift_total"].alias("max_lift_total"), bs["avg_confidence_total"].alias("avg_confidence_total"))
+    both = a.select("*", b.select(F.struct("*").alias("s")).scalar().alias("__b"))
+    bs = F.col("__b")
+    return both.select(
+        "rules_shown", "max_lift_shown", "avg_confidence_shown",
+        bs["rules_total"].alias("rules_total"), bs["max_lift_total"].alias("max_lift_total"), bs["avg_confidence_total"].alias("avg_confidence_total"),
+    )
 
 
 def cooccurrence(df: DataFrame, labels: Mapping[str, str] = TOOL_LABELS) -> DataFrame:

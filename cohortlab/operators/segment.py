@@ -190,12 +190,14 @@ def persona_rates(df: DataFrame, persona: str, flag: str) -> DataFrame:
 def scatter_bins(df: DataFrame, x: str, y: str, segment: str, bins: int = 20) -> DataFrame:
     """2-D histogram per segment (the data behind a scatter at scale): equal-width bins over each axis' range."""
     rng = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
-    r = rng.select(F.struct("*").alias("r")).scalar()
+    r = F.col("__r")
 
     def b(col: str, lo: Column, hi: Column) -> Column:
         return F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((F.col(col) - lo) / (hi - lo) * bins), F.lit(bins - 1))).cast("int")
 
-    base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(segment).isNotNull())
+    base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(segment).isNotNull()).select(
+        segment, x, y, rng.select(F.struct("*").alias("r")).scalar().alias("__r")  # ranges projected once
+    )
     return base.groupBy(segment, b(x, r["x0"], r["x1"]).alias("x_bin"), b(y, r["y0"], r["y1"]).alias("y_bin")).agg(
         F.count(F.lit(1)).cast("long").alias("n")
     )
