@@ -28,12 +28,17 @@ def ordinal_encode(df: DataFrame, scales: Mapping[str, Mapping[str, int]] = ORDI
 
 
 def label_indexer(columns: Sequence[str]) -> Pipeline:
-    """``<c>_enc`` = position of the value among the sorted distinct values (from 0)."""
-    stages = [
-        StringIndexer(inputCol=f"{c}__s", outputCol=f"{c}_enc", stringOrderType="alphabetAsc", handleInvalid="keep")
-        for c in columns
-    ]
-    return Pipeline(stages=stages)
+    """``<c>_enc`` = position of the value among the sorted distinct values (from 0).
+
+    One multi-column ``StringIndexer``: all label lists come from a single pass.
+    """
+    si = StringIndexer(
+        inputCols=[f"{c}__s" for c in columns],
+        outputCols=[f"{c}_enc" for c in columns],
+        stringOrderType="alphabetAsc",
+        handleInvalid="keep",
+    )
+    return Pipeline(stages=[si])
 
 
 def _with_label_inputs(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from cohortlab.operators import classify as cls
 from cohortlab.operators import encode as enc
 from cohortlab.operators import forecast as fc
 from cohortlab.plans.encoding import split_sql
-from cohortlab.plans.registry import register, survey
+from cohortlab.plans.registry import derived, register, survey
 from cohortlab.plans.survey_sql import with_survey
 
 C = SURVEY
@@ -38,8 +38,12 @@ TEST_CTE = f"t AS (SELECT *, {RULE_PRED_SQL} AS pred, {RULE_MRR_SQL} AS pred_mrr
 
 
 def model_frame(spark, sf_dir):
-    fm = enc.feature_matrix(survey(spark, sf_dir), keep=KEEP)
-    return enc.train_test_split(fm, C.id)
+    """Encoded feature matrix with the hash split (written once per session when the survey is)."""
+
+    def build():
+        return enc.train_test_split(enc.feature_matrix(survey(spark, sf_dir), keep=KEEP), C.id)
+
+    return derived(spark, sf_dir, "model_frame", build)
 
 
 def _test_rule(spark, sf_dir):

@@ -45,6 +45,22 @@ def use_materialized_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df
 
 
+def derived(spark: SparkSession, sf_dir: str, what: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the survey (e.g. the encoded feature matrix).
+
+    When the survey was materialized for this session, the derived table is written once
+    too (same shared folder) and every later query reads it; otherwise it stays lazy.
+    """
+    key = _key(spark, sf_dir, what)
+    if key in _MATERIALIZED:
+        return _MATERIALIZED[key]
+    if _key(spark, sf_dir, "survey") not in _MATERIALIZED:
+        return build()
+    df = materialize(build(), table_name(sf_dir, what))
+    _MATERIALIZED[key] = df
+    return df
+
+
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _MATERIALIZED.get(_key(spark, sf_dir, "survey")) or survey_view(spark, sf_dir)
 
