@@ -183,7 +183,9 @@ def fpgrowth_itemsets(baskets: DataFrame, min_support: float, items_col: str = "
     if partitions:
         fp = fp.setNumPartitions(partitions)
     model = fp.fit(b)
-    f = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("count"))
+    # the model's item sets are recomputed by every action: a reliable checkpoint (shared folder)
+    # mines once and cuts the lineage, so a lost executor does not re-run the mining
+    f = model.freqItemsets.checkpoint().select(F.array_sort("items").alias("items"), F.col("freq").alias("count"))
     f = f.where((F.col("count") / n) >= F.lit(min_support))
     if max_size:
         f = f.where(F.size("items") <= max_size)
@@ -208,7 +210,7 @@ def basket_rules(baskets: DataFrame, min_support: float, min_confidence: float,
 
     conf = count(S) / count(A), lift = conf / support(C); joins on the sorted item arrays.
     """
-    f = fpgrowth_itemsets(baskets, min_support, items_col).cache()
+    f = fpgrowth_itemsets(baskets, min_support, items_col)
     big = f.where(F.col("size") >= 2)
     cand = big.select(
         F.col("items").alias("itemset"), F.col("count").alias("s_count"), F.col("support"), F.explode("items").alias("consequent_item")
