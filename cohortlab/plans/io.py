@@ -66,3 +66,19 @@ def stream_kpis_by_user_type(spark, sf_dir):
     return out.select(
         "user_type", "n", *[F.round(c, 6).alias(c) for c in ("rate_pct", "avg_wtp", "avg_tools_used", "avg_mrr")]
     )
+
+
+@register(
+    "filtered_csv",
+    with_survey(
+        "SELECT * FROM survey WHERE user_type IN ('Enterprise', 'SME') AND preferred_subscription_tier IN ('Gold', 'Platinum')"
+    ),
+)
+def filtered_csv(spark, sf_dir):
+    """The explorer's download: rows after the facet filters, written as CSV and read back typed."""
+    from cohortlab.operators.aggregate import facet_filter
+    from cohortlab.plans.overview import EXPLORER_FACETS
+
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", table_name(sf_dir, "filtered_csv"))
+    write_csv(facet_filter(survey(spark, sf_dir), EXPLORER_FACETS), path)
+    return read_survey(spark, path)
