@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from cohortlab.config import TOOL_LABELS
 from cohortlab.functions.broadcast import broadcast_if_bounded
 from cohortlab.functions.exprs import bit, bitmask, mask_items, proper_subsets, subsets_upto
+from cohortlab.session import ensure_checkpoint_dir
 
 DEFAULT_SUPPORT = 0.15
 DEFAULT_CONFIDENCE = 0.50
@@ -183,6 +184,7 @@ def fpgrowth_itemsets(baskets: DataFrame, min_support: float, items_col: str = "
     if partitions:
         fp = fp.setNumPartitions(partitions)
     model = fp.fit(b)
+    ensure_checkpoint_dir(baskets.sparkSession)
     # the model's item sets are recomputed by every action: a reliable checkpoint (shared folder)
     # mines once and cuts the lineage, so a lost executor does not re-run the mining
     f = model.freqItemsets.checkpoint().select(F.array_sort("items").alias("items"), F.col("freq").alias("count"))
