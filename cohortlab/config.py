@@ -11,7 +11,9 @@ from dataclasses import dataclass, field
 # ---------------------------------------------------------------------------
 # Fixed values.  These must equal the dashboard's own tables for the results
 # to agree: ordinal scales with their codes, the seven tool flags with their
-# display labels, the persona names, and the display orders of two charts.
+# display labels, the persona names, the display orders of two charts, the
+# business-rule check names and actions, outlier and missing-value actions,
+# and the two class names of the classification report.
 # ---------------------------------------------------------------------------
 ORDINAL_SCALES: dict[str, dict[str, int]] = {
     "difficulty_finding_tools": {"Very Easy": 1, "Easy": 2, "Neutral": 3, "Difficult": 4, "Very Difficult": 5},
@@ -42,12 +44,22 @@ PERSONA_NAMES: list[str] = [
 TIER_ORDER: list[str] = ["Free", "Silver", "Gold", "Platinum"]
 TRUST_ORDER: list[str] = ["Never", "Rarely", "Sometimes", "Often", "Always"]
 
+# business-rule checks (name, action) in display order
+CHECK_FREE_WTP = ("Free-tier users with WTP > $50", "Reclassify WTP -> $5")
+CHECK_NONSUB_MRR = ("Non-subscribers with MRR > $0", "Set MRR -> $0")
+CHECK_CHURN_RANGE = ("Churn risk outside [0,1]", "Clip to [0,1]")
+CHECK_NEG_SPEND = ("Negative monthly spend", "Set to 0")
+CHECK_FLAGS = ("Binary tool flags not in {0,1}", "Round to nearest int")
+OUTLIER_CAP = "Winsorize (cap to bounds)"
+OUTLIER_RETAIN = "Retain - within range"
+ACTION_NONE = "No action required"
+ACTION_IMPUTE = "Impute median/mode"
+CLASS_NAMES = ("Not Subscribe", "Subscribe")
+# -------------------------------------------------------------- end of fixed values
+
 # Tokens that a survey CSV uses for "no answer" (pandas treats all as missing).
 NA_TOKENS: list[str] = ["", "NA", "N/A", "n/a", "NULL", "null", "None", "NaN", "nan", "<NA>", "#N/A"]
 
-# Missing-value action texts and consistency-check actions.
-ACTION_NONE = "No action required"
-ACTION_IMPUTE = "Impute median/mode"
 STATUS_FOUND = "Found"
 STATUS_CLEAN = "Clean"
 

@@ -12,12 +12,10 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.config import CLASS_NAMES
 from cohortlab.functions.exprs import col_of
 from cohortlab.operators.encode import assemble, fit_cached, moment_stats, standardize
 
-CLASS_NAMES = ("Not Subscribe", "Subscribe")
-
-
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 

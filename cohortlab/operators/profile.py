@@ -15,7 +15,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlab.config import ACTION_IMPUTE, ACTION_NONE, STATUS_CLEAN, STATUS_FOUND, SURVEY, SurveyColumns
+from cohortlab.config import (
+    ACTION_IMPUTE,
+    ACTION_NONE,
+    CHECK_CHURN_RANGE,
+    CHECK_FLAGS,
+    CHECK_FREE_WTP,
+    CHECK_NEG_SPEND,
+    CHECK_NONSUB_MRR,
+    OUTLIER_CAP,
+    OUTLIER_RETAIN,
+    STATUS_CLEAN,
+    STATUS_FOUND,
+    SURVEY,
+    SurveyColumns,
+)
 from cohortlab.functions.exprs import not_binary
 from cohortlab.functions.quantiles import quantile_wide
 
@@ -133,11 +147,11 @@ def survey_rules(c: SurveyColumns = SURVEY) -> list[Rule]:
         e = F.count_if(not_binary(f))
         bad_flags = e if bad_flags is None else bad_flags + e
     return [
-        Rule("Free-tier users with WTP > $50", F.count_if((F.col(c.tier) == "Free") & (F.col(c.wtp) > 50)), "Reclassify WTP -> $5"),
-        Rule("Non-subscribers with MRR > $0", F.count_if((F.col(c.subscribe) == 0) & (F.col(c.mrr) > 0)), "Set MRR -> $0"),
-        Rule("Churn risk outside [0,1]", F.count_if((F.col(c.churn) < 0) | (F.col(c.churn) > 1)), "Clip to [0,1]"),
-        Rule("Negative monthly spend", F.count_if(F.col(c.spend) < 0), "Set to 0"),
-        Rule("Binary tool flags not in {0,1}", bad_flags, "Round to nearest int"),
+        Rule(CHECK_FREE_WTP[0], F.count_if((F.col(c.tier) == "Free") & (F.col(c.wtp) > 50)), CHECK_FREE_WTP[1]),
+        Rule(CHECK_NONSUB_MRR[0], F.count_if((F.col(c.subscribe) == 0) & (F.col(c.mrr) > 0)), CHECK_NONSUB_MRR[1]),
+        Rule(CHECK_CHURN_RANGE[0], F.count_if((F.col(c.churn) < 0) | (F.col(c.churn) > 1)), CHECK_CHURN_RANGE[1]),
+        Rule(CHECK_NEG_SPEND[0], F.count_if(F.col(c.spend) < 0), CHECK_NEG_SPEND[1]),
+        Rule(CHECK_FLAGS[0], bad_flags, CHECK_FLAGS[1]),
     ]
 
 
@@ -244,7 +258,7 @@ def outlier_summary(df: DataFrame, columns: Sequence[str], k: float = 1.5, digit
         r("upper_fence").alias("upper_fence"),
         F.col("outliers").cast("long").alias("outliers"),
         F.format_string("%.1f%%", pct).alias("outlier_pct"),
-        F.when(pct > 1, F.lit("Winsorize (cap to bounds)")).otherwise(F.lit("Retain - within range")).alias("action"),
+        F.when(pct > 1, F.lit(OUTLIER_CAP)).otherwise(F.lit(OUTLIER_RETAIN)).alias("action"),
     )
 
 

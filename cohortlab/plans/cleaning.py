@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlab.config import ACTION_IMPUTE, ACTION_NONE, SURVEY, TOOL_LABELS
+from cohortlab.config import (
+    ACTION_IMPUTE,
+    ACTION_NONE,
+    CHECK_CHURN_RANGE,
+    CHECK_FLAGS,
+    CHECK_FREE_WTP,
+    CHECK_NEG_SPEND,
+    CHECK_NONSUB_MRR,
+    OUTLIER_CAP,
+    OUTLIER_RETAIN,
+    SURVEY,
+    TOOL_LABELS,
+)
 from cohortlab.operators import profile as prof
 from cohortlab.plans.registry import dirty, register, survey
 from cohortlab.plans.survey_sql import with_survey
@@ -73,11 +85,11 @@ def type_census(spark, sf_dir):
 # ----------------------------------------------------------------------------- business rules
 _flag_bad = " + ".join(f"count(*) FILTER (WHERE {f} IS NULL OR {f} NOT IN (0, 1))" for f in C.tools)
 _RULES_SQL = [
-    ("Free-tier users with WTP > $50", "count(*) FILTER (WHERE preferred_subscription_tier = 'Free' AND wtp_monthly_usd > 50)", "Reclassify WTP -> $5"),
-    ("Non-subscribers with MRR > $0", "count(*) FILTER (WHERE will_subscribe = 0 AND estimated_mrr_usd > 0)", "Set MRR -> $0"),
-    ("Churn risk outside [0,1]", "count(*) FILTER (WHERE churn_risk_score < 0 OR churn_risk_score > 1)", "Clip to [0,1]"),
-    ("Negative monthly spend", "count(*) FILTER (WHERE monthly_spend_on_ai_usd < 0)", "Set to 0"),
-    ("Binary tool flags not in {0,1}", _flag_bad, "Round to nearest int"),
+    (CHECK_FREE_WTP[0], "count(*) FILTER (WHERE preferred_subscription_tier = 'Free' AND wtp_monthly_usd > 50)", CHECK_FREE_WTP[1]),
+    (CHECK_NONSUB_MRR[0], "count(*) FILTER (WHERE will_subscribe = 0 AND estimated_mrr_usd > 0)", CHECK_NONSUB_MRR[1]),
+    (CHECK_CHURN_RANGE[0], "count(*) FILTER (WHERE churn_risk_score < 0 OR churn_risk_score > 1)", CHECK_CHURN_RANGE[1]),
+    (CHECK_NEG_SPEND[0], "count(*) FILTER (WHERE monthly_spend_on_ai_usd < 0)", CHECK_NEG_SPEND[1]),
+    (CHECK_FLAGS[0], _flag_bad, CHECK_FLAGS[1]),
 ]
 
 
@@ -178,7 +190,7 @@ _out_counts = " UNION ALL ".join(
 SELECT f.position, f.feature, round_even(q1, 2) AS q1, round_even(q3, 2) AS q3, round_even(lower_fence, 2) AS lower_fence,
        round_even(upper_fence, 2) AS upper_fence, CAST(o.outliers AS BIGINT) AS outliers,
        printf('%.1f%%', o.outliers / o.n * 100) AS outlier_pct,
-       CASE WHEN o.outliers / o.n * 100 > 1 THEN 'Winsorize (cap to bounds)' ELSE 'Retain - within range' END AS action
+       CASE WHEN o.outliers / o.n * 100 > 1 THEN '""" + OUTLIER_CAP + """' ELSE '""" + OUTLIER_RETAIN + """' END AS action
 FROM fences f JOIN oc o ON f.feature = o.feature""",
         _fences_cte(),
         "oc AS (" + _out_counts + ")",

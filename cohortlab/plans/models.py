@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlab.config import SURVEY, TIER_ORDER
+from cohortlab.config import CLASS_NAMES, SURVEY, TIER_ORDER
 from cohortlab.operators import aggregate as agg
 from cohortlab.operators import classify as cls
 from cohortlab.operators import encode as enc
@@ -101,8 +101,8 @@ def _report_sql() -> str:
     s1, s0 = "CAST(tp + fn AS DOUBLE)", "CAST(tn + fp AS DOUBLE)"
     acc = _r("tp + tn", n)
     rows = [
-        (1, "Not Subscribe", _P0, _R0, f1_0, s0),
-        (2, "Subscribe", _P1, _R1, f1_1, s1),
+        (1, CLASS_NAMES[0], _P0, _R0, f1_0, s0),
+        (2, CLASS_NAMES[1], _P1, _R1, f1_1, s1),
         (3, "accuracy", acc, acc, acc, acc),
         (4, "macro avg", f"(({_P0}) + ({_P1})) / 2", f"(({_R0}) + ({_R1})) / 2", f"(({f1_0}) + ({f1_1})) / 2", n),
         (5, "weighted avg", _r(f"({_P0}) * {s0} + ({_P1}) * {s1}", n), _r(f"({_R0}) * {s0} + ({_R1}) * {s1}", n),
