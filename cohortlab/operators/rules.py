@@ -38,9 +38,23 @@ def _n_itemsets(k: int, max_size: int) -> int:
 
 
 # --------------------------------------------------------------------------- flag path
-def mask_counts(df: DataFrame, flags: Sequence[str]) -> DataFrame:
-    """``(mask int, cnt long)``: one row per distinct basket; the empty basket is mask 0."""
-    return df.select(bitmask(flags).alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("cnt"))
+EAGER_MAX_FLAGS = 16  # up to 2^16 distinct baskets are collected as a small literal table
+
+
+def mask_counts(df: DataFrame, flags: Sequence[str], eager: bool | None = None) -> DataFrame:
+    """``(mask int, cnt long)``: one row per distinct basket; the empty basket is mask 0.
+
+    With at most ``EAGER_MAX_FLAGS`` flags the table (at most 2^k rows) is computed once and
+    returned as a literal frame, so the scan of the source runs a single time however many
+    itemset and rule steps read it.
+    """
+    m = df.select(bitmask(flags).alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("cnt"))
+    if eager is None:
+        eager = len(flags) <= EAGER_MAX_FLAGS
+    if eager:
+        rows = [(r["mask"], r["cnt"]) for r in m.collect()]
+        return df.sparkSession.createDataFrame(rows, "mask int, cnt long")
+    return m
 
 
 def label_of(mask: Column, labels: Sequence[str], sep: str) -> Column:
