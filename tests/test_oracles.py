@@ -17,7 +17,7 @@ SUBSET = [
     "scale_check", "train_test_split", "association_rules", "rules_top30", "cooccurrence", "fpgrowth_rules", "brand_rules",
     "segment_profile", "crosstab_segment_industry", "silhouette_by_user_type", "persona_rates", "classification_report",
     "regression_metrics", "histogram_actual", "forecast_by_tier", "pipeline_audit", "csv_roundtrip", "raw_profile",
-    "box_stats_scaled", "stream_kpis_by_user_type", "scatter_bins", "winsorize",
+    "box_stats_scaled", "stream_kpis_by_user_type", "scatter_bins", "winsorize", "filtered_csv", "csv_cast_failures",
 ]
 KEYS = list(entry.oracle_sql()) if os.environ.get("FULL_ORACLES") == "1" else SUBSET
 
