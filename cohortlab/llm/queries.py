@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortlab.llm.common import read_table
 from cohortlab.llm.minhash_dedup import near_duplicates
+from cohortlab.llm.packing import pack
+from cohortlab.llm.sharding import shard_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +23,13 @@ def query(fn):
 @query
 def op4_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_concat_cut_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_table(spark, sf_dir, "documents"))
