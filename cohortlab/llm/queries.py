@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortlab.llm.common import read_table
 from cohortlab.llm.minhash_dedup import near_duplicates
 from cohortlab.llm.packing import pack
+from cohortlab.llm.quality import quality_rules
 from cohortlab.llm.sharding import shard_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +34,8 @@ def op9_concat_cut_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"))
