@@ -11,6 +11,7 @@ from cohortlab.llm.minhash_dedup import near_duplicates
 from cohortlab.llm.packing import pack
 from cohortlab.llm.quality import quality_rules
 from cohortlab.llm.sharding import shard_documents
+from cohortlab.llm.toxicity import fit, score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +40,9 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
