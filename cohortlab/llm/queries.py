@@ -12,6 +12,7 @@ from cohortlab.llm.packing import pack
 from cohortlab.llm.quality import quality_rules
 from cohortlab.llm.sharding import shard_documents
 from cohortlab.llm.toxicity import fit, score
+from cohortlab.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +47,21 @@ def op5_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query
+def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, read_table(spark, sf_dir, "pages")).drop("url")
+
+
+ORACLES["op8_zip_warc"] = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
