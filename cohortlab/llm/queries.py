@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cohortlab.llm.bpe import decode, encode
 from cohortlab.llm.common import read_table
 from cohortlab.llm.minhash_dedup import near_duplicates
 from cohortlab.llm.packing import pack
@@ -65,3 +67,14 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first_id <> page_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
 """
+
+
+@query
+def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = decode(encode(read_table(spark, sf_dir, "documents")))
+    return texts.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
