@@ -13,6 +13,7 @@ from cohortlab.llm.minhash_dedup import near_duplicates
 from cohortlab.llm.packing import pack
 from cohortlab.llm.quality import quality_rules
 from cohortlab.llm.sharding import shard_documents
+from cohortlab.llm.substring import remove_repeats
 from cohortlab.llm.toxicity import fit, score
 from cohortlab.llm.warc import round_trip
 
@@ -78,3 +79,35 @@ def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op6_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op6_fm_index_substrings"] = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), w AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13
+), g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS gram FROM w
+), f AS (
+  SELECT gram, min(doc_id) AS first_id FROM g GROUP BY gram HAVING min(doc_id) < max(doc_id)
+), r AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM g JOIN f USING (gram) WHERE doc_id > first_id
+), k AS (
+  SELECT doc_id, list(pos) AS gone FROM r GROUP BY doc_id
+), p AS (
+  SELECT d.doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM d JOIN k USING (doc_id)
+), s AS (
+  SELECT p.doc_id, string_agg(ws[p.pos], ' ' ORDER BY p.pos) AS kept, count(*) AS n_kept
+  FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.pos = r.pos WHERE r.pos IS NULL GROUP BY p.doc_id
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+       CAST(CASE WHEN k.doc_id IS NULL THEN 0 ELSE len(ws) - coalesce(n_kept, 0) END AS BIGINT) AS n_removed,
+       sha256(CASE WHEN k.doc_id IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
