@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.llm.bpe import decode, encode
 from cohortlab.llm.common import read_table
+from cohortlab.llm.embedding_dedup import near_vectors
 from cohortlab.llm.minhash_dedup import near_duplicates
 from cohortlab.llm.packing import pack
 from cohortlab.llm.quality import quality_rules
@@ -111,3 +112,25 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
        sha256(CASE WHEN k.doc_id IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN s USING (doc_id)
 """
+
+
+@query
+def op2_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op2_cross_polytope_dedup"] = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+), n AS (
+  SELECT a, count(*) AS n FROM l GROUP BY a
+), c(id, node) AS (
+  SELECT vec_id, vec_id FROM e
+  UNION
+  SELECT c.id, l.b FROM c JOIN l ON l.a = c.node
+)
+SELECT vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(node) AS component_id, min(node) = vec_id AS kept
+FROM e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id GROUP BY vec_id
+"""
