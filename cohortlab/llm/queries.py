@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortlab.llm.bpe import decode, encode
 from cohortlab.llm.common import read_table
 from cohortlab.llm.embedding_dedup import near_vectors
+from cohortlab.llm.license_scan import scan_licenses
 from cohortlab.llm.minhash_dedup import near_duplicates
 from cohortlab.llm.packing import pack
 from cohortlab.llm.quality import quality_rules
@@ -134,3 +135,8 @@ WITH RECURSIVE e AS (
 SELECT vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(node) AS component_id, min(node) = vec_id AS kept
 FROM e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id GROUP BY vec_id
 """
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
