@@ -35,6 +35,8 @@ REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 #: Standard deviation of the estimate at 0.75 is sqrt(0.75 * 0.25 / 128) = 0.038; the filter stands 5 of them lower.
 FILTER = 0.75 - 5 * 0.0383
+#: Equal registers below which a pair is not estimated at all (at 0.75 their number is 96 with standard deviation 4.9).
+LEAST_EQUAL = 57
 #: Shingles sketched at once (bounds the memory of a task; long texts are sketched in parts and merged).
 PART = 1 << 16
 BLOCK = 256
@@ -155,10 +157,14 @@ def _likely(batches):
 
 
 def _block_pairs(batches):
-    """Pairs of different components between two blocks of a bucket that pass the likelihood filter."""
+    """Pairs of different components between two blocks of a bucket that pass the likelihood filter.
+
+    A pair that several buckets hold is taken in the one of its first common band.
+    """
     for batch in batches:
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for row in batch.to_pylist():
+        found = []
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
             (ia, ca, na, ka), (ib, cb, nb, kb) = (
                 (
                     np.array([x["id"] for x in row[s]]),
@@ -168,15 +174,21 @@ def _block_pairs(batches):
                 )
                 for s in ("left", "right")
             )
-            for i in range(len(ia)):
-                to = np.flatnonzero((ca[i] != cb) & ((ib > ia[i]) if row["same"] else True))
-                if len(to):
-                    one = np.full(len(to), i)
-                    ok = to[estimate(ka[one], kb[to], na[one], nb[to]) >= FILTER]
-                    out.append((np.minimum(ia[i], ib[ok]), np.maximum(ia[i], ib[ok])))
-        a = np.concatenate([x for x, _ in out]) if out else np.empty(0, np.int64)
-        b = np.concatenate([x for _, x in out]) if out else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            apart = ca[:, None] != cb[None, :]
+            if row["same"]:
+                apart &= ia[:, None] < ib[None, :]
+            at, to = np.nonzero(apart)
+            for some in range(0, len(at), 1 << 15):
+                x, y = at[some : some + (1 << 15)], to[some : some + (1 << 15)]
+                same = ka[x] == kb[y]
+                likely = np.flatnonzero(same.sum(1) >= LEAST_EQUAL)
+                x, y, same = x[likely], y[likely], same[likely]
+                first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == row["band"]
+                x, y = x[first], y[first]
+                ok = estimate(ka[x], kb[y], na[x], nb[y]) >= FILTER
+                found.append((np.minimum(ia[x[ok]], ib[y[ok]]), np.maximum(ia[x[ok]], ib[y[ok]])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -204,10 +216,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     keys = classes.select("rep", "sketch", band.alias("band")).select(
-        "rep", F.expr(f"xxhash64(band, substring(sketch, band * {2 * ROWS} + 1, {2 * ROWS}))").alias("bucket")
+        "rep", "band", F.expr(f"xxhash64(band, substring(sketch, band * {2 * ROWS} + 1, {2 * ROWS}))").alias("bucket")
     )
     buckets = keys.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = save(keys.join(buckets, "bucket").select("bucket", "rep", "pivot", "size"), "dedup-members")
+    members = save(keys.join(buckets, "bucket").select("bucket", "band", "rep", "pivot", "size"), "dedup-members")
     needed = members.select("rep").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     texts = rows.join(needed.withColumnRenamed("rep", "id"), "id", "left_semi")
@@ -221,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # b) where a bucket spans several components: members against two pivots of the bucket that are in another one
     def open_members(least: int) -> tuple[DataFrame, DataFrame]:
         now = members.where(F.col("size") >= least).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-        now = now.select("bucket", "rep", "size", F.coalesce("component", "rep").alias("component"))
+        now = now.select("bucket", "band", "rep", "size", F.coalesce("component", "rep").alias("component"))
         return now, now.groupBy("bucket").agg(
             F.min_by(F.struct("rep", "component"), "rep").alias("p0"),
             F.min_by(F.struct("rep", "component"), F.xxhash64("rep")).alias("p1"),
@@ -241,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = save(connected_components(links), "dedup-labels")
         return True
 
-    now, open_ = open_members(3)
+    now, open_ = open_members(2)
     pivots = now.join(open_, "bucket").select("rep", "component", F.explode(F.array("p0", "p1")).alias("p"))
     settle(
         pivots.where("p.component <> component").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
@@ -252,11 +264,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = now.join(open_.select("bucket"), "bucket").join(classes, "rep")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("size") / BLOCK).cast("long")))
     blocks = save(
-        rest.groupBy("bucket", "block").agg(F.collect_list(F.struct(F.col("rep").alias("id"), "component", "n", "sketch")).alias("left")),
+        rest.groupBy("bucket", "band", "block").agg(F.collect_list(F.struct(F.col("rep").alias("id"), "component", "n", "sketch")).alias("left")),
         "dedup-blocks",
     )
-    other = blocks.select("bucket", F.col("block").alias("block2"), F.col("left").alias("right"))
-    matched = blocks.join(other, "bucket").where("block <= block2").select("left", "right", F.expr("block = block2").alias("same"))
+    other = blocks.select("bucket", "band", F.col("block").alias("block2"), F.col("left").alias("right"))
+    matched = blocks.join(other, ["bucket", "band"]).where("block <= block2").select("band", "left", "right", F.expr("block = block2").alias("same"))
     settle(matched.mapInArrow(_block_pairs, "a long, b long").distinct())
 
     doc_class = known.where("n > 0").select("id", "set_key").join(classes.select("set_key", "rep"), "set_key").select("id", "rep").distinct()

@@ -22,6 +22,8 @@ An empty table gives no row.  Columns other than id, text and language are not r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -191,17 +193,45 @@ def _with_reference(rows: DataFrame, by_lang: DataFrame) -> DataFrame:
     return out
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Base statistics, distances and verdict of every document."""
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+
+
+def _features_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
+    """The narrow table of all documents and the final references."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    stats = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    found = save(rows.mapInArrow(_features, f"doc_id long, lang string, {stats}, chars array<long>, words array<long>"), "quality-features")
+    found = save(rows.mapInArrow(_features, f"doc_id long, lang string, {STATS}, chars array<long>, words array<long>"), "quality-features")
     sound = found.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("n_words")))
     first = _with_reference(sound.select("lang", "chars", "words"), _references(sound))
-    near = first.mapInArrow(_near, "lang string, chars array<long>, words array<long>")
-    judged = _with_reference(found, _references(near))
+    return found, _references(first.mapInArrow(_near, "lang string, chars array<long>, words array<long>"))
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Base statistics, distances and verdict of every document."""
+    found, references = _features_of(docs, id_col, text_col, lang_col)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words", "ref_chars", "ref_words"]
-    return judged.select(*columns).mapInArrow(
-        _judge, f"doc_id long, {stats}, base_failed boolean, kept boolean, char_distance double, word_distance double"
+    return _with_reference(found, references).select(*columns).mapInArrow(
+        _judge, f"doc_id long, {STATS}, base_failed boolean, kept boolean, char_distance double, word_distance double"
     )
+
+
+def keep_sound(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns (no join by id: each row is judged by its own text)."""
+    _, references = _features_of(docs, id_col, text_col, lang_col)
+    names = docs.columns
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+
+    @F.arrow_udf("boolean")
+    def kept(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        hashes, common = WordHashes(), CommonWords()
+        for texts, chars, words in batches:
+            found = [measure(t, hashes, common) for t in texts.to_pylist()]
+            columns = [None, *([f[i] for f in found] for i in range(5)), [f[5] for f in found], [f[6] for f in found]]
+            table = pa.RecordBatch.from_arrays(
+                [pa.nulls(len(found), pa.int64()), *(pa.array(c, pa.int64()) for c in columns[1:6]), *(pa.array(c, pa.list_(pa.int64())) for c in columns[6:]), chars, words],
+                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words", "ref_chars", "ref_words"],
+            )
+            verdict = list(_judge([table]))
+            yield verdict[0].column("kept") if verdict else pa.array([], pa.bool_())
+
+    return _with_reference(row, references).where(kept("text", "ref_chars", "ref_words")).select("row.*")

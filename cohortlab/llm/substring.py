@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.llm.bpe import balanced_keys
@@ -42,12 +42,12 @@ SEGMENT_WINDOWS, SHARD_WORDS, HOT = 32, 300_000, 2_000
 #: Bytes of text a task gathers before it packs them.
 BUFFER = 16 << 20
 
-CHUNK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("texts", pa.binary())])
+CHUNK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("texts", pa.binary())])
 SENT = pa.schema([("home", pa.int64()), ("block", pa.int64()), ("values", pa.binary()), ("twice", pa.binary())])
 OCCURRENCE = pa.schema(
     [("block", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("anchor", pa.int64()), ("words", pa.string())]
 )
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+RESULT = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
 
 def _key(words: list[bytes]) -> bytes:
@@ -71,20 +71,20 @@ def _keys(batches):
 
 def _chunks(batches):
     pack = zstandard.ZstdCompressor(level=3)
-    held: dict[int, tuple[list, list]] = {}
+    held: dict[int, tuple[list, list, list]] = {}
     size = 0
 
     def flush():
-        for block, (ids, texts) in held.items():
-            row = {"block": block, "ids": ids, "lengths": [len(t) for t in texts], "texts": pack.compress(b"".join(texts))}
+        for block, (ids, tags, texts) in held.items():
+            row = {"block": block, "ids": ids, "tags": tags, "lengths": [len(t) for t in texts], "texts": pack.compress(b"".join(texts))}
             yield pa.RecordBatch.from_pylist([row], CHUNK)
         held.clear()
 
     for batch in batches:
-        for block, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for block, doc, tag, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
-            ids, texts = held.setdefault(block, ([], []))
-            ids.append(doc), texts.append(raw)
+            ids, tags, texts = held.setdefault(block, ([], [], []))
+            ids.append(doc), tags.append(tag), texts.append(raw)
             size += len(raw)
         if size >= BUFFER:
             yield from flush()
@@ -96,19 +96,21 @@ def _unpack(chunks: pa.Table):
     unpack = zstandard.ZstdDecompressor()
     for row in chunks.to_pylist():
         raw, at = unpack.decompress(row["texts"]), 0
-        for doc, n in zip(row["ids"], row["lengths"], strict=True):
-            yield doc, raw[at : at + n]
+        for doc, tag, n in zip(row["ids"], row["tags"], row["lengths"], strict=True):
+            yield doc, tag, raw[at : at + n]
             at += n
 
 
-def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, tag: Column | None = None) -> DataFrame:
     """Packed documents, one shuffle partition per block; a document's block depends on its id alone."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     keys = F.array(*[F.lit(k).cast("long") for k in balanced_keys(spark, n)])
     doc = F.col(id_col).cast("long")
-    rows = docs.select(F.get(keys, F.pmod(F.xxhash64(doc), F.lit(n)).cast("int")).alias("block"), doc.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_chunks, "block long, ids array<long>, lengths array<long>, texts binary").repartition(n, "block")
+    block = F.get(keys, F.pmod(F.xxhash64(doc), F.lit(n)).cast("int"))
+    tag = F.lit(0) if tag is None else tag
+    rows = docs.select(block.alias("block"), doc.alias("doc_id"), tag.cast("long").alias("tag"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_chunks, "block long, ids array<long>, tags array<long>, lengths array<long>, texts binary").repartition(n, "block")
 
 
 def anchors(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +143,7 @@ def _runs(documents, hashes: WordHashes, skip: set):
         flat = [x for w in words for x in w]
         return docs, words, flat, sizes, anchors(hashes.of(flat), sizes)
 
-    for doc, raw in documents:
+    for doc, _, raw in documents:
         w = raw.split()
         if doc is None or len(w) < WINDOW or (skip and (doc, _row(w)) in skip):
             continue
@@ -260,7 +262,7 @@ def _cut(chunks: pa.Table, cuts: pa.Table) -> pa.Table:
     for doc, row, a, b in zip(*(cuts[c].to_pylist() for c in ("doc_id", "row", "a", "b")), strict=True):
         by.setdefault((doc, row), []).append((a, b))
     touched = {doc for doc, _ in by}
-    for doc, raw in _unpack(chunks):
+    for doc, tag, raw in _unpack(chunks):
         words = raw.split()
         spans = by.get((doc, _row(words))) if doc in touched else None
         kept = words
@@ -271,13 +273,13 @@ def _cut(chunks: pa.Table, cuts: pa.Table) -> pa.Table:
                 gone[b] -= 1
             stay = np.cumsum(gone[:-1]) == 0
             kept = [words[i] for i in np.flatnonzero(stay)]
-        out["doc_id"].append(doc), out["n_words"].append(len(words)), out["n_removed"].append(len(words) - len(kept))
+        out["doc_id"].append(doc), out["tag"].append(tag), out["n_words"].append(len(words)), out["n_removed"].append(len(words) - len(kept))
         out["kept_text"].append(b" ".join(kept).decode("utf-8", "surrogatepass"))
     return pa.Table.from_pydict(out, RESULT)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_text`` of every row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
+    """``doc_id, tag, n_words, n_removed, kept_text`` of every row; ``tag`` (a long of the caller's) tells the caller's rows apart."""
     spark = docs.sparkSession
     small_batches(spark)
     n = shuffle_partitions(spark)
@@ -290,7 +292,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = texts.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = save(texts.join(firsts, "key").where("doc_id > first").select(block_of.alias("block"), "doc_id", "row", "n_words").distinct(), "substring-copies")
 
-    blocks = blocks_of(docs, id_col, text_col)
+    blocks = blocks_of(docs, id_col, text_col, tag)
     none = F.lit(None)
     copy_rows = copies.select("block", F.lit("copy").alias("what"), "doc_id", "row", none.cast("long").alias("home"), none.cast("binary").alias("values"))
     sent = blocks.groupBy("block").cogroup(copy_rows.groupBy("block")).applyInArrow(
@@ -335,5 +337,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "block", "doc_id", "row", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b")
     )
     cuts = cuts.unionByName(copies.select("block", "doc_id", "row", F.lit(0).cast("long").alias("a"), F.col("n_words").alias("b")))
-    again = blocks_of(docs, id_col, text_col)
-    return again.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    again = blocks_of(docs, id_col, text_col, tag)
+    return again.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(_cut, "doc_id long, tag long, n_words long, n_removed long, kept_text string")

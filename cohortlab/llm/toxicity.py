@@ -24,13 +24,14 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import small_batches
@@ -207,6 +208,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return lexicon
 
 
+def score_of(text: Column, lexicon: Lexicon) -> Column:
+    """Score of a text column, for use inside a plan."""
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automata = lexicon.automaton()
+        for texts in batches:
+            x = np.log1p([density(fold(t), automata) for t in texts.to_pylist()])
+            yield pa.array(1 / (1 + np.exp(-np.clip(lexicon.slope * x + lexicon.intercept, -30, 30))), pa.float64())
+
+    return run(text)
+
+
 def _score(batches, lexicon: Lexicon):
     automata = lexicon.automaton()
     for batch in batches:
