@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from cohortlab.session import ensure_checkpoint_dir
 
-#: Rows of an Arrow batch. Documents can be long, and a Python task holds one batch at a time.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch. Rows can be long, and a Python task holds one batch at a time.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 #: Distinct words whose hashes a Python task keeps; beyond it the cache starts anew (nothing is lost but time).
 WORD_CACHE = 400_000
 
@@ -26,6 +26,9 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("bB")) <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -9,8 +9,9 @@ r"""Near-duplicate documents by SetSketch registers, banding, joint likelihood a
    probability 1 - (1 - 0.75^4)^32 > 0.999994.
 4. Candidates never multiply within a bucket: first every class is held against the smallest class it shares a bucket
    with, then - only where a bucket still spans several components - against pivots of the bucket, at last the
-   remaining pairs of *different components* in blocks of bounded size.  A pair of one component need not be tested:
-   it cannot change the components.  So no link that could join two components is left out.
+   remaining pairs of *different components* within blocks of bounded size; there pairs stay in the task and only links
+   leave it.  A pair of one component need not be tested: it cannot change the components.  So no link that could
+   join two components is left out.
 5. Each candidate is estimated jointly by maximum likelihood over (greater, smaller, equal) registers given both set sizes;
    pairs far below the threshold go, the others are verified on the full sets: ``100 * |A & B| >= 75 * |A | B|``.
 6. Components over the links by large-star/small-star steps.
@@ -22,13 +23,15 @@ component.  Columns other than id and text are not read.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import WordHashes, connected_components, discard, mix, save, small_batches, split_words, window_hashes
+from cohortlab.llm.common import WordHashes, connected_components, mix, save, small_batches, split_words, window_hashes
 
 BASE, RATE, TOP = 1.001, 20.0, 65535  # SetSketch parameters b, a and q + 1 (two bytes a register)
 REGISTERS, ROWS = 128, 4
@@ -39,7 +42,8 @@ FILTER = 0.75 - 5 * 0.0383
 LEAST_EQUAL = 57
 #: Shingles sketched at once (bounds the memory of a task; long texts are sketched in parts and merged).
 PART = 1 << 16
-BLOCK = 256
+#: Members, and shingles of all members, in a block of a bucket.
+BLOCK, BLOCK_SHINGLES = 256, 100_000
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,27 +160,41 @@ def _likely(batches):
         yield batch.select(["a", "b", "na", "nb"]).filter(ok)
 
 
-def _block_pairs(batches):
-    """Pairs of different components between two blocks of a bucket that pass the likelihood filter.
+def _side(row: dict, name: str) -> tuple:
+    side = row[name]
+    return (
+        np.array([x["id"] for x in side]),
+        np.array([x["component"] for x in side]),
+        np.array([x["n"] for x in side], float),
+        np.frombuffer(b"".join(x["sketch"] for x in side), ">u2").reshape(-1, REGISTERS).astype(np.uint16),
+        [frozenset(x["shingles"]) for x in side],
+    )
+
+
+def _block_links(batches, num: int, den: int):
+    """Links between components across two blocks of a bucket (or within one): likelihood filter, then the full sets.
 
-    A pair that several buckets hold is taken in the one of its first common band.
+    A pair that several buckets hold is taken in the one of its first common band.  Pairs stay in the task, and once a link has
+    joined two components no further pair of them is looked at; so at most as many links leave as there are members.
     """
     for batch in batches:
-        found = []
+        found: list[tuple[int, int]] = []
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
-            (ia, ca, na, ka), (ib, cb, nb, kb) = (
-                (
-                    np.array([x["id"] for x in row[s]]),
-                    np.array([x["component"] for x in row[s]]),
-                    np.array([x["n"] for x in row[s]], float),
-                    np.frombuffer(b"".join(x["sketch"] for x in row[s]), ">u2").reshape(-1, REGISTERS).astype(np.uint16),
-                )
-                for s in ("left", "right")
-            )
+            ia, ca, na, ka, sa = left = _side(row, "left")
+            same_block = row["right"] is None
+            ib, cb, nb, kb, sb = left if same_block else _side(row, "right")
+            root: dict[int, int] = {}
+
+            def find(c: int, root: dict[int, int] = root) -> int:
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
             apart = ca[:, None] != cb[None, :]
-            if row["same"]:
+            if same_block:
                 apart &= ia[:, None] < ib[None, :]
+            apart &= den * np.minimum(na[:, None], nb[None, :]) >= num * np.maximum(na[:, None], nb[None, :])
             at, to = np.nonzero(apart)
             for some in range(0, len(at), 1 << 15):
                 x, y = at[some : some + (1 << 15)], to[some : some + (1 << 15)]
@@ -186,9 +204,16 @@ def _block_pairs(batches):
                 first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == row["band"]
                 x, y = x[first], y[first]
                 ok = estimate(ka[x], kb[y], na[x], nb[y]) >= FILTER
-                found.append((np.minimum(ia[x[ok]], ib[y[ok]]), np.maximum(ia[x[ok]], ib[y[ok]])))
+                for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                    u, v = find(int(ca[i])), find(int(cb[j]))
+                    if u == v:
+                        continue
+                    common = len(sa[i] & sb[j])
+                    if den * common >= num * (len(sa[i]) + len(sb[j]) - common):
+                        root[max(u, v)] = min(u, v)
+                        found.append((int(ia[i]), int(ib[j])))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["src", "dst"])
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -215,11 +240,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "dedup-classes",
     )
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    keys = classes.select("rep", "sketch", band.alias("band")).select(
-        "rep", "band", F.expr(f"xxhash64(band, substring(sketch, band * {2 * ROWS} + 1, {2 * ROWS}))").alias("bucket")
+    keys = classes.select("rep", "n", "sketch", band.alias("band")).select(
+        "rep", "n", "band", F.expr(f"xxhash64(band, substring(sketch, band * {2 * ROWS} + 1, {2 * ROWS}))").alias("bucket")
     )
     buckets = keys.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = save(keys.join(buckets, "bucket").select("bucket", "band", "rep", "pivot", "size"), "dedup-members")
+    members = save(keys.join(buckets, "bucket").select("bucket", "band", "rep", "n", "pivot", "size"), "dedup-members")
     needed = members.select("rep").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     texts = rows.join(needed.withColumnRenamed("rep", "id"), "id", "left_semi")
@@ -233,43 +258,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # b) where a bucket spans several components: members against two pivots of the bucket that are in another one
     def open_members(least: int) -> tuple[DataFrame, DataFrame]:
         now = members.where(F.col("size") >= least).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-        now = now.select("bucket", "band", "rep", "size", F.coalesce("component", "rep").alias("component"))
+        now = now.select("bucket", "band", "rep", "n", "size", F.coalesce("component", "rep").alias("component"))
         return now, now.groupBy("bucket").agg(
             F.min_by(F.struct("rep", "component"), "rep").alias("p0"),
             F.min_by(F.struct("rep", "component"), F.xxhash64("rep")).alias("p1"),
             F.min("component").alias("low"),
             F.max("component").alias("high"),
+            F.sum("n").alias("weight"),
         ).where("low < high")
 
-    def settle(pairs: DataFrame) -> bool:
-        """Verify new pairs; whether they have changed the components."""
-        nonlocal tested, links, labels
-        new = save(pairs.join(tested, ["a", "b"], "left_anti").distinct(), "dedup-pairs")
-        found = save(_verified(new, classes, sets, num, den), "dedup-links")
-        tested = tested.unionByName(new)
-        if found.isEmpty():
-            return False
-        links = links.unionByName(found)
-        labels = save(connected_components(links), "dedup-labels")
-        return True
-
     now, open_ = open_members(2)
     pivots = now.join(open_, "bucket").select("rep", "component", F.explode(F.array("p0", "p1")).alias("p"))
-    settle(
-        pivots.where("p.component <> component").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
-    )
+    pairs = pivots.where("p.component <> component").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
+    pairs = save(pairs.join(tested, ["a", "b"], "left_anti").distinct(), "dedup-pairs")
+    found = save(_verified(pairs, classes, sets, num, den), "dedup-links")
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        labels = save(connected_components(links), "dedup-labels")
 
-    # c) what is left: pairs of different components, block by block
+    # c) what is left: pairs of different components, block by block, with the full sets
     now, open_ = open_members(3)
-    rest = now.join(open_.select("bucket"), "bucket").join(classes, "rep")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("size") / BLOCK).cast("long")))
-    blocks = save(
-        rest.groupBy("bucket", "band", "block").agg(F.collect_list(F.struct(F.col("rep").alias("id"), "component", "n", "sketch")).alias("left")),
-        "dedup-blocks",
-    )
-    other = blocks.select("bucket", "band", F.col("block").alias("block2"), F.col("left").alias("right"))
-    matched = blocks.join(other, ["bucket", "band"]).where("block <= block2").select("band", "left", "right", F.expr("block = block2").alias("same"))
-    settle(matched.mapInArrow(_block_pairs, "a long, b long").distinct())
+    rest = now.join(open_.select("bucket", "weight"), "bucket")
+    rest = rest.join(classes.select("rep", "sketch"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    number = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("long")
+    rest = rest.withColumn("blocks", number).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")))
+    member = F.struct(F.col("rep").alias("id"), "component", "n", "sketch", "shingles")
+    blocks = save(rest.groupBy("bucket", "band", "blocks", "block").agg(F.collect_list(member).alias("left")), "dedup-blocks")
+    several = blocks.where("blocks > 1")
+    other = several.select("bucket", "band", F.col("block").alias("block2"), F.col("left").alias("right"))
+    between = several.join(other, ["bucket", "band"]).where("block < block2").select("band", "left", "right")
+    within = blocks.select("band", "left").withColumn("right", F.lit(None).cast(between.schema["right"].dataType))
+    found = save(within.unionByName(between).mapInArrow(partial(_block_links, num=num, den=den), "src long, dst long"), "dedup-links")
+    if not found.isEmpty():
+        labels = save(connected_components(links.unionByName(found)), "dedup-labels")
 
     doc_class = known.where("n > 0").select("id", "set_key").join(classes.select("set_key", "rep"), "set_key").select("id", "rep").distinct()
     per_class = classes.select("rep").join(labels.withColumnRenamed("id", "rep"), "rep").where("component < rep")
