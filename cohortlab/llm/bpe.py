@@ -118,8 +118,8 @@ def _encode_words(batches, path: str):
                 new = words
             known.update(zip(new, encoder.encode_words(new), strict=True))
             ids = [known[w] for w in words]
-            row["counts"] = pack.compress(np.array([len(x) for x in ids], "<u4").tobytes())
-            row["ids"] = pack.compress(np.concatenate(ids).astype("<u4").tobytes())
+            row["counts"] = pack.compress(np.array([len(x) // 4 for x in ids], "<u4").tobytes())
+            row["ids"] = pack.compress(b"".join(ids))
             out.append(row)
         yield pa.RecordBatch.from_pylist(out, TABLE)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 #: Words whose encoding a Python task keeps; beyond it the cache starts anew.
 CACHE = 600_000
@@ -40,7 +40,10 @@ class WordEncoder:
         self._specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self._ends = np.array([p.endswith("</w>") for p in self.pieces])
         self._letters = _byte_letters()
-        self.cache: dict[str, np.ndarray] = {}
+        # the same merges for words that are split and normalised already
+        self._plain = Tokenizer(self.tokenizer.model)
+        self._plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.cache: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         if "<|" not in text and _SAFE.fullmatch(text):
@@ -54,32 +57,35 @@ class WordEncoder:
                 words += [clean[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(clean)]
         return words
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word (int32 arrays)."""
-        out: list[np.ndarray | None] = [None] * len(words)
-        plain = []
+    def encode_words(self, words: list[str], dtype: str = "<u4") -> list[bytes]:
+        """Ids of each word as packed little-endian integers."""
+        out: list[bytes] = [b""] * len(words)
+        width, plain = np.dtype(dtype).itemsize, []
         for i, w in enumerate(words):
             if w in self.special:
-                out[i] = np.array([self.special[w]], np.int32)
+                out[i] = np.array([self.special[w]], dtype).tobytes()
             elif _SAFE.fullmatch(w) and "<|" not in w:
                 plain.append(i)
             else:
-                out[i] = self._one(w)
+                out[i] = self._one(w, dtype)
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(words[i] for i in some), add_special_tokens=False).ids, np.int32)
-            cuts = np.flatnonzero(self._ends[ids]) + 1
-            if len(cuts) == len(some):  # one end of word for each word
-                for i, part in zip(some, np.split(ids, cuts[:-1]), strict=True):
-                    out[i] = part
+            lines = [" ".join(words[i] for i in some[k : k + 1000]) for k in range(0, len(some), 1000)]
+            ids = np.array([x for e in self._plain.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], np.int64)
+            ends = ((np.flatnonzero(self._ends[ids]) + 1) * width).tolist()
+            if len(ends) == len(some):  # one end of word for each word
+                packed, start = ids.astype(dtype).tobytes(), 0
+                for i, end in zip(some, ends, strict=True):
+                    out[i] = packed[start:end]
+                    start = end
             else:
                 for i in some:
-                    out[i] = self._one(words[i])
+                    out[i] = self._one(words[i], dtype)
         return out
 
-    def _one(self, word: str) -> np.ndarray:
+    def _one(self, word: str, dtype: str) -> bytes:
         letters = "".join(self._letters[b] for b in word.encode("utf-8"))
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], np.int32)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], dtype).tobytes()
 
     def encode_texts(self, texts: list[str | None], dtype: str = "<u4") -> list[bytes]:
         """Ids of each text as packed little-endian integers; each new distinct word is encoded once."""
@@ -88,7 +94,6 @@ class WordEncoder:
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
             new = list(set().union(*split))
-        for w, ids in zip(new, self.encode_words(new), strict=True):
-            self.cache[w] = ids.astype(dtype).tobytes()
+        self.cache.update(zip(new, self.encode_words(new, dtype), strict=True))
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
