@@ -58,7 +58,9 @@ CLASS_NAMES = ("Not Subscribe", "Subscribe")
 # -------------------------------------------------------------- end of fixed values
 
 # Tokens that a survey CSV uses for "no answer" (pandas treats all as missing).
-NA_TOKENS: list[str] = ["", "NA", "N/A", "n/a", "NULL", "null", "None", "NaN", "nan", "<NA>", "#N/A"]
+NA_TOKENS: list[str] = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
 
 STATUS_FOUND = "Found"
 STATUS_CLEAN = "Clean"

@@ -30,16 +30,6 @@ def not_binary(c: str | Column) -> Column:
     return ~(x.eqNullSafe(0) | x.eqNullSafe(1))
 
 
-def safe_div(a: Column, b: Column, default: float | None = 0.0) -> Column:
-    """a / b, ``default`` when b is 0 or NULL (ANSI mode raises on /0)."""
-    q = F.try_divide(a, b)
-    return q if default is None else F.coalesce(q, F.lit(default))
-
-
-def round_half_even(c: Column, digits: int) -> Column:
-    return F.bround(c, digits)
-
-
 def split_hash(key: str | Column, seed: int = 42) -> Column:
     """32-bit bucket of ``md5('<seed>:<key>')`` — stable under repartitioning, same in DuckDB."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), col_of(key).cast("string")))
@@ -55,16 +45,18 @@ def is_test_row(key: str | Column, fraction: float = 0.2, seed: int = 42) -> Col
 
 
 def bitmask(flags: Sequence[str | Column]) -> Column:
-    """Integer with bit i set when flag i equals 1."""
-    acc = F.lit(0)
+    """Long with bit i set when flag i equals 1 (at most 62 flags)."""
+    if len(flags) > 62:
+        raise ValueError(f"a mask holds 62 flags, not {len(flags)}: use the basket path")
+    acc = F.lit(0).cast("long")
     for i, c in enumerate(flags):
-        acc = acc + F.when(col_of(c) == 1, F.lit(1 << i)).otherwise(F.lit(0))
-    return acc.cast("int")
+        acc = acc + F.when(col_of(c) == 1, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+    return acc
 
 
 def bit(i: Column) -> Column:
-    """2^i as an int (i is a column)."""
-    return F.pow(F.lit(2), i).cast("int")
+    """2^i as a long (i is a column)."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
 
 
 def has_bit(mask: Column, i: Column) -> Column:
@@ -104,7 +96,7 @@ def subsets_upto(mask: Column, n_items: int, max_size: int) -> Column:
             )
         )
 
-    return grow(None, F.lit(0), 1)
+    return grow(None, F.lit(0).cast("long"), 1)
 
 
 def proper_subsets(mask: Column, n_items: int, max_size: int) -> Column:

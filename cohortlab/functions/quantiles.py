@@ -16,10 +16,14 @@ refinement, with every task's memory bounded:
    range gives every value's rank, and only the rows holding a needed rank reach
    the driver.
 3. A larger window is split at its cut points (literals — a recomputed task
-   buckets identically); ``groupBy(window, bucket).count()`` (at most #windows x
-   ``buckets`` rows) tells which bucket holds each needed rank, and that bucket
-   becomes the next window.  Each round shrinks a window about ``buckets``-fold,
-   so even 10^12 distinct values need only two or three rounds of scans.
+   buckets identically), and a cut value v is a bucket of its own, ``[v, next double after v)``.  So a value that
+   holds most rows is found without ranking anything, and the next round cuts the rest *without* it.
+   ``groupBy(window, bucket).count()`` (at most #windows x 2 ``buckets`` rows) tells which bucket holds each
+   needed rank, and that bucket becomes the next window.  Every round splits every window, and the distinct values of a
+   window shrink about ``buckets``-fold per round, so even 10^12 of them need two or three rounds of scans.
+
+No task ranks more than ``max_exact`` distinct values (a sketch with 2 % error decides), whatever the distribution.
+NaN counts as missing, like NULL.
 
 The result is small (#columns x #probabilities rows) and returned as a literal
 frame, like ``DataFrame.approxQuantile``; later plans never re-run the ranking.
@@ -34,9 +38,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 8
-
-
 @dataclass
 class _Win:
     column: str
@@ -45,6 +46,10 @@ class _Win:
     offset: int  # number of values of the column below ``lo``
     ranks: set[int] = field(default_factory=set)
 
+    def single(self) -> bool:
+        """Whether the window holds one double only."""
+        return self.lo is not None and self.hi is not None and self.hi <= math.nextafter(self.lo, math.inf)
+
     def cond(self) -> Column:
         c = F.col("column") == F.lit(self.column)
         if self.lo is not None:
@@ -70,7 +75,7 @@ def _long_values(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -
     exprs = dict(columns) if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
     wide = df.select(*[e.cast("double").alias(name) for name, e in exprs.items()])
     long = wide.unpivot([], list(exprs), "column", "value")
-    return long.where(F.col("value").isNotNull())
+    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def _tag(long: DataFrame, wins: list[_Win]) -> DataFrame:
@@ -92,8 +97,9 @@ def _cut_points(long: DataFrame, wins: list[_Win], fractions: list[float], accur
     rows = {r["wid"]: r["cuts"] for r in _tag(long, wins).groupBy("wid").agg(F.percentile_approx("value", fractions, accuracy).alias("cuts")).collect()}
     out = []
     for i, w in enumerate(wins):
-        cs = rows.get(i) or []
-        out.append(sorted({float(x) for x in cs if (w.lo is None or x > w.lo) and (w.hi is None or x < w.hi)}))
+        cuts = {float(x) for x in rows.get(i) or []}
+        cuts |= {math.nextafter(x, math.inf) for x in cuts}
+        out.append(sorted(x for x in cuts if (w.lo is None or x > w.lo) and (w.hi is None or x < w.hi)))
     return out
 
 
@@ -168,20 +174,17 @@ def exact_quantiles(
     open_ = [(w, sk[i]) for i, w in enumerate(wins) if w.ranks]
 
     found: dict[tuple[str, int], float] = {}
-    for rnd in range(MAX_ROUNDS + 1):
-        if not open_:
-            break
-        small = [w for w, s in open_ if s["nd"] <= max_exact or rnd == MAX_ROUNDS]
-        large = [w for w, s in open_ if not (s["nd"] <= max_exact or rnd == MAX_ROUNDS)]
-        if large:
-            cuts = _cut_points(long, large, fractions, accuracy)
-            small += [w for w, cs in zip(large, cuts) if not cs]  # nothing to split at: rank it
-            large, cuts = [w for w, cs in zip(large, cuts) if cs], [cs for cs in cuts if cs]
+    while open_:
+        for w, _ in open_:
+            if w.single():
+                found.update({(w.column, r): w.lo + 0.0 for r in w.ranks})
+        small = [w for w, s in open_ if not w.single() and s["nd"] <= max_exact]
+        large = [w for w, s in open_ if not w.single() and s["nd"] > max_exact]
         if small:
             found.update(_exact(long, small))
         if not large:
             break
-        nxt = _refine(long, large, cuts)
+        nxt = _refine(long, large, _cut_points(long, large, fractions, accuracy))
         sk = _sketch(long, nxt)
         open_ = [(w, sk[i]) for i, w in enumerate(nxt)]
 

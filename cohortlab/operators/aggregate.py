@@ -107,18 +107,19 @@ def segment_profile(df: DataFrame, segment: str, c: SurveyColumns = SURVEY) -> D
     )
 
 
-def crosstab_wide(df: DataFrame, rows: str, cols: str, values: Sequence[str] | None = None) -> DataFrame:
-    """Counts of ``rows`` x ``cols`` with 0 for absent pairs (one column per ``cols`` value)."""
-    base = df.where(F.col(rows).isNotNull() & F.col(cols).isNotNull())
-    wide = base.groupBy(rows).pivot(cols, list(values) if values is not None else None).count()
-    return wide.fillna(0, subset=[x for x in wide.columns if x != rows])
-
+def crosstab_long(df: DataFrame, rows: str, cols: str, zeros: bool = True) -> DataFrame:
+    """Counts of ``rows`` x ``cols`` in long form; ``zeros`` adds the absent pairs.
 
-def crosstab_long(df: DataFrame, rows: str, cols: str, values: Sequence[str] | None = None) -> DataFrame:
-    """``crosstab_wide`` back in long form ``(rows, cols, n)``, zero cells included — no cross join."""
-    wide = crosstab_wide(df, rows, cols, values)
-    vals = [x for x in wide.columns if x != rows]
-    return wide.unpivot([rows], vals, cols, "n").select(rows, cols, F.col("n").cast("long").alias("n"))
+    The counts are one hash aggregate, whatever the numbers of values.  Zero cells are part of the result
+    by definition: each distinct row value is exploded over the distinct column values and joined to the counts.
+    """
+    base = df.where(F.col(rows).isNotNull() & F.col(cols).isNotNull())
+    counts = base.groupBy(rows, cols).agg(F.count(F.lit(1)).alias("n"))
+    if not zeros:
+        return counts
+    values = counts.agg(F.collect_set(cols)).scalar()
+    grid = counts.select(rows).distinct().select(rows, values.alias("__values")).select(rows, F.explode("__values").alias(cols))
+    return grid.join(counts, [rows, cols], "left").select(rows, cols, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def ordered_group_stats(df: DataFrame, key: str, value: str | Column, order: Sequence[str], digits: int = 2) -> DataFrame:

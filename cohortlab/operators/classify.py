@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.config import CLASS_NAMES
@@ -121,7 +121,9 @@ def predict_logistic(model: LogisticRegressionModel, stats: DataFrame, df: DataF
 
 
 def display_name(feature: str) -> str:
-    return feature.replace("_enc", "").replace("_ord", "").replace("_", " ").title()
+    """Words of a feature name without the marker of its encoding."""
+    words = feature.removesuffix("_enc").removesuffix("_ord").split("_")
+    return " ".join(w.capitalize() for w in words if w)
 
 
 def feature_importance(model: RandomForestClassificationModel, features: Sequence[str], spark, top: int = 12) -> DataFrame:
@@ -139,5 +141,5 @@ def compare(metrics: Mapping[str, DataFrame], score: str, first_wins_ties: str)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    winner = out.agg(F.max_by("model", F.struct(F.col(score), F.when(F.col("model") == first_wins_ties, 1).otherwise(0))))
-    return out.withColumn("winner", winner.scalar())
+    winner = F.max_by("model", F.struct(F.col(score), F.when(F.col("model") == first_wins_ties, 1).otherwise(0)))
+    return out.withColumn("winner", winner.over(Window.partitionBy(F.lit(1))))  # as many rows as models

@@ -2,21 +2,20 @@
 a hash-based train/test split and the documented target formulas.
 
 Statistics (means, population sds) are one-row aggregates passed as scalar
-subqueries; label codes come from ``StringIndexer`` (its label list is the
-model, bounded by the number of categories).
+subqueries; label codes are distributed ranks of the distinct values, joined back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.config import ORDINAL_SCALES, SURVEY, SurveyColumns
 from cohortlab.functions.exprs import is_test_row, ordinal_code, present
+from cohortlab.session import ensure_checkpoint_dir
 
 MISSING_LABEL = "nan"  # how a missing nominal answer is spelled before label encoding
 
@@ -27,52 +26,45 @@ def ordinal_encode(df: DataFrame, scales: Mapping[str, Mapping[str, int]] = ORDI
     return df.withColumns({f"{c}_ord": ordinal_code(c, scales[c], missing) for c in cols})
 
 
-def label_indexer(columns: Sequence[str]) -> Pipeline:
-    """``<c>_enc`` = position of the value among the sorted distinct values (from 0).
+def label_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(feature, value, code)``: position of each value among the sorted distinct values of its column, from 0.
 
-    One multi-column ``StringIndexer``: all label lists come from a single pass.
+    The distinct (column, value) pairs - deduplicated map-side - are sorted once over all executors; a pair's
+    number is its place within its partition plus the sizes of the partitions before it (one row per partition).
+    The sorted table is checkpointed, so both uses see the same partitions.  No limit on the number of values.
     """
-    si = StringIndexer(
-        inputCols=[f"{c}__s" for c in columns],
-        outputCols=[f"{c}_enc" for c in columns],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    )
-    return Pipeline(stages=[si])
-
-
-def _with_label_inputs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({f"{c}__s": F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LABEL)) for c in columns})
-
-
-def fit_label_encoder(df: DataFrame, columns: Sequence[str]) -> PipelineModel:
-    return label_indexer(columns).fit(_with_label_inputs(df, columns))
-
-
-def check_cardinality(df: DataFrame, columns: Sequence[str], max_categories: int) -> None:
-    """Refuse label encoding of a column with too many categories (the fitted label list is a
-    driver-side model and is broadcast to every task)."""
-    if not columns:
-        return
-    row = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in columns]).first()
-    big = {c: row[c] for c in columns if row[c] > max_categories}
-    if big:
-        raise ValueError(f"too many categories for label encoding (limit {max_categories}): {big}")
-
-
-def label_encode(df: DataFrame, columns: Sequence[str], model: PipelineModel | None = None, max_categories: int = 100_000) -> DataFrame:
+    pairs = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LABEL)).alias("value")) for c in columns])).alias("kv")
+    ).select("kv.*").distinct()
+    ensure_checkpoint_dir(df.sparkSession)
+    place = F.monotonically_increasing_id()  # partition number in the upper bits, place within it in the lower 33
+    ranked = pairs.sort("feature", "value").select("feature", "value", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")).checkpoint()
+    sizes = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = ranked.join(offsets, "part").select("feature", "value", (F.col("before") + F.col("at")).alias("number"))
+    first = numbered.groupBy("feature").agg(F.min("number").alias("first"))
+    return numbered.join(first, "feature").select("feature", "value", (F.col("number") - F.col("first")).cast("int").alias("code"))
+
+
+def label_encode(df: DataFrame, columns: Sequence[str], codes: DataFrame | None = None) -> DataFrame:
     """Add ``<c>_enc`` (int) for each column; a missing value is the category ``'nan'``.
 
-    Meant for nominal columns: the label list of each column is checked against
-    ``max_categories`` (HyperLogLog estimate) before it is fitted.
+    ``codes`` (from ``label_codes``) fits once and encodes other rows; a value it does not know gets the next free code.
+    Ordinary joins on the value: small code tables are broadcast by their size, large ones are shuffled.
     """
     cols = present(df, columns)
-    prepared = _with_label_inputs(df, cols)
-    if model is None:
-        check_cardinality(df, cols, max_categories)
-    m = model or label_indexer(cols).fit(prepared)
-    out = m.transform(prepared)
-    return out.withColumns({f"{c}_enc": F.col(f"{c}_enc").cast("int") for c in cols}).drop(*[f"{c}__s" for c in cols])
+    if not cols:
+        return df
+    table = label_codes(df, cols) if codes is None else codes
+    out = df
+    for c in cols:
+        own = table.where(F.col("feature") == c).select(F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"{c}_enc"))
+        out = out.withColumn(f"__v_{c}", F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LABEL))).join(own, f"__v_{c}", "left").drop(f"__v_{c}")
+        if codes is not None:
+            free = table.where(F.col("feature") == c).agg(F.coalesce(F.max("code") + 1, F.lit(0))).scalar()
+            out = out.withColumn(f"{c}_enc", F.coalesce(f"{c}_enc", free))
+    return out
 
 
 def category_catalog(df: DataFrame, columns: Sequence[str], shown: int = 3) -> DataFrame:
@@ -172,11 +164,9 @@ def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -
     return VectorAssembler(inputCols=list(features), outputCol=output).transform(df)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Input of an iterative fit: at least ``defaultParallelism`` partitions (one cheap shuffle when a
-    small input arrives in fewer), so every iteration uses all executor cores."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Input of an iterative fit, dealt evenly over the cores (one shuffle of the narrow fit input)."""
+    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
 
 
 def fit_cached(estimator, data: DataFrame):

@@ -41,10 +41,16 @@ def _cells(pairs: list[Column]) -> Column:
 
 
 # --------------------------------------------------------------------------- missing values
+def is_missing(df: DataFrame, name: str) -> Column:
+    """NULL, or not a number in a floating-point column."""
+    c = F.col(name)
+    return c.isNull() | F.isnan(c) if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else c.isNull()
+
+
 def missing_profile(df: DataFrame, digits: int = 2) -> DataFrame:
     """Per column: NULL count, percent of rows (rounded), suggested action — one scan."""
     cols = df.columns
-    row = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)])
+    row = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)])
     cells = [
         F.struct(F.lit(i + 1).alias("position"), F.lit(c).alias("feature"), F.col(f"m{i}").alias("missing_count"), F.col("__n").alias("n"))
         for i, c in enumerate(cols)
@@ -62,7 +68,7 @@ def missing_profile(df: DataFrame, digits: int = 2) -> DataFrame:
 def missing_total(df: DataFrame) -> DataFrame:
     total = None
     for c in df.columns:
-        e = F.count_if(F.col(c).isNull())
+        e = F.count_if(is_missing(df, c))
         total = e if total is None else total + e
     return df.agg(total.cast("long").alias("total_missing"))
 
@@ -124,12 +130,12 @@ def column_profile(df: DataFrame, key: str, exact: bool = True, rsd: float = 0.0
     return row.select(_cells(cells))
 
 
-def type_census(profile: DataFrame) -> DataFrame:
-    """Columns per display type and how many of them passed, from a ``column_profile``."""
-    return profile.groupBy("dtype").agg(
-        F.count(F.lit(1)).alias("n_columns"),
-        F.count_if(F.col("status") == "Correct").alias("n_correct"),
-        F.sum("unique_values").alias("sum_unique_values"),
+def type_census(df: DataFrame) -> DataFrame:
+    """Rows, and numbers of numeric, text and other columns (from the schema)."""
+    kinds = ["numeric" if isinstance(f.dataType, NUMERIC_TYPES) else "text" if isinstance(f.dataType, T.StringType) else "other" for f in df.schema.fields]
+    n = F.count(F.lit(1))
+    return df.agg(n.alias("n_rows")).select(
+        "n_rows", *[F.lit(kinds.count(k)).cast("long").alias(f"n_{k}") for k in ("numeric", "text", "other")], F.lit(len(kinds)).cast("long").alias("n_columns")
     )
 
 
@@ -186,14 +192,18 @@ def duplicate_profile(df: DataFrame, key: str) -> DataFrame:
     copies) are combined map-side before the shuffle.  NULLs compare equal.
     """
     others = [c for c in df.columns if c != key]
-
-    def extra(cols: list[str], kind: str, pos: int) -> DataFrame:
-        g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("cnt"))
-        return g.agg((F.sum("cnt") - F.count(F.lit(1))).cast("long").alias("n_duplicates")).select(
-            F.lit(pos).alias("position"), F.lit(kind).alias("kind"), "n_duplicates"
-        )
-
-    return extra(df.columns, "full_row", 1).unionByName(extra([key], "id", 2)).unionByName(extra(others, "answers_without_id", 3))
+    n = F.count(F.lit(1))
+    # whole rows and keys from one shuffle: the distinct rows of a key are counted again by key
+    by_row = df.groupBy(*df.columns).agg(n.alias("copies"))
+    by_key = by_row.groupBy(key).agg(F.sum("copies").alias("copies"), n.alias("rows"))
+    both = by_key.agg(F.sum("copies").alias("n"), F.sum("rows").alias("rows"), n.alias("ids"))
+    answers = df.groupBy(*others).agg(n.alias("copies")).agg((F.sum("copies") - n).alias("extra"))
+    row = both.select(F.col("n") - F.col("rows"), F.col("n") - F.col("ids"), answers.scalar()).toDF("full_row", "id", "answers_without_id")
+    cells = [
+        F.struct(F.lit(i + 1).alias("position"), F.lit(k).alias("kind"), F.coalesce(F.col(k), F.lit(0)).cast("long").alias("n_duplicates"))
+        for i, k in enumerate(row.columns)
+    ]
+    return row.select(_cells(cells))
 
 
 def drop_duplicates_exact(df: DataFrame) -> DataFrame:
@@ -201,6 +211,15 @@ def drop_duplicates_exact(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
+def drop_duplicate_ids(df: DataFrame, key: str) -> DataFrame:
+    """One row per key, the smallest one in column order (NULLs first) - the same whatever the partitioning.
+
+    A grouped minimum with map-side combine, so a key with very many copies costs a row per task.
+    """
+    others = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*others)).alias("__row")).select(*[F.col(c) if c == key else F.col("__row")[c].alias(c) for c in df.columns])
+
+
 # --------------------------------------------------------------------------- IQR outliers
 def iqr_fences(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
     """Exact Q1/Q3 (linear interpolation) and fences Q1 - k IQR, Q3 + k IQR per column (unrounded)."""
@@ -257,7 +276,7 @@ def outlier_summary(df: DataFrame, columns: Sequence[str], k: float = 1.5, digit
         r("lower_fence").alias("lower_fence"),
         r("upper_fence").alias("upper_fence"),
         F.col("outliers").cast("long").alias("outliers"),
-        F.format_string("%.1f%%", pct).alias("outlier_pct"),
+        F.format_string("%.1f%%", F.bround(pct, 1)).alias("outlier_pct"),
         F.when(pct > 1, F.lit(OUTLIER_CAP)).otherwise(F.lit(OUTLIER_RETAIN)).alias("action"),
     )
 
@@ -329,11 +348,18 @@ def box_stats_plain(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> Da
 
 
 # --------------------------------------------------------------------------- repairs
-def impute_median_mode(df: DataFrame) -> DataFrame:
-    """NULL numeric -> exact median (column becomes double); NULL string -> most frequent value
-    (ties -> smallest value).  Modes come from one ``groupBy(feature, value).count()``."""
-    num = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
-    txt = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+def impute_median_mode(df: DataFrame, columns: Sequence[str] | None = None, c: SurveyColumns = SURVEY) -> DataFrame:
+    """NULL numeric -> exact median; NULL string -> most frequent value (ties -> smallest value).
+
+    ``columns`` defaults to all but the key and the targets.  Only columns that have NULLs are touched: one scan
+    counts them, quantiles and modes are computed for those alone, and a whole-number column becomes
+    double only if it has something to fill.  Modes come from one ``groupBy(feature, value).count()``.
+    """
+    wanted = [x for x in (columns or df.columns) if columns or x not in (c.id, c.subscribe, c.mrr)]
+    have = df.agg(*[F.max(F.col(x).isNull()).alias(x) for x in wanted]).first() if wanted else None
+    holes = [x for x in wanted if have[x]]
+    num = [f.name for f in df.schema.fields if f.name in holes and isinstance(f.dataType, NUMERIC_TYPES)]
+    txt = [f.name for f in df.schema.fields if f.name in holes and isinstance(f.dataType, T.StringType)]
     med = None
     if num:
         medians = quantile_wide(df, num, {"median": 0.5})
@@ -349,13 +375,13 @@ def impute_median_mode(df: DataFrame) -> DataFrame:
     # fill values projected once as columns (one subquery each in the plan)
     base = df.select("*", *([med.alias("__med")] if med is not None else []), *([mode.alias("__mode")] if mode is not None else []))
     out = []
-    for c in df.columns:
-        if c in num:
-            out.append(F.coalesce(F.col(c).cast("double"), F.col("__med")[F.lit(c)]).alias(c))
-        elif c in txt:
-            out.append(F.coalesce(F.col(c), F.col("__mode")[F.lit(c)]).alias(c))
+    for x in df.columns:
+        if x in num:
+            out.append(F.coalesce(F.col(x).cast("double"), F.col("__med")[F.lit(x)]).alias(x))
+        elif x in txt:
+            out.append(F.coalesce(F.col(x), F.col("__mode")[F.lit(x)]).alias(x))
         else:
-            out.append(F.col(c))
+            out.append(F.col(x))
     return base.select(*out)
 
 
@@ -368,49 +394,79 @@ def drop_sparse_rows(df: DataFrame, max_missing_share: float = 0.30) -> DataFram
     return df.where(nulls / F.lit(len(df.columns)) <= F.lit(max_missing_share))
 
 
-def repair_rules(df: DataFrame, c: SurveyColumns = SURVEY) -> DataFrame:
-    """Apply the check actions: Free & WTP > 50 -> WTP 5; non-subscriber MRR -> 0; churn clipped
+def repair_expressions(c: SurveyColumns = SURVEY) -> dict[str, Column]:
+    """The check actions: Free & WTP > 50 -> WTP 5; non-subscriber MRR -> 0; churn clipped
     to [0, 1]; negative spend -> 0; flags rounded and clipped to {0, 1} (NULL stays NULL)."""
-    repl = {
+    out = {
         c.wtp: F.when((F.col(c.tier) == "Free") & (F.col(c.wtp) > 50), F.lit(5.0)).otherwise(F.col(c.wtp)),
         c.mrr: F.when((F.col(c.subscribe) == 0) & (F.col(c.mrr) > 0), F.lit(0.0)).otherwise(F.col(c.mrr)),
         c.churn: F.when(F.col(c.churn) < 0, F.lit(0.0)).when(F.col(c.churn) > 1, F.lit(1.0)).otherwise(F.col(c.churn)),
         c.spend: F.when(F.col(c.spend) < 0, F.lit(0.0)).otherwise(F.col(c.spend)),
     }
     for f in c.tools:
-        repl[f] = F.least(F.greatest(F.round(F.col(f)), F.lit(0)), F.lit(1)).cast("int")
-    return df.select(*[repl[x].alias(x) if x in repl else F.col(x) for x in df.columns])
-
-
-def pipeline_audit(df: DataFrame, key: str, c: SurveyColumns = SURVEY) -> DataFrame:
-    """Rows in / rows out / columns touched for each cleaning step, measured on ``df``."""
-    n = df.agg(F.count(F.lit(1)).cast("long").alias("n"))
-    dedup = drop_duplicates_exact(df)
-    n_dedup = dedup.agg(F.count(F.lit(1)).cast("long").alias("n"))
-    miss_cols = missing_profile(df).agg(F.count_if(F.col("missing_count") > 0).cast("long").alias("v"))
-    rules = run_checks(dedup, survey_rules(c)).agg(F.count_if(F.col("flagged") > 0).cast("long").alias("v"))
-    sparse = drop_sparse_rows(dedup).agg(F.count(F.lit(1)).cast("long").alias("n"))
-    base = n.select(
-        F.col("n").alias("__n"),
-        n_dedup.scalar().alias("__d"),
-        miss_cols.scalar().alias("__m"),
-        rules.scalar().alias("__r"),
-        sparse.scalar().alias("__s"),
-    )
-    s_n, s_d, s_m, s_r, s_s = (F.col(x) for x in ("__n", "__d", "__m", "__r", "__s"))
+        clipped = F.least(F.greatest(F.round(F.col(f)), F.lit(0)), F.lit(1)).cast("int")
+        out[f] = F.when(F.col(f).isNotNull(), clipped)  # greatest() skips NULL, so it has to be kept apart
+    return out
+
+
+def repair_rules(df: DataFrame, c: SurveyColumns = SURVEY) -> DataFrame:
+    """Apply ``repair_expressions``."""
+    fixed = repair_expressions(c)
+    return df.select(*[fixed[x].alias(x) if x in fixed else F.col(x) for x in df.columns])
+
+
+def pipeline_audit(df: DataFrame, c: SurveyColumns = SURVEY) -> DataFrame:
+    """Rows in, rows out and columns affected of each cleaning step, and a row of totals, measured on ``df``.
+
+    Winsorizing and repairs are applied to the de-duplicated rows and compared with them in one pass: a column
+    counts as affected if a step changes a value of it.  Encodings and targets count the columns they really add.
+    """
+    from cohortlab.operators.encode import derive_targets, ordinal_encode
+
+    names, n = df.columns, F.count(F.lit(1)).cast("long")
+    raw = df.agg(n.alias("n"), *[F.count_if(is_missing(df, x)).alias(x) for x in names])
+    missing = sum(((F.col(x) > 0).cast("long") for x in names), F.lit(0).cast("long"))
+    raw = raw.select(F.struct("n", missing.alias("missing")).alias("raw"))
+
+    rows = drop_duplicates_exact(df)
+    fences = fence_map(iqr_fences(rows, c.outlier_cols))
+    base = rows.select("*", fences.alias("__fm"))
+    clipped = {x: ~clip_to_fences(x, F.col("__fm")).eqNullSafe(F.col(x).cast("double")) for x in c.outlier_cols}
+    fixed = repair_expressions(c)
+    repaired = {x: ~e.eqNullSafe(F.col(x)) for x, e in fixed.items()}
+    marks = {f"o_{x}": e for x, e in clipped.items()} | {f"r_{x}": e for x, e in repaired.items()}
+    found = base.agg(n.alias("d"), *[F.coalesce(F.max(e), F.lit(False)).alias(k) for k, e in marks.items()])
+
+    def total(*columns: Column) -> Column:
+        return sum((x.cast("long") for x in columns), F.lit(0).cast("long"))
+
+    outliers = total(*[F.col(f"o_{x}") for x in clipped])
+    repairs = total(*[F.col(f"r_{x}") for x in repaired])
+    both = total(*[F.coalesce(F.col(f"o_{x}") if x in clipped else F.lit(False), F.lit(False)) | (F.col(f"r_{x}") if x in repaired else F.lit(False)) for x in {**clipped, **repaired}])
+    found = found.select("d", outliers.alias("outliers"), repairs.alias("repairs"), both.alias("both"), raw.scalar().alias("raw"))
+
+    typed = sum(dtype_display(f.dataType)[1] for f in df.schema.fields)
+    ordinal = len(ordinal_encode(rows).columns) - len(names)
+    nominal = len([x for x in c.nominal if x in names])
+    scaled = len([x for x in c.scale_cols if x in names])
+    targets = len(derive_targets(rows, c).columns) - 2  # next to the key and the score
+    count = lambda k: F.lit(k).cast("long")
+    first, d = F.col("raw")["n"], F.col("d")
     steps = [
-        (1, "Raw data ingestion", s_n, s_n, F.lit(len(df.columns)).cast("long")),
-        (2, "Missing value check", s_n, s_n, s_m),
-        (3, "Duplicate removal", s_n, s_d, F.lit(len(df.columns)).cast("long")),
-        (4, "Sparse row removal (> 30% missing)", s_d, s_s, F.lit(len(df.columns)).cast("long")),
-        (5, "Outlier winsorization", s_s, s_s, F.lit(len(c.outlier_cols)).cast("long")),
-        (6, "Consistency repairs", s_s, s_s, s_r),
-        (7, "Ordinal encoding", s_s, s_s, F.lit(len(c.ordinal)).cast("long")),
-        (8, "Label encoding", s_s, s_s, F.lit(len(c.nominal)).cast("long")),
-        (9, "Standard scaling", s_s, s_s, F.lit(len(c.scale_cols)).cast("long")),
+        ("1", "Raw Data Ingestion", first, first, count(len(names))),
+        ("2", "Missing Value Check", first, first, F.col("raw")["missing"]),
+        ("3", "Duplicate Removal", first, d, count(len(names))),
+        ("4", "Data Type Validation", d, d, count(typed)),
+        ("5", "Outlier Winsorization", d, d, F.col("outliers")),
+        ("6", "Consistency Checks", d, d, F.col("repairs")),
+        ("7a", "Ordinal Encoding", d, d, count(ordinal)),
+        ("7b", "Label Encoding (Nominal)", d, d, count(nominal)),
+        ("7c", "StandardScaler", d, d, count(scaled)),
+        ("7d", "Target Variable Derivation", d, d, count(targets)),
+        ("total", "All steps", first, d, F.col("both") + count(ordinal + nominal)),
     ]
     cells = [
-        F.struct(F.lit(i).alias("step"), F.lit(p).alias("process"), a.alias("rows_in"), b.alias("rows_out"), k.alias("cols_affected"))
-        for i, p, a, b, k in steps
+        F.struct(F.lit(k).alias("step"), F.lit(p).alias("process"), a.alias("rows_in"), b.alias("rows_out"), x.alias("cols_affected"))
+        for k, p, a, b, x in steps
     ]
-    return base.select(_cells(cells))
+    return found.select(_cells(cells))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.config import TOOL_LABELS
 from cohortlab.functions.broadcast import broadcast_if_bounded
-from cohortlab.functions.exprs import bit, bitmask, mask_items, proper_subsets, subsets_upto
+from cohortlab.functions.exprs import bit, bitmask, has_bit, mask_items, proper_subsets, subsets_upto
 from cohortlab.session import ensure_checkpoint_dir
 
 DEFAULT_SUPPORT = 0.15
@@ -38,23 +38,14 @@ def _n_itemsets(k: int, max_size: int) -> int:
 
 
 # --------------------------------------------------------------------------- flag path
-EAGER_MAX_FLAGS = 16  # up to 2^16 distinct baskets are collected as a small literal table
+def mask_counts(df: DataFrame, flags: Sequence[str]) -> DataFrame:
+    """``(mask long, cnt long)``: one row per distinct basket; the empty basket is mask 0.
 
-
-def mask_counts(df: DataFrame, flags: Sequence[str], eager: bool | None = None) -> DataFrame:
-    """``(mask int, cnt long)``: one row per distinct basket; the empty basket is mask 0.
-
-    With at most ``EAGER_MAX_FLAGS`` flags the table (at most 2^k rows) is computed once and
-    returned as a literal frame, so the scan of the source runs a single time however many
-    itemset and rule steps read it.
+    Checkpointed in the shared folder: the source is scanned once however many itemset and rule steps
+    read the table, and nothing of it goes through the driver.
     """
-    m = df.select(bitmask(flags).alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("cnt"))
-    if eager is None:
-        eager = len(flags) <= EAGER_MAX_FLAGS
-    if eager:
-        rows = [(r["mask"], r["cnt"]) for r in m.collect()]
-        return df.sparkSession.createDataFrame(rows, "mask int, cnt long")
-    return m
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.select(bitmask(flags).alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("cnt")).checkpoint()
 
 
 def label_of(mask: Column, labels: Sequence[str], sep: str) -> Column:
@@ -193,7 +184,7 @@ def fpgrowth_itemsets(baskets: DataFrame, min_support: float, items_col: str = "
     count in the denominator, NULL baskets do not.
     """
     b = baskets.where(F.col(items_col).isNotNull()).select(F.array_distinct(F.col(items_col)).alias("items"))
-    n = b.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n = F.lit(float(b.count()))
     fp = FPGrowth(itemsCol="items", minSupport=max(min_support * 0.999, 0.0), minConfidence=0.0)
     if partitions:
         fp = fp.setNumPartitions(partitions)
@@ -213,7 +204,7 @@ def itemsets_to_masks(itemsets: DataFrame, labels: Sequence[str], sep: str = " +
     arr = F.array(*[F.lit(x) for x in labels])
     mask = F.aggregate(
         F.transform(F.col("items"), lambda it: bit(F.array_position(arr, it).cast("int") - 1)),
-        F.lit(0),
+        F.lit(0).cast("long"),
         lambda acc, x: acc.bitwiseOR(x),
     )
     return itemsets.select(
@@ -221,24 +212,28 @@ def itemsets_to_masks(itemsets: DataFrame, labels: Sequence[str], sep: str = " +
     )
 
 
-def basket_rules(baskets: DataFrame, min_support: float, min_confidence: float, items_col: str = "items", digits: int = 4) -> DataFrame:
-    """Single-consequent rules of many-item baskets from FP-growth itemsets (exact supports).
+def basket_rules(baskets: DataFrame, min_support: float, min_confidence: float, items_col: str = "items", digits: int = 4, max_size: int | None = MAX_SIZE) -> DataFrame:
+    """Rules of many-item baskets from FP-growth itemsets (exact supports): every non-empty proper subset of a
+    frequent itemset is an antecedent, the rest its consequent.
 
     conf = count(S) / count(A), lift = conf / support(C); joins on the sorted item arrays.
     """
-    f = fpgrowth_itemsets(baskets, min_support, items_col)
-    big = f.where(F.col("size") >= 2)
-    cand = big.select(
-        F.col("items").alias("itemset"), F.col("count").alias("s_count"), F.col("support"), F.explode("items").alias("consequent_item")
-    ).withColumn("ant_items", F.array_remove("itemset", F.col("consequent_item")))
+    f = fpgrowth_itemsets(baskets, min_support, items_col, max_size)
+    subset = F.explode(F.sequence(F.lit(1).cast("long"), bit(F.col("size")) - 2)).alias("subset")  # bit i: item i is in the antecedent
+    split = f.where(F.col("size") >= 2).select(F.col("items").alias("itemset"), F.col("count").alias("s_count"), "support", subset)
+    cand = split.select(
+        "s_count",
+        "support",
+        F.filter("itemset", lambda _, i: has_bit(F.col("subset"), i)).alias("ant_items"),
+        F.filter("itemset", lambda _, i: ~has_bit(F.col("subset"), i)).alias("con_items"),
+    )
     a = f.select(F.col("items").alias("ant_items"), F.col("count").alias("a_count"))
-    c = f.where(F.col("size") == 1).select(F.col("items")[0].alias("consequent_item"), F.col("support").alias("c_support"))
-    j = cand.join(a, "ant_items").join(c, "consequent_item")
-    conf = F.col("s_count") / F.col("a_count")
-    r = j.withColumn("conf", conf).where(F.col("conf") >= F.lit(min_confidence))
+    c = f.select(F.col("items").alias("con_items"), F.col("support").alias("c_support"))
+    j = cand.join(a, "ant_items").join(c, "con_items")
+    r = j.withColumn("conf", F.col("s_count") / F.col("a_count")).where(F.col("conf") >= F.lit(min_confidence))
     return r.select(
         F.array_join("ant_items", ", ").alias("antecedent"),
-        F.col("consequent_item").alias("consequent"),
+        F.array_join("con_items", ", ").alias("consequent"),
         F.bround("support", digits).alias("support"),
         F.bround("conf", digits).alias("confidence"),
         F.bround(F.col("conf") / F.col("c_support"), digits).alias("lift"),

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.config import PERSONA_NAMES, SURVEY, SurveyColumns
-from cohortlab.functions.broadcast import broadcast_if_bounded
+from cohortlab.functions.broadcast import broadcast_if_bounded, broadcast_if_small
 from cohortlab.operators.encode import assemble, fit_cached, ordinal_encode, spread, standardize
 
 
@@ -44,7 +44,7 @@ def cluster_input(
 
 
 def fit_kmeans(vectors: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
-               features_col: str = "features", parallel: int = 8, feature_variance: float = 1.0) -> KMeansModel:
+               features_col: str = "features", parallel: int = 4, feature_variance: float = 1.0) -> KMeansModel:
     """Best of ``n_init`` K-Means runs (seeds seed..seed+n_init-1) by within-cluster sum of squares.
 
     ``tol`` is the usual relative criterion: stop when the summed squared centre shift is at
@@ -69,18 +69,6 @@ def fit_kmeans(vectors: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42,
     return min(fits, key=lambda t: (t[0], t[1]))[2]
 
 
-def kmeans_segments(df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, c: SurveyColumns = SURVEY) -> tuple[DataFrame, KMeansModel]:
-    """``(id, cluster, features)`` for every row, plus the fitted model."""
-    z, feats = cluster_input(df, c)
-    vec = spread(assemble(z, feats).select(c.id, "features")).cache()
-    try:
-        model = fit_kmeans(vec, k, n_init, seed)
-    finally:
-        vec.unpersist()
-    out = model.transform(vec).select(c.id, F.col("prediction").cast("int").alias("cluster"), "features")
-    return out, model
-
-
 def silhouette_spark(assigned: DataFrame, label: str = "cluster", features_col: str = "features") -> float:
     """Spark's squared-Euclidean silhouette (``ClusteringEvaluator``)."""
     ev = ClusteringEvaluator(predictionCol=label, featuresCol=features_col, metricName="silhouette", distanceMeasure="squaredEuclidean")
@@ -105,53 +93,29 @@ def _silhouette_value(a: Column, b: Column, n_own: Column) -> Column:
     )
 
 
-def silhouette_points(df: DataFrame, features: Sequence[str], label: str, max_inline: int = 256) -> DataFrame:
+def silhouette_points(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Per point squared-Euclidean silhouette ``s`` (0 for a point alone in its cluster).
 
     a = mean squared distance to the other points of its cluster = D(x, own) n/(n-1),
     b = min over other clusters of D(x, c), with D(x, c) = |x|^2 + Q_c/n_c - 2 x.S_c/n_c.
 
-    The per-cluster sums (k rows) are collected once when k <= ``max_inline`` and the
-    distances become plain column arithmetic (whole-stage code generation); above that
-    they stay a scalar subquery read by higher-order functions.
+    The per-cluster sums (one row per cluster) reach the points as one array (a scalar subquery, evaluated once);
+    distances, a and b are projected one after the other, each computed once per point.
     """
-    xs = [F.col(f).cast("double") for f in features]
-    pts = df.where(F.col(label).isNotNull()).select(F.col(label).alias("lab"), F.array(*xs).alias("x"), *[x.alias(f"x{i}") for i, x in enumerate(xs)])
-    stats = _cluster_sums(pts, len(features))
-    rows = stats.limit(max_inline + 1).collect()
-    if len(rows) <= max_inline:
-        norm = None
-        for i in range(len(features)):
-            t = F.col(f"x{i}") * F.col(f"x{i}")
-            norm = t if norm is None else norm + t
-        dists = []
-        for r in rows:
-            dot = None
-            for i in range(len(features)):
-                t = F.col(f"x{i}") * F.lit(float(r["s"][i]))
-                dot = t if dot is None else dot + t
-            d = norm + F.lit(float(r["q"])) / F.lit(float(r["n"])) - F.lit(2.0) * dot / F.lit(float(r["n"]))
-            dists.append((r["lab"], float(r["n"]), d))
-        is_own = lambda lab: F.col("lab") == F.lit(lab)
-        a = F.coalesce(*[F.when(is_own(lab), d * F.lit(n) / (F.lit(n) - F.lit(1.0))) for lab, n, d in dists])
-        n_own = F.coalesce(*[F.when(is_own(lab), F.lit(n)) for lab, n, _ in dists])
-        others = [F.when(~is_own(lab), d) for lab, _, d in dists]
-        b = F.least(*others) if len(others) > 1 else others[0]
-        return pts.select("lab", _silhouette_value(a, b, n_own).alias("s"))
-
-    # many clusters: sums as a scalar subquery (projected first; subqueries may not sit inside lambdas)
-    pts = pts.withColumn("cl", stats.agg(F.collect_list(F.struct("lab", "n", "s", "q")).alias("cl")).scalar())
-    cl = F.col("cl")
-    norm = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v)
+    pts = df.where(F.col(label).isNotNull()).select(F.col(label).alias("lab"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    sums = _cluster_sums(pts, len(features)).agg(F.collect_list(F.struct("lab", "n", "s", "q")).alias("cl")).scalar()
+    pts = pts.withColumn("cl", sums).withColumn("norm", F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v))
 
     def dist(c: Column) -> Column:
         dot = F.aggregate(F.zip_with("x", c["s"], lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        return norm + c["q"] / c["n"] - F.lit(2.0) * dot / c["n"]
+        return F.struct(c["lab"].alias("lab"), c["n"].alias("n"), (F.col("norm") + c["q"] / c["n"] - F.lit(2.0) * dot / c["n"]).alias("d"))
 
-    own = F.filter(cl, lambda c: c["lab"] == F.col("lab"))[0]
-    others = F.transform(F.filter(cl, lambda c: c["lab"] != F.col("lab")), dist)
-    a = dist(own) * own["n"] / (own["n"] - F.lit(1.0))
-    return pts.select("lab", _silhouette_value(a, F.array_min(others), own["n"]).alias("s"))
+    pts = pts.select("lab", F.transform("cl", dist).alias("ds"))
+    pts = pts.select("lab", F.get(F.filter("ds", lambda c: c["lab"] == F.col("lab")), F.lit(0)).alias("own"), F.filter("ds", lambda c: c["lab"] != F.col("lab")).alias("others"))
+    n_own = F.col("own")["n"]
+    alone = F.when(n_own > 1, F.col("own")["d"] * n_own / (n_own - F.lit(1.0)))
+    pts = pts.select("lab", n_own.alias("n_own"), alone.alias("a"), F.array_min(F.transform("others", lambda c: c["d"])).alias("b"))
+    return pts.select("lab", _silhouette_value(F.col("a"), F.col("b"), F.col("n_own")).alias("s"))
 
 
 def silhouette(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -179,8 +143,9 @@ def name_personas(df: DataFrame, segment: str, spend: str, names: Sequence[str]
     return prof.select(segment, rn.alias("spend_rank"), F.element_at(arr, F.least(rn, F.lit(len(names)))).alias("persona"))
 
 
-def with_persona(df: DataFrame, personas: DataFrame, segment: str, n_segments: int) -> DataFrame:
-    return df.join(broadcast_if_bounded(personas.select(segment, "persona"), n_segments), segment, "left")
+def with_persona(df: DataFrame, personas: DataFrame, segment: str) -> DataFrame:
+    """``df`` with the persona of its segment (one row per segment; broadcast after a count of those rows)."""
+    return df.join(broadcast_if_small(personas.select(segment, "persona")), segment, "left")
 
 
 def persona_rates(df: DataFrame, persona: str, flag: str) -> DataFrame:
@@ -232,16 +197,16 @@ def _ward_merge(centers: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     return np.array([rank[o] for o in owner])
 
 
-def ward_segments(vectors: DataFrame, key: str, k: int = 4, micro: int = 200, seed: int = 42) -> DataFrame:
-    """Ward clustering of the K-Means micro-cluster centroids, mapped back: ``(key, cluster, features)``."""
-    km = fit_cached(KMeans(k=micro, seed=seed, maxIter=50, initMode="k-means||"), vectors)
+def ward_segments(vectors: DataFrame, key: str, k: int = 4, micro: int = 200, seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
+    """Ward clustering of the K-Means micro-cluster centroids, mapped back: ``(key, cluster, features, *keep)``."""
+    km = fit_cached(KMeans(k=micro, seed=seed, maxIter=50, initMode="k-means||"), vectors.select("features"))
     assigned = km.transform(vectors).withColumnRenamed("prediction", "micro")
     sizes = {r["micro"]: r["n"] for r in assigned.groupBy("micro").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= micro rows
     centers = np.array(km.clusterCenters())
     ids = sorted(sizes)
     labels = _ward_merge(centers[ids], np.array([sizes[i] for i in ids]), k)
     mapping = vectors.sparkSession.createDataFrame([(int(i), int(l)) for i, l in zip(ids, labels)], "micro int, cluster int")
-    return assigned.join(broadcast_if_bounded(mapping, micro), "micro").select(key, "cluster", "features")
+    return assigned.join(broadcast_if_bounded(mapping, micro), "micro").select(key, "cluster", "features", *keep)
 
 
 def bisecting_segments(vectors: DataFrame, key: str, k: int = 4, seed: int = 42) -> DataFrame:

@@ -263,18 +263,17 @@ _FREQ_SELECT = "SELECT items, size, CAST(cnt AS BIGINT) AS count, round(support,
 
 
 def _basket_rules_sql(conf: float) -> str:
-    # single-item consequents: antecedent = itemset without the consequent item
     return f"""
 SELECT a.items AS antecedent, c.items AS consequent, round_even(s.support, 4) AS support,
        round_even(s.cnt / a.cnt, 4) AS confidence, round_even(s.cnt / a.cnt / c.support, 4) AS lift
 FROM freq s
-JOIN freq c ON c.size = 1 AND list_contains(string_split(s.items, ', '), c.items)
-JOIN freq a ON a.size = s.size - 1 AND a.items = array_to_string(list_filter(string_split(s.items, ', '), lambda x: x <> c.items), ', ')
+JOIN freq a ON a.size < s.size AND list_has_all(string_split(s.items, ', '), string_split(a.items, ', '))
+JOIN freq c ON c.items = array_to_string(list_filter(string_split(s.items, ', '), lambda x: NOT list_contains(string_split(a.items, ', '), x)), ', ')
 WHERE s.size >= 2 AND s.cnt / a.cnt >= {conf}"""
 
 
 def _fp_itemsets_out(baskets, min_sup):
-    f = ar.fpgrowth_itemsets(baskets, min_sup)
+    f = ar.fpgrowth_itemsets(baskets, min_sup, max_size=ar.MAX_SIZE)
     return f.select(F.array_join("items", ", ").alias("items"), "size", "count", F.round("support", 6).alias("support"))
 
 

@@ -73,13 +73,15 @@ def column_profile(spark, sf_dir):
 @register(
     "type_census",
     with_survey(
-        "SELECT dtype, CAST(count(*) AS BIGINT) AS n_columns, CAST(count(*) FILTER (WHERE status = 'Correct') AS BIGINT) AS n_correct, "
-        "CAST(sum(unique_values) AS BIGINT) AS sum_unique_values FROM cp GROUP BY dtype",
-        "cp AS (" + _profile_sql() + ")",
+        "SELECT (SELECT count(*) FROM survey) AS n_rows, CAST(count(*) FILTER (WHERE t IN ('BIGINT', 'INTEGER', 'DOUBLE')) AS BIGINT) AS n_numeric, "
+        "CAST(count(*) FILTER (WHERE t = 'VARCHAR') AS BIGINT) AS n_text, "
+        "CAST(count(*) FILTER (WHERE t NOT IN ('BIGINT', 'INTEGER', 'DOUBLE', 'VARCHAR')) AS BIGINT) AS n_other, CAST(count(*) AS BIGINT) AS n_columns FROM ty",
+        "one AS (SELECT * FROM survey LIMIT 1)",
+        "ty AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, typeof({c}) AS t FROM one" for c in SURVEY_COLUMNS) + ")",
     ),
 )
 def type_census(spark, sf_dir):
-    return prof.type_census(prof.column_profile(survey(spark, sf_dir), C.id))
+    return prof.type_census(survey(spark, sf_dir))
 
 
 # ----------------------------------------------------------------------------- business rules
@@ -189,7 +191,7 @@ _out_counts = " UNION ALL ".join(
         """
 SELECT f.position, f.feature, round_even(q1, 2) AS q1, round_even(q3, 2) AS q3, round_even(lower_fence, 2) AS lower_fence,
        round_even(upper_fence, 2) AS upper_fence, CAST(o.outliers AS BIGINT) AS outliers,
-       printf('%.1f%%', o.outliers / o.n * 100) AS outlier_pct,
+       printf('%.1f%%', round_even(o.outliers / o.n * 100, 1)) AS outlier_pct,
        CASE WHEN o.outliers / o.n * 100 > 1 THEN '""" + OUTLIER_CAP + """' ELSE '""" + OUTLIER_RETAIN + """' END AS action
 FROM fences f JOIN oc o ON f.feature = o.feature""",
         _fences_cte(),
@@ -238,14 +240,19 @@ def box_stats(spark, sf_dir):
 
 # ----------------------------------------------------------------------------- repairs
 _NUM = [c for c in SURVEY_COLUMNS if c in INT_COLS or c in FLOAT_COLS]
-_TXT = [c for c in SURVEY_COLUMNS if c not in _NUM]
+
+
+_FILL = [c for c in SURVEY_COLUMNS if c not in ("respondent_id", "will_subscribe", "estimated_mrr_usd")]
 
 
 def _impute_sql() -> str:
     cols = []
     for c in SURVEY_COLUMNS:
-        if c in _NUM:
-            cols.append(f"round(coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM survey)), 6) AS {c}")
+        if c not in _FILL:
+            cols.append(c)
+        elif c in _NUM:
+            # only a column with holes is filled; the survey has them in one numeric column
+            cols.append(f"round(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM survey)), 6) AS {c}" if c == "wtp_monthly_usd" else c)
         else:
             mode = f"(SELECT {c} FROM survey WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} ASC LIMIT 1)"
             cols.append(f"coalesce({c}, {mode}) AS {c}")
@@ -255,7 +262,18 @@ def _impute_sql() -> str:
 @register("impute_median_mode", with_survey(_impute_sql()))
 def impute_median_mode(spark, sf_dir):
     i = prof.impute_median_mode(survey(spark, sf_dir))
-    return i.select(*[F.round(c, 6).alias(c) if c in _NUM else F.col(c) for c in i.columns])
+    return i.withColumn("wtp_monthly_usd", F.round("wtp_monthly_usd", 6))
+
+
+@register(
+    "dedup_ids",
+    with_survey(
+        "SELECT DISTINCT * FROM survey_dirty",  # planted copies of an id are whole-row copies, so both agree there
+        dirty=True,
+    ),
+)
+def dedup_ids(spark, sf_dir):
+    return prof.drop_duplicate_ids(dirty(spark, sf_dir), C.id)
 
 
 _null_sum = " + ".join(f"CAST({c} IS NULL AS INT)" for c in SURVEY_COLUMNS)
@@ -266,16 +284,16 @@ def drop_sparse_rows(spark, sf_dir):
     return prof.drop_sparse_rows(dirty(spark, sf_dir))
 
 
+_REPAIRED = {
+    "wtp_monthly_usd": "CASE WHEN preferred_subscription_tier = 'Free' AND wtp_monthly_usd > 50 THEN 5.0 ELSE wtp_monthly_usd END",
+    "estimated_mrr_usd": "CASE WHEN will_subscribe = 0 AND estimated_mrr_usd > 0 THEN 0.0 ELSE estimated_mrr_usd END",
+    "churn_risk_score": "CASE WHEN churn_risk_score < 0 THEN 0.0 WHEN churn_risk_score > 1 THEN 1.0 ELSE churn_risk_score END",
+    "monthly_spend_on_ai_usd": "CASE WHEN monthly_spend_on_ai_usd < 0 THEN 0.0 ELSE monthly_spend_on_ai_usd END",
+} | {f: f"CASE WHEN {f} IS NOT NULL THEN CAST(least(greatest(round({f}), 0), 1) AS INTEGER) END" for f in C.tools}
+
+
 def _repair_sql() -> str:
-    repl = {
-        "wtp_monthly_usd": "CASE WHEN preferred_subscription_tier = 'Free' AND wtp_monthly_usd > 50 THEN 5.0 ELSE wtp_monthly_usd END",
-        "estimated_mrr_usd": "CASE WHEN will_subscribe = 0 AND estimated_mrr_usd > 0 THEN 0.0 ELSE estimated_mrr_usd END",
-        "churn_risk_score": "CASE WHEN churn_risk_score < 0 THEN 0.0 WHEN churn_risk_score > 1 THEN 1.0 ELSE churn_risk_score END",
-        "monthly_spend_on_ai_usd": "CASE WHEN monthly_spend_on_ai_usd < 0 THEN 0.0 ELSE monthly_spend_on_ai_usd END",
-    }
-    for f in C.tools:
-        repl[f] = f"CAST(least(greatest(round({f}), 0), 1) AS INTEGER)"
-    return "SELECT " + ", ".join(f"{repl[c]} AS {c}" if c in repl else c for c in SURVEY_COLUMNS) + " FROM survey_dirty"
+    return "SELECT " + ", ".join(f"{_REPAIRED[c]} AS {c}" if c in _REPAIRED else c for c in SURVEY_COLUMNS) + " FROM survey_dirty"
 
 
 @register("repair_rules", with_survey(_repair_sql(), dirty=True))
@@ -285,37 +303,50 @@ def repair_rules(spark, sf_dir):
 
 def _audit_sql() -> str:
     n = "(SELECT count(*) FROM survey_dirty)"
-    d = "(SELECT count(*) FROM (SELECT DISTINCT * FROM survey_dirty))"
+    d = "(SELECT count(*) FROM dd)"
     m = "(SELECT count(*) FROM mp WHERE missing_count > 0)"
-    s = f"(SELECT count(*) FROM (SELECT DISTINCT * FROM survey_dirty) WHERE ({_null_sum}) / 25 <= 0.3)"
-    r = "(SELECT count(*) FROM rc WHERE flagged > 0)"
+
+    def changed(c: str) -> str:
+        """Whether a step changes a value of the column."""
+        parts = []
+        if c in OUT:
+            parts.append(f"(SELECT count(*) FROM dd WHERE {c} < {_fence(c, 'lower_fence')} OR {c} > {_fence(c, 'upper_fence')}) > 0")
+        if c in _REPAIRED:
+            parts.append(f"(SELECT count(*) FROM dd WHERE ({_REPAIRED[c]}) IS DISTINCT FROM {c}) > 0")
+        return "CAST((" + " OR ".join(parts) + ") AS INTEGER)"
+
+    o = " + ".join(f"CAST((SELECT count(*) FROM dd WHERE {c} < {_fence(c, 'lower_fence')} OR {c} > {_fence(c, 'upper_fence')}) > 0 AS INTEGER)" for c in OUT)
+    r = " + ".join(f"CAST((SELECT count(*) FROM dd WHERE ({e}) IS DISTINCT FROM {c}) > 0 AS INTEGER)" for c, e in _REPAIRED.items())
+    both = " + ".join(changed(c) for c in {**dict.fromkeys(OUT), **_REPAIRED})
     rows = [
-        (1, "Raw data ingestion", n, n, "25"),
-        (2, "Missing value check", n, n, m),
-        (3, "Duplicate removal", n, d, "25"),
-        (4, "Sparse row removal (> 30% missing)", d, s, "25"),
-        (5, "Outlier winsorization", s, s, "5"),
-        (6, "Consistency repairs", s, s, r),
-        (7, "Ordinal encoding", s, s, "6"),
-        (8, "Label encoding", s, s, "5"),
-        (9, "Standard scaling", s, s, "4"),
+        ("1", "Raw Data Ingestion", n, n, "25"),
+        ("2", "Missing Value Check", n, n, m),
+        ("3", "Duplicate Removal", n, d, "25"),
+        ("4", "Data Type Validation", d, d, "25"),
+        ("5", "Outlier Winsorization", d, d, o),
+        ("6", "Consistency Checks", d, d, r),
+        ("7a", "Ordinal Encoding", d, d, "6"),
+        ("7b", "Label Encoding (Nominal)", d, d, "5"),
+        ("7c", "StandardScaler", d, d, "4"),
+        ("7d", "Target Variable Derivation", d, d, "3"),
+        ("total", "All steps", n, d, f"{both} + 11"),
     ]
     body = " UNION ALL ".join(
-        f"SELECT {i} AS step, '{p}' AS process, CAST({a} AS BIGINT) AS rows_in, CAST({b} AS BIGINT) AS rows_out, CAST({k} AS BIGINT) AS cols_affected"
+        f"SELECT '{i}' AS step, '{p}' AS process, CAST({a} AS BIGINT) AS rows_in, CAST({b} AS BIGINT) AS rows_out, CAST({k} AS BIGINT) AS cols_affected"
         for i, p, a, b, k in rows
     )
     return with_survey(
         body,
         "mp AS (" + _missing_sql("survey_dirty") + ")",
         "dd AS (SELECT DISTINCT * FROM survey_dirty)",
-        "rc AS (" + _checks_sql("dd") + ")",
+        _fences_cte("dd"),
         dirty=True,
     )
 
 
 @register("pipeline_audit", _audit_sql())
 def pipeline_audit(spark, sf_dir):
-    return prof.pipeline_audit(dirty(spark, sf_dir), C.id)
+    return prof.pipeline_audit(dirty(spark, sf_dir))
 
 
 def _zq_sql() -> str:

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
 from cohortlab.plans.registry import register, survey, table_name
 from cohortlab.plans.survey_sql import with_survey
-from cohortlab.session import ensure_checkpoint_dir
+from cohortlab.session import run_path
 from cohortlab.sources.csv_io import cast_failures, read_survey, write_csv
 from cohortlab.sources.survey import SURVEY_COLUMNS
 
 
-def _csv_path(spark, sf_dir: str) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), "tables", table_name(sf_dir, "survey_csv"))
-
-
 def _roundtrip_path(spark, sf_dir: str) -> str:
-    path = _csv_path(spark, sf_dir)
+    path = run_path(spark, "csv", table_name(sf_dir, "survey"))
     write_csv(survey(spark, sf_dir), path)
     return path
 
@@ -53,16 +47,13 @@ def csv_cast_failures(spark, sf_dir):
 )
 def stream_kpis_by_user_type(spark, sf_dir):
     """The survey exported as several CSV uploads, aggregated by the streaming KPI query (one availableNow run)."""
-    import uuid
-
     from pyspark.sql import functions as F
 
     from cohortlab.streaming.uploads import run_once
 
-    run = uuid.uuid4().hex[:12]
-    folder = os.path.join(ensure_checkpoint_dir(spark), "uploads", f"{table_name(sf_dir, 'survey')}_{run}")
-    write_csv(survey(spark, sf_dir).repartition(4), folder)
-    out = run_once(spark, folder, f"kpis_{run}")
+    folder = run_path(spark, "uploads", table_name(sf_dir, "survey"))
+    write_csv(survey(spark, sf_dir), folder)
+    out = run_once(spark, folder, folder.rsplit("/", 1)[-1])
     return out.select(
         "user_type", "n", *[F.round(c, 6).alias(c) for c in ("rate_pct", "avg_wtp", "avg_tools_used", "avg_mrr")]
     )
@@ -79,6 +70,6 @@ def filtered_csv(spark, sf_dir):
     from cohortlab.operators.aggregate import facet_filter
     from cohortlab.plans.overview import EXPLORER_FACETS
 
-    path = os.path.join(ensure_checkpoint_dir(spark), "tables", table_name(sf_dir, "filtered_csv"))
+    path = run_path(spark, "csv", table_name(sf_dir, "filtered"))
     write_csv(facet_filter(survey(spark, sf_dir), EXPLORER_FACETS), path)
     return read_survey(spark, path)

@@ -16,7 +16,7 @@ from cohortlab.operators import classify as cls
 from cohortlab.operators import encode as enc
 from cohortlab.operators import forecast as fc
 from cohortlab.plans.encoding import split_sql
-from cohortlab.plans.registry import derived, register, survey
+from cohortlab.plans.registry import cached, derived, register, survey
 from cohortlab.plans.survey_sql import with_survey
 
 C = SURVEY
@@ -196,16 +196,6 @@ def forecast_by_tier(spark, sf_dir):
 
 
 # ----------------------------------------------------------------------------- fitted models (rows-only)
-_FITS: dict = {}
-
-
-def _fit(spark, sf_dir, name, fn):
-    key = (id(spark.sparkContext._jsc), sf_dir, name)
-    if key not in _FITS:
-        _FITS[key] = fn()
-    return _FITS[key]
-
-
 def _split(spark, sf_dir):
     m = model_frame(spark, sf_dir)
     return m.where(F.col("split") == "train"), m.where(F.col("split") == "test"), m
@@ -213,25 +203,25 @@ def _split(spark, sf_dir):
 
 def _rf(spark, sf_dir):
     train, test, _ = _split(spark, sf_dir)
-    model = _fit(spark, sf_dir, "rf", lambda: cls.fit_random_forest(train, FEATS, C.subscribe))
+    model = cached(spark, sf_dir, "fit_rf", lambda: cls.fit_random_forest(train, FEATS, C.subscribe))
     return model, cls.predict_rf(model, test, FEATS, [C.id, C.subscribe])
 
 
 def _lr(spark, sf_dir):
     train, test, _ = _split(spark, sf_dir)
-    model, stats = _fit(spark, sf_dir, "lr", lambda: cls.fit_logistic(train, FEATS, C.subscribe))
+    model, stats = cached(spark, sf_dir, "fit_lr", lambda: cls.fit_logistic(train, FEATS, C.subscribe))
     return model, cls.predict_logistic(model, stats, test, FEATS, [C.id, C.subscribe])
 
 
 def _gbt(spark, sf_dir):
     train, test, allrows = _split(spark, sf_dir)
-    model = _fit(spark, sf_dir, "gbt", lambda: fc.fit_gbt(train, FEATS, C.mrr))
+    model = cached(spark, sf_dir, "fit_gbt", lambda: fc.fit_gbt(train, FEATS, C.mrr))
     return model, fc.predict_gbt(model, test, FEATS, [C.id, C.mrr]), fc.predict_gbt(model, allrows, FEATS, [C.id, C.mrr, C.tier])
 
 
 def _ols(spark, sf_dir):
     train, test, _ = _split(spark, sf_dir)
-    model, stats = _fit(spark, sf_dir, "ols", lambda: fc.fit_linear(train, FEATS, C.mrr))
+    model, stats = cached(spark, sf_dir, "fit_ols", lambda: fc.fit_linear(train, FEATS, C.mrr))
     return model, fc.predict_linear(model, stats, test, FEATS, [C.id, C.mrr])
 
 
@@ -276,6 +266,16 @@ def rf_classification_report(spark, sf_dir):
     return cls.classification_report(_rf(spark, sf_dir)[1], C.subscribe, "prediction")
 
 
+@register("lr_confusion_matrix")
+def lr_confusion_matrix(spark, sf_dir):
+    return cls.confusion_matrix(_lr(spark, sf_dir)[1], C.subscribe, "prediction")
+
+
+@register("lr_classification_report")
+def lr_classification_report(spark, sf_dir):
+    return cls.classification_report(_lr(spark, sf_dir)[1], C.subscribe, "prediction")
+
+
 @register("gbt_predictions")
 def gbt_predictions(spark, sf_dir):
     return _gbt(spark, sf_dir)[1]
@@ -302,6 +302,11 @@ def gbt_fit_limits(spark, sf_dir):
     return fc.fit_limits(_gbt(spark, sf_dir)[1], C.mrr, "prediction")
 
 
+@register("linreg_fit_limits")
+def linreg_fit_limits(spark, sf_dir):
+    return fc.fit_limits(_ols(spark, sf_dir)[1], C.mrr, "prediction")
+
+
 @register("gbt_histogram")
 def gbt_histogram(spark, sf_dir):
     return fc.histogram(_gbt(spark, sf_dir)[1], "prediction", 30)
@@ -346,7 +351,7 @@ def algorithm_summary(spark, sf_dir):
     rows = [
         ("Classification", "Random Forest", "Logistic Regression", "F1", rf_f1, lr_f1, w_cls),
         ("Clustering", "K-Means", "Agglomerative (Ward)", "Silhouette (squared Euclidean)", km_s, ward_s, w_clu),
-        ("Association Rules", "Apriori", "FP-Growth", "Rules", n_ap, n_fp, "Apriori (transparency)"),
+        ("Association Rules", "Apriori", "FP-Growth", "Rules", n_ap, n_fp, "Apriori" if n_ap >= n_fp else "FP-Growth"),
         ("Regression", "Gradient Boosting", "Linear Regression", "R2", gb_r2, ols_r2, w_reg),
     ]
     return spark.createDataFrame(

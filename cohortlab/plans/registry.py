@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlab.session import materialize
 from cohortlab.sources.survey import survey_dirty, survey_view
+from cohortlab.sources.tables import TABLES
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
-_MATERIALIZED: dict[tuple, DataFrame] = {}
+_CACHES: WeakKeyDictionary[SparkSession, dict] = WeakKeyDictionary()
 
 
 def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
@@ -29,8 +31,29 @@ def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     return deco
 
 
-def _key(spark: SparkSession, sf_dir: str, what: str) -> tuple:
-    return (id(spark.sparkContext._jsc), sf_dir, what)
+def fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the files of a folder's tables: another value as soon as the data changes."""
+    jvm = spark._jvm
+    found = []
+    for t in TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            found += [f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in fs.listStatus(path)]
+    return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def cached(spark: SparkSession, sf_dir: str, what: str, build: Callable[[], object]):
+    """``build()`` once per session and state of the data.  The results live as long as the session object."""
+    store = _CACHES.setdefault(spark, {})
+    key = (sf_dir, fingerprint(spark, sf_dir), what)
+    if key not in store:
+        store[key] = build()
+    return store[key]
+
+
+def _has(spark: SparkSession, sf_dir: str, what: str) -> bool:
+    return (sf_dir, fingerprint(spark, sf_dir), what) in _CACHES.get(spark, {})
 
 
 def table_name(sf_dir: str, what: str) -> str:
@@ -40,9 +63,7 @@ def table_name(sf_dir: str, what: str) -> str:
 def use_materialized_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the survey view once under the shared checkpoint folder; later queries of this
     session read the written table (lineage cut, survives executor loss)."""
-    df = materialize(survey_view(spark, sf_dir), table_name(sf_dir, "survey"))
-    _MATERIALIZED[_key(spark, sf_dir, "survey")] = df
-    return df
+    return cached(spark, sf_dir, "survey", lambda: materialize(survey_view(spark, sf_dir), table_name(sf_dir, "survey")))
 
 
 def derived(spark: SparkSession, sf_dir: str, what: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -51,18 +72,15 @@ def derived(spark: SparkSession, sf_dir: str, what: str, build: Callable[[], Dat
     When the survey was materialized for this session, the derived table is written once
     too (same shared folder) and every later query reads it; otherwise it stays lazy.
     """
-    key = _key(spark, sf_dir, what)
-    if key in _MATERIALIZED:
-        return _MATERIALIZED[key]
-    if _key(spark, sf_dir, "survey") not in _MATERIALIZED:
+    if not _has(spark, sf_dir, "survey"):
         return build()
-    df = materialize(build(), table_name(sf_dir, what))
-    _MATERIALIZED[key] = df
-    return df
+    return cached(spark, sf_dir, what, lambda: materialize(build(), table_name(sf_dir, what)))
 
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _MATERIALIZED.get(_key(spark, sf_dir, "survey")) or survey_view(spark, sf_dir)
+    if _has(spark, sf_dir, "survey"):
+        return use_materialized_survey(spark, sf_dir)
+    return survey_view(spark, sf_dir)
 
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:

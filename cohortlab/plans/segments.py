@@ -6,6 +6,7 @@ K-Means, Ward and bisecting K-Means results are checked by row counts only.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortlab.config import PERSONA_NAMES, SURVEY
@@ -13,7 +14,7 @@ from cohortlab.operators import aggregate as agg
 from cohortlab.operators import segment as seg
 from cohortlab.operators.encode import assemble, spread
 from cohortlab.plans.encoding import ord_sql
-from cohortlab.plans.registry import register, survey
+from cohortlab.plans.registry import cached, register, survey
 from cohortlab.plans.survey_sql import with_survey
 
 C = SURVEY
@@ -88,7 +89,7 @@ def persona_names(spark, sf_dir):
 )
 def persona_rates(spark, sf_dir):
     s = survey(spark, sf_dir)
-    p = seg.with_persona(s, seg.name_personas(s, C.user_type, C.spend), C.user_type, 100)
+    p = seg.with_persona(s, seg.name_personas(s, C.user_type, C.spend), C.user_type)
     r = seg.persona_rates(p, "persona", C.subscribe)
     return r.select("persona", F.round("rate_pct", 6).alias("rate_pct"), "n")
 
@@ -112,9 +113,6 @@ def scatter_bins(spark, sf_dir):
 
 
 # ----------------------------------------------------------------------------- fitted segmentations (rows-only)
-_MODELS: dict = {}
-
-
 def _kmeans(spark, sf_dir, k=K):
     """Labelled survey (all columns + cluster + features), assignments and model.
 
@@ -128,14 +126,15 @@ def _kmeans(spark, sf_dir, k=K):
     s2 = s.select(*s.columns, *[F.col(c).alias(f"raw__{c}") for c in collide])
     z, feats = seg.cluster_input(s2, keep=s2.columns)
     vec = assemble(z, feats)
-    key = (id(spark.sparkContext._jsc), sf_dir, k)
-    if key not in _MODELS:
+
+    def fit():
         fit_input = spread(vec.select(C.id, "features")).cache()
         try:
-            _MODELS[key] = seg.fit_kmeans(fit_input, k)
+            return seg.fit_kmeans(fit_input, k)
         finally:
             fit_input.unpersist()
-    model = _MODELS[key]
+
+    model = cached(spark, sf_dir, f"kmeans_{k}", fit)
     orig = [F.col(f"raw__{c}").alias(c) if c in collide else F.col(c) for c in s.columns]
     labelled = model.transform(vec).select(*orig, F.col("prediction").cast("int").alias("cluster"), "features")
     return labelled, labelled.select(C.id, "cluster", "features"), model
@@ -197,8 +196,29 @@ def clustering_comparison(spark, sf_dir):
         sil = seg.silhouette(seg.features_to_columns(a, FEATS), FEATS, "cluster")
         parts.append(sil.select(F.lit(name).alias("method"), "silhouette", "n"))
     both = parts[0].unionByName(parts[1])
-    best = both.agg(F.max_by("method", F.struct("silhouette", F.when(F.col("method") == "K-Means", 1).otherwise(0))).alias("winner"))
-    return both.select("method", F.round("silhouette", 4).alias("silhouette"), "n", best.scalar().alias("winner"))
+    best = F.max_by("method", F.struct("silhouette", F.when(F.col("method") == "K-Means", 1).otherwise(0))).over(Window.partitionBy(F.lit(1)))  # two rows
+    return both.select("method", F.round("silhouette", 4).alias("silhouette"), "n", best.alias("winner"))
+
+
+@register("kmeans_persona_rates")
+def kmeans_persona_rates(spark, sf_dir):
+    """Subscribe rate of the K-Means personas."""
+    s, _, _ = _kmeans(spark, sf_dir)
+    return seg.persona_rates(seg.with_persona(s, seg.name_personas(s, "cluster", C.spend), "cluster"), "persona", C.subscribe)
+
+
+@register("kmeans_scatter_bins")
+def kmeans_scatter_bins(spark, sf_dir):
+    s, _, _ = _kmeans(spark, sf_dir)
+    return seg.scatter_bins(s, C.spend, C.wtp, "cluster")
+
+
+@register("ward_scatter_bins")
+def ward_scatter_bins(spark, sf_dir):
+    s = survey(spark, sf_dir)
+    z, feats = seg.cluster_input(s.withColumns({"raw_x": F.col(C.spend), "raw_y": F.col(C.wtp)}), keep=["raw_x", "raw_y"])
+    w = seg.ward_segments(assemble(z, feats).select(C.id, "features", "raw_x", "raw_y"), C.id, k=K, keep=["raw_x", "raw_y"])
+    return seg.scatter_bins(w, "raw_x", "raw_y", "cluster")
 
 
 @register(

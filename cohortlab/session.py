@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,14 +41,17 @@ def get_session(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used as is.  Only when the
-    session has none (local tests) a scratch folder is created and set.
+    The folder named by ``spark.checkpoint.dir`` is used as is.  Only when a
+    *local* session has none (tests) a scratch folder is created and set; on a
+    cluster every executor would write to its own disk there, so that raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     configured = spark.conf.get("spark.checkpoint.dir", None)
     path = configured or current
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="cohortlab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not current:
@@ -60,6 +63,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def run_path(spark: SparkSession, kind: str, name: str) -> str:
+    """A new path under the shared folder; the run id keeps callers from overwriting each other."""
+    return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), kind, f"{name}_{uuid.uuid4().hex[:12]}"])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing ``df`` under the shared checkpoint folder and reading it back.
 
@@ -67,7 +75,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     checkpointed frame) and later stages read it with pushdown and pruning.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = os.path.join(root, "tables", name)
-    df.write.mode("overwrite").parquet(path)
+    path = run_path(spark, "tables", name)
+    df.write.parquet(path)
     return spark.read.parquet(path)

@@ -56,11 +56,13 @@ def _typed(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.StringType):
         return c
     if isinstance(dt, (T.IntegerType, T.LongType)):
-        # "1.0" is a valid integer answer in exported files: go through double when it is integral
-        as_int = c.try_cast(dt.simpleString())
-        via_double = c.try_cast("double")
-        integral = F.when(via_double == F.floor(via_double), via_double.cast(dt.simpleString()))
-        return F.coalesce(as_int, integral)
+        # "1.0" and "1e3" are valid integers in exported files; decimals keep every digit, and what is
+        # too large for the type is NULL like any other value that does not fit
+        number = F.coalesce(c.try_cast("decimal(38,6)"), c.try_cast("double").try_cast("decimal(38,6)"))
+        return F.when(number == F.floor(number), number.try_cast(dt.simpleString()))
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        number = c.try_cast(dt.simpleString())
+        return F.when(~F.isnan(number), number)  # not a number is no answer
     return c.try_cast(dt.simpleString())
 
 

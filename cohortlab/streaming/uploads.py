@@ -11,8 +11,6 @@ resumes without recounting files.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +22,9 @@ from cohortlab.sources.csv_io import SURVEY_SCHEMA, _typed, null_tokens
 
 
 def typed_upload_stream(spark: SparkSession, folder: str, schema: T.StructType = SURVEY_SCHEMA, max_files: int = 100) -> DataFrame:
+    # enforceSchema off: a file whose header has other names or another order raises instead of being read by position
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.readStream.schema(text).option("header", True).option("maxFilesPerTrigger", max_files).csv(folder)
+    raw = spark.readStream.schema(text).option("header", True).option("enforceSchema", False).option("maxFilesPerTrigger", max_files).csv(folder)
     return raw.select(*[_typed(null_tokens(F.col(f.name)), f.dataType).alias(f.name) for f in schema.fields])
 
 
@@ -46,7 +45,7 @@ def kpis_by_group(stream: DataFrame, key: str, c: SurveyColumns = SURVEY) -> Dat
 
 def start_kpi_query(spark: SparkSession, folder: str, name: str, key: str = "user_type", processing_time: str | None = None) -> StreamingQuery:
     """Start the streaming KPI aggregation into an in-memory table ``name`` (for dashboards / tests)."""
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
+    ckpt = "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "streams", name])
     w = kpis_by_group(typed_upload_stream(spark, folder), key).writeStream.outputMode("complete").format("memory").queryName(name)
     w = w.option("checkpointLocation", ckpt)
     if processing_time:
@@ -56,7 +55,7 @@ def start_kpi_query(spark: SparkSession, folder: str, name: str, key: str = "use
 
 def run_once(spark: SparkSession, folder: str, name: str, key: str = "user_type") -> DataFrame:
     """Process every file present in ``folder`` and return the KPI table (``availableNow`` trigger)."""
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
+    ckpt = "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "streams", name])
     q = (
         kpis_by_group(typed_upload_stream(spark, folder), key)
         .writeStream.outputMode("complete")
