@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.llm.bpe import balanced_keys
-from cohortlab.llm.common import WordHashes, save, small_batches, split_words, window_hashes
+from cohortlab.llm.common import WordHashes, discard, save, small_batches, split_words, window_hashes
 from cohortlab.llm.fm_index import FMIndex
 from cohortlab.session import shuffle_partitions
 
@@ -305,14 +305,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     occurrences = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
         lambda left, right: _occurrences(left, right, keys), "block long, doc_id long, row long, start long, anchor long, words string"
     )
-    seen = save(occurrences.withColumn("key", F.unhex(F.md5("words"))), "substring-segments")
+    seen = save(occurrences, "substring-segments")
 
-    distinct = save(seen.groupBy("key", "anchor").agg(F.min("doc_id").alias("first"), F.first("words").alias("words")), "substring-distinct")
+    distinct = save(seen.groupBy("words", "anchor").agg(F.min("doc_id").alias("first")), "substring-distinct")
     hot = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
+    hot = save(hot, "substring-hot")
 
     def parts(table: DataFrame) -> DataFrame:
         """Segments as they are, those of hot anchors as single windows."""
-        marked = table.join(hot, "anchor", "left")
+        marked = table.withColumn("key", F.unhex(F.md5("words"))).join(hot, "anchor", "left")
         words = F.split("words", " ")
         single = marked.where("hot").withColumn("w", words).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("w") - WINDOW)))
         window = F.concat_ws(" ", F.slice("w", F.col("i") + 1, WINDOW))
@@ -327,6 +328,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = max(n, -(-size // SHARD_WORDS))
     searched = indexed.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(_search, "key binary, first long, cuts array<long>")
     searched = save(searched, "substring-found")
+    discard(distinct)
 
     spots = parts(seen).select("block", "doc_id", "row", (F.col("start") + F.col("offset")).alias("start"), F.size(F.split("words", " ")).alias("n"), "key")
     spots = spots.join(searched, "key")
