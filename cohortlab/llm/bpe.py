@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.llm.common import small_batches
 from cohortlab.llm.packing import default_vocabulary
-from cohortlab.llm.wordbpe import WordEncoder
+from cohortlab.llm.wordbpe import WordEncoder, id_to_piece
 from cohortlab.session import shuffle_partitions
 
 #: Bytes of text in a packed run of documents, and distinct words a task gathers before it hands them on.
@@ -68,15 +68,16 @@ def _chunks(batches, keys: list[int]):
         yield chunk()
 
 
-def _texts(batch_or_table) -> list[tuple[list, list[str]]]:
-    out, unpack = [], zstandard.ZstdDecompressor()
-    for row in batch_or_table.to_pylist():
+def _texts(chunks):
+    """Ids and texts of one chunk after the other."""
+    unpack = zstandard.ZstdDecompressor()
+    for k in range(chunks.num_rows):
+        row = chunks.slice(k, 1).to_pylist()[0]
         raw, at, texts = unpack.decompress(row["texts"]), 0, []
         for n in row["lengths"]:
             texts.append(raw[at : at + n].decode("utf-8", "surrogatepass"))
             at += n
-        out.append((row["doc_ids"], texts))
-    return out
+        yield row["doc_ids"], texts
 
 
 def _words(batches, keys: list[int], path: str):
@@ -94,11 +95,10 @@ def _words(batches, keys: list[int], path: str):
         found.clear()
 
     for batch in batches:
-        for i, block in enumerate(batch.column(0).to_pylist()):
-            for _, texts in _texts(batch.slice(i, 1)):
-                words = found.setdefault(block, set())
-                for t in texts:
-                    words.update(encoder.split(t))
+        for block, (_, texts) in zip(batch.column(0).to_pylist(), _texts(batch), strict=True):
+            words = found.setdefault(block, set())
+            for t in texts:
+                words.update(encoder.split(t))
         if sum(map(len, found.values())) >= WORDS:
             yield from rows()
     yield from rows()
@@ -135,14 +135,15 @@ def _join(chunks: pa.Table, table: pa.Table, path: str) -> pa.Table:
         for w, end in zip(words, ends.tolist(), strict=True):
             ids_of[w] = ids[at:end]
             at = end
-    docs, flat, sizes = [], [], []
+    docs, flat, sizes = [], bytearray(), []
     get = ids_of.__getitem__
     for doc_ids, texts in _texts(chunks):
         docs += doc_ids
         for t in texts:
-            flat.append(b"".join(map(get, encoder.split(t))))
-            sizes.append(len(flat[-1]) // 4)
-    values = np.frombuffer(b"".join(flat), "<i4")
+            before = len(flat)
+            flat += b"".join(map(get, encoder.split(t)))
+            sizes.append((len(flat) - before) // 4)
+    values = np.frombuffer(flat, "<i4")
     offsets = pa.array(np.cumsum([0, *sizes], dtype=np.int32))
     return pa.Table.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(values))], schema=ENCODED)
 
@@ -168,7 +169,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
 
 def _pieces(batches, path: str):
-    pieces = np.array(WordEncoder(path).pieces, dtype=object)
+    pieces = np.array(id_to_piece(path), dtype=object)
     for batch in batches:
         ids = batch.column(1)
         flat, at = pieces[ids.flatten().to_numpy(zero_copy_only=False)], 0

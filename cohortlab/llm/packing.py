@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.broadcast import broadcast_if_small
 from cohortlab.llm.common import save, small_batches
-from cohortlab.llm.wordbpe import WordEncoder
+from cohortlab.llm.wordbpe import WordEncoder, id_to_piece
 
 LENGTH, END_ID = 4096, 2
 
@@ -37,7 +37,7 @@ def default_vocabulary() -> str:
 
 def _encode(batches, path: str, end: int):
     encoder, part, before = WordEncoder(path), TaskContext.get().partitionId(), 0
-    dtype = "<u2" if len(encoder.pieces) <= 1 << 16 and end < 1 << 16 else "<u4"
+    dtype = "<u2" if max(len(id_to_piece(path)), end) < 1 << 16 else "<u4"
     width, tail = np.dtype(dtype).itemsize, np.array([end], dtype).tobytes()
     for batch in batches:
         ids = [x + tail for x in encoder.encode_texts(batch.column(1).to_pylist(), dtype)]

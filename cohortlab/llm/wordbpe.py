@@ -7,7 +7,9 @@ that could hold a special token, goes through the library's own normalizer and p
 
 from __future__ import annotations
 
+import json
 import re
+from functools import cached_property
 
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
@@ -29,22 +31,49 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def id_to_piece(path: str) -> list[str]:
+    """The vocabulary's table of pieces by id, added tokens included (from the file alone)."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    pieces = {i: piece for piece, i in data["model"]["vocab"].items()} | {t["id"]: t["content"] for t in data["added_tokens"]}
+    return [pieces.get(i, "") for i in range(max(pieces) + 1)]
+
+
 class WordEncoder:
     """Encodes words to ids with a vocabulary file; keeps what it has encoded."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pieces = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self._specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self._ends = np.array([p.endswith("</w>") for p in self.pieces])
-        self._letters = _byte_letters()
-        # the same merges for words that are split and normalised already
-        self._plain = Tokenizer(self.tokenizer.model)
-        self._plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.path = path
         self.cache: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """Loaded when first needed: splitting plain texts does without it."""
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def special(self) -> dict[str, int]:
+        return {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+
+    @cached_property
+    def _specials(self) -> re.Pattern:
+        return re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+
+    @cached_property
+    def _plain(self) -> Tokenizer:
+        """The same merges for words that are split and normalised already."""
+        out = Tokenizer(self.tokenizer.model)
+        out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return out
+
+    @cached_property
+    def _ends(self) -> np.ndarray:
+        return np.array([p.endswith("</w>") for p in id_to_piece(self.path)])
+
+    @cached_property
+    def _letters(self) -> dict[int, str]:
+        return _byte_letters()
+
     def split(self, text: str) -> list[str]:
         if "<|" not in text and _SAFE.fullmatch(text):
             return _WORDS.findall(text.lower())
