@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import small_batches
+from cohortlab.llm.common import discard, save, small_batches
 
 MAX_FIT_ROWS, MAX_ENTRIES, MAX_CANDIDATES = 40_000, 2_000, 60_000
 MIN_TOXIC, MIN_WEIGHT = 8, 3.0
@@ -174,10 +174,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Lexicon()
     chosen = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in sample], "doc_id long, toxic int"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "doc_id").select("text", "toxic")
+    rows = save(rows, "toxicity-sample")  # at most max_rows documents: one scan of the corpus
     by_label = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = by_label.get(1, 0), by_label.get(0, 0)
     share = math.log((n_toxic + 0.5) / (n_clean + 0.5))
     if not n_toxic or not n_clean:
+        discard(rows)
         return Lexicon(intercept=share if n_toxic else -30.0)
 
     counts = "entry string, toxic int, n long"
@@ -211,6 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lexicon.exceptions = tuple(sorted(r["phrase"] for r in by_phrase.orderBy(F.desc("n"), "phrase").limit(MAX_ENTRIES).collect()))
 
     scored = rows.mapInArrow(partial(_fit_rows, lexicon=lexicon, phrases=False), "phrase string, toxic int, x double").select("toxic", "x").collect()
+    discard(rows)
     lexicon.slope, lexicon.intercept = logistic(np.array([math.log1p(r["x"]) for r in scored]), np.array([float(r["toxic"]) for r in scored]))
     return lexicon
 
