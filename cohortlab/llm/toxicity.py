@@ -10,8 +10,8 @@ entry if a beginning of it is an entry of no less weight.
 Phrases (an entry's word with its left or right neighbour) that occur in clean texts and not in toxic ones are exceptions: a
 match inside them does not count.  The sum of the weights of the matches, per 100 words (with a floor on the length, so that one
 word in a short text does not outweigh ten in a long one), is calibrated to a probability by a logistic curve.
-The fit uses at most ``MAX_FIT_ROWS`` labelled rows, those with the smallest hash of their id; the lexicon has at
-most ``MAX_ENTRIES`` entries.  Scoring covers every row and needs no shuffle: the lexicon (bounded) goes to the tasks.
+The fit uses at most ``MAX_FIT_ROWS`` labelled rows, those with the smallest hash of their id, and the ``MAX_CANDIDATES`` candidates
+in the most toxic texts of these; the lexicon has at most ``MAX_ENTRIES`` entries.  Scoring covers every row and needs no shuffle: the lexicon (bounded) goes to the tasks.
 
 Null and empty texts have no match: they score like any text without one.  Null labels don't take part in the fit; a null id is held
 out and scored.  Repeated rows score alike.  An empty table gives no row; without labels of both kinds the lexicon is empty and
