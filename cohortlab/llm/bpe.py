@@ -124,32 +124,32 @@ def _encode_words(batches, path: str):
         yield pa.RecordBatch.from_pylist(out, TABLE)
 
 
-def _join(chunks: pa.Table, table: pa.Table, path: str) -> pa.Table:
-    """Ids of the texts of one block: its words' ids, by position."""
+def _join(chunks: pa.Table, table: pa.Table, path: str, schema: pa.Schema) -> pa.Table:
+    """Ids of the texts of one block (its words' ids, by position) and, if the schema has it, the decoded text."""
     encoder, unpack = WordEncoder(path), zstandard.ZstdDecompressor()
+    pieces = np.array(id_to_piece(path), dtype=object) if "decoded" in schema.names else None
     ids_of: dict[str, bytes] = {}
-    for row in table.to_pylist():
+    for k in range(table.num_rows):
+        row = table.slice(k, 1).to_pylist()[0]
         words = unpack.decompress(row["words"]).decode().split("\n")
         ends = np.cumsum(np.frombuffer(unpack.decompress(row["counts"]), "<u4").astype(np.int64)) * 4
         ids, at = unpack.decompress(row["ids"]), 0
         for w, end in zip(words, ends.tolist(), strict=True):
             ids_of[w] = ids[at:end]
             at = end
-    docs, flat, sizes = [], bytearray(), []
-    get = ids_of.__getitem__
-    for doc_ids, texts in _texts(chunks):
-        docs += doc_ids
-        for t in texts:
-            before = len(flat)
-            flat += b"".join(map(get, encoder.split(t)))
-            sizes.append((len(flat) - before) // 4)
-    values = np.frombuffer(flat, "<i4")
-    offsets = pa.array(np.cumsum([0, *sizes], dtype=np.int32))
-    return pa.Table.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(values))], schema=ENCODED)
-
-
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``doc_id, ids array<int>`` of every row."""
+    get, out = ids_of.__getitem__, []
+    for doc_ids, texts in _texts(chunks):  # a batch for each chunk
+        flat = [np.frombuffer(b"".join(map(get, encoder.split(t))), "<i4") for t in texts]
+        offsets = pa.array(np.cumsum([0, *map(len, flat)], dtype=np.int32))
+        columns = [pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat)))]
+        if pieces is not None:
+            columns.append(pa.array([" ".join(pieces[x]) for x in flat], pa.string()))
+        out.append(pa.RecordBatch.from_arrays(columns, schema=schema))
+    return pa.Table.from_batches(out, schema)
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, decoded: bool = False) -> DataFrame:
+    """``doc_id, ids array<int>`` of every row; ``decoded`` adds the text that the ids decode to, in the same task."""
     spark = docs.sparkSession
     small_batches(spark)
     path = vocabulary or default_vocabulary()
@@ -162,10 +162,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     words = blocks.mapInArrow(partial(_words, keys=keys, path=path), schema).repartition(n, "home")
     table = words.mapInArrow(partial(_encode_words, path=path), schema)
 
+    shape = pa.schema([*ENCODED, ("decoded", pa.string())]) if decoded else ENCODED
+
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _join(left, right, path)
+        return _join(left, right, path, shape)
 
-    return blocks.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(join, "doc_id long, ids array<int>")
+    columns = "doc_id long, ids array<int>" + (", decoded string" if decoded else "")
+    return blocks.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(join, columns)
 
 
 def _pieces(batches, path: str):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm.bpe import decode, encode
+from cohortlab.llm.bpe import encode
 from cohortlab.llm.common import read_table
 from cohortlab.llm.embedding_dedup import near_vectors
 from cohortlab.llm.license_scan import scan_licenses
@@ -74,7 +74,7 @@ FROM p LEFT JOIN f USING (payload_digest)
 
 @query
 def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = decode(encode(read_table(spark, sf_dir, "documents")))
+    texts = encode(read_table(spark, sf_dir, "documents"), decoded=True)
     return texts.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

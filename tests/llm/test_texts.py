@@ -34,6 +34,8 @@ def test_encode_and_decode_match_the_library(docs, rows, library):
     want = [(i, ids_of(library, t)) for i, t, _ in rows]
     assert sorted(((r.doc_id, list(r.ids)) for r in got), key=str) == sorted(want, key=str)
     assert all(r.decoded == library.decode(list(r.ids), skip_special_tokens=False) for r in got)
+    both = bpe.encode(docs, decoded=True).collect()
+    assert sorted(map(str, both)) == sorted(map(str, got))
 
 
 def test_encode_of_nothing(no_docs):
