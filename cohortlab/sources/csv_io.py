@@ -1,13 +1,20 @@
-"""Survey CSV in and out.
+"""Survey CSV in and out (RFC 4180).
 
-Reading: every column is read as a string (no inference pass over the data),
-the usual "no answer" tokens become NULL, then each column is ``try_cast`` to
-the explicit schema — a bad value gives NULL instead of failing the job, and
-``cast_failures`` counts them per column.
+Reading: fields may be quoted, a quote inside a quoted field is doubled, and a quoted field may hold delimiters and line breaks.
+Every column is read as a string (no inference pass over the data), the usual "no answer" tokens become NULL (as they stand: ``' NA'`` is a
+value), then each column is ``try_cast`` to the explicit schema - a bad value gives NULL instead of failing the job, and
+``cast_failures`` counts them per column.  A row with too few fields keeps those it has, the others are NULL; of a row with too many
+the first ones stay.  Both are kept in ``MALFORMED`` as they stand in the file, and ``malformed_rows`` counts them per file.
+
+A file whose quoted fields hold line breaks cannot be split between tasks.  ``files_with_breaks`` finds those files in one split scan (a
+line with an odd number of quotes begins or ends such a field); only they are read whole, all others are split as usual.
+
+A header that has other names or another order than that of the first file raises: columns are never taken by position.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlab.config import NA_TOKENS
+from cohortlab.functions.exprs import require_columns
 
 SURVEY_SCHEMA = T.StructType(
     [
@@ -47,9 +55,14 @@ SURVEY_SCHEMA = T.StructType(
 )
 
 
+#: Column with the text of a row that has too few or too many fields.
+MALFORMED = "_malformed"
+#: Quotes inside quoted fields are doubled, in both directions; blanks belong to the value.
+DIALECT = {"sep": ",", "quote": '"', "escape": '"', "header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def null_tokens(c: Column, tokens: Sequence[str] = NA_TOKENS) -> Column:
-    t = F.trim(c)
-    return F.when(t.isin(list(tokens)), F.lit(None).cast("string")).otherwise(c)
+    return F.when(c.isin(list(tokens)), F.lit(None).cast("string")).otherwise(c)
 
 
 def _typed(c: Column, dt: T.DataType) -> Column:
@@ -66,30 +79,98 @@ def _typed(c: Column, dt: T.DataType) -> Column:
     return c.try_cast(dt.simpleString())
 
 
-def read_csv_strings(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    return spark.read.option("header", header).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
+def files_with_breaks(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``(file)``: files in which a quoted field may hold a line break - some line has an odd number of quotes."""
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return lines.where(quotes % 2 == 1).select("file").distinct()
+
+
+def _files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """The data files under ``path`` (Spark lists them for any reader; nothing is read)."""
+    return sorted(spark.read.text(path).inputFiles())
+
+
+def csv_header(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """Column names of the first file."""
+    return spark.read.options(**DIALECT).option("multiLine", True).csv(_files(spark, path)[:1] or path).columns
 
 
-def read_survey(spark: SparkSession, path: str, schema: T.StructType = SURVEY_SCHEMA, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
+def read_csv_strings(spark: SparkSession, path: str | Sequence[str], line_breaks: bool | None = None) -> DataFrame:
+    """All columns of the CSV files as strings, and ``MALFORMED``.
+
+    ``line_breaks``: whether quoted fields may hold line breaks; None finds out which files have them (one more scan).
+    """
+    names = csv_header(spark, path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, MALFORMED)])
+
+    def read(files: str | Sequence[str], whole: bool) -> DataFrame:
+        # without column pruning every field is looked at, whatever is selected: else no row would have too few of them
+        return (
+            spark.read.options(**DIALECT)
+            .options(multiLine=whole, mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED, enforceSchema=False, columnPruning=False)
+            .schema(schema)
+            .csv(files)
+        )
+
+    if line_breaks is not None:
+        return read(path, line_breaks)
+    broken = {r["file"] for r in files_with_breaks(spark, path).collect()}  # file names, which the driver lists anyway
+    if not broken:
+        return read(path, False)
+    rest = [f for f in _files(spark, path) if f not in broken]
+    parts = [read(sorted(broken), True), *([read(rest, False)] if rest else [])]
+    return parts[0].unionByName(parts[1]) if rest else parts[0]
+
+
+def read_survey(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType = SURVEY_SCHEMA, tokens: Sequence[str] = NA_TOKENS, line_breaks: bool | None = None
+) -> DataFrame:
     """CSV with header -> typed frame of ``schema`` (columns missing from the file raise KeyError)."""
-    raw = read_csv_strings(spark, path)
-    missing = [f.name for f in schema.fields if f.name not in raw.columns]
-    if missing:
-        raise KeyError(f"missing required columns: {missing}")
-    return raw.select(*[_typed(null_tokens(F.col(f.name), tokens), f.dataType).alias(f.name) for f in schema.fields])
+    raw = read_csv_strings(spark, path, line_breaks)
+    require_columns(raw, [f.name for f in schema.fields])
+    return raw.select(*[_typed(null_tokens(F.col(f"`{f.name}`"), tokens), f.dataType).alias(f.name) for f in schema.fields])
 
 
-def cast_failures(spark: SparkSession, path: str, schema: T.StructType = SURVEY_SCHEMA, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
+def cast_failures(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = SURVEY_SCHEMA, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
     """Per column: values present in the file that did not cast to the schema type."""
     raw = read_csv_strings(spark, path)
     aggs = []
     for f in schema.fields:
-        v = null_tokens(F.col(f.name), tokens)
+        v = null_tokens(F.col(f"`{f.name}`"), tokens)
         aggs.append(F.count_if(v.isNotNull() & _typed(v, f.dataType).isNull()).cast("long").alias(f.name))
     row = raw.agg(*aggs)
-    return row.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("feature"), F.col(f.name).alias("failures")) for f in schema.fields])))
-
-
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Rows to a CSV folder (one part file per partition), header row, no index; NULL as empty."""
-    df.write.mode(mode).option("header", True).csv(path)
+    return row.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("feature"), F.col(f"`{f.name}`").alias("failures")) for f in schema.fields])))
+
+
+def malformed_rows(spark: SparkSession, path: str | Sequence[str], line_breaks: bool | None = None) -> DataFrame:
+    """``(file, rows, malformed, cut_short)`` per file: all rows, those with too few or too many fields, and those of them without a last field."""
+    raw = read_csv_strings(spark, path, line_breaks)
+    odd, last = F.col(MALFORMED).isNotNull(), F.col(f"`{raw.columns[-2]}`")
+    return raw.groupBy(F.input_file_name().alias("file")).agg(
+        F.count(F.lit(1)).cast("long").alias("rows"), F.count_if(odd).cast("long").alias("malformed"), F.count_if(odd & last.isNull()).cast("long").alias("cut_short")
+    )
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False, order_by: Sequence[str] = ()) -> None:
+    """Rows to a CSV folder (one part file per partition), header row, no index; NULL as empty, quotes doubled.
+
+    ``order_by`` sorts the rows over all parts.  ``single_file`` makes ``path`` itself one file, as spreadsheets want it: one task
+    writes it (in a stream, whatever its size), then it is renamed.
+    """
+    out = df.orderBy(*order_by) if order_by else df
+    if not single_file:
+        out.write.mode(mode).options(**DIALECT).csv(path)
+        return
+    spark = df.sparkSession
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target) and mode != "overwrite":
+        raise FileExistsError(path)
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}.parts")
+    out.coalesce(1).write.options(**DIALECT).csv(folder.toString())
+    part = fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "part-*"))
+    fs.delete(target, True)
+    fs.rename(part[0].getPath(), target)
+    fs.delete(folder, True)

@@ -18,13 +18,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cohortlab.config import SURVEY, SurveyColumns
 from cohortlab.session import ensure_checkpoint_dir
-from cohortlab.sources.csv_io import SURVEY_SCHEMA, _typed, null_tokens
+from cohortlab.sources.csv_io import DIALECT, SURVEY_SCHEMA, _typed, null_tokens
 
 
 def typed_upload_stream(spark: SparkSession, folder: str, schema: T.StructType = SURVEY_SCHEMA, max_files: int = 100) -> DataFrame:
     # enforceSchema off: a file whose header has other names or another order raises instead of being read by position
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.readStream.schema(text).option("header", True).option("enforceSchema", False).option("maxFilesPerTrigger", max_files).csv(folder)
+    reader = spark.readStream.schema(text).options(**DIALECT).options(multiLine=True, enforceSchema=False, maxFilesPerTrigger=max_files)
+    raw = reader.csv(folder)
     return raw.select(*[_typed(null_tokens(F.col(f.name)), f.dataType).alias(f.name) for f in schema.fields])
 
 
