@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def col_of(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def without_nan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``df`` with NaN as NULL in its floating-point columns: the one place where "not a number" becomes "missing"."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType)) and (columns is None or f.name in columns)]
+    return df.withColumns({n: F.when(~F.isnan(F.col(f"`{n}`")), F.col(f"`{n}`")) for n in names}) if names else df
+
+
 def lookup(c: str | Column, mapping: Mapping[str, object]) -> Column:
     """Dictionary lookup as a literal map; unknown keys and NULL give NULL."""
     m = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in mapping.items()))
@@ -44,16 +52,59 @@ def is_test_row(key: str | Column, fraction: float = 0.2, seed: int = 42) -> Col
     return split_hash(key, seed) < F.lit(split_threshold(fraction))
 
 
+#: Flags in one word of a mask (a long, less its sign and one to spare).
+WORD = 62
+
+
 def bitmask(flags: Sequence[str | Column]) -> Column:
-    """Long with bit i set when flag i equals 1 (at most 62 flags)."""
-    if len(flags) > 62:
-        raise ValueError(f"a mask holds 62 flags, not {len(flags)}: use the basket path")
+    """Bit i set when flag i equals 1: a long for up to ``WORD`` flags, an array of longs (``WORD`` bits each) for more."""
+    if len(flags) > WORD:
+        return F.array(*[bitmask(flags[i : i + WORD]) for i in range(0, len(flags), WORD)])
     acc = F.lit(0).cast("long")
     for i, c in enumerate(flags):
         acc = acc + F.when(col_of(c) == 1, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
     return acc
 
 
+def wide_has(mask: Column, i: Column) -> Column:
+    """Whether bit i of an array mask is set."""
+    return mask[(i / WORD).cast("int")].bitwiseAND(bit(i % WORD)) != 0
+
+
+def wide_items(mask: Column, n_items: int) -> Column:
+    """Numbers of the set bits of an array mask, ascending."""
+    return F.filter(F.sequence(F.lit(0), F.lit(n_items - 1)), lambda i: wide_has(mask, i))
+
+
+def wide_of(items: Column, n_items: int) -> Column:
+    """Array mask of an array of bit numbers."""
+    def word(w: int) -> Column:
+        inside = F.filter(items, lambda i: (i >= w) & (i < w + WORD))
+        return F.aggregate(inside, F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(bit(i - w)))
+
+    return F.array(*[word(w) for w in range(0, n_items, WORD)])
+
+
+def wide_minus(mask: Column, other: Column) -> Column:
+    return F.zip_with(mask, other, lambda a, b: a.bitwiseAND(F.bitwise_not(b)))
+
+
+def wide_size(mask: Column) -> Column:
+    return F.aggregate(mask, F.lit(0), lambda acc, w: acc + F.bit_count(w).cast("int"))
+
+
+def uniform(key: str | Column, seed: int = 42, stream: int = 0) -> Column:
+    """A number in (0, 1) for each key: the first 52 bits of ``md5('<seed>:<stream>:<key>')`` - no state, so the same under any partitioning, retry or engine."""
+    h = F.md5(F.concat(F.lit(f"{seed}:{stream}:"), col_of(key).cast("string")))
+    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def normal(key: str | Column, seed: int = 42, stream: int = 0) -> Column:
+    """A standard normal number for each key (Box-Muller, on the streams 2 x ``stream`` and the next)."""
+    u, v = uniform(key, seed, 2 * stream), uniform(key, seed, 2 * stream + 1)
+    return F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2 * math.pi) * v)
+
+
 def bit(i: Column) -> Column:
     """2^i as a long (i is a column)."""
     return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))

@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.config import SURVEY, TOOL_LABELS, SurveyColumns
-from cohortlab.functions.exprs import col_of
+from cohortlab.functions.exprs import col_of, without_nan
 from cohortlab.functions.quantiles import quantile_wide
 
 
 def kpis(df: DataFrame, c: SurveyColumns = SURVEY) -> DataFrame:
     """Headline row: respondents, subscribe rate, mean WTP, mean tools used, mean MRR."""
+    df = without_nan(df)
     return df.agg(
         F.count(F.lit(1)).alias("n_respondents"),
         F.avg(c.subscribe).alias("subscribe_rate"),
@@ -57,7 +58,8 @@ def flag_rates(df: DataFrame, labels: Mapping[str, str] = TOOL_LABELS) -> DataFr
 
 
 def describe(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
-    """count, mean, sample sd, min, 25/50/75 % (exact, interpolated), max per column, rounded."""
+    """count, mean, sample sd, min, 25/50/75 % (exact, interpolated), max per column, rounded; NaN is missing."""
+    df = without_nan(df, columns)
     moments = df.agg(
         *[
             F.struct(
@@ -92,7 +94,7 @@ def segment_profile(df: DataFrame, segment: str, c: SurveyColumns = SURVEY) -> D
     """Size and rounded means per segment; subscribe rate also as the dashboard's percent text."""
     sub2 = F.bround(F.avg(c.subscribe), 2)
     return (
-        df.where(F.col(segment).isNotNull())
+        without_nan(df).where(F.col(segment).isNotNull())
         .groupBy(segment)
         .agg(
             F.count(c.id).alias("size"),
@@ -111,14 +113,14 @@ def crosstab_long(df: DataFrame, rows: str, cols: str, zeros: bool = True) -> Da
     """Counts of ``rows`` x ``cols`` in long form; ``zeros`` adds the absent pairs.
 
     The counts are one hash aggregate, whatever the numbers of values.  Zero cells are part of the result
-    by definition: each distinct row value is exploded over the distinct column values and joined to the counts.
+    by definition: the two sides' distinct values, joined, and joined to the counts; nothing of it passes through the driver.
     """
     base = df.where(F.col(rows).isNotNull() & F.col(cols).isNotNull())
     counts = base.groupBy(rows, cols).agg(F.count(F.lit(1)).alias("n"))
     if not zeros:
         return counts
-    values = counts.agg(F.collect_set(cols)).scalar()
-    grid = counts.select(rows).distinct().select(rows, values.alias("__values")).select(rows, F.explode("__values").alias(cols))
+    one = F.lit(1).alias("__one")
+    grid = counts.select(rows, one).distinct().join(counts.select(cols, one).distinct(), "__one").drop("__one")
     return grid.join(counts, [rows, cols], "left").select(rows, cols, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

@@ -27,11 +27,13 @@ def confusion_counts(df: DataFrame, label: str | Column, pred: str | Column) ->
         F.count_if((y == 0) & (p == 1)).cast("long").alias("fp"),
         F.count_if((y == 1) & (p == 0)).cast("long").alias("fn"),
         F.count_if((y == 0) & (p == 0)).cast("long").alias("tn"),
+        # a missing or another value on either side: no cell of the 2 x 2 table, but not lost either
+        F.count_if(~F.coalesce(y.isin(0, 1) & p.isin(0, 1), F.lit(False))).cast("long").alias("unscored"),
     )
 
 
 def binary_metrics(df: DataFrame, label: str | Column, pred: str | Column, digits: int = 4) -> DataFrame:
-    """accuracy, precision, recall, F1 of class 1 (and n), rounded half-even."""
+    """accuracy, precision, recall, F1 of class 1, rounded half-even; n rows with 0 or 1 on both sides, ``unscored`` others."""
     cc = confusion_counts(df, label, pred)
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     n = tp + fp + fn + tn
@@ -43,6 +45,7 @@ def binary_metrics(df: DataFrame, label: str | Column, pred: str | Column, digit
         F.bround(rec, digits).alias("recall"),
         F.bround(f1, digits).alias("f1"),
         n.alias("n"),
+        "unscored",
     )
 
 
@@ -83,6 +86,69 @@ def classification_report(df: DataFrame, label: str | Column, pred: str | Column
     return cc.select(F.inline(F.array(*cells)))
 
 
+# --------------------------------------------------------------------------- any set of labels
+def label_counts(df: DataFrame, label: str | Column, pred: str | Column) -> DataFrame:
+    """``(actual, predicted, n)`` of the pairs that occur, as text; NULL and NaN stand for a row without one.  One hash aggregate."""
+
+    def text(c: Column, kind: str) -> Column:
+        return F.when(~F.isnan(c), c).cast("string") if kind in ("double", "float") else c.cast("string")
+
+    pairs = df.select(col_of(label).alias("actual"), col_of(pred).alias("predicted"))
+    kinds = dict(pairs.dtypes)
+    numeric = {"double", "float", "int", "bigint", "smallint", "tinyint"}
+    if set(kinds.values()) <= numeric and len(set(kinds.values())) > 1:  # 1 and 1.0 are one label
+        pairs, kinds = pairs.select(*[F.col(c).cast("double").alias(c) for c in pairs.columns]), dict.fromkeys(kinds, "double")
+    return pairs.select(*[text(F.col(c), kinds[c]).alias(c) for c in pairs.columns]).groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+def confusion_table(df: DataFrame, label: str | Column, pred: str | Column) -> DataFrame:
+    """The matrix over all labels that occur on either side, zero cells included, in long form; rows without a label or prediction
+    are cells with NULL (where there are any), so ``n`` always adds up to the rows of ``df``.
+
+    The grid comes from the two sides' distinct labels; it has labels squared cells by definition.
+    """
+    counts = label_counts(df, label, pred)
+    labels = counts.select(F.explode(F.array("actual", "predicted")).alias("lab")).where("lab is not null").distinct()
+    grid = labels.select(F.col("lab").alias("actual"), F.lit(1).alias("one")).join(labels.select(F.col("lab").alias("predicted"), F.lit(1).alias("one")), "one").drop("one")
+    full = grid.join(counts, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return full.unionByName(counts.where("actual is null or predicted is null").select("actual", "predicted", F.col("n").cast("long").alias("n")))
+
+
+def label_report(df: DataFrame, label: str | Column, pred: str | Column, digits: int = 3) -> DataFrame:
+    """Per label precision, recall, F1 and support, then accuracy (as in ``classification_report``), macro and weighted means, and ``unscored``:
+    the rows without a label or prediction, which take part in nothing else.
+
+    Sums by actual and by predicted label of the grouped counts, joined by label: work grows with the labels that occur, not with rows or cells.
+    """
+    counts = label_counts(df, label, pred)
+    scored = counts.where("actual is not null and predicted is not null")
+    by_actual = scored.groupBy(F.col("actual").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("hits"))
+    by_predicted = scored.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("predicted"))
+    each = by_actual.join(by_predicted, "label", "full").select("label", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("support", "hits", "predicted")])
+    precision, recall = _ratio(F.col("hits"), F.col("predicted")), _ratio(F.col("hits"), F.col("support"))
+    each = each.select("label", "support", "hits", precision.alias("precision"), recall.alias("recall"))
+    each = each.withColumn("f1_score", _ratio(F.lit(2.0) * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    measures = ["precision", "recall", "f1_score"]
+    unscored = counts.where("actual is null or predicted is null").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double"))
+    total = each.agg(
+        F.coalesce(F.sum("support"), F.lit(0.0)).alias("n"),
+        F.coalesce(F.sum("hits"), F.lit(0.0)).alias("hits"),
+        *[F.coalesce(F.avg(m), F.lit(0.0)).alias(f"macro_{m}") for m in measures],
+        *[F.coalesce(F.sum(F.col(m) * F.col("support")), F.lit(0.0)).alias(f"sum_{m}") for m in measures],
+    ).withColumn("unscored", unscored.scalar())
+    n = F.col("n")
+    rows = [
+        ("accuracy", *[_ratio(F.col("hits"), n)] * 4),
+        ("macro avg", *[F.col(f"macro_{m}") for m in measures], n),
+        ("weighted avg", *[_ratio(F.col(f"sum_{m}"), n) for m in measures], n),
+        ("unscored", *[F.lit(None).cast("double")] * 3, F.col("unscored")),
+    ]
+    names = [*measures, "support"]
+    cells = [F.struct(F.lit("summary").alias("kind"), F.lit(r[0]).alias("label"), *[v.alias(c) for c, v in zip(names, r[1:], strict=True)]) for r in rows]
+    both = each.select(F.lit("label").alias("kind"), "label", *names).unionByName(total.select(F.inline(F.array(*cells))))
+    return both.select("kind", "label", *[(F.bround(c, digits) + F.lit(0.0)).alias(c) for c in names])
+
+
 def fit_random_forest(train: DataFrame, features: Sequence[str], label: str, n_trees: int = 100, max_depth: int = 10, seed: int = 42,
                       max_bins: int = 32, max_memory_mb: int = 64) -> RandomForestClassificationModel:
     """Random forest with sqrt(p) features per split and gini impurity (Spark caps depth at 30)."""

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.config import ORDINAL_SCALES, SURVEY, SurveyColumns
-from cohortlab.functions.exprs import is_test_row, ordinal_code, present
+from cohortlab.functions.exprs import is_test_row, normal, ordinal_code, present, split_hash, without_nan
 from cohortlab.session import ensure_checkpoint_dir
 
 MISSING_LABEL = "nan"  # how a missing nominal answer is spelled before label encoding
@@ -100,7 +100,8 @@ def category_catalog(df: DataFrame, columns: Sequence[str], shown: int = 3) -> D
 
 
 def moment_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: per column mean and population sd (what a z-score needs)."""
+    """One row: per column mean and population sd (what a z-score needs); NaN counts as missing."""
+    df = without_nan(df, columns)
     return df.agg(
         *[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd")).alias(c) for c in columns]
     )
@@ -109,8 +110,9 @@ def moment_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def standardize(df: DataFrame, columns: Sequence[str], stats: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """z = (x - mean) / population sd; zero variance gives 0, NULL stays NULL.
 
-    ``stats`` (from ``moment_stats``) lets a test set be scaled with training statistics.
+    ``stats`` (from ``moment_stats``) lets a test set be scaled with training statistics.  NaN is missing: NULL, and in no statistic.
     """
+    df = without_nan(df, columns)
     st = (stats if stats is not None else moment_stats(df, columns)).select(F.struct(*columns).alias("s")).scalar()
     # statistics projected once as a column: one subquery in the plan, read by every z-score
     base = df.select(*[F.col(k) for k in keep], *[F.col(c) for c in columns if c not in keep], st.alias("__st"))
@@ -124,6 +126,7 @@ def standardize(df: DataFrame, columns: Sequence[str], stats: DataFrame | None =
 
 def scale_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean and sample sd before scaling (2 places) and after (4 places, sd shows sqrt(n/(n-1)))."""
+    df = without_nan(df, columns)
     z = standardize(df, columns)
     before = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in columns])
     after = z.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in columns])
@@ -154,8 +157,8 @@ def feature_columns(df: DataFrame, c: SurveyColumns = SURVEY) -> list[str]:
 
 
 def feature_matrix(df: DataFrame, c: SurveyColumns = SURVEY, keep: Sequence[str] = ()) -> DataFrame:
-    """The model features in fixed order as doubles, missing -> 0."""
-    enc = encoded_frame(df, c)
+    """The model features in fixed order as doubles, missing (NULL, NaN) -> 0."""
+    enc = encoded_frame(without_nan(df), c)
     feats = feature_columns(enc, c)
     return enc.select(*[F.col(k) for k in keep], *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in feats])
 
@@ -183,6 +186,40 @@ def train_test_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed:
     return df.withColumn("split", F.when(is_test_row(key, test_fraction, seed), F.lit("test")).otherwise(F.lit("train")))
 
 
+def exact_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """Add ``split``: exactly ceil(test_fraction * n) rows are 'test', those with the smallest hash of ``seed:key`` (ties: smallest key).
+
+    The hash of the last test row is selected without sorting the table: rows are counted by the upper 16 bits of the hash, then, in the
+    one bucket where the needed rank falls, by the lower 16 bits - two tables of at most 65,536 counts, whose running sums are one small task each.
+    Only the rows that share the last hash (n / 2^32 of them where keys are distinct) are ordered by key.  All of it is part of the plan:
+    nothing runs before the result is asked for.  Rows with the same key share a hash; they are told apart only as far as the key goes, so
+    keys should be distinct.  A NULL key comes last.
+    """
+    h = F.coalesce(split_hash(key, seed), F.lit(1 << 32))
+    wanted = F.ceil(F.lit(float(test_fraction)) * F.count(F.lit(1))).cast("long")
+
+    def last_bucket(counts: DataFrame, place: str, needed: Column) -> DataFrame:
+        """The bucket that holds the needed rank, and how many rows are needed of it."""
+        below = F.sum("n").over(Window.orderBy(place)) - F.col("n")
+        marked = counts.select(place, "n", below.alias("below"), needed.alias("needed"))
+        hit = marked.where((F.col("below") < F.col("needed")) & (F.col("below") + F.col("n") >= F.col("needed")))
+        return hit.agg(F.struct(F.max(place).alias("bucket"), F.max(F.col("needed") - F.col("below")).alias("needed")).alias("hit"))
+
+    n = F.count(F.lit(1)).alias("n")
+    keyed = df.select(h.alias("h"), F.col(key).alias("k"))
+    upper = last_bucket(keyed.groupBy(F.shiftright("h", 16).alias("b")).agg(n), "b", keyed.agg(wanted).scalar()).scalar()
+    low = keyed.withColumn("u", upper).where(F.shiftright("h", 16) == F.col("u.bucket"))
+    lower = last_bucket(low.groupBy("h").agg(n, F.max("u.needed").alias("u")), "h", F.col("u")).scalar()
+    tied = keyed.withColumn("l", lower).where(F.col("h") == F.col("l.bucket"))
+    place = F.row_number().over(Window.orderBy(F.col("k").asc_nulls_last()))
+    edge = tied.select("k", "l", place.alias("p")).where(F.col("p") <= F.col("l.needed"))
+    edge = edge.agg(F.struct(F.max("l.bucket").alias("h"), F.max("k").alias("k")).alias("edge")).scalar()
+    out = df.withColumn("__edge", edge)  # the selection is one value, projected once
+    tie = F.col("__edge.k").isNull() | (F.col(key) <= F.col("__edge.k"))
+    test = F.coalesce((h < F.col("__edge.h")) | ((h == F.col("__edge.h")) & tie), F.lit(False))
+    return out.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train"))).drop("__edge")
+
+
 def derive_targets(
     df: DataFrame,
     c: SurveyColumns = SURVEY,
@@ -191,12 +228,17 @@ def derive_targets(
     monthly_penalty: float = 0.1,
     fatigue_weight: float = 0.05,
     billing_discount: Mapping[str, float] | None = None,
+    noise: float = 0.0,
+    seed: int = 42,
 ) -> DataFrame:
-    """The documented target formulas with explicit parameters and no noise:
+    """The documented target formulas with explicit parameters:
 
     score = sum(w * ordinal code) over trust, difficulty, fatigue and tier; subscribe = score > threshold;
     churn = clip(1 - tier/3 * 0.4 + monthly_penalty [Monthly] + fatigue_weight * fatigue, 0, 1);
     mrr = wtp * subscribe * billing discount.
+
+    ``noise`` adds normal noise of that standard deviation to the score (before the threshold) and of a tenth of it to churn (before
+    clipping).  It is a function of seed and key, so a row's noise does not change with partitioning or retries.
     """
     w = weights or {
         "trust_concern_frequency_ord": 0.25,
@@ -209,6 +251,8 @@ def derive_targets(
     score: Column = F.lit(0.0)
     for col, wt in w.items():
         score = score + F.col(col).cast("double") * F.lit(wt)
+    if noise:
+        score = score + F.lit(noise) * normal(c.id, seed, 0)
     sub = F.when(score > F.lit(threshold), 1).otherwise(0)
     churn = (
         F.lit(1.0)
@@ -216,6 +260,8 @@ def derive_targets(
         + F.when(F.col("preferred_billing_cadence") == "Monthly", F.lit(monthly_penalty)).otherwise(F.lit(0.0))
         + F.lit(fatigue_weight) * F.col("subscription_fatigue_ord").cast("double")
     )
+    if noise:
+        churn = churn + F.lit(noise / 10) * normal(c.id, seed, 1)
     churn = F.least(F.greatest(churn, F.lit(0.0)), F.lit(1.0))
     factor = F.lit(None).cast("double")
     for k, v in reversed(list(disc.items())):

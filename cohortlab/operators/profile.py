@@ -30,7 +30,7 @@ from cohortlab.config import (
     SURVEY,
     SurveyColumns,
 )
-from cohortlab.functions.exprs import not_binary
+from cohortlab.functions.exprs import not_binary, without_nan
 from cohortlab.functions.quantiles import quantile_wide
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -48,7 +48,7 @@ def is_missing(df: DataFrame, name: str) -> Column:
 
 
 def missing_profile(df: DataFrame, digits: int = 2) -> DataFrame:
-    """Per column: NULL count, percent of rows (rounded), suggested action — one scan."""
+    """Per column: missing count, percent of rows (rounded; NULL for an empty table), suggested action — one scan."""
     cols = df.columns
     row = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)])
     cells = [
@@ -60,7 +60,7 @@ def missing_profile(df: DataFrame, digits: int = 2) -> DataFrame:
         "position",
         "feature",
         F.col("missing_count").cast("long").alias("missing_count"),
-        F.bround(F.col("missing_count") / F.col("n") * 100, digits).alias("missing_pct"),
+        F.bround(F.try_divide("missing_count", "n") * 100, digits).alias("missing_pct"),
         F.when(F.col("missing_count") == 0, F.lit(ACTION_NONE)).otherwise(F.lit(ACTION_IMPUTE)).alias("action"),
     )
 
@@ -101,6 +101,7 @@ def column_profile(df: DataFrame, key: str, exact: bool = True, rsd: float = 0.0
     of one expanded copy of every row per column.  ``exact=False`` uses
     HyperLogLog++ sketches (no shuffle of values at all).
     """
+    df = without_nan(df)
     fields = df.schema.fields
     samples = df.agg(*[F.min_by(F.col(f.name).cast("string"), F.col(key)).alias(f"s{i}") for i, f in enumerate(fields)])
     if exact:
@@ -162,8 +163,8 @@ def survey_rules(c: SurveyColumns = SURVEY) -> list[Rule]:
 
 
 def run_checks(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """All rules in one aggregation: (position, check, flagged, action, status)."""
-    row = df.agg(*[r.flagged.cast("long").alias(f"r{i}") for i, r in enumerate(rules)])
+    """All rules in one aggregation: (position, check, flagged, action, status).  A missing value (NULL, NaN) breaks no range rule."""
+    row = without_nan(df).agg(*[r.flagged.cast("long").alias(f"r{i}") for i, r in enumerate(rules)])
     cells = [
         F.struct(
             F.lit(i + 1).alias("position"),
@@ -254,6 +255,7 @@ def clip_to_fences(c: str, fmap: Column) -> Column:
 
 def outlier_summary(df: DataFrame, columns: Sequence[str], k: float = 1.5, digits: int = 2) -> DataFrame:
     """Fences (rounded), count strictly outside, percent of *all* rows, cap-or-retain policy."""
+    df = without_nan(df, columns)
     fences = iqr_fences(df, columns, k)
     fm = F.col("__fm")
     row = df.select(*columns, fence_map(fences).alias("__fm")).agg(
@@ -266,7 +268,7 @@ def outlier_summary(df: DataFrame, columns: Sequence[str], k: float = 1.5, digit
     counts = row.select(
         _cells([F.struct(F.lit(c).alias("feature"), F.col(f"o{i}").alias("outliers"), F.col("__n").alias("n")) for i, c in enumerate(columns)])
     )
-    pct = F.col("outliers") / F.col("n") * 100
+    pct = F.try_divide("outliers", "n") * 100  # NULL for an empty table
     r = lambda x: F.bround(F.col(x), digits)
     return fences.join(F.broadcast(counts), "feature").select(
         "position",
@@ -276,13 +278,14 @@ def outlier_summary(df: DataFrame, columns: Sequence[str], k: float = 1.5, digit
         r("lower_fence").alias("lower_fence"),
         r("upper_fence").alias("upper_fence"),
         F.col("outliers").cast("long").alias("outliers"),
-        F.format_string("%.1f%%", F.bround(pct, 1)).alias("outlier_pct"),
+        F.when(pct.isNotNull(), F.format_string("%.1f%%", F.bround(pct, 1))).alias("outlier_pct"),
         F.when(pct > 1, F.lit(OUTLIER_CAP)).otherwise(F.lit(OUTLIER_RETAIN)).alias("action"),
     )
 
 
 def winsorize(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
-    """Clip each column to its IQR fences; NULL stays NULL, no row is removed (clipped columns become double)."""
+    """Clip each column to its IQR fences; NULL stays NULL (as does NaN), no row is removed (clipped columns become double)."""
+    df = without_nan(df, columns)
     base = df.select("*", fence_map(iqr_fences(df, columns, k)).alias("__fm"))  # fences projected once
     return base.select(*[clip_to_fences(c, F.col("__fm")).alias(c) if c in columns else F.col(c) for c in df.columns])
 
@@ -294,6 +297,7 @@ def box_stats(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFram
     and joined to the per-column quartiles (one row per column, broadcast), then
     one grouped aggregation yields the whiskers.
     """
+    df = without_nan(df, columns)
     base = df.select(*columns, fence_map(iqr_fences(df, columns, k)).alias("__fm"))  # fences projected once
     names = []
     exprs = []
@@ -330,6 +334,7 @@ def box_stats(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFram
 
 def box_stats_plain(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
     """Quartiles, whiskers and flier count of each column as it is (no before/after)."""
+    df = without_nan(df, columns)
     qs = quantile_wide(df, list(columns), {"q1": 0.25, "median": 0.5, "q3": 0.75})
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "v").where(F.col("v").isNotNull())
     iqr = F.col("q3") - F.col("q1")
@@ -349,13 +354,14 @@ def box_stats_plain(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> Da
 
 # --------------------------------------------------------------------------- repairs
 def impute_median_mode(df: DataFrame, columns: Sequence[str] | None = None, c: SurveyColumns = SURVEY) -> DataFrame:
-    """NULL numeric -> exact median; NULL string -> most frequent value (ties -> smallest value).
+    """Missing (NULL, NaN) numeric -> exact median; NULL string -> most frequent value (ties -> smallest value).
 
     ``columns`` defaults to all but the key and the targets.  Only columns that have NULLs are touched: one scan
     counts them, quantiles and modes are computed for those alone, and a whole-number column becomes
     double only if it has something to fill.  Modes come from one ``groupBy(feature, value).count()``.
     """
     wanted = [x for x in (columns or df.columns) if columns or x not in (c.id, c.subscribe, c.mrr)]
+    df = without_nan(df, wanted)
     have = df.agg(*[F.max(F.col(x).isNull()).alias(x) for x in wanted]).first() if wanted else None
     holes = [x for x in wanted if have[x]]
     num = [f.name for f in df.schema.fields if f.name in holes and isinstance(f.dataType, NUMERIC_TYPES)]
@@ -386,10 +392,10 @@ def impute_median_mode(df: DataFrame, columns: Sequence[str] | None = None, c: S
 
 
 def drop_sparse_rows(df: DataFrame, max_missing_share: float = 0.30) -> DataFrame:
-    """Remove rows with more than ``max_missing_share`` of their fields missing."""
+    """Remove rows with more than ``max_missing_share`` of their fields missing (NULL or NaN)."""
     nulls = None
     for c in df.columns:
-        e = F.col(c).isNull().cast("int")
+        e = is_missing(df, c).cast("int")
         nulls = e if nulls is None else nulls + e
     return df.where(nulls / F.lit(len(df.columns)) <= F.lit(max_missing_share))
 
@@ -410,7 +416,8 @@ def repair_expressions(c: SurveyColumns = SURVEY) -> dict[str, Column]:
 
 
 def repair_rules(df: DataFrame, c: SurveyColumns = SURVEY) -> DataFrame:
-    """Apply ``repair_expressions``."""
+    """Apply ``repair_expressions``; NaN becomes NULL."""
+    df = without_nan(df)
     fixed = repair_expressions(c)
     return df.select(*[fixed[x].alias(x) if x in fixed else F.col(x) for x in df.columns])
 
@@ -423,6 +430,7 @@ def pipeline_audit(df: DataFrame, c: SurveyColumns = SURVEY) -> DataFrame:
     """
     from cohortlab.operators.encode import derive_targets, ordinal_encode
 
+    df = without_nan(df)
     names, n = df.columns, F.count(F.lit(1)).cast("long")
     raw = df.agg(n.alias("n"), *[F.count_if(is_missing(df, x)).alias(x) for x in names])
     missing = sum(((F.col(x) > 0).cast("long") for x in names), F.lit(0).cast("long"))

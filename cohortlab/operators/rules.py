@@ -9,6 +9,9 @@ of these tables are bounded by sum_{s<=max_size} C(k, s) rows, so broadcasting
 them is safe.  Unlike Spark's ``associationRules``, consequents may hold several
 items (every non-empty proper subset is an antecedent), as in the dashboard.
 
+Beyond 62 flags a mask is an array of longs and item sets are mined level by level (``wide_itemsets``): only pairs of
+frequent items, and only larger sets whose pairs are all frequent, are ever counted.
+
 Basket path (many items, arrays).  ``pyspark.ml.fpm.FPGrowth`` (parallel FP-growth)
 mines the frequent itemsets; thresholds are re-checked exactly as ``count / n``.
 """
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.config import TOOL_LABELS
 from cohortlab.functions.broadcast import broadcast_if_bounded
-from cohortlab.functions.exprs import bit, bitmask, has_bit, mask_items, proper_subsets, subsets_upto
+from cohortlab.functions.exprs import WORD, bit, bitmask, has_bit, mask_items, proper_subsets, subsets_upto, wide_items, wide_minus, wide_of
 from cohortlab.session import ensure_checkpoint_dir
 
 DEFAULT_SUPPORT = 0.15
@@ -49,15 +52,66 @@ def mask_counts(df: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 
 def label_of(mask: Column, labels: Sequence[str], sep: str) -> Column:
+    if len(labels) > WORD:
+        return label_of_items(wide_items(mask, len(labels)), labels, sep)
     return F.array_join(mask_items(mask, labels), sep)
 
 
+def label_of_items(items: Column, labels: Sequence[str], sep: str) -> Column:
+    names = F.array(*[F.lit(x) for x in labels])
+    return F.array_join(F.transform(items, lambda i: F.element_at(names, i + 1)), sep)
+
+
+def wide_itemsets(masks: DataFrame, labels: Sequence[str], min_support: float = 0.0, max_size: int = MAX_SIZE, sep: str = " + ") -> DataFrame:
+    """``itemset_support`` of array masks, sets with ``min_support`` only.
+
+    Baskets are cut down to their frequent items and grouped again.  Level s joins a basket's frequent sets of s - 1 items with its
+    frequent pairs that go on from their last item; sets whose first and last item are no frequent pair are dropped before they are counted.
+    """
+    k, n = len(labels), masks.agg(F.sum("cnt").alias("n")).scalar()
+    ensure_checkpoint_dir(masks.sparkSession)
+
+    def frequent(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("set").agg(F.sum("cnt").alias("count"))
+        return counts.where(F.col("count") / n >= F.lit(min_support)).checkpoint()  # mined once, read by the next level and the result
+
+    single = masks.select(F.explode(wide_items(F.col("mask"), k)).alias("i"), "cnt").select(F.array("i").alias("set"), "cnt")
+    levels = [frequent(single)]
+    often = levels[0].agg(F.collect_set(F.col("set")[0])).scalar()  # at most the number of flags
+    baskets = masks.select(F.array_intersect(wide_items(F.col("mask"), k), often).alias("items"), "cnt").where(F.size("items") > 1)
+    baskets = baskets.groupBy("items").agg(F.sum("cnt").alias("cnt")).select(F.monotonically_increasing_id().alias("basket"), "items", "cnt").checkpoint()
+    pair = F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.greatest(F.size("items") - i - 1, F.lit(0))), lambda y: F.array(x, y))))
+    rows = baskets.select("basket", "cnt", F.explode(pair).alias("set"))
+    pairs = grown = None
+    for size in range(2, max_size + 1):
+        if size > 2:
+            step = pairs.select("basket", F.col("set")[0].alias("last"), F.col("set")[1].alias("next"))
+            rows = grown.withColumn("last", F.element_at("set", -1)).join(step, ["basket", "last"]).select("basket", "cnt", F.concat("set", F.array("next")).alias("set"))
+            ends = levels[1].select(F.col("set")[0].alias("_a"), F.col("set")[1].alias("_b"))
+            rows = rows.join(ends, (F.element_at("set", 1) == F.col("_a")) & (F.element_at("set", -1) == F.col("_b")), "left_semi")
+        levels.append(frequent(rows))
+        grown = rows.join(levels[-1].select("set"), "set", "left_semi")
+        pairs = grown if size == 2 else pairs
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.select(
+        wide_of(F.col("set"), k).alias("itemset"),
+        label_of_items(F.col("set"), labels, sep).alias("items"),
+        F.size("set").alias("size"),
+        F.col("count").cast("long").alias("count"),
+        (F.col("count") / n).alias("support"),
+    )
+
+
 def itemset_support(masks: DataFrame, labels: Sequence[str], max_size: int = MAX_SIZE, sep: str = " + ") -> DataFrame:
     """Support of every itemset (size 1..max_size) that occurs: ``(itemset, items, size, count, support)``.
 
     The denominator counts every row, empty baskets included.
     """
     k = len(labels)
+    if k > WORD:
+        return wide_itemsets(masks, labels, 0.0, max_size, sep)
     n = masks.agg(F.sum("cnt").alias("n")).scalar()
     subs = masks.select(F.explode(subsets_upto(F.col("mask"), k, max_size)).alias("itemset"), "cnt")
     agg = subs.groupBy("itemset").agg(F.sum("cnt").alias("count"))
@@ -90,9 +144,16 @@ def rules_from_itemsets(
     """
     bound = _n_itemsets(n_items, max_size)
     sup = broadcast_if_bounded(frequent.select(F.col("itemset").alias("sub"), F.col("support").alias("sub_support")), bound)
-    pairs = frequent.where(F.col("size") >= 2).select(
-        F.col("itemset"), F.col("support"), F.explode(proper_subsets(F.col("itemset"), n_items, max_size)).alias("ant")
-    ).withColumn("con", F.col("itemset").bitwiseAND(F.bitwise_not(F.col("ant"))))
+    larger = frequent.where(F.col("size") >= 2)
+    if n_items > WORD:
+        chosen = F.explode(F.sequence(F.lit(1).cast("long"), bit(F.col("size")) - 2)).alias("chosen")  # bit i: item i of the set is in the antecedent
+        parts = larger.select("support", "itemset", wide_items(F.col("itemset"), n_items).alias("set"), chosen)
+        ant = F.filter("set", lambda _, i: has_bit(F.col("chosen"), i))
+        pairs = parts.select("support", "itemset", wide_of(ant, n_items).alias("ant")).withColumn("con", wide_minus(F.col("itemset"), F.col("ant")))
+    else:
+        pairs = larger.select(F.col("itemset"), F.col("support"), F.explode(proper_subsets(F.col("itemset"), n_items, max_size)).alias("ant")).withColumn(
+            "con", F.col("itemset").bitwiseAND(F.bitwise_not(F.col("ant")))
+        )
     a = sup.select(F.col("sub").alias("ant"), F.col("sub_support").alias("ant_support"))
     c = sup.select(F.col("sub").alias("con"), F.col("sub_support").alias("con_support"))
     j = pairs.join(a, "ant", "left").join(c, "con", "left")
@@ -120,7 +181,8 @@ def mine_flag_rules(
 ) -> DataFrame:
     """Rules over 0/1 flag columns (``labels``: flag column -> display label, in item order)."""
     flags, names = list(labels), list(labels.values())
-    items = itemset_support(mask_counts(df, flags), names, max_size, sep)
+    masks = mask_counts(df, flags)
+    items = wide_itemsets(masks, names, min_support, max_size, sep) if len(flags) > WORD else itemset_support(masks, names, max_size, sep)
     return rules_from_itemsets(frequent_itemsets(items, min_support), len(flags), names, min_confidence, sep, max_size)
 
 
@@ -157,6 +219,8 @@ def cooccurrence(df: DataFrame, labels: Mapping[str, str] = TOOL_LABELS) -> Data
     """Full k x k support matrix in long form (diagonal = single support), from the mask table."""
     flags, names = list(labels), list(labels.values())
     masks = mask_counts(df, flags)
+    if len(flags) > WORD:
+        return _wide_cooccurrence(masks, names)
     cells = []
     for i in range(len(flags)):
         for j in range(len(flags)):
@@ -170,6 +234,17 @@ def cooccurrence(df: DataFrame, labels: Mapping[str, str] = TOOL_LABELS) -> Data
     return row.select(F.inline(F.array(*structs)))
 
 
+def _wide_cooccurrence(masks: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The pairs of each distinct basket, counted; as many cells as flags squared by definition, absent ones 0."""
+    k, n = len(names), masks.agg(F.sum("cnt").alias("n")).scalar()
+    items = masks.select(wide_items(F.col("mask"), k).alias("items"), "cnt").select(F.explode("items").alias("a"), "items", "cnt").select("a", F.explode("items").alias("b"), "cnt")
+    counts = items.groupBy("a", "b").agg(F.sum("cnt").alias("count"))
+    grid = masks.sparkSession.range(k * k).select((F.col("id") / k).cast("int").alias("a"), (F.col("id") % k).cast("int").alias("b"))
+    label = F.array(*[F.lit(x) for x in names])
+    j = grid.join(counts, ["a", "b"], "left")
+    return j.select(F.element_at(label, F.col("a") + 1).alias("item_a"), F.element_at(label, F.col("b") + 1).alias("item_b"), (F.coalesce("count", F.lit(0)) / n).alias("support"))
+
+
 # --------------------------------------------------------------------------- basket path
 def flag_baskets(df: DataFrame, labels: Mapping[str, str] = TOOL_LABELS) -> DataFrame:
     """0/1 flags -> ``items`` array of labels (empty array for no flag set)."""
@@ -258,6 +333,17 @@ def miner_comparison(rule_sets: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def rule_difference(first: DataFrame, second: DataFrame, names: tuple[str, str] = ("first", "second")) -> DataFrame:
+    """``(only_in, copies, *columns)``: rules that one list has and the other lacks, both ways, copies counted.
+
+    One grouped count with a sign for each list instead of two differences: each list is read once.
+    """
+    columns = [c for c in first.columns if c in second.columns]
+    signed = first.select(*columns, F.lit(1).alias("sign")).unionByName(second.select(*columns, F.lit(-1).alias("sign")))
+    more = signed.groupBy(*columns).agg(F.sum("sign").alias("more")).where("more <> 0")
+    return more.select(F.when(F.col("more") > 0, F.lit(names[0])).otherwise(F.lit(names[1])).alias("only_in"), F.abs("more").cast("long").alias("copies"), *columns)
+
+
 def top_per_method(rule_sets: Mapping[str, DataFrame], k: int = 8, ant_chars: int = 18, con_chars: int = 12) -> DataFrame:
     """Top-k rules by lift per method with the chart label ``ant[:18] -> con[:12]``."""
     parts = []

@@ -1,4 +1,4 @@
-"""Customer segments: multi-start K-Means, silhouette, personas, scatter bins, Ward and bisecting K-Means.
+"""Customer segments: multi-start K-Means, squared silhouette, personas, scatter bins and bisecting K-Means.
 
 Scale notes
 * Every fit reads a cached, assembled feature frame; K-Means / bisecting K-Means are
@@ -6,18 +6,13 @@ Scale notes
 * The silhouette is the squared-Euclidean one (Spark's ``ClusteringEvaluator``
   definition): per-cluster sums (k rows) are passed as a scalar subquery and each
   point computes its distance to every cluster from them — O(n k), no pairs.
-  The plain Euclidean silhouette needs all n^2 pairs and is not offered.
-* Ward: K-Means first compresses the data to ``m`` micro-clusters (weighted
-  centroids, m rows), the Ward merge runs on those m weighted points, and the
-  micro -> final map (m rows) is broadcast back.  Exact whenever the data has at
-  most m distinct points; otherwise a two-level approximation.
+  The Euclidean silhouette is in ``silhouette`` (a stated sample against all points), Ward in ``ward``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -25,19 +20,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.config import PERSONA_NAMES, SURVEY, SurveyColumns
-from cohortlab.functions.broadcast import broadcast_if_bounded, broadcast_if_small
+from cohortlab.functions.broadcast import broadcast_if_small
+from cohortlab.functions.exprs import without_nan
 from cohortlab.operators.encode import assemble, fit_cached, ordinal_encode, spread, standardize
 
 
 def cluster_input(
     df: DataFrame, c: SurveyColumns = SURVEY, features: Sequence[str] | None = None, keep: Sequence[str] = ()
 ) -> tuple[DataFrame, list[str]]:
-    """Cluster features with missing -> 0, then z-scored (population sd): ``(id, *keep, f1..fk)``.
+    """Cluster features with missing (NULL, NaN) -> 0, then z-scored (population sd): ``(id, *keep, f1..fk)``.
 
     ``keep`` carries other columns through (no join back to the source later).
     """
     feats = list(features or c.cluster_features)
-    enc = ordinal_encode(df)
+    enc = ordinal_encode(without_nan(df, feats))
     carried = [c.id, *[k for k in keep if k != c.id and k not in feats]]
     filled = enc.select(*carried, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in feats])
     return standardize(filled, feats, keep=carried), feats
@@ -168,47 +164,7 @@ def scatter_bins(df: DataFrame, x: str, y: str, segment: str, bins: int = 20) ->
     )
 
 
-# --------------------------------------------------------------------------- Ward and bisecting
-def _ward_merge(centers: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Weighted Ward agglomeration of m points (m is small): the final label of each point.
-
-    Merge cost of clusters a, b: w_a w_b / (w_a + w_b) * |c_a - c_b|^2 (the increase of the
-    within-cluster sum of squares); labels are numbered by their smallest member.
-    """
-    cen = centers.astype(float).copy()
-    w = weights.astype(float).copy()
-    alive = np.ones(len(cen), dtype=bool)
-    owner = np.arange(len(cen))
-    while alive.sum() > k:
-        idx = np.flatnonzero(alive)
-        c, ww = cen[idx], w[idx]
-        d2 = ((c[:, None, :] - c[None, :, :]) ** 2).sum(-1)
-        cost = ww[:, None] * ww[None, :] / (ww[:, None] + ww[None, :]) * d2
-        cost[np.tril_indices(len(idx))] = np.inf
-        i, j = np.unravel_index(np.argmin(cost), cost.shape)
-        a, b = idx[i], idx[j]
-        cen[a] = (w[a] * cen[a] + w[b] * cen[b]) / (w[a] + w[b])
-        w[a] += w[b]
-        alive[b] = False
-        owner[owner == b] = a
-    roots = sorted(set(owner.tolist()))
-    first = {r: np.flatnonzero(owner == r).min() for r in roots}
-    rank = {r: n for n, r in enumerate(sorted(roots, key=lambda r: first[r]))}
-    return np.array([rank[o] for o in owner])
-
-
-def ward_segments(vectors: DataFrame, key: str, k: int = 4, micro: int = 200, seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
-    """Ward clustering of the K-Means micro-cluster centroids, mapped back: ``(key, cluster, features, *keep)``."""
-    km = fit_cached(KMeans(k=micro, seed=seed, maxIter=50, initMode="k-means||"), vectors.select("features"))
-    assigned = km.transform(vectors).withColumnRenamed("prediction", "micro")
-    sizes = {r["micro"]: r["n"] for r in assigned.groupBy("micro").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= micro rows
-    centers = np.array(km.clusterCenters())
-    ids = sorted(sizes)
-    labels = _ward_merge(centers[ids], np.array([sizes[i] for i in ids]), k)
-    mapping = vectors.sparkSession.createDataFrame([(int(i), int(l)) for i, l in zip(ids, labels)], "micro int, cluster int")
-    return assigned.join(broadcast_if_bounded(mapping, micro), "micro").select(key, "cluster", "features", *keep)
-
-
+# --------------------------------------------------------------------------- bisecting K-Means
 def bisecting_segments(vectors: DataFrame, key: str, k: int = 4, seed: int = 42) -> DataFrame:
     m = fit_cached(BisectingKMeans(k=k, seed=seed), vectors)
     return m.transform(vectors).select(key, F.col("prediction").cast("int").alias("cluster"), "features")

@@ -16,6 +16,7 @@ from cohortlab.operators import rules as ar
 from cohortlab.plans.registry import register, survey
 from cohortlab.plans.survey_sql import with_survey
 from cohortlab.sources.baskets import basket_brand, basket_event
+from cohortlab.sources.tables import table
 
 FLAGS = list(TOOL_LABELS)
 NAMES = list(TOOL_LABELS.values())
@@ -225,6 +226,61 @@ def miner_comparison(spark, sf_dir):
     return ar.miner_comparison({"Apriori": _flag_rules(spark, sf_dir, "+"), "FP-Growth": _fp_rules(spark, sf_dir, "+")})
 
 
+RULE = ["antecedent", "consequent", "support", "confidence", "lift"]
+
+
+@register("miner_difference", with_survey("SELECT 'Apriori' AS only_in, CAST(1 AS BIGINT) AS copies, * FROM (SELECT * FROM rules EXCEPT ALL SELECT * FROM rules)", *_rules_ctes("+")))
+def miner_difference(spark, sf_dir):
+    """Rules that only one of the two miners finds: none."""
+    one, two = _flag_rules(spark, sf_dir, "+").select(*RULE), _fp_rules(spark, sf_dir, "+").select(*RULE)
+    return ar.rule_difference(one, two, ("Apriori", "FP-Growth"))
+
+
+_STRICT = 0.6
+
+
+@register(
+    "rules_lost_by_confidence",
+    with_survey(f"SELECT 'at {CONF}' AS only_in, CAST(1 AS BIGINT) AS copies, * FROM rules WHERE confidence < {_STRICT}", *_rules_ctes()),
+)
+def rules_lost_by_confidence(spark, sf_dir):
+    """The difference of two lists that do differ: rules at the usual confidence and at a stricter one."""
+    s = survey(spark, sf_dir)
+    one, two = (ar.mine_flag_rules(s, TOOL_LABELS, SUP, c).select(*RULE) for c in (CONF, _STRICT))
+    return ar.rule_difference(one, two, (f"at {CONF}", f"at {_STRICT}"))
+
+
+# ----------------------------------------------------------------------------- more flags than a word has bits
+FIRST_YEAR, MONTHS = 1995, 80
+
+
+def month_flags(spark, sf_dir):
+    """A row per customer with an order: flag m is set if the customer ordered in month m."""
+    o = table(spark, sf_dir, "orders")
+    month = (F.year("o_orderdate") - FIRST_YEAR) * 12 + F.month("o_orderdate") - 1
+    return o.groupBy("o_custkey").agg(*[F.max((month == m).cast("int")).alias(f"m{m}") for m in range(MONTHS)])
+
+
+MONTH_LABELS = {f"m{m}": f"{FIRST_YEAR + m // 12}-{m % 12 + 1:02d}" for m in range(MONTHS)}
+_MONTH_CTES = (
+    "WITH o AS (SELECT DISTINCT o_custkey AS c, strftime(o_orderdate, '%Y-%m') AS m FROM orders), n AS (SELECT count(DISTINCT c) AS n FROM o), f AS ("
+    "SELECT m AS items, 1 AS size, count(*) AS cnt FROM o GROUP BY 1 UNION ALL "
+    "SELECT a.m || ' + ' || b.m, 2, count(*) FROM o a JOIN o b ON a.c = b.c AND a.m < b.m GROUP BY 1)"
+)
+MONTH_SUP = 0.014
+
+
+@register(
+    "month_itemsets",
+    f"{_MONTH_CTES} SELECT items, size, CAST(cnt AS BIGINT) AS count, round(cnt / n, 6) AS support FROM f, n WHERE cnt / n >= {MONTH_SUP}",
+)
+def month_itemsets(spark, sf_dir):
+    """80 flags (months with an order): frequent sets of up to two months, masks as arrays of longs."""
+    masks = ar.mask_counts(month_flags(spark, sf_dir), list(MONTH_LABELS))
+    found = ar.wide_itemsets(masks, list(MONTH_LABELS.values()), MONTH_SUP, 2)
+    return found.select("items", "size", "count", F.round("support", 6).alias("support"))
+
+
 @register(
     "rules_top8",
     with_survey(

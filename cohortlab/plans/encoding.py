@@ -159,3 +159,48 @@ def derive_targets(spark, sf_dir):
         F.round("churn_risk_derived", 6).alias("churn_risk_derived"),
         F.round("estimated_mrr_derived", 6).alias("estimated_mrr_derived"),
     )
+
+
+@register(
+    "exact_split",
+    with_survey(
+        "SELECT respondent_id, CASE WHEN row_number() OVER (ORDER BY CAST('0x' || substr(md5('42:' || CAST(respondent_id AS VARCHAR)), 1, 8) AS BIGINT), respondent_id) "
+        "<= ceil(0.2 * (SELECT count(*) FROM survey)) THEN 'test' ELSE 'train' END AS split FROM survey"
+    ),
+)
+def exact_split(spark, sf_dir):
+    """Exactly ceil(0.2 n) test rows."""
+    return enc.exact_split(survey(spark, sf_dir).select(C.id), C.id)
+
+
+def _uniform_sql(stream: int) -> str:
+    return f"((CAST('0x' || substr(md5('42:{stream}:' || CAST(respondent_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
+def _normal_sql(stream: int) -> str:
+    return f"sqrt(-2.0 * ln({_uniform_sql(2 * stream)})) * cos(2 * pi() * {_uniform_sql(2 * stream + 1)})"
+
+
+@register("noise_columns", with_survey(f"SELECT respondent_id, round({_uniform_sql(0)}, 9) AS u, round({_normal_sql(0)}, 6) AS z FROM survey"))
+def noise_columns(spark, sf_dir):
+    """A uniform and a normal number for every respondent."""
+    from cohortlab.functions.exprs import normal, uniform
+
+    return survey(spark, sf_dir).select(C.id, F.round(uniform(C.id), 9).alias("u"), F.round(normal(C.id), 6).alias("z"))
+
+
+@register(
+    "derive_targets_noisy",
+    with_survey(
+        f"""
+SELECT respondent_id, round(s, 6) AS subscription_score, CASE WHEN s > 3.2 THEN 1 ELSE 0 END AS will_subscribe_derived,
+       round(least(greatest(ch, 0.0), 1.0), 6) AS churn_risk_derived
+FROM (SELECT *, {_score} + 0.3 * {_normal_sql(0)} AS s,
+        1.0 - CAST({ord_sql('preferred_subscription_tier')} AS DOUBLE) / 3.0 * 0.4 + CASE WHEN preferred_billing_cadence = 'Monthly' THEN 0.1 ELSE 0.0 END
+        + 0.05 * CAST({ord_sql('subscription_fatigue')} AS DOUBLE) + 0.03 * {_normal_sql(1)} AS ch FROM survey)"""
+    ),
+)
+def derive_targets_noisy(spark, sf_dir):
+    d = enc.derive_targets(survey(spark, sf_dir), noise=0.3)
+    rounded = [F.round(c, 6).alias(c) for c in ("subscription_score", "churn_risk_derived")]
+    return d.select(C.id, "will_subscribe_derived", *rounded)

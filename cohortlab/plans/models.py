@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.config import CLASS_NAMES, SURVEY, TIER_ORDER
 from cohortlab.operators import aggregate as agg
+from cohortlab.operators import boosting as bst
 from cohortlab.operators import classify as cls
 from cohortlab.operators import encode as enc
 from cohortlab.operators import forecast as fc
@@ -55,7 +56,8 @@ def _test_rule(spark, sf_dir):
 def _cc_sql() -> str:
     return (
         "cc AS (SELECT count(*) FILTER (WHERE will_subscribe = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE will_subscribe = 0 AND pred = 1) AS fp, "
-        "count(*) FILTER (WHERE will_subscribe = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE will_subscribe = 0 AND pred = 0) AS tn FROM t)"
+        "count(*) FILTER (WHERE will_subscribe = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE will_subscribe = 0 AND pred = 0) AS tn, "
+        "count(*) FILTER (WHERE NOT coalesce(will_subscribe IN (0, 1) AND pred IN (0, 1), false)) AS unscored FROM t)"
     )
 
 
@@ -72,7 +74,7 @@ _P0, _R0 = _r("tn", "tn + fn"), _r("tn", "tn + fp")
     with_survey(
         f"""SELECT round_even({_r('tp + tn', 'tp + fp + fn + tn')}, 4) AS accuracy, round_even({_P1}, 4) AS precision,
        round_even({_R1}, 4) AS recall, round_even({_r(f'2.0 * ({_P1}) * ({_R1})', f'({_P1}) + ({_R1})')}, 4) AS f1,
-       CAST(tp + fp + fn + tn AS BIGINT) AS n FROM cc""",
+       CAST(tp + fp + fn + tn AS BIGINT) AS n, CAST(unscored AS BIGINT) AS unscored FROM cc""",
         TEST_CTE,
         _cc_sql(),
     ),
@@ -94,6 +96,60 @@ def confusion_matrix(spark, sf_dir):
     return cls.confusion_matrix(_test_rule(spark, sf_dir), C.subscribe, "pred")
 
 
+# ----------------------------------------------------------------------------- more than two labels
+#: Predicted tier by willingness to pay; no prediction without it.
+_TIER_PRED_SQL = "CASE WHEN wtp_monthly_usd > 120 THEN 'Platinum' WHEN wtp_monthly_usd > 70 THEN 'Gold' WHEN wtp_monthly_usd > 20 THEN 'Silver' WHEN wtp_monthly_usd <= 20 THEN 'Basic' END"
+_TIER_CTE = f"tp AS (SELECT preferred_subscription_tier AS actual, {_TIER_PRED_SQL} AS predicted FROM survey)"
+_LABELS_CTE = "labs AS (SELECT actual AS lab FROM tp WHERE actual IS NOT NULL UNION SELECT predicted FROM tp WHERE predicted IS NOT NULL)"
+
+
+def _tier_predictions(spark, sf_dir):
+    w = F.col(C.wtp)
+    pred = F.when(w > 120, "Platinum").when(w > 70, "Gold").when(w > 20, "Silver").when(w <= 20, "Basic")
+    return survey(spark, sf_dir).select(F.col(C.tier).alias("actual"), pred.alias("predicted"))
+
+
+@register(
+    "tier_confusion",
+    with_survey(
+        "SELECT a.lab AS actual, p.lab AS predicted, CAST(count(tp.actual) AS BIGINT) AS n FROM labs a CROSS JOIN labs p LEFT JOIN tp ON tp.actual = a.lab AND tp.predicted = p.lab "
+        "GROUP BY 1, 2 UNION ALL SELECT actual, predicted, CAST(count(*) AS BIGINT) FROM tp WHERE actual IS NULL OR predicted IS NULL GROUP BY 1, 2",
+        _TIER_CTE,
+        _LABELS_CTE,
+    ),
+)
+def tier_confusion(spark, sf_dir):
+    """A five-label matrix (one label is never actual, one never predicted) with the rows that have no prediction."""
+    return cls.confusion_table(_tier_predictions(spark, sf_dir), "actual", "predicted")
+
+
+_TIER_REPORT_CTES = [
+    _TIER_CTE,
+    _LABELS_CTE,
+    "sc AS (SELECT * FROM tp WHERE actual IS NOT NULL AND predicted IS NOT NULL)",
+    "e AS (SELECT lab, (SELECT count(*) FROM sc WHERE actual = lab) AS s, (SELECT count(*) FROM sc WHERE predicted = lab) AS q, "
+    "(SELECT count(*) FROM sc WHERE actual = lab AND predicted = lab) AS h FROM labs WHERE lab IN (SELECT actual FROM sc UNION SELECT predicted FROM sc))",
+    "m AS (SELECT lab, s, h, CASE WHEN q > 0 THEN h / q ELSE 0.0 END AS p, CASE WHEN s > 0 THEN h / s ELSE 0.0 END AS r FROM e)",
+    "f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM m)",
+]
+
+
+@register(
+    "tier_report",
+    with_survey(
+        """
+SELECT 'label' AS kind, lab AS label, round_even(p, 3) AS precision, round_even(r, 3) AS recall, round_even(f, 3) AS f1_score, CAST(s AS DOUBLE) AS support FROM f
+UNION ALL SELECT 'summary', 'accuracy', round_even(sum(h) / sum(s), 3), round_even(sum(h) / sum(s), 3), round_even(sum(h) / sum(s), 3), round_even(sum(h) / sum(s), 3) FROM f
+UNION ALL SELECT 'summary', 'macro avg', round_even(avg(p), 3), round_even(avg(r), 3), round_even(avg(f), 3), CAST(sum(s) AS DOUBLE) FROM f
+UNION ALL SELECT 'summary', 'weighted avg', round_even(sum(p * s) / sum(s), 3), round_even(sum(r * s) / sum(s), 3), round_even(sum(f * s) / sum(s), 3), CAST(sum(s) AS DOUBLE) FROM f
+UNION ALL SELECT 'summary', 'unscored', NULL, NULL, NULL, CAST(count(*) AS DOUBLE) FROM tp WHERE actual IS NULL OR predicted IS NULL""",
+        *_TIER_REPORT_CTES,
+    ),
+)
+def tier_report(spark, sf_dir):
+    return cls.label_report(_tier_predictions(spark, sf_dir), "actual", "predicted")
+
+
 def _report_sql() -> str:
     f1_1 = _r(f"2.0 * ({_P1}) * ({_R1})", f"({_P1}) + ({_R1})")
     f1_0 = _r(f"2.0 * ({_P0}) * ({_R0})", f"({_P0}) + ({_R0})")
@@ -215,8 +271,8 @@ def _lr(spark, sf_dir):
 
 def _gbt(spark, sf_dir):
     train, test, allrows = _split(spark, sf_dir)
-    model = cached(spark, sf_dir, "fit_gbt", lambda: fc.fit_gbt(train, FEATS, C.mrr))
-    return model, fc.predict_gbt(model, test, FEATS, [C.id, C.mrr]), fc.predict_gbt(model, allrows, FEATS, [C.id, C.mrr, C.tier])
+    model = cached(spark, sf_dir, "fit_gbt", lambda: bst.fit_boosting(train, FEATS, C.mrr))
+    return model, bst.predict_boosting(model, test, FEATS, [C.id, C.mrr]), bst.predict_boosting(model, allrows, FEATS, [C.id, C.mrr, C.tier])
 
 
 def _ols(spark, sf_dir):
@@ -281,6 +337,24 @@ def gbt_predictions(spark, sf_dir):
     return _gbt(spark, sf_dir)[1]
 
 
+@register(
+    "gbt_loss_falls",
+    "SELECT CAST(t AS INTEGER) AS tree, true AS falls FROM range(1, 101) x(t)",
+)
+def gbt_loss_falls(spark, sf_dir):
+    """Whether every tree lowers the sum of squared residuals on the training rows."""
+    losses = _gbt(spark, sf_dir)[0].losses
+    return spark.createDataFrame([(i, losses[i] < losses[i - 1]) for i in range(1, len(losses))], "tree int, falls boolean")
+
+
+@register("gbt_mean_residual", with_survey("SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS DOUBLE) AS mean_residual FROM survey WHERE " + split_sql() + " = 'train' AND estimated_mrr_usd IS NOT NULL"))
+def gbt_mean_residual(spark, sf_dir):
+    """Boosting from the mean keeps the residuals of the training rows centred."""
+    train, _, _ = _split(spark, sf_dir)
+    p = bst.predict_boosting(_gbt(spark, sf_dir)[0], train, FEATS, [C.mrr])
+    return p.agg(F.count("prediction").alias("n"), (F.round(F.avg(F.col(C.mrr) - F.col("prediction")), 6) + F.lit(0.0)).alias("mean_residual"))
+
+
 @register("linreg_predictions")
 def linreg_predictions(spark, sf_dir):
     return _ols(spark, sf_dir)[1]

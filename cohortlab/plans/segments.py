@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from cohortlab.config import PERSONA_NAMES, SURVEY
 from cohortlab.operators import aggregate as agg
 from cohortlab.operators import segment as seg
+from cohortlab.operators import ward
 from cohortlab.operators.encode import assemble, spread
+from cohortlab.operators.silhouette import euclidean_silhouette
 from cohortlab.plans.encoding import ord_sql
 from cohortlab.plans.registry import cached, register, survey
 from cohortlab.plans.survey_sql import with_survey
@@ -66,6 +68,37 @@ def silhouette_by_user_type(spark, sf_dir):
     return s.select(F.round("silhouette", 6).alias("silhouette"), "n")
 
 
+SILHOUETTE_SAMPLE = 1_000
+
+
+def _euclidean_sql(size: int) -> str:
+    square = " + ".join(f"(p.{f} - q.{f}) * (p.{f} - q.{f})" for f in FEATS)
+    return with_survey(
+        """
+SELECT round(sum(N / t * m), 6) AS silhouette, round(sqrt(sum((N / t) * (N / t) * (1 - c / N) * v / c)), 6) AS std_error,
+       CAST(sum(c) AS BIGINT) AS n_sample, CAST(max(t) AS BIGINT) AS n
+FROM (SELECT user_type, any_value(N) AS N, any_value(t) AS t, count(*) AS c, avg(s) AS m, coalesce(var_samp(s), 0.0) AS v FROM s GROUP BY user_type)""",
+        _z_cte(),
+        "w AS (SELECT * FROM z WHERE user_type IS NOT NULL)",
+        f"""rk AS (SELECT *, count(*) OVER (PARTITION BY user_type) AS N, count(*) OVER () AS t,
+  row_number() OVER (PARTITION BY user_type ORDER BY CAST('0x' || substr(md5('42:' || CAST(respondent_id AS VARCHAR)), 1, 8) AS BIGINT), respondent_id) AS place FROM w)""",
+        f"sam AS (SELECT * FROM rk WHERE place <= greatest(ceil({size} * N / t), 2))",
+        f"""d AS (SELECT p.respondent_id, p.user_type, any_value(p.N) AS N, any_value(p.t) AS t, q.user_type AS other, sum(sqrt({square})) AS d, count(*) AS m
+  FROM sam p CROSS JOIN w q GROUP BY 1, 2, q.user_type)""",
+        """ab AS (SELECT respondent_id, user_type, any_value(N) AS N, any_value(t) AS t, max(CASE WHEN user_type = other AND m > 1 THEN d / (m - 1) END) AS a,
+  min(CASE WHEN user_type <> other THEN d / m END) AS b FROM d GROUP BY 1, 2)""",
+        "s AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s FROM ab)",
+    )
+
+
+@register("silhouette_euclidean", _euclidean_sql(SILHOUETTE_SAMPLE))
+def silhouette_euclidean(spark, sf_dir):
+    """Euclidean silhouette of the user types: a stratified sample of points, each against all points, and the standard error."""
+    z, feats = seg.cluster_input(survey(spark, sf_dir), keep=[C.user_type])
+    s = euclidean_silhouette(z, C.id, feats, C.user_type, SILHOUETTE_SAMPLE)
+    return s.select(*[F.round(c, 6).alias(c) for c in ("silhouette", "std_error")], "n_sample", "n")
+
+
 _PERSONA_CTE = (
     "pn AS (SELECT user_type, CAST(row_number() OVER (ORDER BY avg(monthly_spend_on_ai_usd) DESC, user_type ASC) AS INTEGER) AS spend_rank "
     "FROM survey WHERE user_type IS NOT NULL GROUP BY user_type), "
@@ -165,6 +198,12 @@ def kmeans_silhouette(spark, sf_dir):
     return seg.silhouette(pts, FEATS, "cluster")
 
 
+@register("kmeans_silhouette_euclidean")
+def kmeans_silhouette_euclidean(spark, sf_dir):
+    _, a, _ = _kmeans(spark, sf_dir)
+    return euclidean_silhouette(seg.features_to_columns(a, FEATS), C.id, FEATS, "cluster", SILHOUETTE_SAMPLE)
+
+
 @register("kmeans_industry_crosstab")
 def kmeans_industry_crosstab(spark, sf_dir):
     s, _, _ = _kmeans(spark, sf_dir)
@@ -178,7 +217,14 @@ def _vectors(spark, sf_dir):
 
 @register("ward_assignments")
 def ward_assignments(spark, sf_dir):
-    return seg.ward_segments(_vectors(spark, sf_dir), C.id, k=K).select(C.id, "cluster")
+    return ward.ward_segments(_vectors(spark, sf_dir), C.id, k=K).select(C.id, "cluster")
+
+
+@register("ward_sizes", with_survey("SELECT CAST(4 AS BIGINT) AS clusters, CAST(count(*) AS BIGINT) AS n, true AS radius_known FROM survey"))
+def ward_sizes(spark, sf_dir):
+    """Ward's clusters hold every respondent, and each knows how far its feature is from its points."""
+    w = ward.ward_segments(_vectors(spark, sf_dir), C.id, k=K)
+    return w.agg(F.count_distinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("n"), F.min(F.col("leaf_radius") >= 0).alias("radius_known"))
 
 
 @register("bisecting_assignments")
@@ -188,16 +234,16 @@ def bisecting_assignments(spark, sf_dir):
 
 @register("clustering_comparison")
 def clustering_comparison(spark, sf_dir):
-    """Squared-Euclidean silhouette of K-Means and Ward (k = 4) on the same points; tie -> K-Means."""
+    """Euclidean silhouette of K-Means and Ward (k = 4) on the same sample of points, with standard errors; tie -> K-Means."""
     _, km, _ = _kmeans(spark, sf_dir)
-    ward = seg.ward_segments(_vectors(spark, sf_dir), C.id, k=K)
+    tree = ward.ward_segments(_vectors(spark, sf_dir), C.id, k=K)
     parts = []
-    for name, a in (("K-Means", km), ("Agglomerative (Ward)", ward)):
-        sil = seg.silhouette(seg.features_to_columns(a, FEATS), FEATS, "cluster")
-        parts.append(sil.select(F.lit(name).alias("method"), "silhouette", "n"))
+    for name, a in (("K-Means", km), ("Agglomerative (Ward)", tree)):
+        sil = euclidean_silhouette(seg.features_to_columns(a, FEATS), C.id, FEATS, "cluster", SILHOUETTE_SAMPLE)
+        parts.append(sil.select(F.lit(name).alias("method"), "*"))
     both = parts[0].unionByName(parts[1])
     best = F.max_by("method", F.struct("silhouette", F.when(F.col("method") == "K-Means", 1).otherwise(0))).over(Window.partitionBy(F.lit(1)))  # two rows
-    return both.select("method", F.round("silhouette", 4).alias("silhouette"), "n", best.alias("winner"))
+    return both.select("method", *[F.round(c, 4).alias(c) for c in ("silhouette", "std_error")], "n_sample", "n", best.alias("winner"))
 
 
 @register("kmeans_persona_rates")
@@ -217,7 +263,7 @@ def kmeans_scatter_bins(spark, sf_dir):
 def ward_scatter_bins(spark, sf_dir):
     s = survey(spark, sf_dir)
     z, feats = seg.cluster_input(s.withColumns({"raw_x": F.col(C.spend), "raw_y": F.col(C.wtp)}), keep=["raw_x", "raw_y"])
-    w = seg.ward_segments(assemble(z, feats).select(C.id, "features", "raw_x", "raw_y"), C.id, k=K, keep=["raw_x", "raw_y"])
+    w = ward.ward_segments(assemble(z, feats).select(C.id, "features", "raw_x", "raw_y"), C.id, k=K, keep=["raw_x", "raw_y"])
     return seg.scatter_bins(w, "raw_x", "raw_y", "cluster")
 
 

@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlab.operators import boosting as bst
 from cohortlab.operators import classify as cls
 from cohortlab.operators import forecast as fc
 from cohortlab.operators import segment as seg
+from cohortlab.operators import ward
 from cohortlab.operators.encode import assemble
 
 FEATS = ["a", "b", "c"]
@@ -46,7 +48,7 @@ def test_ols_solves_the_normal_equations(data):
 
 def test_boosting_beats_the_line_and_the_mean(data):
     _, _, _, df = data
-    gbt = fc.regression_metrics(fc.predict_gbt(fc.fit_gbt(df, FEATS, "m", n_trees=40), df, FEATS, ["m"]), "m", "prediction").first()
+    gbt = fc.regression_metrics(bst.predict_boosting(bst.fit_boosting(df, FEATS, "m", n_trees=40), df, FEATS, ["m"]), "m", "prediction").first()
     model, stats = fc.fit_linear(df, FEATS, "m")
     ols = fc.regression_metrics(fc.predict_linear(model, stats, df, FEATS, ["m"]), "m", "prediction").first()
     assert gbt.r2 > 0.9 > ols.r2 > 0
@@ -73,6 +75,6 @@ def test_segmentations_are_fixed_points(data):
     x, lab = np.array([[r.a, r.b, r.c] for r in pts]), np.array([r.cluster for r in pts])
     assert (((x[:, None] - centers) ** 2).sum(-1).argmin(1) == lab).all()
     assert np.allclose([x[lab == k].mean(0) for k in range(3)], centers, atol=0.1)
-    for labelled in (seg.ward_segments(vec, "id", k=3, micro=50), seg.bisecting_segments(vec, "id", k=3)):
+    for labelled in (ward.ward_segments(vec, "id", k=3, limit=50), seg.bisecting_segments(vec, "id", k=3)):
         sizes = {r.cluster: r["count"] for r in labelled.groupBy("cluster").count().collect()}
         assert len(sizes) == 3 and sum(sizes.values()) == len(x)

@@ -80,8 +80,8 @@ def test_five_baskets_supports(spark):
 def test_ward_merge_small_exact():
     import numpy as np
 
-    from cohortlab.operators.segment import _ward_merge
+    from cohortlab.operators.ward import ward_merge
 
     pts = np.array([[0.0], [0.1], [5.0], [5.2], [10.0]])
-    labels = _ward_merge(pts, np.ones(5), 3)
+    labels = ward_merge(pts, np.ones(5), 3)
     assert labels.tolist() == [0, 0, 1, 1, 2]
