@@ -144,20 +144,18 @@ def _refine(long: DataFrame, wins: list[_Win], cuts: list[list[float]]) -> list[
     return list(nxt.values())
 
 
-def exact_quantiles(
+def quantile_neighbours(
     df: DataFrame,
     columns: Mapping[str, Column] | Sequence[str],
     probs: Sequence[float],
     buckets: int = 256,
     max_exact: int = 2_000_000,
-) -> DataFrame:
-    """Exact ``quantile_cont`` of each column for each probability.
+) -> list[dict]:
+    """What a quantile is interpolated from: for each column and probability ``column, q, n``, the values at the ranks around (n - 1) q
+    (``lower``, ``upper``) and the ``share`` of the way between them; None where there are no values.
 
-    Returns one row per (column, q): ``column string, q double, value double, n long``.
-    NULLs are ignored; a column without values gives ``value = NULL``.  ``max_exact`` bounds
-    the distinct values one task ranks; ``buckets`` is the split factor of a refinement round.
+    ``max_exact`` bounds the distinct values one task ranks; ``buckets`` is the split factor of a refinement round.
     """
-    spark = df.sparkSession
     long = _long_values(df, columns)
     names = list(columns) if not isinstance(columns, Mapping) else list(columns.keys())
     fractions = [i / buckets for i in range(1, buckets)]
@@ -192,14 +190,30 @@ def exact_quantiles(
     for c in names:
         n = totals.get(c, 0)
         for q in probs:
-            if not n:
-                rows.append((c, float(q), None, 0))
-                continue
-            h = (n - 1) * float(q)
-            lo_v, hi_v = found[(c, math.floor(h))], found[(c, math.ceil(h))]
-            frac = h - math.floor(h)
-            rows.append((c, float(q), lo_v if frac == 0 else lo_v + (hi_v - lo_v) * frac, n))
-    return spark.createDataFrame(rows, "column string, q double, value double, n long")
+            h = (n - 1) * float(q) if n else 0.0
+            lower, upper = (found[c, math.floor(h)], found[c, math.ceil(h)]) if n else (None, None)
+            rows.append({"column": c, "q": float(q), "n": n, "lower": lower, "upper": upper, "share": h - math.floor(h)})
+    return rows
+
+
+def exact_quantiles(
+    df: DataFrame,
+    columns: Mapping[str, Column] | Sequence[str],
+    probs: Sequence[float],
+    buckets: int = 256,
+    max_exact: int = 2_000_000,
+) -> DataFrame:
+    """Exact ``quantile_cont`` of each column for each probability.
+
+    Returns one row per (column, q): ``column string, q double, value double, n long``.
+    NULLs are ignored; a column without values gives ``value = NULL``.
+    """
+    rows = []
+    for r in quantile_neighbours(df, columns, probs, buckets, max_exact):
+        lo, hi, share = r["lower"], r["upper"], r["share"]
+        value = None if lo is None else lo if share == 0 else lo + (hi - lo) * share
+        rows.append((r["column"], r["q"], value, r["n"]))
+    return df.sparkSession.createDataFrame(rows, "column string, q double, value double, n long")
 
 
 def quantile_wide(

@@ -209,3 +209,25 @@ def compare(metrics: Mapping[str, DataFrame], score: str, first_wins_ties: str)
         out = out.unionByName(p)
     winner = F.max_by("model", F.struct(F.col(score), F.when(F.col("model") == first_wins_ties, 1).otherwise(0)))
     return out.withColumn("winner", winner.over(Window.partitionBy(F.lit(1))))  # as many rows as models
+
+
+#: What a caller may choose, and the models fitted for it.
+CHOICES = {"rf": ("Random Forest",), "lr": ("Logistic Regression",), "both": ("Random Forest", "Logistic Regression")}
+
+
+def train_and_score(
+    train: DataFrame, test: DataFrame, features: Sequence[str], label: str, choice: str = "both", n_trees: int = 100, max_depth: int = 10, c: float = 1.0, seed: int = 42
+) -> DataFrame:
+    """Metrics on ``test`` of the chosen models ('rf', 'lr' or 'both'), with the winner by F1; a model that is not chosen is not fitted."""
+    if choice not in CHOICES:
+        raise ValueError(f"choice is one of {sorted(CHOICES)}, not {choice!r}")
+    scored: dict[str, DataFrame] = {}
+    for name in CHOICES[choice]:
+        if name == "Random Forest":
+            model = fit_random_forest(train, features, label, n_trees, max_depth, seed)
+            predicted = predict_rf(model, test, features, [label])
+        else:
+            lr, stats = fit_logistic(train, features, label, c)
+            predicted = predict_logistic(lr, stats, test, features, [label])
+        scored[name] = binary_metrics(predicted, label, "prediction")
+    return compare(scored, "f1", CHOICES[choice][0])

@@ -31,7 +31,7 @@ from cohortlab.config import (
     SurveyColumns,
 )
 from cohortlab.functions.exprs import not_binary, without_nan
-from cohortlab.functions.quantiles import quantile_wide
+from cohortlab.functions.quantiles import quantile_neighbours, quantile_wide
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -187,19 +187,22 @@ def checks_passed(checks: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- duplicates
 def duplicate_profile(df: DataFrame, key: str) -> DataFrame:
-    """Rows beyond the first of each equal group: whole row, key only, all but the key.
+    """Rows beyond the first of each equal group: whole row, key only, all but the key.  NULLs compare equal.
 
-    Each count is n - #groups of a hash aggregation; equal rows (a hot group of
-    copies) are combined map-side before the shuffle.  NULLs compare equal.
+    Only the key and a 128-bit hash of the other columns are shuffled for all rows; whole rows are then compared among those whose hash
+    another row has, so the counts do not rest on the hash.  Copies of a row are combined map-side before they are shuffled.
     """
-    others = [c for c in df.columns if c != key]
-    n = F.count(F.lit(1))
-    # whole rows and keys from one shuffle: the distinct rows of a key are counted again by key
-    by_row = df.groupBy(*df.columns).agg(n.alias("copies"))
-    by_key = by_row.groupBy(key).agg(F.sum("copies").alias("copies"), n.alias("rows"))
-    both = by_key.agg(F.sum("copies").alias("n"), F.sum("rows").alias("rows"), n.alias("ids"))
-    answers = df.groupBy(*others).agg(n.alias("copies")).agg((F.sum("copies") - n).alias("extra"))
-    row = both.select(F.col("n") - F.col("rows"), F.col("n") - F.col("ids"), answers.scalar()).toDF("full_row", "id", "answers_without_id")
+    others, n = [c for c in df.columns if c != key], F.count(F.lit(1))
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    values = [F.col(c) + F.lit(0.0) if c in floats else F.col(c) for c in others]  # 0.0 and -0.0 are one value, as in grouping
+    mark = [F.xxhash64(*values).alias("__h"), F.xxhash64(F.lit(1), *reversed(values)).alias("__g")]
+    narrow = df.select(key, *mark)
+    ids = narrow.groupBy(key).agg(n.alias("copies")).agg((F.sum("copies") - n).alias("extra"))
+    alike = narrow.groupBy("__h", "__g").agg(n.alias("copies")).where("copies > 1").select("__h", "__g")
+    rows = df.select(*df.columns, *mark).join(alike, ["__h", "__g"], "left_semi").groupBy(*df.columns).agg(n.alias("copies"))
+    same = rows.agg((F.sum("copies") - n).alias("extra"))
+    answers = rows.groupBy(*others).agg(F.sum("copies").alias("copies")).agg((F.sum("copies") - n).alias("extra"))
+    row = same.select(F.col("extra").alias("full_row"), ids.scalar().alias("id"), answers.scalar().alias("answers_without_id"))
     cells = [
         F.struct(F.lit(i + 1).alias("position"), F.lit(k).alias("kind"), F.coalesce(F.col(k), F.lit(0)).cast("long").alias("n_duplicates"))
         for i, k in enumerate(row.columns)
@@ -293,43 +296,36 @@ def winsorize(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFram
 def box_stats(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
     """Data behind before/after box plots: quartiles, whiskers (extreme values within k IQR), flier count.
 
-    The raw and the clipped value of every column are unpivoted to ``(column, v)``
-    and joined to the per-column quartiles (one row per column, broadcast), then
-    one grouped aggregation yields the whiskers.
+    Quartiles are ranked once: clipping to the fences keeps the order, so the quartiles after it are interpolated between the clipped values at the
+    same ranks.  Whiskers and fliers of both stages are conditional aggregates of one more scan.
     """
     df = without_nan(df, columns)
-    base = df.select(*columns, fence_map(iqr_fences(df, columns, k)).alias("__fm"))  # fences projected once
-    names = []
-    exprs = []
-    for c in columns:
-        names += [f"{c}|before", f"{c}|after"]
-        exprs += [F.col(c).cast("double"), clip_to_fences(c, F.col("__fm"))]
-    wide = base.select(*[e.alias(n) for n, e in zip(names, exprs)])
-    qs = quantile_wide(wide, names, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    long = wide.unpivot([], names, "column", "v").where(F.col("v").isNotNull())
-    iqr = F.col("q3") - F.col("q1")
-    lo, hi = F.col("q1") - F.lit(k) * iqr, F.col("q3") + F.lit(k) * iqr
-    v = F.col("v")
-    wh = (
-        long.join(F.broadcast(qs), "column")
-        .groupBy("column", "q1", "median", "q3")
-        .agg(
-            F.min(F.when(v >= lo, v)).alias("whisker_low"),
-            F.max(F.when(v <= hi, v)).alias("whisker_high"),
-            F.count_if((v < lo) | (v > hi)).cast("long").alias("fliers"),
-        )
-    )
-    parts = F.split(F.col("column"), r"\|")
-    return wh.select(
-        parts[0].alias("feature"),
-        parts[1].alias("stage"),
-        "q1",
-        "median",
-        "q3",
-        "whisker_low",
-        "whisker_high",
-        "fliers",
-    )
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    known = {(r["column"], r["q"]): r for r in quantile_neighbours(df, list(columns), list(probs.values()))}
+
+    def between(lo: float, hi: float, share: float) -> float:
+        return lo if share == 0 else lo + (hi - lo) * share
+
+    rows, aggs, cells = [], [], []
+    for i, c in enumerate(columns):
+        if not known[c, 0.25]["n"]:
+            continue
+        before = {name: between(*(known[c, q][x] for x in ("lower", "upper", "share"))) for name, q in probs.items()}
+        iqr = before["q3"] - before["q1"]
+        low, high = before["q1"] - k * iqr, before["q3"] + k * iqr
+        after = {name: between(*(min(max(known[c, q][x], low), high) for x in ("lower", "upper")), known[c, q]["share"]) for name, q in probs.items()}
+        x = F.col(c).cast("double")
+        clipped = F.when(x < low, F.lit(low)).when(x > high, F.lit(high)).otherwise(x)
+        for stage, v, q in (("before", x, before), ("after", clipped, after)):
+            lo, hi = q["q1"] - k * (q["q3"] - q["q1"]), q["q3"] + k * (q["q3"] - q["q1"])
+            at = f"{i}_{stage}"
+            aggs += [F.min(F.when(v >= lo, v)).alias(f"l{at}"), F.max(F.when(v <= hi, v)).alias(f"h{at}"), F.count_if((v < lo) | (v > hi)).cast("long").alias(f"n{at}")]
+            values = [F.lit(float(q[name])).alias(name) for name in probs]
+            cells.append(F.struct(F.lit(c).alias("feature"), F.lit(stage).alias("stage"), *values, F.col(f"l{at}").alias("whisker_low"), F.col(f"h{at}").alias("whisker_high"), F.col(f"n{at}").alias("fliers")))
+    if not cells:
+        doubles = [F.lit(None).cast("double").alias(x) for x in (*probs, "whisker_low", "whisker_high")]
+        return df.limit(0).select(F.lit("").alias("feature"), F.lit("").alias("stage"), *doubles, F.lit(0).cast("long").alias("fliers"))
+    return df.agg(*aggs).select(_cells(cells))
 
 
 def box_stats_plain(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:

@@ -402,32 +402,46 @@ def regression_comparison(spark, sf_dir):
     return _reg_comparison(spark, sf_dir)
 
 
+def _both(df, key: str, score: str, one: str, two: str, analysis: str, metric: str):
+    """One row of the summary from a comparison of two rows."""
+    value = lambda name: F.max(F.when(F.col(key) == name, F.col(score).cast("double")))
+    row = df.agg(value(one).alias("value_a"), value(two).alias("value_b"), F.max("winner").alias("winner"))
+    names = [F.lit(x).alias(c) for x, c in ((analysis, "analysis"), (one, "algorithm_a"), (two, "algorithm_b"), (metric, "metric"))]
+    return row.select(*names, "value_a", "value_b", "winner")
+
+
 @register("algorithm_summary")
 def algorithm_summary(spark, sf_dir):
-    """One row per method family: the two algorithms, the key metric of each and the winner.
-
-    Each comparison is two rows; they are evaluated one after another (so the model
-    predictions behind them never run concurrently) and the 4-row summary is built
-    from their values.
-    """
-    from cohortlab.plans.bundles import _flag_rules, _fp_rules
+    """One row per method family: the two algorithms, the key metric of each and the winner - four comparisons of two rows each, put together by the plan."""
+    from cohortlab.plans.bundles import miner_comparison
     from cohortlab.plans.segments import clustering_comparison
 
-    def pick(df, key, score, a, b):
-        rows = {r[key]: r for r in df.collect()}
-        return float(rows[a][score]), float(rows[b][score]), rows[a]["winner"]
-
-    rf_f1, lr_f1, w_cls = pick(_cls_comparison(spark, sf_dir), "model", "f1", "Random Forest", "Logistic Regression")
-    km_s, ward_s, w_clu = pick(clustering_comparison(spark, sf_dir), "method", "silhouette", "K-Means", "Agglomerative (Ward)")
-    n_ap = float(_flag_rules(spark, sf_dir, "+").count())
-    n_fp = float(_fp_rules(spark, sf_dir, "+").count())
-    gb_r2, ols_r2, w_reg = pick(_reg_comparison(spark, sf_dir), "model", "r2", "Gradient Boosting", "Linear Regression")
-    rows = [
-        ("Classification", "Random Forest", "Logistic Regression", "F1", rf_f1, lr_f1, w_cls),
-        ("Clustering", "K-Means", "Agglomerative (Ward)", "Silhouette (squared Euclidean)", km_s, ward_s, w_clu),
-        ("Association Rules", "Apriori", "FP-Growth", "Rules", n_ap, n_fp, "Apriori" if n_ap >= n_fp else "FP-Growth"),
-        ("Regression", "Gradient Boosting", "Linear Regression", "R2", gb_r2, ols_r2, w_reg),
+    rules = miner_comparison(spark, sf_dir)
+    first = F.when(F.max(F.when(F.col("method") == "Apriori", F.col("rules"))) >= F.max(F.when(F.col("method") == "FP-Growth", F.col("rules"))), "Apriori").otherwise("FP-Growth")
+    rules = rules.withColumn("winner", rules.agg(first).scalar())
+    parts = [
+        _both(_cls_comparison(spark, sf_dir), "model", "f1", "Random Forest", "Logistic Regression", "Classification", "F1"),
+        _both(clustering_comparison(spark, sf_dir), "method", "silhouette", "K-Means", "Agglomerative (Ward)", "Clustering", "Silhouette (Euclidean)"),
+        _both(rules, "method", "rules", "Apriori", "FP-Growth", "Association Rules", "Rules"),
+        _both(_reg_comparison(spark, sf_dir), "model", "r2", "Gradient Boosting", "Linear Regression", "Regression", "R2"),
     ]
-    return spark.createDataFrame(
-        rows, "analysis string, algorithm_a string, algorithm_b string, metric string, value_a double, value_b double, winner string"
-    )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("chosen_model_logistic")
+def chosen_model_logistic(spark, sf_dir):
+    """The classification tab with one model chosen: its metrics alone (the other is not fitted)."""
+    train, test, _ = _split(spark, sf_dir)
+    return cls.train_and_score(train, test, FEATS, C.subscribe, "lr")
+
+
+@register(
+    "chosen_model_rows",
+    with_survey("SELECT 'Logistic Regression' AS model, CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS unscored FROM survey WHERE " + split_sql() + " = 'test'"),
+)
+def chosen_model_rows(spark, sf_dir):
+    """Every test row is scored by the chosen model."""
+    return chosen_model_logistic(spark, sf_dir).select("model", "n", "unscored")

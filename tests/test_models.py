@@ -66,6 +66,17 @@ def test_forest_beats_the_majority(data):
     assert sum(r.importance for r in shown) == pytest.approx(1.0)
 
 
+def test_chosen_models(data):
+    _, y, _, df = data
+    one = cls.train_and_score(df, df, FEATS, "y", "lr").collect()
+    assert [(r.model, r.n, r.winner) for r in one] == [("Logistic Regression", len(y), "Logistic Regression")]
+    both = {r.model: r for r in cls.train_and_score(df, df, FEATS, "y", "both", n_trees=10, max_depth=5).collect()}
+    assert set(both) == {"Random Forest", "Logistic Regression"} and both["Logistic Regression"].f1 == one[0].f1
+    assert {r.winner for r in both.values()} == {max(both.values(), key=lambda r: r.f1).model}
+    with pytest.raises(ValueError, match="choice"):
+        cls.train_and_score(df, df, FEATS, "y", "svm")
+
+
 def test_segmentations_are_fixed_points(data):
     _, _, _, df = data
     vec = assemble(df, FEATS).select("id", "features").cache()
