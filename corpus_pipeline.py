@@ -39,7 +39,7 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 13 words or more that an earlier one has; untouched texts stay as they are."""
-    tag = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    tag = F.xxhash64("doc_id", "text")  # rows alike in both have one result, whatever their other columns
     found = remove_repeats(docs, tag=tag).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "kept_text")
     found = found.dropDuplicates(["_id", "_tag"])  # rows that repeat have one result
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), tag.alias("_tag"))
