@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import small_batches
+from cohortlab.llm.common import give_back, small_batches
 from cohortlab.llm.packing import default_vocabulary
 from cohortlab.llm.wordbpe import WordEncoder, id_to_piece
 from cohortlab.session import shuffle_partitions
 
 #: Bytes of text in a packed run of documents, and distinct words a task gathers before it hands them on.
-CHUNK, WORDS = 1 << 20, 500_000
+CHUNK, WORDS = 1 << 20, 300_000
 
 CHUNKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("texts", pa.binary())])
 TABLE = pa.schema([("home", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
@@ -102,6 +102,7 @@ def _words(batches, keys: list[int], path: str):
         if sum(map(len, found.values())) >= WORDS:
             yield from rows()
     yield from rows()
+    give_back()
 
 
 def _encode_words(batches, path: str):
@@ -113,7 +114,7 @@ def _encode_words(batches, path: str):
         for row in batch.to_pylist():
             words = unpack.decompress(row["words"]).decode().split("\n")
             new = [w for w in words if w not in known]
-            if len(known) + len(new) > 2 * WORDS:
+            if len(known) + len(new) > WORDS:
                 known.clear()
                 new = words
             known.update(zip(new, encoder.encode_words(new), strict=True))
@@ -122,6 +123,8 @@ def _encode_words(batches, path: str):
             row["ids"] = pack.compress(b"".join(ids))
             out.append(row)
         yield pa.RecordBatch.from_pylist(out, TABLE)
+    known.clear()
+    give_back()
 
 
 def _join(chunks: pa.Table, table: pa.Table, path: str, schema: pa.Schema) -> pa.Table:

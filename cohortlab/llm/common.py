@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.session import ensure_checkpoint_dir
 
-#: Rows and bytes of an Arrow batch. Rows can be long, and a Python task holds one batch at a time.
-ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
+#: Rows and bytes of an Arrow batch. Rows can be long; a Python task holds one batch at a time, the JVM a buffer of that size each way.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 #: Distinct words whose hashes a Python task keeps; beyond it the cache starts anew (nothing is lost but time).
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +35,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are reused, and what one task held would stay with the next ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared checkpoint folder; a run id keeps concurrent users apart."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"

@@ -56,7 +56,8 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def padded(x: np.ndarray) -> np.ndarray:
-    """Rows of unit length in double precision, zeros up to a power of two."""
+    """Rows of unit length in double precision (whatever their magnitude), zeros up to a power of two."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of the largest and smallest doubles leave the range
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     size = 1 << max(1, (x.shape[1] - 1).bit_length())
     return np.pad(x, ((0, 0), (0, size - x.shape[1])))

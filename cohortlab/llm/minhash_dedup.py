@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import WordHashes, connected_components, mix, save, small_batches, split_words, window_hashes
+from cohortlab.llm.common import WordHashes, connected_components, give_back, mix, save, small_batches, split_words, window_hashes
 
 BASE, RATE, TOP = 1.001, 20.0, 65535  # SetSketch parameters b, a and q + 1 (two bytes a register)
 REGISTERS, ROWS = 128, 4
@@ -132,6 +132,8 @@ def _sketches(batches):
             ],
             names=["id", "n", "set_key", "sketch"],
         )
+    del hashes
+    give_back()
 
 
 def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,6 +150,8 @@ def _sets(batches):
         at = np.cumsum([0] + [len(s) for s in sets], dtype=np.int32)
         flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), flat)], names=["id", "shingles"])
+    del hashes
+    give_back()
 
 
 def _likely(batches):

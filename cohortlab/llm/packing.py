@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.broadcast import broadcast_if_small
-from cohortlab.llm.common import save, small_batches
+from cohortlab.llm.common import give_back, save, small_batches
 from cohortlab.llm.wordbpe import WordEncoder, id_to_piece
 
 LENGTH, END_ID = 4096, 2
@@ -48,6 +48,8 @@ def _encode(batches, path: str, end: int):
             [batch.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array([width] * len(n), pa.int32()), pa.array([part] * len(n), pa.int32()), pa.array(starts)],
             names=["doc_id", "ids", "doc_tokens", "width", "part", "before"],
         )
+    del encoder
+    give_back()
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:

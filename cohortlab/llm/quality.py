@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import WORD_CACHE, WordHashes, save, small_batches, window_hashes
+from cohortlab.llm.common import WORD_CACHE, WordHashes, give_back, save, small_batches, window_hashes
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Limits of the Jensen-Shannon distances and the lengths from which they are judged (characters and words).
@@ -73,7 +73,7 @@ class CommonWords(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORD_CACHE:
             self.clear()
-        place = len(WORDS) if len(word) > 40 else self.index.get(word.decode("utf-8", "replace").lower().encode().strip(_EDGE), len(WORDS))
+        place = self.index.get(word.strip(_EDGE).decode("utf-8", "replace").lower().encode(), len(WORDS))
         self[word] = place
         return place
 
@@ -126,6 +126,8 @@ def _features(batches):
             [batch.column(0), batch.column(2), *cols, *lists],
             names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words"],
         )
+    del hashes, common
+    give_back()
 
 
 def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -196,19 +198,19 @@ def _with_reference(rows: DataFrame, by_lang: DataFrame) -> DataFrame:
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def _features_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
-    """The narrow table of all documents and the final references."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    found = save(rows.mapInArrow(_features, f"doc_id long, lang string, {STATS}, chars array<long>, words array<long>"), "quality-features")
+def _final_references(found: DataFrame) -> DataFrame:
+    """References of the measured rows: over those that pass the base rules, then over those of them near the first mean."""
     sound = found.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("n_words")))
     first = _with_reference(sound.select("lang", "chars", "words"), _references(sound))
-    return found, _references(first.mapInArrow(_near, "lang string, chars array<long>, words array<long>"))
+    return _references(first.mapInArrow(_near, "lang string, chars array<long>, words array<long>"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base statistics, distances and verdict of every document."""
-    found, references = _features_of(docs, id_col, text_col, lang_col)
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    found = save(rows.mapInArrow(_features, f"doc_id long, lang string, {STATS}, chars array<long>, words array<long>"), "quality-features")
+    references = _final_references(found)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words", "ref_chars", "ref_words"]
     return _with_reference(found, references).select(*columns).mapInArrow(
         _judge, f"doc_id long, {STATS}, base_failed boolean, kept boolean, char_distance double, word_distance double"
@@ -216,22 +218,37 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_sound(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns (no join by id: each row is judged by its own text)."""
-    _, references = _features_of(docs, id_col, text_col, lang_col)
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    No join by id: each row is judged by its own text.  Rows are written once with their measures, so a text is measured once;
+    references and verdicts read the measures alone.
+    """
+    small_batches(docs.sparkSession)
     names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    kinds = f"struct<{', '.join(f'{x.split()[0]}: long' for x in STATS.split(', '))}, chars: array<bigint>, words: array<bigint>>"
 
-    @F.arrow_udf("boolean")
-    def kept(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    @F.arrow_udf(kinds)
+    def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes, common = WordHashes(), CommonWords()
-        for texts, chars, words in batches:
-            found = [measure(t, hashes, common) for t in texts.to_pylist()]
-            columns = [None, *([f[i] for f in found] for i in range(5)), [f[5] for f in found], [f[6] for f in found]]
-            table = pa.RecordBatch.from_arrays(
-                [pa.nulls(len(found), pa.int64()), *(pa.array(c, pa.int64()) for c in columns[1:6]), *(pa.array(c, pa.list_(pa.int64())) for c in columns[6:]), chars, words],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words", "ref_chars", "ref_words"],
-            )
+        for texts in batches:
+            rows = [measure(t, hashes, common) for t in texts.to_pylist()]
+            cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
+            lists = [pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (5, 6)]
+            yield pa.StructArray.from_arrays([*cols, *lists], names=[*(x.split()[0] for x in STATS.split(", ")), "chars", "words"])
+        del hashes, common
+        give_back()
+
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    rows = save(docs.select(row, F.col(lang_col).cast("string").alias("lang"), measured(F.col(text_col).cast("string")).alias("f")), "quality-rows")
+    references = _final_references(rows.select("lang", "f.*"))
+    parts = [*(x.split()[0] for x in STATS.split(", ")), "chars", "words"]
+
+    @F.arrow_udf("boolean")
+    def kept(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            table = pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), pa.int64()), *columns], names=["doc_id", *parts, "ref_chars", "ref_words"])
             verdict = list(_judge([table]))
             yield verdict[0].column("kept") if verdict else pa.array([], pa.bool_())
 
-    return _with_reference(row, references).where(kept("text", "ref_chars", "ref_words")).select("row.*")
+    judged = _with_reference(rows.select("row", "lang", "f.*"), references)
+    return judged.where(kept(*[F.col(c) for c in (*parts, "ref_chars", "ref_words")])).select("row.*")

@@ -5,16 +5,18 @@ letters inside a word (``1d10t``), zero-width characters out, every run of other
 become `` w1 w2 ... wn `` with a space at either end, so a pattern `` idiot `` is a whole word and `` lowei`` the start of one.
 
 Fit (``fit``), on labelled rows only: whole words and word beginnings are candidates; the weight of an entry is its smoothed
-log-odds of occurring in toxic against clean texts.  A beginning is dropped if a longer entry covers nine tenths of its toxic texts, an
-entry if a beginning of it is an entry of no less weight.
-Phrases (an entry's word with its left or right neighbour) that occur in clean texts and not in toxic ones are exceptions: a
+log-odds of occurring in toxic against clean texts.  An entry needs a weight of ``MIN_WEIGHT``, and as many toxic texts among its texts as chance would not
+give one candidate among all of them (a Chernoff bound on the binomial tail, so the number of texts it takes follows from the data).  A beginning is dropped
+if a longer entry covers nine tenths of its toxic texts, an entry if a beginning of it is an entry of no less weight.
+Phrases (an entry's word with its left or right neighbour) that occur in three clean texts or more and not in toxic ones are exceptions: a
 match inside them does not count.  The sum of the weights of the matches, per 100 words (with a floor on the length, so that one
 word in a short text does not outweigh ten in a long one), is calibrated to a probability by a logistic curve.
-The fit uses at most ``MAX_FIT_ROWS`` labelled rows, those with the smallest hash of their id, and the ``MAX_CANDIDATES`` candidates
-in the most toxic texts of these; the lexicon has at most ``MAX_ENTRIES`` entries.  Scoring covers every row and needs no shuffle: the lexicon (bounded) goes to the tasks.
+The fit uses at most ``MAX_FIT_ROWS`` labelled ids, those with the smallest hash; this documented bound is the only one, lexicon and exceptions
+are as large as these texts make them.  Candidates are counted by Spark, only entries that pass reach the driver.
+Scoring covers every row and needs no shuffle: the lexicon goes to the tasks.
 
-Null and empty texts have no match: they score like any text without one.  Null labels don't take part in the fit; a null id is held
-out and scored.  Repeated rows score alike.  An empty table gives no row; without labels of both kinds the lexicon is empty and
+Null and empty texts have no match: they score like any text without one.  Null labels don't take part in the fit; of labels of one id that contradict
+each other the larger holds; a null id is held out and scored.  Repeated rows score alike.  An empty table gives no row; without labels of both kinds the lexicon is empty and
 every score is the share of toxic labels (0 without labels).
 """
 
@@ -37,8 +39,9 @@ from pyspark.sql import functions as F
 
 from cohortlab.llm.common import discard, save, small_batches
 
-MAX_FIT_ROWS, MAX_ENTRIES, MAX_CANDIDATES = 40_000, 2_000, 60_000
-MIN_TOXIC, MIN_WEIGHT = 8, 3.0
+MAX_FIT_ROWS, MIN_WEIGHT = 40_000, 3.0
+#: Candidates whose counts a task holds before it passes them on.
+PART = 100_000
 STEMS = range(4, 9)
 LENGTH_FLOOR = 20
 
@@ -112,16 +115,22 @@ def density(words: list[str], automata) -> float:
     return 100.0 * sum(found.values()) / max(len(words), LENGTH_FLOOR)
 
 
-def _entry_counts(batches, only: frozenset | None):
-    count: dict[int, Counter] = {0: Counter(), 1: Counter()}
+def _entry_counts(batches):
+    """Texts of either label that hold a candidate, in parts of bounded size."""
+    count: tuple[Counter, Counter] = Counter(), Counter()
+
+    def parts():
+        for toxic, c in enumerate(count):
+            if c:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["entry", "toxic", "n"])
+            c.clear()
+
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = entries_of(set(fold(text)))
-            count[toxic].update(found if only is None else found & only)
-    for toxic, c in count.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), pa.string()), pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["entry", "toxic", "n"]
-        )
+            count[toxic].update(entries_of(set(fold(text))))
+            if len(count[0]) + len(count[1]) >= PART:
+                yield from parts()
+    yield from parts()
 
 
 def _fit_rows(batches, lexicon: Lexicon, phrases: bool):
@@ -143,13 +152,14 @@ def _fit_rows(batches, lexicon: Lexicon, phrases: bool):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int32()), pa.array(c, pa.float64())], names=["phrase", "toxic", "x"])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and intercept of a logistic regression on one feature (Newton steps)."""
-    a, b = 0.0, math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+def logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and intercept of a logistic regression on one feature (Newton steps); ``times``: how often each row stands."""
+    n = np.ones(len(x)) if times is None else times
+    a, b = 0.0, math.log(((n * y).sum() + 0.5) / ((n * (1 - y)).sum() + 0.5))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p)
-        g = np.array([(x * (y - p)).sum() - ridge * a, (y - p).sum() - ridge * b])
+        w = n * p * (1 - p)
+        g = np.array([(n * x * (y - p)).sum() - ridge * a, (n * (y - p)).sum() - ridge * b])
         h = np.array([[(w * x * x).sum() + ridge, (w * x).sum()], [(w * x).sum(), w.sum() + ridge]])
         step = np.linalg.solve(h, g)
         a, b = a + step[0], b + step[1]
@@ -182,19 +192,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         discard(rows)
         return Lexicon(intercept=share if n_toxic else -30.0)
 
-    counts = "entry string, toxic int, n long"
-    toxic = rows.where("toxic = 1").mapInArrow(partial(_entry_counts, only=None), counts).groupBy("entry").agg(F.sum("n").alias("n"))
-    top = toxic.where(F.col("n") >= MIN_TOXIC).orderBy(F.desc("n"), "entry").limit(MAX_CANDIDATES).collect()
-    in_toxic = {r["entry"]: r["n"] for r in top}
-    clean = rows.where("toxic = 0").mapInArrow(partial(_entry_counts, only=frozenset(in_toxic)), counts).groupBy("entry").agg(F.sum("n").alias("n"))
-    in_clean = {r["entry"]: r["n"] for r in clean.collect()}  # at most MAX_CANDIDATES
-
-    def odds(n: int, of: int) -> float:
-        return math.log((n + 0.5) / (of - n + 0.5))
-
-    weight = {e: odds(n, n_toxic) - odds(in_clean.get(e, 0), n_clean) for e, n in in_toxic.items()}
-    # an entry must be rare in clean texts for what it weighs: a shared beginning of harmless words is none
-    weight = {e: w for e, w in weight.items() if w >= MIN_WEIGHT}
+    counted = rows.mapInArrow(_entry_counts, "entry string, toxic int, n long").groupBy("entry")
+    of_label = lambda k: F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)).cast("double")
+    counts = save(counted.agg(of_label(1).alias("t"), of_label(0).alias("c")), "toxicity-entries")
+    candidates = counts.count()
+
+    def odds(n: Column, of: int) -> Column:
+        return F.log((n + 0.5) / (F.lit(float(of)) - n + 0.5))
+
+    # texts of an entry that are toxic, against the share of toxic texts: n * KL bounds the log of the chance of so many
+    n, base = F.col("t") + F.col("c"), n_toxic / (n_toxic + n_clean)
+    part = F.col("t") / n
+    clean_part = F.when(F.col("c") > 0, (1 - part) * F.log((1 - part) / (1 - base))).otherwise(F.lit(0.0))
+    evidence = n * (part * F.log(part / base) + clean_part)
+    passed = counts.where("t > 0").select("entry", "t", (odds(F.col("t"), n_toxic) - odds(F.col("c"), n_clean)).alias("w"), part.alias("part"), evidence.alias("evidence"))
+    passed = passed.where((F.col("w") >= MIN_WEIGHT) & (F.col("part") > base) & (F.col("evidence") > math.log(max(candidates, 2)))).collect()
+    discard(counts)
+    in_toxic = {r["entry"]: r["t"] for r in passed}
+    # rare in clean texts for what it weighs: a shared beginning of harmless words is none
+    weight = {r["entry"]: r["w"] for r in passed}
     # of a beginning and a longer entry that covers nearly all its toxic texts, the longer one says what it is
     covered: dict[str, int] = {}
     for e in weight:
@@ -205,16 +221,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for e in sorted(weight, key=lambda e: (len(e), e)):
         if not any(e[:k] in kept and kept[e[:k]] >= weight[e] - 1.0 for k in range(5, len(e))):
             kept[e] = weight[e]
-    kept = dict(sorted(kept.items(), key=lambda x: (-x[1] * math.log1p(in_toxic[x[0]]), x[0]))[:MAX_ENTRIES])
     lexicon = Lexicon(weights=kept)
 
     around = rows.mapInArrow(partial(_fit_rows, lexicon=lexicon, phrases=True), "phrase string, toxic int, x double")
     by_phrase = around.groupBy("phrase").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).where("t = 0 and n >= 3")
-    lexicon.exceptions = tuple(sorted(r["phrase"] for r in by_phrase.orderBy(F.desc("n"), "phrase").limit(MAX_ENTRIES).collect()))
+    lexicon.exceptions = tuple(sorted(r["phrase"] for r in by_phrase.collect()))
 
-    scored = rows.mapInArrow(partial(_fit_rows, lexicon=lexicon, phrases=False), "phrase string, toxic int, x double").select("toxic", "x").collect()
+    # densities to a thousandth: as many rows as there are different ones, however often an id or a text repeats
+    scored = rows.mapInArrow(partial(_fit_rows, lexicon=lexicon, phrases=False), "phrase string, toxic int, x double")
+    scored = scored.groupBy("toxic", F.round(F.log1p("x"), 3).alias("x")).agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "x").collect()
     discard(rows)
-    lexicon.slope, lexicon.intercept = logistic(np.array([math.log1p(r["x"]) for r in scored]), np.array([float(r["toxic"]) for r in scored]))
+    lexicon.slope, lexicon.intercept = logistic(*(np.array([float(r[c]) for r in scored]) for c in ("x", "toxic", "n")))
     return lexicon
 
 

@@ -36,9 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import save, scratch_path, small_batches
+from cohortlab.session import shuffle_partitions
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 MIN_REVISIT, PACKAGE_BYTES = 100, 16 << 20
+#: Bytes of packages that a reading task gets.
+READ_BYTES = 8 << 20
 DATE = "1970-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -56,7 +59,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ki
     block = _HTTP if kind == "revisit" else _HTTP + payload
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Date", DATE)]
     if url is not None:
-        head.append(("WARC-Target-URI", "".join(c if c.isprintable() and c != " " else f"%{ord(c):02X}" for c in url)))
+        escaped = "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url)
+        head.append(("WARC-Target-URI", escaped))
+        if escaped != url:  # a header line holds no line break, and an escape may have been there before
+            head.append(("X-Target-URI-JSON", json.dumps(url)))
     head += [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(len(payload)))]
     if kind == "revisit":
         head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
@@ -83,7 +89,7 @@ def parse(raw: bytes) -> dict:
 
     return {
         "page_id": page(fields["warc-record-id"]),
-        "url": fields.get("warc-target-uri"),
+        "url": json.loads(fields["x-target-uri-json"]) if "x-target-uri-json" in fields else fields.get("warc-target-uri"),
         "payload_bytes": size,
         "payload_digest": digest,
         "record_type": fields["warc-type"],
@@ -276,11 +282,20 @@ def _read(batches, with_payload: bool):
 
 
 def read_packages(paths: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records of the packages listed in column ``path``: ``page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]``."""
-    small_batches(paths.sparkSession)
-    spots = paths.select("path").repartition("path").mapInArrow(_locate, "path string, at long, size long")
+    """Records of the packages listed in column ``path``: ``page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]``.
+
+    As many tasks as the packages' bytes ask for (column ``bytes`` of a manifest, else packages of the usual size): the rows that say
+    where records lie are tiny, and Spark would put them all into one task.
+    """
+    spark = paths.sparkSession
+    small_batches(spark)
+    size = F.sum("bytes") if "bytes" in paths.columns else F.count(F.lit(1)) * PACKAGE_BYTES
+    known = paths.agg(F.count(F.lit(1)).alias("packages"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+    least = shuffle_partitions(spark)
+    spots = paths.select("path").repartition(max(1, min(int(known["packages"]), max(least, int(known["packages"]) // 16))), "path")
+    spots = spots.mapInArrow(_locate, "path string, at long, size long")
     # neighbouring records (about 64 to a piece) go to one task, so it reads a package forwards
-    dealt = spots.repartition("path", F.expr("at div 1048576")).sortWithinPartitions("path", "at")
+    dealt = spots.repartition(max(least, int(known["bytes"]) // READ_BYTES), "path", F.expr("at div 1048576")).sortWithinPartitions("path", "at")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return dealt.mapInArrow(partial(_read, with_payload=with_payload), schema + (", payload binary" if with_payload else ""))
 

@@ -15,7 +15,9 @@ import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Words whose encoding a Python task keeps; beyond it the cache starts anew.
-CACHE = 600_000
+CACHE = 250_000
+#: Characters of text that are split at once.
+SLICE = 1 << 20
 
 # Latin letters and signs for which NFC is the identity and lower-casing is one character to one character.
 _SAFE = re.compile("[\\t-\\r -~¡-įı-ſ]*")
@@ -118,6 +120,16 @@ class WordEncoder:
 
     def encode_texts(self, texts: list[str | None], dtype: str = "<u4") -> list[bytes]:
         """Ids of each text as packed little-endian integers; each new distinct word is encoded once."""
+        out: list[bytes] = []
+        begin, held = 0, 0
+        for i, t in enumerate(texts):
+            held += len(t or "")
+            if held >= SLICE or i == len(texts) - 1:
+                out += self._encode_slice(texts[begin : i + 1], dtype)
+                begin, held = i + 1, 0
+        return out
+
+    def _encode_slice(self, texts: list[str | None], dtype: str) -> list[bytes]:
         split = [self.split(t or "") for t in texts]
         new = list(set().union(*split).difference(self.cache)) if split else []
         if len(self.cache) + len(new) > CACHE:
