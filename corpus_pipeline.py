@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import read_table, save
+from cohortlab.llm.common import few_files, read_table, save
 from cohortlab.llm.minhash_dedup import near_duplicates
 from cohortlab.llm.packing import pack
 from cohortlab.llm.quality import keep_sound
@@ -23,18 +23,18 @@ from cohortlab.llm.toxicity import fit, score_of
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under one half; the lexicon is learned from the labelled documents."""
     lexicon = fit(docs, read_table(spark, sf_dir, "labels"))
-    return docs.where(score_of(F.col("text").cast("string"), lexicon) < 0.5)
+    return few_files(docs.where(score_of(F.col("text").cast("string"), lexicon) < 0.5))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the divergence rules keep."""
-    return keep_sound(docs)
+    return few_files(keep_sound(docs))
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id."""
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return few_files(docs.join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +45,12 @@ def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), tag.alias("_tag"))
     joined = rows.join(found, ["_id", "_tag"], "left")
     new = {"text": F.coalesce("kept_text", F.col("_row.text")), "n_chars": F.coalesce(F.length("kept_text").cast("long"), F.col("_row.n_chars"))}
-    return joined.select(*[(new[c] if c in new else F.col("_row").getField(c)).alias(c) for c in docs.columns])
+    return few_files(joined.select(*[(new[c] if c in new else F.col("_row").getField(c)).alias(c) for c in docs.columns]))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences with their token ids."""
-    return pack(docs, with_ids=True)
+    return few_files(pack(docs, with_ids=True))
 
 
 STAGES = [
