@@ -17,6 +17,8 @@ from cohortlab.session import ensure_checkpoint_dir
 
 #: Rows and bytes of an Arrow batch. Rows can be long; a Python task holds one batch at a time, the JVM a buffer of that size each way.
 ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
+#: Bytes of a table (estimated) that a written file is worth.
+FILE_BYTES = 64 << 20
 #: Distinct words whose hashes a Python task keeps; beyond it the cache starts anew (nothing is lost but time).
 WORD_CACHE = 100_000
 
@@ -48,10 +50,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than two a core, or than its size (as the optimizer estimates it) asks for.
+
+    What is written or returned has a file for each partition, and small tables would come in as many files as there are shuffle
+    partitions; creating, listing and opening them costs more than their rows.  A plan that has fewer partitions stays as it is.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(max(2 * spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES)), 1 << 30))
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back: lineage ends here and lost executors cost nothing."""
     path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    few_files(df).write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -8,7 +8,8 @@ band of its own: a window that holds a template whole has similarity L / 2 s to
 Minima of blocks of s shingles serve all windows: a window is two blocks, a block of the next scale is two of this one.
 
 A retrieved (window, template) pair is verified exactly: the share of the template's distinct shingles that the window holds must reach
-``CONTAINMENT``.  The templates (bounded: a parameter) go to the tasks; nothing is shuffled.  Very long documents are
+``CONTAINMENT``.  Of matches of one family (``family_of``) that overlap in a document the one with the largest share stays (ties: the longer
+template, then the first name), so the header of one license is not reported as that of its near relative too.  The templates (bounded: a parameter) go to the tasks; nothing is shuffled.  Very long documents are
 cut into windows like any other.
 
 Null and empty texts, and texts shorter than a shingle, match nothing.  A null id stays null.  Rows that repeat are reported each.  No
@@ -70,8 +71,47 @@ TEMPLATES = {
     "cc0-1.0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "unlicense-notice": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "All rights reserved.",
+    "gpl-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "lgpl-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "lgpl-3.0-header": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "agpl-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "epl-2.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "bsd-3-clause-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission."
+    ),
+    "zlib-notice": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+        "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter "
+        "it and redistribute it freely, subject to the following restrictions:"
+    ),
+    "bsl-1.0-notice": (
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"
+    ),
+    "cc-by-nd-4.0-line": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-sa-4.0-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
 
+
+def family_of(license_id: str) -> str:
+    """Licenses whose notices differ in a few words: of one passage only the best match of a family counts."""
+    return "gpl" if "gpl-" in license_id else license_id.split("-")[0]
+
 _WORD = re.compile(rb"(?:[a-z0-9]|[\xc3-\xf4][\x80-\xbf]+)+")
 _rng = np.random.default_rng(20240301)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,13 +183,21 @@ def _verify(found, values: np.ndarray, sizes: np.ndarray, templates: Templates)
     """Best containment and the first word of the best window, by (document, template)."""
     begin = np.cumsum(sizes) - sizes
     best: dict[tuple[int, str], tuple[float, int]] = {}
+    matches: dict[tuple[int, str], list[tuple]] = {}
     for doc, scale, window, name in sorted(found):
         at = window * scale
         part = values[begin[doc] + at : begin[doc] + min(at + 2 * scale, sizes[doc])]
         want = templates.sets[name]
         share = float(np.isin(want, part).sum()) / len(want)
-        if share >= CONTAINMENT and share > best.get((doc, name), (0.0, 0))[0]:
-            best[doc, name] = (share, at)
+        if share >= CONTAINMENT:
+            matches.setdefault((doc, family_of(name)), []).append((-share, -len(want), name, at, at + 2 * scale))
+    for (doc, _), some in matches.items():
+        taken: list[tuple[int, int]] = []
+        for share, _, name, a, b in sorted(some):
+            if not any(a < d and c < b for c, d in taken):
+                taken.append((a, b))
+                if -share > best.get((doc, name), (0.0, 0))[0]:
+                    best[doc, name] = (-share, a)
     return best
 
 
@@ -180,6 +228,14 @@ def _scan(batches, texts: dict[str, str]):
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
 
+def template_table(table: DataFrame, id_col: str = "license_id", text_col: str = "text", limit: int = 10_000) -> dict[str, str]:
+    """Templates from a table of full texts or headers; it goes to every task, so it may have ``limit`` rows at most."""
+    rows = table.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} templates")
+    return dict(sorted((r["i"], r["t"]) for r in rows))
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """``doc_id, license_id, containment, start_word`` of every license that a document holds."""
     small_batches(docs.sparkSession)

@@ -1,6 +1,7 @@
 """Near duplicates (documents, vectors), repeated passages and licenses against brute force."""
 
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from cohortlab.llm import embedding_dedup, license_scan, minhash_dedup
 from cohortlab.llm.common import WordHashes, connected_components, save
 from cohortlab.llm.fm_index import FMIndex
 from cohortlab.llm.substring import remove_repeats
+from tests.llm.conftest import prose
 
 
 def components(nodes, links):
@@ -202,23 +204,65 @@ def test_recall_at_the_threshold():
 # --- licenses ------------------------------------------------------------------------------------------------
 
 
-def test_licenses_match_brute_force(docs, rows):
-    templates, hashes = license_scan.Templates(license_scan.TEMPLATES), WordHashes()
-    want = set()
-    for i, t, _ in rows:
-        s = license_scan.shingles(t, hashes)
-        for scale, names in templates.scales.items():
-            for at in range(0, max(len(s), 1), scale):
-                for name in names:
-                    if np.isin(templates.sets[name], s[at : at + 2 * scale]).mean() >= license_scan.CONTAINMENT:
-                        want.add((i, name))
-    got = license_scan.scan_licenses(docs).collect()
-    assert {(r.doc_id, r.license_id) for r in got} == want and (17, "apache-2.0-line") in want
+def license_shares(text):
+    """Of each template the share of its word triples in any stretch of s + 1 triples, and in any of 2 s (s: the next power of two)."""
+    def triples(t):
+        w = re.findall(r"(?:[a-z0-9]|[^\W_\x00-\x7f])+", t.lower())
+        return [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
 
+    have, out = triples(text or ""), {}
+    for name, template in license_scan.TEMPLATES.items():
+        want, scale = triples(template), 4
+        while scale < len(want):
+            scale *= 2
+        want = set(want)
 
-def test_all_templates_are_found_inside_long_texts(spark):
-    from tests.llm.conftest import prose
+        def best(n, want=want):
+            return max((len(want & set(have[i : i + n])) / len(want) for i in range(max(1, len(have) - n + 1))), default=0.0)
+
+        out[name] = best(scale + 1), best(2 * scale)
+    return out
 
+
+def test_licenses_against_raw_words(spark, docs, rows):
+    planted = [(1000 + i, f"{prose(i, 20 + 7 * i)} {t} {prose(i + 50, 30)}") for i, t in enumerate(license_scan.TEMPLATES.values())]
+    planted += [(2000, " ".join(license_scan.TEMPLATES["mit-notice"].split()[:55])), (2001, license_scan.TEMPLATES["mit-notice"].replace("software", "thing", 1))]
+    texts = [(i, t) for i, t, _ in rows if i is not None and len(t or "") < 5000] + planted
+    got = license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.doc_id, {})[r.license_id] = r.containment
+    for i, t in texts:
+        shares, mine = license_shares(t), found.get(i, {})
+        assert all(shares[n][1] >= license_scan.CONTAINMENT for n in mine), (i, mine)
+        families = {license_scan.family_of(n) for n in mine}
+        must = {n for n, (run, _) in shares.items() if run >= license_scan.CONTAINMENT}
+        assert {license_scan.family_of(n) for n in must} <= families, (i, must)
+    assert all(set(found[1000 + i]) >= {n} for i, n in enumerate(license_scan.TEMPLATES))
+    assert "apache-2.0-line" in found[17]
+
+
+def test_near_relatives_are_told_apart(spark):
+    names = [n for n in license_scan.TEMPLATES if license_scan.family_of(n) == "gpl"]
+    rows = [(i, f"{prose(i, 30)} {license_scan.TEMPLATES[n]} {prose(i + 9, 30)}") for i, n in enumerate(names)]
+    both = f"{license_scan.TEMPLATES['gpl-3.0-header']} {prose(3, 200)} {license_scan.TEMPLATES['lgpl-3.0-header']}"
+    got = license_scan.scan_licenses(spark.createDataFrame([*rows, (99, both)], "doc_id long, text string")).collect()
+    for i, n in enumerate(names):
+        assert {r.license_id for r in got if r.doc_id == i} == {n}
+    assert {r.license_id for r in got if r.doc_id == 99} == {"gpl-3.0-header", "lgpl-3.0-header"}
+
+
+def test_templates_from_a_table(spark):
+    table = spark.createDataFrame([("own-1.0", "You may do with this text whatever the owner of the text allows."), (None, "x"), ("empty", None)], "license_id string, text string")
+    templates = license_scan.template_table(table)
+    assert list(templates) == ["own-1.0"]
+    docs = spark.createDataFrame([(1, "Note. you may do with THIS text, whatever the owner of the text allows!"), (2, "nothing of that")], "doc_id long, text string")
+    assert [(r.doc_id, r.license_id) for r in license_scan.scan_licenses(docs, templates=templates).collect()] == [(1, "own-1.0")]
+    with pytest.raises(ValueError, match="more than 0"):
+        license_scan.template_table(table, limit=0)
+
+
+def test_all_templates_are_found_inside_long_texts(spark):
     rows = [(i, f"{prose(i, 37 * i % 90)}\n{text}\n{prose(i + 50, 45)}") for i, text in enumerate(license_scan.TEMPLATES.values())]
     got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(i, n) for i, n in enumerate(license_scan.TEMPLATES)} <= {(r.doc_id, r.license_id) for r in got if r.containment == 1.0}
