@@ -6,14 +6,16 @@ All operators take column names as parameters; the defaults below describe the
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
-# Fixed values.  These must equal the dashboard's own tables for the results
-# to agree: ordinal scales with their codes, the seven tool flags with their
+# Fixed values.  They stand for the dashboard's own tables, so that results
+# agree: ordinal scales with their codes, the seven tool flags with their
 # display labels, the persona names, the display orders of two charts, the
-# business-rule check names and actions, outlier and missing-value actions,
-# and the two class names of the classification report.
+# business-rule check names and actions, outlier and missing-value actions
+# (arrows and dashes in ASCII), the two class names of the classification
+# report, the steps of the audit, and the columns of four tables and models
+# in their order.
 # ---------------------------------------------------------------------------
 ORDINAL_SCALES: dict[str, dict[str, int]] = {
     "difficulty_finding_tools": {"Very Easy": 1, "Easy": 2, "Neutral": 3, "Difficult": 4, "Very Difficult": 5},
@@ -55,6 +57,69 @@ OUTLIER_RETAIN = "Retain - within range"
 ACTION_NONE = "No action required"
 ACTION_IMPUTE = "Impute median/mode"
 CLASS_NAMES = ("Not Subscribe", "Subscribe")
+
+# numbers and titles of the audit's steps
+AUDIT_STEPS = (
+    ("1", "Raw Data Ingestion"),
+    ("2", "Missing Value Check"),
+    ("3", "Duplicate Removal"),
+    ("4", "Data Type Validation"),
+    ("5", "Outlier Winsorization"),
+    ("6", "Consistency Checks"),
+    ("7a", "Ordinal Encoding"),
+    ("7b", "Label Encoding (Nominal)"),
+    ("7c", "StandardScaler"),
+    ("7d", "Target Variable Derivation"),
+    ("total", "All steps"),
+)
+
+# columns of the outlier tables, in display order; columns shown before and after scaling and in the explorer summary;
+# features of the segments and of the models, in order
+OUTLIER_COLUMNS = (
+    "monthly_spend_on_ai_usd",
+    "wtp_monthly_usd",
+    "num_ai_tools_currently_used",
+    "estimated_mrr_usd",
+    "churn_risk_score",
+)
+SCALED_COLUMNS = (
+    "monthly_spend_on_ai_usd",
+    "wtp_monthly_usd",
+    "num_ai_tools_currently_used",
+    "estimated_mrr_usd",
+)
+CLUSTER_FEATURES = (
+    "monthly_spend_on_ai_usd",
+    "wtp_monthly_usd",
+    "num_ai_tools_currently_used",
+    "difficulty_finding_tools_ord",
+    "trust_concern_frequency_ord",
+    "subscription_fatigue_ord",
+    "preferred_subscription_tier_ord",
+)
+MODEL_FEATURES = (
+    "user_type_enc",
+    "industry_enc",
+    "region_enc",
+    "age_group_enc",
+    "num_ai_tools_currently_used",
+    "monthly_spend_on_ai_usd",
+    "primary_discovery_method_enc",
+    "difficulty_finding_tools_ord",
+    "trust_concern_frequency_ord",
+    "subscription_fatigue_ord",
+    "preferred_subscription_tier_ord",
+    "preferred_billing_cadence_ord",
+    "bundle_interest_ord",
+    "wtp_monthly_usd",
+    "uses_llm_writing_tools",
+    "uses_image_gen_tools",
+    "uses_video_gen_tools",
+    "uses_code_assistant_tools",
+    "uses_data_analytics_tools",
+    "uses_voice_audio_tools",
+    "uses_productivity_tools",
+)
 # -------------------------------------------------------------- end of fixed values
 
 # Tokens that a survey CSV uses for "no answer" (pandas treats all as missing).
@@ -84,55 +149,10 @@ class SurveyColumns:
     trust: str = "trust_concern_frequency"
     user_type: str = "user_type"
     industry: str = "industry"
-    # IQR outlier columns, in the dashboard's order
-    outlier_cols: tuple[str, ...] = (
-        "monthly_spend_on_ai_usd",
-        "wtp_monthly_usd",
-        "num_ai_tools_currently_used",
-        "estimated_mrr_usd",
-        "churn_risk_score",
-    )
-    # columns shown before/after scaling and in the explorer summary
-    scale_cols: tuple[str, ...] = (
-        "monthly_spend_on_ai_usd",
-        "wtp_monthly_usd",
-        "num_ai_tools_currently_used",
-        "estimated_mrr_usd",
-    )
-    cluster_features: tuple[str, ...] = (
-        "monthly_spend_on_ai_usd",
-        "wtp_monthly_usd",
-        "num_ai_tools_currently_used",
-        "difficulty_finding_tools_ord",
-        "trust_concern_frequency_ord",
-        "subscription_fatigue_ord",
-        "preferred_subscription_tier_ord",
-    )
-    model_features: tuple[str, ...] = field(
-        default=(
-            "user_type_enc",
-            "industry_enc",
-            "region_enc",
-            "age_group_enc",
-            "num_ai_tools_currently_used",
-            "monthly_spend_on_ai_usd",
-            "primary_discovery_method_enc",
-            "difficulty_finding_tools_ord",
-            "trust_concern_frequency_ord",
-            "subscription_fatigue_ord",
-            "preferred_subscription_tier_ord",
-            "preferred_billing_cadence_ord",
-            "bundle_interest_ord",
-            "wtp_monthly_usd",
-            "uses_llm_writing_tools",
-            "uses_image_gen_tools",
-            "uses_video_gen_tools",
-            "uses_code_assistant_tools",
-            "uses_data_analytics_tools",
-            "uses_voice_audio_tools",
-            "uses_productivity_tools",
-        )
-    )
+    outlier_cols: tuple[str, ...] = OUTLIER_COLUMNS
+    scale_cols: tuple[str, ...] = SCALED_COLUMNS
+    cluster_features: tuple[str, ...] = CLUSTER_FEATURES
+    model_features: tuple[str, ...] = MODEL_FEATURES
 
 
 SURVEY = SurveyColumns()

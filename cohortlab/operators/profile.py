@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from cohortlab.config import (
     ACTION_IMPUTE,
     ACTION_NONE,
+    AUDIT_STEPS,
     CHECK_CHURN_RANGE,
     CHECK_FLAGS,
     CHECK_FREE_WTP,
@@ -456,19 +457,20 @@ def pipeline_audit(df: DataFrame, c: SurveyColumns = SURVEY) -> DataFrame:
     targets = len(derive_targets(rows, c).columns) - 2  # next to the key and the score
     count = lambda k: F.lit(k).cast("long")
     first, d = F.col("raw")["n"], F.col("d")
-    steps = [
-        ("1", "Raw Data Ingestion", first, first, count(len(names))),
-        ("2", "Missing Value Check", first, first, F.col("raw")["missing"]),
-        ("3", "Duplicate Removal", first, d, count(len(names))),
-        ("4", "Data Type Validation", d, d, count(typed)),
-        ("5", "Outlier Winsorization", d, d, F.col("outliers")),
-        ("6", "Consistency Checks", d, d, F.col("repairs")),
-        ("7a", "Ordinal Encoding", d, d, count(ordinal)),
-        ("7b", "Label Encoding (Nominal)", d, d, count(nominal)),
-        ("7c", "StandardScaler", d, d, count(scaled)),
-        ("7d", "Target Variable Derivation", d, d, count(targets)),
-        ("total", "All steps", first, d, F.col("both") + count(ordinal + nominal)),
+    counts = [
+        (first, first, count(len(names))),
+        (first, first, F.col("raw")["missing"]),
+        (first, d, count(len(names))),
+        (d, d, count(typed)),
+        (d, d, F.col("outliers")),
+        (d, d, F.col("repairs")),
+        (d, d, count(ordinal)),
+        (d, d, count(nominal)),
+        (d, d, count(scaled)),
+        (d, d, count(targets)),
+        (first, d, F.col("both") + count(ordinal + nominal)),
     ]
+    steps = [(k, title, *c) for (k, title), c in zip(AUDIT_STEPS, counts, strict=True)]
     cells = [
         F.struct(F.lit(k).alias("step"), F.lit(p).alias("process"), a.alias("rows_in"), b.alias("rows_out"), x.alias("cols_affected"))
         for k, p, a, b, x in steps

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,8 +166,16 @@ def scatter_bins(df: DataFrame, x: str, y: str, segment: str, bins: int = 20) ->
 
 # --------------------------------------------------------------------------- bisecting K-Means
 def bisecting_segments(vectors: DataFrame, key: str, k: int = 4, seed: int = 42) -> DataFrame:
-    m = fit_cached(BisectingKMeans(k=k, seed=seed), vectors)
-    return m.transform(vectors).select(key, F.col("prediction").cast("int").alias("cluster"), "features")
+    """Bisecting K-Means: ``(key, cluster, features)``.
+
+    Spark starts the two halves of a cluster at its centre plus and minus noise in proportion to the centre's norm; z-scores are centred on
+    0, where both halves would start at one point and nothing would ever be split.  Distances do not change when all points
+    move alike, so the fit sees every feature moved by 1.
+    """
+    moved = vectors.withColumn("features", array_to_vector(F.transform(vector_to_array("features"), lambda x: x + 1)))
+    m = fit_cached(BisectingKMeans(k=k, seed=seed), moved.select("features"))
+    out = m.transform(moved).withColumn("features", array_to_vector(F.transform(vector_to_array("features"), lambda x: x - 1)))
+    return out.select(key, F.col("prediction").cast("int").alias("cluster"), "features")
 
 
 def features_to_columns(df: DataFrame, features: Sequence[str], vec: str = "features") -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortlab.session import materialize
 from cohortlab.sources.survey import survey_dirty, survey_view
-from cohortlab.sources.tables import TABLES
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
+#: Tables that the survey and its fits are derived from.
+SOURCES = ("region", "nation", "customer", "orders", "lineitem")
 _CACHES: WeakKeyDictionary[SparkSession, dict] = WeakKeyDictionary()
 
 
@@ -35,11 +36,14 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Names, sizes and times of the files of a folder's tables: another value as soon as the data changes."""
     jvm = spark._jvm
     found = []
-    for t in TABLES:
+    for t in SOURCES:
         path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.exists(path):
-            found += [f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in fs.listStatus(path)]
+            files = fs.listFiles(path, True)  # partition folders included
+            while files.hasNext():
+                f = files.next()
+                found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
     return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlab.config import ORDINAL_SCALES
 from cohortlab.functions.broadcast import broadcast_if_small
 from cohortlab.sources.tables import table
 
@@ -30,12 +31,13 @@ SEGMENT_USER_TYPE = {"AUTOMOBILE": "Enterprise", "BUILDING": "SME", "FURNITURE":
 INDUSTRIES = ["Design & Creative", "Software Development", "Marketing", "Data", "Finance", "Other"]
 AGE_GROUPS = ["18-24", "25-34", "35-44", "45-54", "55+"]
 DISCOVERY = ["Search", "Referral", "Social"]
-DIFFICULTY = ["Very Easy", "Easy", "Neutral", "Difficult", "Very Difficult"]
-TRUST = ["Never", "Rarely", "Sometimes", "Often", "Always"]
-FATIGUE = ["Strongly Disagree", "Disagree", "Neutral", "Agree", "Strongly Agree"]
-TIERS = ["Free", "Silver", "Gold", "Platinum"]
-CADENCE = ["Monthly", "Half-Yearly", "Yearly"]
-BUNDLE = ["Not Interested", "Neutral", "Interested", "Very Interested"]
+# answers of the ordinal columns, in the order of their codes
+DIFFICULTY, TRUST, FATIGUE, TIERS, CADENCE, BUNDLE = (
+    sorted(ORDINAL_SCALES[c], key=ORDINAL_SCALES[c].get)
+    for c in (
+        "difficulty_finding_tools", "trust_concern_frequency", "subscription_fatigue", "preferred_subscription_tier", "preferred_billing_cadence", "bundle_interest",
+    )
+)
 
 SURVEY_COLUMNS = [
     "respondent_id", "user_type", "industry", "region", "age_group", "num_ai_tools_currently_used",

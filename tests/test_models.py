@@ -89,3 +89,16 @@ def test_segmentations_are_fixed_points(data):
     for labelled in (ward.ward_segments(vec, "id", k=3, limit=50), seg.bisecting_segments(vec, "id", k=3)):
         sizes = {r.cluster: r["count"] for r in labelled.groupBy("cluster").count().collect()}
         assert len(sizes) == 3 and sum(sizes.values()) == len(x)
+
+
+def test_bisecting_splits_centred_data(spark):
+    """Three far groups of z-scores, whose common centre is 0."""
+    rng = np.random.default_rng(3)
+    x = np.array([[-10, 0], [10, -3], [0, 3]])[np.arange(90) % 3] + rng.normal(0, 0.1, (90, 2))
+    x = (x - x.mean(0)) / x.std(0)
+    df = assemble(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double"), ["a", "b"])
+    got = {}
+    for r in seg.bisecting_segments(df, "id", k=3).collect():
+        got.setdefault(r.cluster, set()).add(r.id)
+        assert list(r.features) == pytest.approx(list(x[r.id]))
+    assert sorted(map(sorted, got.values())) == [list(range(i, 90, 3)) for i in range(3)]
