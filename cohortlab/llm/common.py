@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.session import ensure_checkpoint_dir
+from cohortlab.session import ensure_checkpoint_dir, shuffle_partitions
 
 #: Rows and bytes of an Arrow batch. Rows can be long; a Python task holds one batch at a time, the JVM a buffer of that size each way.
 ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
@@ -70,6 +70,11 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def spread_pairs(pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs of numbers of blocks, dealt over all tasks pair by pair (the last number of a sequence is one too many and finds no block)."""
+    return pairs.repartition(shuffle_partitions(pairs.sparkSession), *columns)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table written by ``save`` that no later plan reads."""
     path = getattr(df, "_scratch", None)

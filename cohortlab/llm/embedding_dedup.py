@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import connected_components, mix, save, small_batches
+from cohortlab.llm.common import connected_components, mix, save, small_batches, spread_pairs
 
 THRESHOLD, TABLES, HASHES, PROBES, SEED = 0.95, 6, 3, 8, 7
 #: Axes per hash that probes choose from, and members of a bucket that one side of a task holds.
@@ -196,8 +196,11 @@ def near_vectors(
     full = members.join(classes.select("rep", "rows", "vector"), "rep")
     parts = full.groupBy(*bucket, "parts", "part").agg(F.collect_list(F.struct("rep", "rows", "own", "vector")).alias("left"))
     large = save(parts.where("parts > 1"), "vector-parts")  # buckets of several parts
+    # pairs of part numbers first, each dealt out by itself: the pairs of one bucket are work for many tasks
+    pairs = large.select(*bucket, "part", F.explode(F.sequence(F.col("part") + 1, F.col("parts"))).alias("part2"))
     other = large.select(*bucket, F.col("part").alias("part2"), F.col("left").alias("right"))
-    between = large.join(other, bucket).where("part < part2").select("tab", "code", "left", "right")
+    between = spread_pairs(pairs, [*bucket, "part", "part2"]).join(large.select(*bucket, "part", "left"), [*bucket, "part"])
+    between = between.join(other, [*bucket, "part2"]).select("tab", "code", "left", "right")
     within = parts.select("tab", "code", "left").withColumn("right", F.lit(None).cast(between.schema["right"].dataType))
     met = within.unionByName(between).mapInArrow(partial(_meet, threshold=threshold, hashes=hashes, probes=probes), "rep long, links long, low long")
     found = save(met.groupBy("rep", "low").agg(F.sum("links").alias("links")), "vector-links")

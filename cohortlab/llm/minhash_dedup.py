@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import WordHashes, connected_components, give_back, mix, save, small_batches, split_words, window_hashes
+from cohortlab.llm.common import WordHashes, connected_components, give_back, mix, save, small_batches, split_words, spread_pairs, window_hashes
 
 BASE, RATE, TOP = 1.001, 20.0, 65535  # SetSketch parameters b, a and q + 1 (two bytes a register)
 REGISTERS, ROWS = 128, 4
@@ -289,8 +289,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = F.struct(F.col("rep").alias("id"), "component", "n", "sketch", "shingles")
     blocks = save(rest.groupBy("bucket", "band", "blocks", "block").agg(F.collect_list(member).alias("left")), "dedup-blocks")
     several = blocks.where("blocks > 1")
+    # pairs of block numbers first, each dealt out by itself: the pairs of one bucket are work for many tasks
+    pairs = several.select("bucket", "band", "block", F.explode(F.sequence(F.col("block") + 1, F.col("blocks"))).alias("block2"))
     other = several.select("bucket", "band", F.col("block").alias("block2"), F.col("left").alias("right"))
-    between = several.join(other, ["bucket", "band"]).where("block < block2").select("band", "left", "right")
+    between = spread_pairs(pairs, ["bucket", "block", "block2"]).join(several.select("bucket", "band", "block", "left"), ["bucket", "band", "block"])
+    between = between.join(other, ["bucket", "band", "block2"]).select("band", "left", "right")
     within = blocks.select("band", "left").withColumn("right", F.lit(None).cast(between.schema["right"].dataType))
     found = save(within.unionByName(between).mapInArrow(partial(_block_links, num=num, den=den), "src long, dst long"), "dedup-links")
     if not found.isEmpty():
