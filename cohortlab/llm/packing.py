@@ -18,7 +18,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +35,7 @@ def default_vocabulary() -> str:
 
 
 def _encode(batches, path: str, end: int):
-    encoder, part, before = WordEncoder(path), TaskContext.get().partitionId(), 0
+    encoder, before = WordEncoder(path), 0
     dtype = "<u2" if max(len(id_to_piece(path)), end) < 1 << 16 else "<u4"
     width, tail = np.dtype(dtype).itemsize, np.array([end], dtype).tobytes()
     for batch in batches:
@@ -45,7 +44,7 @@ def _encode(batches, path: str, end: int):
         starts = before + np.cumsum(n) - n
         before += int(n.sum())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array([width] * len(n), pa.int32()), pa.array([part] * len(n), pa.int32()), pa.array(starts)],
+            [batch.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array([width] * len(n), pa.int32()), batch.column(2), pa.array(starts)],
             names=["doc_id", "ids", "doc_tokens", "width", "part", "before"],
         )
     del encoder
@@ -55,7 +54,8 @@ def _encode(batches, path: str, end: int):
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """``doc_id, ids (packed), doc_tokens, width, part, before``, written to the shared folder."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # the partition's number comes from the plan: a task that writes several partitions runs this once for each
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("part"))
     run = partial(_encode, path=vocabulary or default_vocabulary(), end=end_id)
     return save(rows.mapInArrow(run, "doc_id long, ids binary, doc_tokens long, width int, part int, before long"), "pack-tokens")
 

@@ -15,7 +15,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +66,10 @@ def row_at(shard: int, slot: int, n: int, shards: int = SHARDS, seed: int = SEED
 
 
 def _number(batches):
-    part, before = TaskContext.get().partitionId(), 0
+    before = 0
     for batch in batches:
         n = batch.num_rows
-        numbers = [pa.array([part] * n, pa.int32()), pa.array(np.arange(before, before + n, dtype=np.int64))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *numbers], names=["doc_id", "size", "text_crc32", "part", "before"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(before, before + n, dtype=np.int64))], names=["doc_id", "size", "text_crc32", "part", "before"])
         before += n
 
 
@@ -93,6 +91,8 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     order = ["doc_id", "text_crc32", "size", "any"]
     dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    # the partition's number comes from the plan: a task that writes several partitions numbers each by itself
+    dealt = dealt.select("doc_id", "size", "text_crc32", F.spark_partition_id().alias("part"))
     numbered = save(dealt.mapInArrow(_number, "doc_id long, size long, text_crc32 long, part int, before long"), "shard-rows")
     totals = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row per partition
     n = totals.agg(F.sum("n")).first()[0] or 0

@@ -86,6 +86,21 @@ def test_pieces_cover_every_document_once(docs, rows, library, length):
             assert (known[p["doc_id"]][p["start"] : p["start"] + p["length"]] == ids).all()
 
 
+def test_more_partitions_than_written_files(spark, library):
+    rows = [(i, prose(i, 5 + i % 40), None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(60)
+    check_pieces([r.asDict() for r in packing.pack(docs, length=256).collect()], rows, library, 256)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for k, v in (("spark.sql.shuffle.partitions", "50"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+            spark.conf.set(k, v)
+        got = sharding.shard_documents(docs, shards=7).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted((r.shard, r.slot) for r in got) == sorted((i % 7, i // 7) for i in range(300))
+
+
 def test_whole_sequences(docs):
     pieces = packing.pack(docs, length=128, with_ids=True).cache()
     got = packing.sequences(pieces, length=128).collect()
