@@ -8,12 +8,16 @@ that could hold a special token, goes through the library's own normalizer and p
 from __future__ import annotations
 
 import json
+import os
 import re
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
+# Spark has a task on every core; threads of the library's own would only compete with them, and keep memory each.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: Words whose encoding a Python task keeps; beyond it the cache starts anew.
 CACHE = 250_000
 #: Characters of text that are split at once.
@@ -33,6 +37,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=4)
+def load_tokenizer(path: str) -> Tokenizer:
+    """Loaded once a worker process: each load would leave some of its memory behind."""
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=4)
+def _word_tokenizer(path: str) -> Tokenizer:
+    """The same merges for words that are split and normalised already."""
+    out = Tokenizer(load_tokenizer(path).model)
+    out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return out
+
+
+@lru_cache(maxsize=4)
 def id_to_piece(path: str) -> list[str]:
     """The vocabulary's table of pieces by id, added tokens included (from the file alone)."""
     with open(path, encoding="utf-8") as f:
@@ -51,7 +70,7 @@ class WordEncoder:
     @cached_property
     def tokenizer(self) -> Tokenizer:
         """Loaded when first needed: splitting plain texts does without it."""
-        return Tokenizer.from_file(self.path)
+        return load_tokenizer(self.path)
 
     @cached_property
     def special(self) -> dict[str, int]:
@@ -61,13 +80,6 @@ class WordEncoder:
     def _specials(self) -> re.Pattern:
         return re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
-    @cached_property
-    def _plain(self) -> Tokenizer:
-        """The same merges for words that are split and normalised already."""
-        out = Tokenizer(self.tokenizer.model)
-        out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        return out
-
     @cached_property
     def _ends(self) -> np.ndarray:
         return np.array([p.endswith("</w>") for p in id_to_piece(self.path)])
@@ -102,7 +114,7 @@ class WordEncoder:
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
             lines = [" ".join(words[i] for i in some[k : k + 1000]) for k in range(0, len(some), 1000)]
-            ids = np.array([x for e in self._plain.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], np.int64)
+            ids = np.array([x for e in _word_tokenizer(self.path).encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], np.int64)
             ends = ((np.flatnonzero(self._ends[ids]) + 1) * width).tolist()
             if len(ends) == len(some):  # one end of word for each word
                 packed, start = ids.astype(dtype).tobytes(), 0
