@@ -17,8 +17,9 @@ from cohortlab.operators import classify as cls
 from cohortlab.operators import encode as enc
 from cohortlab.operators import forecast as fc
 from cohortlab.plans.encoding import split_sql
-from cohortlab.plans.registry import cached, derived, register, survey
+from cohortlab.plans.registry import cached, register, survey, table_name
 from cohortlab.plans.survey_sql import with_survey
+from cohortlab.session import materialize
 
 C = SURVEY
 FEATS = list(C.model_features)
@@ -39,12 +40,12 @@ TEST_CTE = f"t AS (SELECT *, {RULE_PRED_SQL} AS pred, {RULE_MRR_SQL} AS pred_mrr
 
 
 def model_frame(spark, sf_dir):
-    """Encoded feature matrix with the hash split (written once per session when the survey is)."""
+    """Encoded feature matrix with the hash split, written once per session and state of the data: every fit and every prediction reads it."""
 
     def build():
-        return enc.train_test_split(enc.feature_matrix(survey(spark, sf_dir), keep=KEEP), C.id)
+        return materialize(enc.train_test_split(enc.feature_matrix(survey(spark, sf_dir), keep=KEEP), C.id), table_name(sf_dir, "model_frame"))
 
-    return derived(spark, sf_dir, "model_frame", build)
+    return cached(spark, sf_dir, "model_frame", build)
 
 
 def _test_rule(spark, sf_dir):

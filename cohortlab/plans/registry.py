@@ -70,17 +70,6 @@ def use_materialized_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cached(spark, sf_dir, "survey", lambda: materialize(survey_view(spark, sf_dir), table_name(sf_dir, "survey")))
 
 
-def derived(spark: SparkSession, sf_dir: str, what: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table derived from the survey (e.g. the encoded feature matrix).
-
-    When the survey was materialized for this session, the derived table is written once
-    too (same shared folder) and every later query reads it; otherwise it stays lazy.
-    """
-    if not _has(spark, sf_dir, "survey"):
-        return build()
-    return cached(spark, sf_dir, what, lambda: materialize(build(), table_name(sf_dir, what)))
-
-
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     if _has(spark, sf_dir, "survey"):
         return use_materialized_survey(spark, sf_dir)
