@@ -424,16 +424,22 @@ def pipeline_audit(df: DataFrame, c: SurveyColumns = SURVEY) -> DataFrame:
 
     Winsorizing and repairs are applied to the de-duplicated rows and compared with them in one pass: a column
     counts as affected if a step changes a value of it.  Encodings and targets count the columns they really add.
+
+    ``df`` is read once: its distinct rows are written with the number of their copies, and everything is counted from that table.
     """
     from cohortlab.operators.encode import derive_targets, ordinal_encode
+    from cohortlab.session import materialize
 
     df = without_nan(df)
     names, n = df.columns, F.count(F.lit(1)).cast("long")
-    raw = df.agg(n.alias("n"), *[F.count_if(is_missing(df, x)).alias(x) for x in names])
+    copies = F.col("__copies")
+    counted = materialize(df.groupBy(*names).agg(n.alias("__copies")), "audit_rows")
+    total_copies = lambda e: F.coalesce(F.sum(e), F.lit(0)).cast("long")
+    raw = counted.agg(total_copies(copies).alias("n"), *[total_copies(F.when(is_missing(counted, x), copies)).alias(x) for x in names])
     missing = sum(((F.col(x) > 0).cast("long") for x in names), F.lit(0).cast("long"))
     raw = raw.select(F.struct("n", missing.alias("missing")).alias("raw"))
 
-    rows = drop_duplicates_exact(df)
+    rows = counted.select(*names)
     fences = fence_map(iqr_fences(rows, c.outlier_cols))
     base = rows.select("*", fences.alias("__fm"))
     clipped = {x: ~clip_to_fences(x, F.col("__fm")).eqNullSafe(F.col(x).cast("double")) for x in c.outlier_cols}
