@@ -15,8 +15,11 @@ A header that has other names or another order than that of the first file raise
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +60,8 @@ SURVEY_SCHEMA = T.StructType(
 
 #: Column with the text of a row that has too few or too many fields.
 MALFORMED = "_malformed"
+#: Bytes that are copied at once when parts become one file.
+COPIED = 1 << 20
 #: Quotes inside quoted fields are doubled, in both directions; blanks belong to the value.
 DIALECT = {"sep": ",", "quote": '"', "escape": '"', "header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
@@ -152,11 +157,31 @@ def malformed_rows(spark: SparkSession, path: str | Sequence[str], line_breaks:
     )
 
 
+def _address(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a qualified Hadoop path (``file:/x`` is the local ``/x``)."""
+    return fs.FileSystem.from_uri(path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
+def _join_files(batches: Iterator[pa.RecordBatch], parts: list[str], target: str) -> Iterator[pa.RecordBatch]:
+    """The bytes of ``parts`` one after the other in ``target``, ``COPIED`` at a time."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        store, path = _address(target)
+        with store.open_output_stream(path) as out:
+            for part in parts:
+                store, path = _address(part)
+                with store.open_input_stream(path) as f:
+                    while chunk := f.read(COPIED):
+                        out.write(chunk)
+        yield pa.RecordBatch.from_arrays([pa.array([len(parts)], pa.int64())], names=["parts"])
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False, order_by: Sequence[str] = ()) -> None:
     """Rows to a CSV folder (one part file per partition), header row, no index; NULL as empty, quotes doubled.
 
-    ``order_by`` sorts the rows over all parts.  ``single_file`` makes ``path`` itself one file, as spreadsheets want it: one task
-    writes it (in a stream, whatever its size), then it is renamed.
+    ``order_by`` sorts the rows over all parts.  ``single_file`` makes ``path`` itself one file, as spreadsheets want it: all tasks sort and
+    write parts, then one task copies the parts' bytes behind the header (a fixed buffer, whatever the size), and the file is renamed.
     """
     out = df.orderBy(*order_by) if order_by else df
     if not single_file:
@@ -164,13 +189,22 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bo
         return
     spark = df.sparkSession
     jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(target) and mode != "overwrite":
+    of = jvm.org.apache.hadoop.fs.Path
+    target = of(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target) and mode != "overwrite":
         raise FileExistsError(path)
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}.parts")
-    out.coalesce(1).write.options(**DIALECT).csv(folder.toString())
-    part = fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "part-*"))
-    fs.delete(target, True)
-    fs.rename(part[0].getPath(), target)
-    fs.delete(folder, True)
+    folder = of(f"{path}.{uuid.uuid4().hex[:8]}.parts")
+    spark.createDataFrame([], df.schema).write.options(**DIALECT).csv(of(folder, "head").toString())
+    out.write.options(**{**DIALECT, "header": False}).csv(of(folder, "rows").toString())
+
+    def written(kind: str) -> list[str]:
+        found = [f.getPath() for f in files.globStatus(of(of(folder, kind), "part-*"))]
+        return [f.toString() for f in sorted(found, key=lambda f: int(f.getName().split("-")[1]))]
+
+    whole = of(folder, "whole")
+    join = partial(_join_files, parts=[*written("head"), *written("rows")], target=files.makeQualified(whole).toString())
+    spark.range(1, numPartitions=1).mapInArrow(join, "parts long").collect()
+    files.delete(target, True)
+    files.rename(whole, target)
+    files.delete(folder, True)
