@@ -24,3 +24,29 @@ def test_boosting_works_on_blocks():
         for b in range(len(c) + 1):
             assert got[3 * j + b] == pytest.approx(((bins == b).sum(), (y - 0.5)[bins == b].sum()))
     assert got[6][1] == pytest.approx(((y - 0.5) ** 2).sum())
+
+
+def test_audit_reads_its_rows_from_one_table(spark, survey_small):
+    """The distinct rows are written once; no later step shuffles whole rows again."""
+    from cohortlab.operators import profile
+
+    plan = profile.pipeline_audit(survey_small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "audit_rows" in plan or "__copies" in plan
+    assert "InMemoryRelation" not in plan  # the input itself is not read again
+
+
+def test_single_file_is_sorted_and_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Only bytes of finished parts go through one task."""
+    from cohortlab.sources import csv_io
+
+    joined = []
+    held = csv_io.partial
+    monkeypatch.setattr(csv_io, "partial", lambda f, **kw: joined.append(kw["parts"]) or held(f, **kw))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(1000).selectExpr("999 - id AS id", "'a,\n' AS note").repartition(6)
+        csv_io.write_csv(df, str(tmp_path / "one.csv"), single_file=True, order_by=["id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(joined[0]) > 3
+    assert (tmp_path / "one.csv").read_text() == "id,note\n" + "".join(f'{i},"a,\n"\n' for i in range(1000))
