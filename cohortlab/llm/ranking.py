@@ -9,9 +9,11 @@ Features look at the form of a text only: its length, shares of capitals, digits
 several signs, words that repeat at once or nearby, distinct words, lines that repeat, length of words.  Shares go in as such and as
 their square roots, so that a small share of junk counts as well as a large one.
 
-The fit takes at most ``MAX_FIT_ROWS`` labelled documents, those with the smallest hash of their id (a documented bound), each in
-``PAIRS`` pairs or a few more; only their feature vectors leave the tasks, one for each id.  Scoring covers every row, reads each text
-once and needs no shuffle.
+The fit takes every labelled document that is not held out, each in ``PAIRS`` pairs or a few more.  Features are computed where the texts are and
+joined to the labels (texts do not move); feature vectors and differences are written in chunks of ``CHUNK`` rows, and a Newton step, a step of the
+slope or a moment is one pass that sends a sum per chunk to the driver, which adds them up in the order of the chunks (so the partitioning
+changes no bit).  The threshold comes from running counts over the sorted strengths, a range of them to a task.  Scoring covers every row,
+reads each text once and needs no shuffle.
 
 Null and empty texts have the features of no word and are scored.  Null labels do not take part in the fit; of labels of one id
 that contradict each other the larger holds; of several texts of one labelled id the one with the smallest features.  A null id is held out and scored.  Rows
@@ -22,19 +24,22 @@ that repeat score alike.  An empty table gives no row; without labels of both ki
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import small_batches
+from cohortlab.session import materialize
 
-MAX_FIT_ROWS, PAIRS, RIDGE = 10_000, 4, 1e-3
+PAIRS, RIDGE = 4, 1e-3
+#: Rows whose vectors are held together.
+CHUNK = 16_384
 #: Words that are looked at together for repetition nearby.
 NEARBY = 64
 
@@ -109,30 +114,38 @@ def preference_pairs(good: int, bad: int, pairs: int = PAIRS) -> tuple[np.ndarra
     return (one, other) if good >= bad else (other, one)
 
 
-def bradley_terry(differences: np.ndarray, ridge: float = RIDGE, rounds: int = 60) -> np.ndarray:
-    """Weights that minimize the mean of log(1 + exp(-d . w)) plus the ridge, by damped Newton steps."""
-    n, k = differences.shape
-    w = np.zeros(k)
+def pair_sums(d: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over pairs at weights ``w``: the loss, its gradient and its Hessian, in one row."""
+    wrong = 1 / (1 + np.exp(np.clip(d @ w, -50, 50)))  # probability of the wrong order
+    return np.concatenate([[np.logaddexp(0, -d @ w).sum()], -(d * wrong[:, None]).sum(0), ((d * (wrong * (1 - wrong))[:, None]).T @ d).ravel()])
+
 
-    def loss(w: np.ndarray) -> float:
-        return float(np.logaddexp(0, -differences @ w).mean() + ridge / 2 * w @ w)
+def newton(sums: Callable[[list[np.ndarray]], list[np.ndarray]], n: int, k: int, ridge: float = RIDGE, rounds: int = 60) -> np.ndarray:
+    """Weights that minimize the mean loss plus the ridge, by damped Newton steps; ``sums`` gives ``pair_sums`` at several weights in one pass."""
 
-    now = loss(w)
+    def at(weights: list[np.ndarray]) -> list[tuple]:
+        return [(w, float(s[0] / n + ridge / 2 * w @ w), s[1 : k + 1] / n + ridge * w, s[k + 1 :].reshape(k, k) / n + ridge * np.eye(k)) for w, s in zip(weights, sums(weights), strict=True)]
+
+    ((w, now, gradient, hessian),) = at([np.zeros(k)])
+    halves = [2.0**-i for i in range(20)]
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(np.clip(differences @ w, -50, 50)))  # probability of the wrong order
-        gradient = -(differences * p[:, None]).mean(0) + ridge * w
-        hessian = (differences * (p * (1 - p))[:, None]).T @ differences / n + ridge * np.eye(k)
-        step, size = np.linalg.solve(hessian, gradient), 1.0
-        while size > 1e-6 and (then := loss(w - size * step)) > now:
-            size /= 2
-        if size <= 1e-6:
+        step = np.linalg.solve(hessian, gradient)
+        better = [x for x in at([w - step]) if x[1] <= now] or [x for x in at([w - h * step for h in halves[1:]]) if x[1] <= now]
+        if not better:
             break
-        w, gain, now = w - size * step, now - then, then
+        gain = now - better[0][1]
+        w, now, gradient, hessian = better[0]
         if gain < 1e-12:
             break
     return w
 
 
+def bradley_terry(differences: np.ndarray, ridge: float = RIDGE, rounds: int = 60) -> np.ndarray:
+    """Weights that minimize the mean of log(1 + exp(-d . w)) plus the ridge."""
+    n, k = differences.shape
+    return newton(lambda ws: [pair_sums(differences, w) for w in ws], n, k, ridge, rounds)
+
+
 def threshold_of(strengths: np.ndarray, labels: np.ndarray) -> float:
     """Quantile of the strengths that leaves the fewest labels on the wrong side (ties: the widest gap, then the lowest)."""
     order = np.argsort(strengths, kind="stable")
@@ -147,36 +160,23 @@ def threshold_of(strengths: np.ndarray, labels: np.ndarray) -> float:
     return float((s[i - 1] + s[i]) / 2)
 
 
-def slope_of(distance: np.ndarray, labels: np.ndarray) -> float:
-    """Slope of a logistic curve through one half at distance 0."""
-    scale = float(np.abs(distance).mean()) or 1.0
-    x, a = distance / scale, 1.0
+def slope_sums(x: np.ndarray, labels: np.ndarray, a: float) -> np.ndarray:
+    p = 1 / (1 + np.exp(-np.clip(a * x, -30, 30)))
+    return np.array([(x * (labels - p)).sum(), (p * (1 - p) * x * x).sum()])
+
+
+def slope_by(sums: Callable[[float], np.ndarray], scale: float) -> float:
+    """Slope of a logistic curve through one half at distance 0; ``sums`` gives ``slope_sums`` of distances in units of ``scale``."""
+    a = 1.0
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x, -30, 30)))
-        step = ((x * (labels - p)).sum() - 1e-2 * a) / ((p * (1 - p) * x * x).sum() + 1e-2)
+        first, second = sums(a)
+        step = (first - 1e-2 * a) / (second + 1e-2)
         a = min(max(a + step, a / 4), 4 * a)
         if abs(step) < 1e-9:
             break
     return a / scale
 
 
-def rank(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE) -> Ranking:
-    """A ranking from features and labels 0 or 1 of documents."""
-    if not len(y) or y.min() == y.max():
-        return Ranking(share=float(y.mean()) if len(y) else 0.0)
-    mean, scale = x.mean(0), x.std(0)
-    scale = np.where(scale > 1e-9, scale, 1.0)
-    z = (x - mean) / scale
-    good, bad = z[y == 1], z[y == 0]
-    better, worse = preference_pairs(len(good), len(bad), pairs)
-    weights = bradley_terry(good[better] - bad[worse], ridge)
-    out = Ranking(mean, scale, weights, share=float(y.mean()))
-    strengths = out.strength(x)
-    out.threshold = threshold_of(strengths, y)
-    out.slope = slope_of(strengths - out.threshold, y)
-    return out
-
-
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
@@ -189,21 +189,116 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_FIT_ROWS) -> Ranking:
-    """A ranking from the labelled documents that are not held out."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def _chunked(rows: DataFrame, place: Column, name: str) -> DataFrame:
+    """Vectors ``x`` written as matrices of ``CHUNK`` rows in the order of ``at``: ``kind, chunk, x``."""
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        x = np.concatenate([c.flatten().to_numpy() for c in table.column("x").chunks])
+        return pa.table({"kind": [key[0].as_py()], "chunk": [key[1].as_py()], "x": pa.array([x.tobytes()], pa.binary())})
+
+    keyed = rows.select("kind", F.floor(place / CHUNK).cast("long").alias("chunk"), place.alias("at"), "x")
+    return materialize(keyed.groupBy("kind", "chunk").applyInArrow(pack, "kind long, chunk long, x binary"), name)
+
+
+def _summed(chunks: DataFrame, of: Callable[[int, np.ndarray], list[np.ndarray]]) -> list[np.ndarray]:
+    """Sums over all chunks of the arrays that ``of`` makes of one, in the order of the chunks."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, chunk, x in zip(*[batch.column(i) for i in range(3)], strict=True):
+                made = of(kind.as_py(), np.frombuffer(x.as_buffer()).reshape(-1, len(FEATURES)))
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (kind.as_py(), chunk.as_py())] + [pa.array([[m.tolist() for m in made]])], names=["kind", "chunk", "sums"])
+
+    found = chunks.mapInArrow(each, "kind long, chunk long, sums array<array<double>>").collect()
+    found.sort(key=lambda r: (r[0], r[1]))
+    return [sum((np.array(r[2][i]) for r in found[1:]), np.array(found[0][2][i])) for i in range(len(found[0][2]))]
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` in the order of kind, CRC and id with ``at``, the place within the kind."""
+    order = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    place = F.monotonically_increasing_id()
+    cut = F.col("place")
+    ranked = rows.select("*", order.alias("crc")).sort("kind", "crc", "doc_id").select("kind", "x", place.alias("place"))
+    ranked = materialize(ranked.select("kind", "x", F.shiftright(cut, 33).alias("part"), cut.bitwiseAND(F.lit((1 << 33) - 1)).alias("within")), "ranking_rows")
+    firsts = ranked.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n"), F.min("within").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    start = firsts.select("kind", "part", "first", F.coalesce(before, F.lit(0)).alias("before"))  # a row for each partition
+    return ranked.join(F.broadcast(start), ["kind", "part"]).select("kind", "x", (F.col("within") - F.col("first") + F.col("before")).alias("at"))
+
+
+def _pairs(numbered: DataFrame, good: int, bad: int, pairs: int = PAIRS) -> DataFrame:
+    """Differences of ``preference_pairs``: ``kind`` (0), ``at`` (number of the pair), ``x``."""
+    most, least, larger = max(good, bad), min(good, bad), int(good >= bad)
+    one = numbered.where(F.col("kind") == larger).select("at", F.col("x").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))).alias("j"))
+    one = one.select("a", (F.col("j") * F.lit(most) + F.col("at")).alias("at"), ((F.col("at") + F.col("j") * F.lit(max(1, least // pairs))) % least).alias("other"))
+    other = numbered.where(F.col("kind") == 1 - larger).select(F.col("at").alias("other"), F.col("x").alias("b"))
+    sign = F.lit(1.0 if larger else -1.0)
+    return one.join(other, "other").select(F.lit(0).alias("kind"), "at", F.zip_with("a", "b", lambda a, b: (a - b) * sign).alias("x"))
+
+
+def _threshold(strengths: DataFrame) -> float:
+    """``threshold_of`` of a table ``s, y``: running counts by ranges of the sorted strengths."""
+    counts = strengths.groupBy("s").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad"))
+    ranges = materialize(counts.sort("s").withColumn("part", F.spark_partition_id()), "ranking_strengths")
+    parts = ranges.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.min("s").alias("low"), F.max("s").alias("high")).orderBy("part").collect()
+    above, below, last, starts = sum(p["bad"] for p in parts), 0.0, None, {}
+    for p in parts:  # good ones below, bad ones from here on, the strength before
+        starts[p["part"]] = (below, above, last)
+        below, above, last = below + p["good"], above - p["bad"], p["high"]
+
+    def best(table: pa.Table) -> pa.Table:
+        table = table.sort_by("s")
+        s, good, bad = (table.column(c).to_numpy() for c in ("s", "good", "bad"))
+        below, above, last = starts[table.column("part")[0].as_py()]
+        wrong = below + np.cumsum(good) - good + above - np.cumsum(bad) + bad
+        previous = np.r_[np.nan if last is None else last, s[:-1]]
+        keep = slice(1 if last is None else 0, None)
+        found = sorted(zip(wrong[keep], previous[keep] - s[keep], previous[keep], s[keep], strict=True), key=lambda t: t[:3])[:1]
+        return pa.table({c: pa.array([f[i] for f in found], pa.float64()) for i, c in enumerate(("wrong", "gap", "a", "b"))})
+
+    found = ranges.groupBy("part").applyInArrow(best, "wrong double, gap double, a double, b double").collect()
+    if not found:
+        return float(parts[0]["low"])
+    r = min(found, key=lambda r: tuple(r)[:3])
+    return float((r["a"] + r["b"]) / 2)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranking:
+    """A ranking from all labelled documents that are not held out."""
+    small_batches(docs.sparkSession)
     key = F.col("doc_id")
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    known = known.where(key.isNotNull() & F.col("label").isin(0, 1) & ~held_out(key)).groupBy("doc_id").agg(F.max("label").alias("label"))
-    sample = {r[0]: r[1] for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()}  # the documented bound
-    if not sample:
-        return Ranking()
-    chosen = F.broadcast(spark.createDataFrame([(i,) for i in sample], "doc_id long"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "doc_id")
-    found = rows.mapInArrow(_features, "doc_id long, features array<double>").groupBy("doc_id").agg(F.min("features").alias("features")).collect()
-    found.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    return rank(np.array([r[1] for r in found]).reshape(len(found), len(FEATURES)), np.array([float(sample[r[0]]) for r in found]))
+    taught = key.isNotNull() & ~held_out(key)
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("kind"))
+    known = known.where(taught & F.col("kind").isin(0, 1)).groupBy("doc_id").agg(F.max("kind").alias("kind"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(taught)
+    found = rows.mapInArrow(_features, "doc_id long, features array<double>").groupBy("doc_id").agg(F.min("features").alias("x"))
+    numbered = _numbered(found.join(known, "doc_id"))
+    sizes = {r[0]: r[1] for r in numbered.groupBy("kind").count().collect()}
+    bad, good = sizes.get(0, 0), sizes.get(1, 0)
+    if not bad or not good:
+        return Ranking(share=float(good > 0))
+    n, k = good + bad, len(FEATURES)
+    points = _chunked(numbered, F.col("at"), "ranking_points")
+    mean = _summed(points, lambda _, x: [x.sum(0)])[0] / n
+    scale = np.sqrt(_summed(points, lambda _, x: [((x - mean) ** 2).sum(0)])[0] / n)
+    scale = np.where(scale > 1e-9, scale, 1.0)
+    differences = _chunked(_pairs(numbered, good, bad), F.col("at"), "ranking_pairs")
+    weights = newton(lambda ws: _summed(differences, lambda _, d: [pair_sums(d / scale, w) for w in ws]), PAIRS * max(good, bad), k)
+    out = Ranking(mean, scale, weights, share=good / n)
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, x in zip(batch.column(0), batch.column(2), strict=True):
+                s = out.strength(np.frombuffer(x.as_buffer()).reshape(-1, k))
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), float(kind.as_py())))], names=["s", "y"])
+
+    out.threshold = _threshold(points.mapInArrow(strengths, "s double, y double"))
+    away = lambda x: out.strength(x) - out.threshold
+    unit = float(_summed(points, lambda _, x: [np.abs(away(x)).sum(keepdims=True)])[0][0] / n) or 1.0
+    out.slope = slope_by(lambda a: _summed(points, lambda kind, x: [slope_sums(away(x) / unit, kind, a)])[0], unit)
+    return out
 
 
 def _score(batches: Iterator[pa.RecordBatch], ranking: Ranking) -> Iterator[pa.RecordBatch]:

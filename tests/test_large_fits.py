@@ -50,3 +50,33 @@ def test_single_file_is_sorted_and_written_by_many_tasks(spark, tmp_path, monkey
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(joined[0]) > 3
     assert (tmp_path / "one.csv").read_text() == "id,note\n" + "".join(f'{i},"a,\n"\n' for i in range(1000))
+
+
+def test_ranking_learns_from_every_label(spark):
+    """The one bad document has the largest hash of all ids: a bounded sample would not see it."""
+    pytest.importorskip("cohortlab.llm.ranking")
+    from pyspark.sql import functions as F
+
+    from cohortlab.llm import ranking
+
+    docs = spark.range(16_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some plain words "), F.col("id").cast("string")).alias("text"))
+    taught = docs.where(~ranking.held_out(F.col("doc_id")))
+    bad = taught.orderBy(F.xxhash64("doc_id").desc()).first()["doc_id"]
+    assert taught.count() > 10_000
+    is_bad = F.col("doc_id") == bad
+    docs = docs.withColumn("text", F.when(is_bad, F.lit("### ### !!! ###")).otherwise(F.col("text")))
+    model = ranking.fit(docs, docs.select("doc_id", F.when(is_bad, 0).otherwise(1).alias("quality")))
+    assert model.weights is not None and 0 < 1 - model.share < 1e-3
+    assert [r.doc_id for r in ranking.score(docs, model).where("predicted = 0").collect()] == [bad]
+
+
+def test_threshold_over_ranges_is_the_local_one(spark):
+    pytest.importorskip("cohortlab.llm.ranking")
+    from cohortlab.llm import ranking
+
+    rng = np.random.default_rng(2)
+    s, y = rng.normal(0, 1, 300).round(1), (rng.random(300) < 0.5).astype(float)
+    s = s + y / 2
+    table = spark.createDataFrame(list(zip(s.tolist(), y.tolist(), strict=True)), "s double, y double")
+    assert ranking._threshold(table) == pytest.approx(ranking.threshold_of(s, y))
+    assert ranking._threshold(table.selectExpr("1D AS s", "y")) == 1.0
