@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cohortlab.operators import boosting
+from cohortlab.operators import boosting, forest
 
 
 def test_boosting_works_on_blocks():
@@ -80,3 +80,91 @@ def test_threshold_over_ranges_is_the_local_one(spark):
     table = spark.createDataFrame(list(zip(s.tolist(), y.tolist(), strict=True)), "s double, y double")
     assert ranking._threshold(table) == pytest.approx(ranking.threshold_of(s, y))
     assert ranking._threshold(table.selectExpr("1D AS s", "y")) == 1.0
+
+
+def _survey_like(spark, n=600, p=2):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 9, n), *[rng.normal(size=n) for _ in range(p - 1)]]).astype(float)
+    y = ((x[:, 0] > 4) ^ (x[:, 1] > 0.3) ^ (rng.random(n) < 0.1)).astype(int)
+    names = [f"c{j}" for j in range(p)]
+    return x, y, names, spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y, strict=True)], ", ".join(f"{c} double" for c in names) + ", y int").repartition(3)
+
+
+def test_forest_weights_are_poisson_and_repeatable():
+    w = forest.weights(42, 7, 1, 2, 400_001)
+    assert (w == forest.weights(42, 7, 1, 2, 400_001)).all() and (w != forest.weights(42, 8, 1, 2, 400_001)).any()
+    shares = np.bincount(w, minlength=5)[:5] / len(w)
+    assert shares == pytest.approx([np.exp(-1) / f for f in (1, 1, 2, 6, 24)], abs=0.004) and w.mean() == pytest.approx(1, abs=0.01)
+
+
+def test_forest_splits_are_the_best_of_the_bagged_rows(spark, monkeypatch):
+    """A pass reads blocks, not rows; with both features drawn every node is the exact greedy split of its bag."""
+    x, y, names, df = _survey_like(spark)
+    written = {}
+    held = forest.materialize
+    monkeypatch.setattr(forest, "materialize", lambda d, name: written.setdefault(name, held(d, name)))
+    model = forest.fit_forest(df, names, "y", n_trees=4, max_depth=3, max_bins=16)
+    blocks = written["forest_bins"].collect()
+    assert len(blocks) <= 3
+    for number, tree in enumerate(model.trees):
+        bins, label = [], []
+        for b in blocks:
+            one = np.frombuffer(b.y, np.uint8)
+            w = forest.weights(42, number, b.part, b.at, len(one))
+            bins.append(np.repeat(np.frombuffer(b.bins, np.uint8).reshape(2, -1), w, axis=1))
+            label.append(np.repeat(one, w))
+        bins, label = np.concatenate(bins, axis=1), np.concatenate(label)
+        inside = {0: np.ones(len(label), bool)}
+        gini = lambda m: 1 - ((np.bincount(label[m], minlength=2) / m.sum()) ** 2).sum()
+        for v in range(len(tree.left)):
+            if v not in inside:
+                continue  # below a joined pair of leaves
+            m = inside[v]
+            assert tree.counts[v].tolist() == np.bincount(label[m], minlength=2).tolist()
+            if tree.left[v] == v:
+                continue
+            best = 0.0
+            for f in range(2):
+                for c in range(len(model.cuts[f])):
+                    low = m & (bins[f] <= c)
+                    if 0 < low.sum() < m.sum():
+                        best = max(best, gini(m) - low.sum() / m.sum() * gini(low) - (1 - low.sum() / m.sum()) * gini(m & ~low))
+            assert tree.gain[v] == pytest.approx(best)
+            low = bins[tree.feature[v]] <= tree.bin[v]
+            inside[tree.left[v]], inside[tree.left[v] + 1] = m & low, m & ~low
+    assert model.importances.sum() == pytest.approx(1)
+    got = forest.predict_forest(model, df, names, [*names, "y"]).collect()
+    assert np.mean([r.prediction == r.y for r in got]) > 0.8 and len(got) == len(y)
+    assert [r.prediction for r in got] == model.shares(np.array([r[:2] for r in got])).argmax(1).tolist()
+
+
+def test_forest_does_not_depend_on_its_memory(spark):
+    """Levels in several passes, and below the levels that go node by node."""
+    _, _, names, df = _survey_like(spark, 900, 5)
+    df = df.coalesce(1).cache()
+    one, many = (forest.fit_forest(df, names, "y", n_trees=12, max_depth=7, max_bins=200, max_memory_mb=mb) for mb in (64, 1))
+    assert max(len(t.left) for t in one.trees) > 100 and max(t.depth.max() for t in one.trees) > forest.TOP
+    for a, b in zip(one.trees, many.trees, strict=True):
+        assert (a.feature == b.feature).all() and (a.left == b.left).all() and (a.counts == b.counts).all()
+        # the walk agrees with the counts it was grown on: every row ends in a leaf
+        x = forest.to_bins(np.random.default_rng(0).normal(size=(5, 100)), one.cuts, a.bin.dtype)
+        leaf = a.node(x, np.arange(100), int(a.depth.max()) + 1)
+        for i, v in enumerate(leaf):
+            at = 0
+            while a.left[at] != at:
+                at = a.left[at] + (x[a.feature[at], i] > a.bin[at])
+            assert v == at
+
+
+def test_forest_edges(spark):
+    """Classes above 1, one class, one value of all features; missing features and labels are errors."""
+    three = spark.createDataFrame([(float(i), i % 3) for i in range(60)], "c0 double, y int").selectExpr("y + 0.25D AS c0", "y")
+    model = forest.fit_forest(three, ["c0"], "y", n_trees=5, max_depth=2)
+    assert {(r.y, r.prediction) for r in forest.predict_forest(model, three, ["c0"], ["y"]).collect()} == {(0, 0), (1, 1), (2, 2)}
+    flat = forest.fit_forest(three.selectExpr("1D AS c0", "1 AS y"), ["c0"], "y", n_trees=3, max_depth=0)
+    assert flat.importances.tolist() == [0.0] and {r.prediction for r in forest.predict_forest(flat, three, ["c0"], []).collect()} == {1}
+    for bad in ("CAST(NULL AS DOUBLE) AS c0, y", "double('NaN') AS c0, y", "double('Infinity') AS c0, y", "c0, CAST(NULL AS INT) AS y", "c0, y + 0.5D AS y", "c0, y - 1 AS y"):
+        with pytest.raises(Exception, match="missing|labels"):
+            forest.fit_forest(three.selectExpr(*bad.split(", ")), ["c0"], "y", n_trees=1, max_depth=1)
+    with pytest.raises(ValueError, match="no rows"):
+        forest.fit_forest(three.where("y > 5"), ["c0"], "y")
