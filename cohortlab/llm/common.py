@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,21 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@contextlib.contextmanager
+def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Within it a side of a join is broadcast where its size as shuffled is small, never by the optimizer's estimate, which takes an
+    exploded or well compressed table for far smaller than it is.  Plans run within it; a plan that is returned needs a hint of its own."""
+    planned, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {k: spark.conf.get(k, None) for k in (planned, measured)}
+    spark.conf.set(measured, before[measured] or spark.conf.get(planned))
+    spark.conf.set(planned, "-1")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared checkpoint folder; a run id keeps concurrent users apart."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"

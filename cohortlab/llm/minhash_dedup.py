@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import WordHashes, connected_components, give_back, mix, save, small_batches, split_words, spread_pairs, window_hashes
+from cohortlab.llm.common import WordHashes, connected_components, give_back, measured_broadcasts, mix, save, small_batches, split_words, spread_pairs, window_hashes
 
 BASE, RATE, TOP = 1.001, 20.0, 65535  # SetSketch parameters b, a and q + 1 (two bytes a register)
 REGISTERS, ROWS = 128, 4
@@ -237,73 +237,75 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, num: int, d
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept`` (similarity at least ``num / den``)."""
     spark = docs.sparkSession
-    base = save(sketch_documents(docs, id_col, text_col), "dedup-sketch")
-    known = base.where("id is not null")
-    classes = save(
-        known.where("n > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
-        "dedup-classes",
-    )
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    keys = classes.select("rep", "n", "sketch", band.alias("band")).select(
-        "rep", "n", "band", F.expr(f"xxhash64(band, substring(sketch, band * {2 * ROWS} + 1, {2 * ROWS}))").alias("bucket")
-    )
-    buckets = keys.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = save(keys.join(buckets, "bucket").select("bucket", "band", "rep", "n", "pivot", "size"), "dedup-members")
-    needed = members.select("rep").distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    texts = rows.join(needed.withColumnRenamed("rep", "id"), "id", "left_semi")
-    sets = save(texts.mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"]), "dedup-sets")
-
-    # a) every class against the smallest class of its buckets: one pair each
-    tested = save(members.where("pivot < rep").groupBy("rep").agg(F.min("pivot").alias("a")).select("a", F.col("rep").alias("b")), "dedup-pairs")
-    links = save(_verified(tested, classes, sets, num, den), "dedup-links")
-    labels = save(connected_components(links), "dedup-labels")
-
-    # b) where a bucket spans several components: members against two pivots of the bucket that are in another one
-    def open_members(least: int) -> tuple[DataFrame, DataFrame]:
-        now = members.where(F.col("size") >= least).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-        now = now.select("bucket", "band", "rep", "n", "size", F.coalesce("component", "rep").alias("component"))
-        return now, now.groupBy("bucket").agg(
-            F.min_by(F.struct("rep", "component"), "rep").alias("p0"),
-            F.min_by(F.struct("rep", "component"), F.xxhash64("rep")).alias("p1"),
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.sum("n").alias("weight"),
-        ).where("low < high")
-
-    now, open_ = open_members(2)
-    pivots = now.join(open_, "bucket").select("rep", "component", F.explode(F.array("p0", "p1")).alias("p"))
-    pairs = pivots.where("p.component <> component").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
-    pairs = save(pairs.join(tested, ["a", "b"], "left_anti").distinct(), "dedup-pairs")
-    found = save(_verified(pairs, classes, sets, num, den), "dedup-links")
-    if not found.isEmpty():
-        links = links.unionByName(found)
+    with measured_broadcasts(spark):
+        base = save(sketch_documents(docs, id_col, text_col), "dedup-sketch")
+        known = base.where("id is not null")
+        classes = save(
+            known.where("n > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+            "dedup-classes",
+        )
+        band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
+        keys = classes.select("rep", "n", "sketch", band.alias("band")).select(
+            "rep", "n", "band", F.expr(f"xxhash64(band, substring(sketch, band * {2 * ROWS} + 1, {2 * ROWS}))").alias("bucket")
+        )
+        buckets = keys.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        members = save(keys.join(buckets, "bucket").select("bucket", "band", "rep", "n", "pivot", "size"), "dedup-members")
+        needed = members.select("rep").distinct()
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+        texts = rows.join(needed.withColumnRenamed("rep", "id"), "id", "left_semi")
+        sets = save(texts.mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"]), "dedup-sets")
+
+        # a) every class against the smallest class of its buckets: one pair each
+        tested = save(members.where("pivot < rep").groupBy("rep").agg(F.min("pivot").alias("a")).select("a", F.col("rep").alias("b")), "dedup-pairs")
+        links = save(_verified(tested, classes, sets, num, den), "dedup-links")
         labels = save(connected_components(links), "dedup-labels")
 
-    # c) what is left: pairs of different components, block by block, with the full sets
-    now, open_ = open_members(3)
-    rest = now.join(open_.select("bucket", "weight"), "bucket")
-    rest = rest.join(classes.select("rep", "sketch"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
-    number = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("long")
-    rest = rest.withColumn("blocks", number).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")))
-    member = F.struct(F.col("rep").alias("id"), "component", "n", "sketch", "shingles")
-    blocks = save(rest.groupBy("bucket", "band", "blocks", "block").agg(F.collect_list(member).alias("left")), "dedup-blocks")
-    several = blocks.where("blocks > 1")
-    # pairs of block numbers first, each dealt out by itself: the pairs of one bucket are work for many tasks
-    pairs = several.select("bucket", "band", "block", F.explode(F.sequence(F.col("block") + 1, F.col("blocks"))).alias("block2"))
-    other = several.select("bucket", "band", F.col("block").alias("block2"), F.col("left").alias("right"))
-    between = spread_pairs(pairs, ["bucket", "block", "block2"]).join(several.select("bucket", "band", "block", "left"), ["bucket", "band", "block"])
-    between = between.join(other, ["bucket", "band", "block2"]).select("band", "left", "right")
-    within = blocks.select("band", "left").withColumn("right", F.lit(None).cast(between.schema["right"].dataType))
-    found = save(within.unionByName(between).mapInArrow(partial(_block_links, num=num, den=den), "src long, dst long"), "dedup-links")
-    if not found.isEmpty():
-        labels = save(connected_components(links.unionByName(found)), "dedup-labels")
-
-    doc_class = known.where("n > 0").select("id", "set_key").join(classes.select("set_key", "rep"), "set_key").select("id", "rep").distinct()
-    per_class = classes.select("rep").join(labels.withColumnRenamed("id", "rep"), "rep").where("component < rep")
+        # b) where a bucket spans several components: members against two pivots of the bucket that are in another one
+        def open_members(least: int) -> tuple[DataFrame, DataFrame]:
+            now = members.where(F.col("size") >= least).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+            now = now.select("bucket", "band", "rep", "n", "size", F.coalesce("component", "rep").alias("component"))
+            return now, now.groupBy("bucket").agg(
+                F.min_by(F.struct("rep", "component"), "rep").alias("p0"),
+                F.min_by(F.struct("rep", "component"), F.xxhash64("rep")).alias("p1"),
+                F.min("component").alias("low"),
+                F.max("component").alias("high"),
+                F.sum("n").alias("weight"),
+            ).where("low < high")
+
+        now, open_ = open_members(2)
+        pivots = now.join(open_, "bucket").select("rep", "component", F.explode(F.array("p0", "p1")).alias("p"))
+        pairs = pivots.where("p.component <> component").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
+        pairs = save(pairs.join(tested, ["a", "b"], "left_anti").distinct(), "dedup-pairs")
+        found = save(_verified(pairs, classes, sets, num, den), "dedup-links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = save(connected_components(links), "dedup-labels")
+
+        # c) what is left: pairs of different components, block by block, with the full sets
+        now, open_ = open_members(3)
+        rest = now.join(open_.select("bucket", "weight"), "bucket")
+        rest = rest.join(classes.select("rep", "sketch"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+        number = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("long")
+        rest = rest.withColumn("blocks", number).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")))
+        member = F.struct(F.col("rep").alias("id"), "component", "n", "sketch", "shingles")
+        blocks = save(rest.groupBy("bucket", "band", "blocks", "block").agg(F.collect_list(member).alias("left")), "dedup-blocks")
+        several = blocks.where("blocks > 1")
+        # pairs of block numbers first, each dealt out by itself: the pairs of one bucket are work for many tasks
+        pairs = several.select("bucket", "band", "block", F.explode(F.sequence(F.col("block") + 1, F.col("blocks"))).alias("block2"))
+        other = several.select("bucket", "band", F.col("block").alias("block2"), F.col("left").alias("right"))
+        between = spread_pairs(pairs, ["bucket", "block", "block2"]).join(several.select("bucket", "band", "block", "left"), ["bucket", "band", "block"])
+        between = between.join(other, ["bucket", "band", "block2"]).select("band", "left", "right")
+        within = blocks.select("band", "left").withColumn("right", F.lit(None).cast(between.schema["right"].dataType))
+        found = save(within.unionByName(between).mapInArrow(partial(_block_links, num=num, den=den), "src long, dst long"), "dedup-links")
+        if not found.isEmpty():
+            labels = save(connected_components(links.unionByName(found)), "dedup-labels")
+
+    # of no bounded size on either side, and run by the caller: no broadcast by an estimate
+    doc_class = known.where("n > 0").select("id", "set_key").join(classes.select("set_key", "rep").hint("merge"), "set_key").select("id", "rep").distinct()
+    per_class = classes.select("rep").join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep").where("component < rep")
     moved = doc_class.where("id <> rep").unionByName(per_class.select(F.col("rep").alias("id"), "rep")).distinct()
-    moved = moved.join(per_class, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    return base.select("id", "n").join(moved, "id", "left").select(
+    moved = moved.join(per_class.hint("merge"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    return base.select("id", "n").join(moved.hint("merge"), "id", "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "id").alias("component_id"),

@@ -31,8 +31,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.functions.broadcast import broadcast_if_small
 from cohortlab.llm.bpe import balanced_keys
-from cohortlab.llm.common import WordHashes, discard, save, small_batches, split_words, window_hashes
+from cohortlab.llm.common import WordHashes, discard, measured_broadcasts, save, small_batches, split_words, window_hashes
 from cohortlab.llm.fm_index import FMIndex
 from cohortlab.session import shuffle_partitions
 
@@ -290,7 +291,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = save(rows.mapInArrow(_keys, "doc_id long, n_words long, key binary, row long"), "substring-keys")
     texts = texts.where(f"doc_id is not null and n_words >= {WINDOW}")
     firsts = texts.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = save(texts.join(firsts, "key").where("doc_id > first").select(block_of.alias("block"), "doc_id", "row", "n_words").distinct(), "substring-copies")
+    with measured_broadcasts(spark):
+        copies = save(texts.join(firsts, "key").where("doc_id > first").select(block_of.alias("block"), "doc_id", "row", "n_words").distinct(), "substring-copies")
 
     blocks = blocks_of(docs, id_col, text_col, tag)
     none = F.lit(None)
@@ -309,7 +311,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     distinct = save(seen.groupBy("words", "anchor").agg(F.min("doc_id").alias("first")), "substring-distinct")
     hot = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
-    hot = save(hot, "substring-hot")
+    hot = broadcast_if_small(save(hot, "substring-hot"))
 
     def parts(table: DataFrame) -> DataFrame:
         """Segments as they are, those of hot anchors as single windows."""
@@ -331,7 +333,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     discard(distinct)
 
     spots = parts(seen).select("block", "doc_id", "row", (F.col("start") + F.col("offset")).alias("start"), F.size(F.split("words", " ")).alias("n"), "key")
-    spots = spots.join(searched, "key")
+    spots = spots.join(searched.hint("merge"), "key")  # windows of hot anchors are exploded rows: no broadcast by an estimate
     pairs = F.transform(F.sequence(F.lit(0), F.expr("cast(size(cuts) div 2 as int)") - 1), lambda i: F.struct(F.get("cuts", (2 * i).cast("int")).alias("a"), F.get("cuts", (2 * i + 1).cast("int")).alias("b")))
     whole_segment = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b")))
     spans = F.when(F.col("doc_id") > F.col("first"), whole_segment).when(F.size("cuts") > 0, pairs)

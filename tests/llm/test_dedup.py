@@ -68,6 +68,25 @@ def test_a_large_group_of_near_copies_needs_no_pairs(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_exploded_tables_are_not_broadcast_by_an_estimate(spark, monkeypatch):
+    """A row for each band is 32 times what the optimizer takes it for; only sizes as measured decide, and the session's settings come back."""
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"{text} end{i}") for i in range(40)], "doc_id long, text string")
+    key, before, plans = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), {}
+    held = minhash_dedup.save
+
+    def spy(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return held(df, label)
+
+    monkeypatch.setattr(minhash_dedup, "save", spy)
+    out = minhash_dedup.near_duplicates(docs)
+    assert spark.conf.get(key) == before
+    for plan in (plans["dedup-members"], plans["dedup-links"], out._jdf.queryExecution().executedPlan().toString()):
+        assert "Join" in plan and "BroadcastHashJoin" not in plan
+    assert out.where("kept").count() == 1
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(3)
     a, b = (np.unique(rng.integers(0, 2**63, 800, dtype=np.uint64)) for _ in range(2))
