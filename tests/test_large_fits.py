@@ -168,3 +168,44 @@ def test_forest_edges(spark):
             forest.fit_forest(three.selectExpr(*bad.split(", ")), ["c0"], "y", n_trees=1, max_depth=1)
     with pytest.raises(ValueError, match="no rows"):
         forest.fit_forest(three.where("y > 5"), ["c0"], "y")
+
+
+def test_forest_blocks_come_in_bounded_row_groups(spark, monkeypatch):
+    """A reader holds a row group: large rows must not make one of a whole file."""
+    import pyarrow.parquet as pq
+
+    frames, held = [], forest.materialize
+    monkeypatch.setattr(forest, "GROUP_BYTES", 1 << 14, raising=False)
+    monkeypatch.setattr(forest, "BLOCK", 1024)
+    monkeypatch.setattr(forest, "LEAST_BLOCK", 1024)
+    monkeypatch.setattr(forest, "materialize", lambda df, name: frames.append(held(df, name)) or frames[-1])
+    names = [f"a{i}" for i in range(6)]
+    train = spark.range(0, 12_000, 1, 2).selectExpr(*[f"rand({i}) AS {n}" for i, n in enumerate(names)], "cast(id % 2 AS int) AS y")
+    forest.fit_forest(train, names, "y", n_trees=2, max_depth=2)
+    files = [f.removeprefix("file://") for f in frames[-1].inputFiles()]
+    groups = [pq.ParquetFile(f).metadata for f in files]
+    assert max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 4
+
+
+def test_fits_hold_bounded_partitions(spark, monkeypatch):
+    import concurrent.futures
+
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from cohortlab.operators import classify, encode, segment
+
+    monkeypatch.setattr(encode, "PART_ROWS", 100, raising=False)
+    monkeypatch.setattr(segment, "CORE_ROWS", 1, raising=False)
+    assert encode.spread(spark.range(1000), rows=1000).rdd.getNumPartitions() == 10
+    seen, held = [], classify.fit_cached
+    monkeypatch.setattr(classify, "fit_cached", lambda e, data, rows=None, **kw: seen.append((rows, kw)) or held(e, data, rows, **kw))
+    train = spark.range(300).selectExpr("cast(id AS double) AS a", "cast(id > 150 AS int) AS y")
+    classify.fit_logistic(train, ["a"], "y")
+    assert seen == [(300, {"keep": False})]
+    workers, pool = [], concurrent.futures.ThreadPoolExecutor
+    monkeypatch.setattr(concurrent.futures, "ThreadPoolExecutor", lambda max_workers: workers.append(max_workers) or pool(max_workers))
+    points = spark.range(300).select(array_to_vector(F.array((F.col("id") % 3).cast("double"))).alias("features"))
+    segment.fit_kmeans(points, 3, n_init=2, rows=300)
+    segment.fit_kmeans(points, 3, n_init=2)
+    assert workers == [1, 2]
