@@ -170,6 +170,32 @@ def test_forest_edges(spark):
         forest.fit_forest(three.where("y > 5"), ["c0"], "y")
 
 
+def test_silhouettes_read_written_numbers(spark, sf_small):
+    """A pass over the points must not derive every number from the order tables again."""
+    from cohortlab.plans import segments
+
+    for query in (segments.silhouette_euclidean, segments.kmeans_silhouette_euclidean):
+        plan = query(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "o_custkey" not in plan and "c_mktsegment" not in plan and "CASE WHEN (difficulty" not in plan
+    labelled = segments._kmeans(spark, sf_small)[0]
+    assert "o_custkey" not in labelled._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_distances_by_products_are_those_by_differences():
+    from cohortlab.operators import silhouette
+
+    rng = np.random.default_rng(4)
+    x, sample = rng.normal(3, 1, (300, 7)), rng.normal(3, 1, (40, 7))
+    sample[:5] = x[:5]
+    sample[5] = x[5] + 1e-9
+    x[7, 0] = np.inf
+    with np.errstate(invalid="ignore"):
+        got = silhouette._distances(x, sample, np.einsum("ij,ij->i", sample, sample))
+    want = np.sqrt(((x[:, None, :] - sample[None, :, :]) ** 2).sum(-1))
+    assert (got[range(5), range(5)] == 0).all()
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
 def test_forest_blocks_come_in_bounded_row_groups(spark, monkeypatch):
     """A reader holds a row group: large rows must not make one of a whole file."""
     import pyarrow.parquet as pq
